@@ -2,32 +2,21 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from weirlog.schemas import ENUMS
 
 
-def enum_name(enum: str | Column, code: Column) -> Column:
-    """Name of a code; a code outside the enum gives its number as text."""
-    names = {f"{e}:{k}": v for e, table in ENUMS.items() for k, v in table.items()}
-    pairs = chain.from_iterable((F.lit(k), F.lit(v)) for k, v in names.items())
-    key = F.concat_ws(":", F.lit(enum) if isinstance(enum, str) else enum, code.cast("string"))
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), key), code.cast("string"))
+def enum_name(enum: str, code: str) -> str:
+    """Name of a code, given SQL for the enum's name and for the code. A code outside the enum
+    gives its number as text."""
+    pairs = ", ".join(f"'{e}:{k}', '{v}'" for e, table in ENUMS.items() for k, v in table.items())
+    return f"coalesce(try_element_at(map({pairs}), concat({enum}, ':', {code})), cast({code} as string))"
 
 
-def delivery_class(code: Column) -> Column:
-    return (
-        F.when(code.between(1, 3), "progress")
-        .when(code == 64, "pending")
-        .when(code == 128, "failed")
-        .when(code == 129, "aborted")
-        .otherwise("unknown")
-    )
+def delivery_class(code: str) -> str:
+    return f"""case when {code} between 1 and 3 then 'progress' when {code} = 64 then 'pending'
+        when {code} = 128 then 'failed' when {code} = 129 then 'aborted' else 'unknown' end"""
 
 
-def retryable(code: Column) -> Column:
+def retryable(code: str) -> str:
     """Only a plain failure may be retried."""
-    return F.coalesce(code == 128, F.lit(False))
+    return f"coalesce({code} = 128, false)"

@@ -2,83 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from weirlog.functions.times import month_of
 
 
-def sender_key(sender: Column) -> Column:
+def sender_key(address: str) -> str:
     """Canonical text of an address; equal addresses, and only those, share a key.
 
     An address holds two enum codes, so few distinct keys exist. Route with it, but do not
     shuffle heavy work on it alone.
     """
+    user, channel = (f"coalesce(cast({address}.{side}.type as string), '-')" for side in ("user", "channel"))
+    return f"concat({user}, ':', {channel})"
 
-    def part(name: str) -> Column:
-        return F.coalesce(sender[name]["type"].cast("string"), F.lit("-"))
 
-    return F.concat_ws(":", part("user"), part("channel"))
+def document_id(req: str) -> str:
+    """``app_id_nanos``; null when any part is missing."""
+    return f"concat({req}.app, '_', {req}.id, '_', cast({req}.msg.tsNanos as string))"
 
 
-def document_id(req: Column) -> Column:
-    """``app_id_nanos``; null when any part is missing."""
-    parts = [req["app"], req["id"], req["msg"]["tsNanos"].cast("string")]
-    complete = parts[0].isNotNull() & parts[1].isNotNull() & parts[2].isNotNull()
-    return F.when(complete, F.concat_ws("_", *parts))
+def month_index(nanos: str, prefix: str) -> str:
+    return f"concat('{prefix}_', {month_of(nanos)})"
 
 
-def month_index(nanos: Column, prefix: str) -> Column:
-    return F.concat_ws("_", F.lit(prefix), month_of(nanos))
+def given(value: str, default: str = "0") -> str:
+    """Null in place of a default, which the record format does not tell from an absent field."""
+    return f"nullif({value}, {default})"
 
 
-def _present(value: Column, default) -> Column:
-    return F.nullif(value, F.lit(default))
+def given_items(value: str) -> str:
+    return f"if(size({value}) > 0, {value}, null)"
 
 
-def _address(addr: Column) -> Column:
-    def typed(name: str) -> Column:
-        side = addr[name]
-        return F.when(side.isNotNull(), F.struct(_present(side["type"], 0).alias("type"))).alias(name)
+def _address(at: str) -> str:
+    def side(name: str) -> str:
+        inner = f"named_struct('type', {given(f'{at}.{name}.type')})"
+        return f"'{name}', if({at}.{name} is not null, {inner}, null)"
 
-    return F.when(addr.isNotNull(), F.struct(typed("user"), typed("channel")))
+    return f"if({at} is not null, named_struct({side('user')}, {side('channel')}), null)"
 
 
-def document_body(req: Column) -> Column:
+def document_body(req: str) -> str:
     """JSON of a request with default-valued fields left out."""
-    session, msg = req["session"], req["msg"]
-    properties = F.when(
-        F.size(session["data"]) > 0,
-        F.transform(
-            session["data"],
-            lambda p: F.struct(
-                _present(p["name"], "").alias("name"),
-                F.when(
-                    p["value"].isNotNull(),
-                    F.struct(
-                        _present(p["value"]["format"], 0).alias("format"),
-                        F.when(F.octet_length(p["value"]["data"]) > 0, p["value"]["data"]).alias("data"),
-                    ),
-                ).alias("value"),
-            ),
-        ),
-    )
-    body = F.struct(
-        _present(req["id"], "").alias("id"),
-        _present(req["app"], "").alias("app"),
-        F.when(
-            session.isNotNull(), F.struct(_present(session["type"], 0).alias("type"), properties.alias("data"))
-        ).alias("session"),
-        F.when(
-            msg.isNotNull(),
-            F.struct(
-                _present(msg["type"], 0).alias("type"),
-                _present(msg["id"], "").alias("id"),
-                _present(msg["ver"], 0).alias("ver"),
-                _present(msg["tsNanos"], 0).alias("tsNanos"),
-            ),
-        ).alias("msg"),
-        _address(req["from"]).alias("from"),
-        F.when(F.size(req["to"]) > 0, F.transform(req["to"], _address)).alias("to"),
-    )
-    return F.to_json(body)
+    value = f"""if(p.value is not null, named_struct(
+        'format', {given('p.value.format')},
+        'data', if(octet_length(p.value.data) > 0, p.value.data, null)), null)"""
+    properties = f"""transform({given_items(f'{req}.session.data')},
+        p -> named_struct('name', {given('p.name', "''")}, 'value', {value}))"""
+    return f"""to_json(named_struct(
+        'id', {given(f'{req}.id', "''")},
+        'app', {given(f'{req}.app', "''")},
+        'session', if({req}.session is not null, named_struct(
+            'type', {given(f'{req}.session.type')}, 'data', {properties}), null),
+        'msg', if({req}.msg is not null, named_struct(
+            'type', {given(f'{req}.msg.type')}, 'id', {given(f'{req}.msg.id', "''")},
+            'ver', {given(f'{req}.msg.ver')}, 'tsNanos', {given(f'{req}.msg.tsNanos')}), null),
+        'from', {_address(f'{req}.`from`')},
+        'to', transform({given_items(f'{req}.to')}, a -> {_address('a')})))"""

@@ -2,27 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-NANOS_PER_DAY = 86_400 * 10**9
-
-
-def nanos_to_micros(nanos: Column) -> Column:
-    return F.call_function("div", nanos, F.lit(1000))
-
-
-def event_time(nanos: Column) -> Column:
+def event_time(nanos: str) -> str:
     """Microsecond UTC timestamp of a nanosecond count."""
-    return F.timestamp_micros(nanos_to_micros(nanos))
+    return f"timestamp_micros(({nanos}) div 1000)"
 
 
-def month_of(nanos: Column) -> Column:
+def month_of(nanos: str) -> str:
     """``yyyy-MM`` in UTC, computed on whole days so that no session time zone enters."""
-    days = F.call_function("div", nanos, F.lit(NANOS_PER_DAY)).cast("int")
-    return F.date_format(F.date_from_unix_date(days), "yyyy-MM")
+    return f"date_format(date_from_unix_date(cast(({nanos}) div 86400000000000 as int)), 'yyyy-MM')"
 
 
-def micros_of(ts: Column) -> Column:
+def micros_of(ts: str) -> str:
     """Microseconds since the epoch of a timestamp, with or without a zone (UTC session)."""
-    return F.unix_micros(ts.cast("timestamp"))
+    return f"unix_micros(cast({ts} as timestamp))"

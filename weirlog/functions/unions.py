@@ -2,33 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-
-def tagged(code: int, name: str | None = None, payload: Column | None = None, **extra: Column) -> Column:
-    """A union value with its tag and payload set together, so that they cannot disagree.
+def tagged(code: int, payload: tuple[str, str] | None = None, nanos: str | None = None) -> str:
+    """A union value with its tag and payload ``(field, value)`` set together, so that they
+    cannot disagree.
 
     Alternatives without fields of their own (users, channels, updates, deletions) carry the
-    tag only.
+    tag only. ``nanos`` adds the envelope time.
     """
-    fields = [F.lit(code).cast("int").alias("type")]
-    fields += [value.alias(key) for key, value in extra.items()]
-    if name is not None:
-        fields.append(payload.alias(name))
-    return F.struct(*fields)
+    fields = [f"'type', {code}"]
+    if nanos is not None:
+        fields.append(f"'tsNanos', cast({nanos} as bigint)")
+    if payload is not None:
+        fields.append(f"'{payload[0]}', {payload[1]}")
+    return f"named_struct({', '.join(fields)})"
 
 
-def union_problem(tag: Column, payloads: dict[int, Column]) -> Column:
+def union_problem(tag: str, payloads: dict[int, str]) -> str:
     """Null when the tag is known and exactly its payload is present, otherwise the reason."""
-    known = tag.isin(list(payloads))
-    missing = F.lit(False)
-    stray = F.lit(False)
-    for code, payload in payloads.items():
-        missing = missing | ((tag == code) & payload.isNull())
-        stray = stray | (~tag.eqNullSafe(F.lit(code)) & payload.isNotNull())
-    return (
-        F.when(tag.isNull() | ~known, F.lit("unknown_type"))
-        .when(missing, F.lit("payload_missing"))
-        .when(stray, F.lit("payload_mismatch"))
-    )
+    known = ", ".join(map(str, payloads))
+    missing = " or ".join(f"({tag} = {code} and {value} is null)" for code, value in payloads.items())
+    stray = " or ".join(f"({tag} <> {code} and {value} is not null)" for code, value in payloads.items())
+    return f"""case when {tag} is null or {tag} not in ({known}) then 'unknown_type'
+        when {missing} then 'payload_missing' when {stray} then 'payload_mismatch' end"""

@@ -6,12 +6,12 @@ small block table is windowed, and the result is carried back into the blocks by
 on ``key, block``. That join and the window inside the blocks share one shuffle, and because
 sequence numbers are unique within a key no block exceeds ``2 ** bits`` rows.
 
-Keys and sequence numbers must not be null.
+Keys and sequence numbers must not be null. Aggregates are given as SQL.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirlog.session import settle
@@ -20,14 +20,18 @@ BLOCK_BITS = 20
 BLOCK = "_block"
 
 
+def _named(columns: dict[str, str] | None, over: str = "") -> list[str]:
+    return [f"{agg} {over} as {name}" for name, agg in (columns or {}).items()]
+
+
 def with_prefix(
     df: DataFrame,
     keys: list[str],
     seq: str,
     *,
-    partials: dict[str, Column],
-    before: dict[str, Column] | None = None,
-    overall: dict[str, Column] | None = None,
+    partials: dict[str, str],
+    before: dict[str, str] | None = None,
+    overall: dict[str, str] | None = None,
     bits: int = BLOCK_BITS,
 ) -> DataFrame:
     """Add per-block carry columns.
@@ -35,42 +39,47 @@ def with_prefix(
     ``partials`` are aggregates of each block. ``before`` are aggregates of the partials over
     all earlier blocks of the key (null in the first), ``overall`` over all of its blocks.
     """
-    blocked = df.withColumn(BLOCK, F.shiftright(F.col(seq), bits))
-    table = blocked.groupBy(*keys, BLOCK).agg(*[agg.alias(name) for name, agg in partials.items()])
-    whole = Window.partitionBy(*keys)
-    earlier = whole.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = table.select(
-        *keys,
-        BLOCK,
-        *[agg.over(earlier).alias(name) for name, agg in (before or {}).items()],
-        *[agg.over(whole).alias(name) for name, agg in (overall or {}).items()],
+    key = ", ".join(keys)
+    earlier = f"over (partition by {key} order by {BLOCK} rows between unbounded preceding and 1 preceding)"
+    blocked = df.selectExpr("*", f"shiftright({seq}, {bits}) as {BLOCK}")
+    table = blocked.groupBy(*keys, BLOCK).agg(*[F.expr(p) for p in _named(partials)])
+    carry = table.selectExpr(
+        *keys, BLOCK, *_named(before, earlier), *_named(overall, f"over (partition by {key})")
     )
     return blocked.join(carry, [*keys, BLOCK])
 
 
-def in_block(keys: list[str], seq: str):
-    return Window.partitionBy(*keys, BLOCK).orderBy(seq)
+def in_block(keys: list[str], seq: str) -> str:
+    """Window over the rows of a block, for SQL."""
+    return f"partition by {', '.join(keys)}, {BLOCK} order by {seq}"
+
+
+def _without(df: DataFrame, *helpers: str) -> list[str]:
+    return [f"`{c}`" for c in df.columns if c not in helpers]
 
 
 def number_rows(
     df: DataFrame, keys: list[str], seq: str, name: str = "n", *, start: int = 0, bits: int = BLOCK_BITS
 ) -> DataFrame:
     """Dense numbers ``start + 1, start + 2, ...`` per key in ``seq`` order."""
-    carried = with_prefix(
-        df, keys, seq, partials={"_rows": F.count(F.lit(1))}, before={"_base": F.sum("_rows")}, bits=bits
+    carried = with_prefix(df, keys, seq, partials={"_rows": "count(1)"}, before={"_base": "sum(_rows)"}, bits=bits)
+    place = f"row_number() over ({in_block(keys, seq)})"
+    return carried.selectExpr(
+        *_without(carried, BLOCK, "_base"), f"cast({place} + coalesce(_base, 0) + {start} as bigint) as {name}"
     )
-    number = F.row_number().over(in_block(keys, seq)) + F.coalesce("_base", F.lit(0)) + F.lit(start)
-    return carried.withColumn(name, number.cast("long")).drop(BLOCK, "_base")
 
 
 def running_sum(
     df: DataFrame, keys: list[str], seq: str, value: str, name: str, *, bits: int = BLOCK_BITS
 ) -> DataFrame:
     """Sum of ``value`` from the first row of the key up to and including each row."""
-    carried = with_prefix(df, keys, seq, partials={"_sum": F.sum(value)}, before={"_base": F.sum("_sum")}, bits=bits)
-    upto = in_block(keys, seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = F.coalesce(F.sum(value).over(upto), F.lit(0)) + F.coalesce("_base", F.lit(0))
-    return carried.withColumn(name, total).drop(BLOCK, "_base")
+    carried = with_prefix(
+        df, keys, seq, partials={"_sum": f"sum({value})"}, before={"_base": "sum(_sum)"}, bits=bits
+    )
+    upto = f"sum({value}) over ({in_block(keys, seq)} rows between unbounded preceding and current row)"
+    return carried.selectExpr(
+        *_without(carried, BLOCK, "_base"), f"coalesce({upto}, 0) + coalesce(_base, 0) as {name}"
+    )
 
 
 def previous_value(
@@ -78,12 +87,11 @@ def previous_value(
 ) -> DataFrame:
     """``value`` of the preceding row of the key; null on its first row."""
     carried = with_prefix(
-        df, keys, seq, partials={"_last": F.max_by(value, seq)}, before={"_carry": F.last("_last")}, bits=bits
+        df, keys, seq, partials={"_last": f"max_by({value}, {seq})"}, before={"_carry": "last(_last)"}, bits=bits
     )
-    within = in_block(keys, seq)
-    first = F.row_number().over(within) == 1
-    previous = F.when(first, F.col("_carry")).otherwise(F.lag(value).over(within))
-    return carried.withColumn(name, previous).drop(BLOCK, "_carry")
+    within = f"over ({in_block(keys, seq)})"
+    previous = f"if(row_number() {within} = 1, _carry, lag({value}) {within})"
+    return carried.selectExpr(*_without(carried, BLOCK, "_carry"), f"{previous} as {name}")
 
 
 def number_by_range(
@@ -94,10 +102,22 @@ def number_by_range(
     Rows are range-partitioned by key and order, so a large key spreads over several slices.
     Range bounds are sampled, hence the slices are written once before they are counted.
     """
-    sliced = settle(df.repartitionByRange(slices, *keys, *order).withColumn(BLOCK, F.spark_partition_id()))
-    earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    counts = sliced.groupBy(*keys, BLOCK).agg(F.count(F.lit(1)).alias("_rows"))
-    base = counts.select(*keys, BLOCK, F.sum("_rows").over(earlier).alias("_base"))
-    within = Window.partitionBy(*keys, BLOCK).orderBy(*order)
-    number = F.row_number().over(within) + F.coalesce("_base", F.lit(0)) + F.lit(start)
-    return sliced.join(base, [*keys, BLOCK]).withColumn(name, number.cast("long")).drop(BLOCK, "_base")
+    sliced = settle(
+        df.repartitionByRange(slices, *keys, *order).selectExpr("*", f"spark_partition_id() as {BLOCK}")
+    )
+    key = ", ".join(keys)
+    base = (
+        sliced.groupBy(*keys, BLOCK)
+        .agg(F.expr("count(1) as _rows"))
+        .selectExpr(
+            *keys,
+            BLOCK,
+            f"""sum(_rows) over (partition by {key} order by {BLOCK}
+                rows between unbounded preceding and 1 preceding) as _base""",
+        )
+    )
+    carried = sliced.join(base, [*keys, BLOCK])
+    place = f"row_number() over (partition by {key}, {BLOCK} order by {', '.join(order)})"
+    return carried.selectExpr(
+        *_without(carried, BLOCK, "_base"), f"cast({place} + coalesce(_base, 0) + {start} as bigint) as {name}"
+    )

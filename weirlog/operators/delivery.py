@@ -2,91 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from weirlog.functions.identity import document_id, sender_key
 from weirlog.functions.unions import tagged
+from weirlog.operators.envelope import decode
 from weirlog.schemas import (
     DELIVERY_ACCEPTED,
+    EVENT,
     EVENT_MSG_DELIVERY,
     EVENT_WIDE,
-    EVENT,
     REQUEST,
     REQUEST_MSG_REQ,
     REQUEST_WIDE,
 )
-from weirlog.operators.envelope import decode, flag
 
 REQUEST_NANOS = ["tsNanos", "msgReq.msg.tsNanos"]
 EVENT_NANOS = ["tsNanos", "msgDelivery.req.msg.tsNanos"]
 
 
-def wrap_request(req: Column, nanos: Column) -> Column:
+def wrap_request(req: str, nanos: str) -> str:
     """Request envelope. Pass the log time as ``nanos`` so that a replay gives the same bytes."""
-    return tagged(REQUEST_MSG_REQ, "msgReq", req, tsNanos=nanos)
+    return tagged(REQUEST_MSG_REQ, ("msgReq", req), nanos)
 
 
-def response(req: Column) -> Column:
+def response(req: str) -> str:
     """Answer to a request; the error fields are never set."""
-    return F.struct(
-        req["id"].alias("id"),
-        req["app"].alias("app"),
-        req["session"].alias("session"),
-        F.lit(0).alias("errCode"),
-        F.lit("").alias("errMsg"),
-    )
+    return f"""named_struct('id', {req}.id, 'app', {req}.app, 'session', {req}.session,
+        'errCode', 0, 'errMsg', '')"""
 
 
-def accepted_event(req: Column) -> Column:
+def accepted_event(req: str) -> str:
     """Delivery event with one report: accepted for the first recipient. Its time stays 0."""
-    report = F.struct(
-        req["from"].alias("from"),
-        F.get(req["to"], F.lit(0)).alias("to"),
-        F.struct(F.lit(DELIVERY_ACCEPTED).alias("code")).alias("stat"),
-    )
-    delivery = F.struct(req.alias("req"), F.array(report).alias("report"))
-    return tagged(EVENT_MSG_DELIVERY, "msgDelivery", delivery, tsNanos=F.lit(0).cast("long"))
-
-
-def request_problem(req: Column) -> Column:
-    """Why a request cannot be delivered, or null."""
-    first = F.get(req["to"], F.lit(0))
-    return (
-        F.when(req.isNull(), "payload_missing")
-        .when(first.isNull(), "no_recipient")
-        .when(document_id(req).isNull(), "no_document_id")
-    )
+    report = f"""named_struct('from', {req}.`from`, 'to', get({req}.to, 0),
+        'stat', named_struct('code', {DELIVERY_ACCEPTED}))"""
+    return tagged(EVENT_MSG_DELIVERY, ("msgDelivery", f"named_struct('req', {req}, 'report', array({report}))"), "0")
 
 
 def requests(log: DataFrame) -> DataFrame:
-    """Decoded request rows. Other request types pass with no event and no problem."""
-    rows = decode(log, REQUEST, REQUEST_WIDE, REQUEST_NANOS)
-    is_request = F.col("data.type") == REQUEST_MSG_REQ
-    return flag(rows, F.when(is_request, request_problem(F.col("data.msgReq"))))
+    """Decoded request rows. Other request types pass, with no event to come and no problem."""
+    problem = f"""case when data.type = {REQUEST_MSG_REQ} then
+        case when data.msgReq is null then 'payload_missing'
+             when get(data.msgReq.to, 0) is null then 'no_recipient'
+             when {document_id('data.msgReq')} is null then 'no_document_id' end end"""
+    return decode(log, REQUEST, REQUEST_WIDE, REQUEST_NANOS, problem)
 
 
 def accept(rows: DataFrame) -> DataFrame:
     """Events for decoded, problem-free request rows, keyed by sender, at their source offsets."""
-    req = F.col("data.msgReq")
-    return rows.where(F.col("data.type") == REQUEST_MSG_REQ).select(
+    return rows.where(f"data.type = {REQUEST_MSG_REQ}").selectExpr(
         "topic",
         "partition",
         "offset",
         "timestamp",
-        sender_key(req["from"]).alias("sender"),
-        accepted_event(req).alias("event"),
+        f"{sender_key('data.msgReq.`from`')} as sender",
+        f"{accepted_event('data.msgReq')} as event",
     )
 
 
 def delivery_events(log: DataFrame) -> DataFrame:
     """Decoded event rows; events that are not deliveries are set aside."""
-    rows = decode(log, EVENT, EVENT_WIDE, EVENT_NANOS)
-    kind = F.col("data.type")
-    req = F.col("data.msgDelivery.req")
-    return flag(
-        rows,
-        F.when(kind.isNull() | (kind != EVENT_MSG_DELIVERY), "unknown_type")
-        .when(req.isNull(), "payload_missing")
-        .when(document_id(req).isNull(), "no_document_id"),
-    )
+    problem = f"""case when data.type is null or data.type <> {EVENT_MSG_DELIVERY} then 'unknown_type'
+        when data.msgDelivery.req is null then 'payload_missing'
+        when {document_id('data.msgDelivery.req')} is null then 'no_document_id' end"""
+    return decode(log, EVENT, EVENT_WIDE, EVENT_NANOS, problem)

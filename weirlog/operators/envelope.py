@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,75 +10,73 @@ CORRUPT = "_corrupt"
 LONG_MAX = 2**63 - 1
 
 
-def parse_json(text: Column, schema: T.StructType) -> Column:
-    """Struct of ``schema`` plus a corrupt-record field that is null when the text fits."""
+def parse_json(text: str, schema: T.StructType) -> str:
+    """SQL for a struct of ``schema`` plus a corrupt-record field that is null when the text fits."""
     checked = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    return F.from_json(text, checked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    options = f"map('mode', 'PERMISSIVE', 'columnNameOfCorruptRecord', '{CORRUPT}')"
+    return f"from_json({text}, '{checked.simpleString()}', {options})"
 
 
-def parse_problem(
-    text: Column, parsed: Column, wide: T.StructType | None = None, nanos: list[str] | None = None
-) -> Column:
+def compute_once(rows: DataFrame, name: str, value: str) -> DataFrame:
+    """Add an expensive column that is evaluated once per row.
+
+    Filters on it would otherwise be pushed below it, each with its own copy of the expression.
+    They stop at a generator, here one that gives back a single element.
+    """
+    return rows.selectExpr("*", f"explode(array({value})) as {name}")
+
+
+def parse_problem(text: str, parsed: str, wide: T.StructType | None = None, nanos: list[str] | None = None) -> str:
     """Null for a record that decoded, otherwise why it did not.
 
     ``wide`` is the schema with decimal nanosecond fields and ``nanos`` their paths. It is
     consulted for corrupt records only.
     """
-    damaged = parsed.isNull() | parsed[CORRUPT].isNotNull()
-    reason = F.lit("undecodable")
+    reason = "'undecodable'"
     if wide is not None:
         again = parse_json(text, wide)
-        over = F.lit(False)
-        for path in nanos or []:
-            field = again
-            for step in path.split("."):
-                field = field[step]
-            over = over | F.coalesce(field > F.lit(LONG_MAX), F.lit(False))
-        reason = F.when(again[CORRUPT].isNull() & over, "ts_out_of_range").otherwise(reason)
-    return F.when(text.isNull(), "null_record").when(damaged, reason)
+        over = " or ".join(f"coalesce({again}.{path} > {LONG_MAX}, false)" for path in nanos or [])
+        reason = f"if({again}.{CORRUPT} is null and ({over}), 'ts_out_of_range', {reason})"
+    return f"""case when {text} is null then 'null_record'
+        when {parsed} is null or {parsed}.{CORRUPT} is not null then {reason} end"""
 
 
 def decode(
-    log: DataFrame, schema: T.StructType, wide: T.StructType | None = None, nanos: list[str] | None = None
+    log: DataFrame,
+    schema: T.StructType,
+    wide: T.StructType | None = None,
+    nanos: list[str] | None = None,
+    problem: str | None = None,
 ) -> DataFrame:
-    """Add ``data`` (the record) and ``problem`` (null when it decoded) to log rows."""
-    text = F.col("value").cast("string")
-    parsed = log.withColumn("_text", text).withColumn("data", parse_json(F.col("_text"), schema))
-    return (
-        parsed.withColumn("problem", parse_problem(F.col("_text"), F.col("data"), wide, nanos))
-        .withColumn("data", F.when(F.col("problem").isNull(), F.struct(*[F.col(f"data.`{n}`") for n in schema.names])))
-        .drop("_text")
-    )
+    """Add ``data`` (the record) and ``problem`` (null when it is good) to log rows.
+
+    ``problem`` is SQL over ``data`` for what may be wrong with a record that decoded.
+    """
+    rows = compute_once(log.selectExpr("*", "cast(value as string) as _text"), "data", parse_json("_text", schema))
+    reason = parse_problem("_text", "data", wide, nanos)
+    if problem is not None:
+        reason = f"coalesce({reason}, {problem})"
+    return rows.selectExpr(*log.columns, "data", f"{reason} as problem")
 
 
 def decode_protobuf(log: DataFrame, message: str, descriptor_file: str) -> DataFrame:
     """As ``decode`` for protobuf values; needs the spark-protobuf package on the cluster."""
     from pyspark.sql.protobuf.functions import from_protobuf
 
-    record = from_protobuf(F.col("value"), message, descriptor_file, {"mode": "PERMISSIVE"})
-    problem = F.when(F.col("value").isNull(), "null_record").when(F.col("data").isNull(), "undecodable")
-    return log.withColumn("data", record).withColumn("problem", problem)
-
-
-def flag(rows: DataFrame, reason: Column) -> DataFrame:
-    """Set ``problem`` on rows that have none yet."""
-    return rows.withColumn("problem", F.coalesce("problem", reason))
+    rows = log.withColumn("data", from_protobuf("value", message, descriptor_file, {"mode": "PERMISSIVE"}))
+    return rows.selectExpr(
+        "*", "case when value is null then 'null_record' when data is null then 'undecodable' end as problem"
+    )
 
 
 def good(rows: DataFrame) -> DataFrame:
-    return rows.where(F.col("problem").isNull()).drop("problem")
+    return rows.where("problem is null").drop("problem")
 
 
 def quarantine(rows: DataFrame) -> DataFrame:
     """Bad rows as hex dumps with their reason. Null records are skipped, not set aside."""
-    bad = rows.where(F.col("problem").isNotNull() & (F.col("problem") != "null_record"))
-    return bad.select(
-        "topic",
-        "partition",
-        "offset",
-        F.hex("key").alias("key_hex"),
-        F.hex("value").alias("value_hex"),
-        F.col("problem").alias("reason"),
+    return rows.where("problem <> 'null_record'").selectExpr(
+        "topic", "partition", "offset", "hex(key) as key_hex", "hex(value) as value_hex", "problem as reason"
     )
 
 
@@ -89,9 +87,9 @@ def confirmed(rows: DataFrame) -> DataFrame:
 
 def of_type(rows: DataFrame, code: int) -> DataFrame:
     """Rows whose record carries the given tag."""
-    return rows.where(F.col("data.type") == code)
+    return rows.where(f"data.type = {code}")
 
 
 def type_counts(rows: DataFrame) -> DataFrame:
     """How many records carry each tag, per topic."""
-    return rows.groupBy("topic", F.col("data.type").alias("type")).agg(F.count(F.lit(1)).alias("records"))
+    return rows.groupBy("topic", F.col("data.type").alias("type")).agg(F.expr("count(1) as records"))

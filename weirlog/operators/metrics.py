@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirlog.operators.blocks import BLOCK, BLOCK_BITS, in_block, running_sum, with_prefix
+from weirlog.operators.blocks import BLOCK_BITS, in_block, running_sum, with_prefix
 
 
 def pending_gate(
@@ -13,34 +13,29 @@ def pending_gate(
 ) -> DataFrame:
     """Pending work after each step and whether more may be taken: not above the limit."""
     pending = running_sum(rows, keys, seq, delta, "pending", bits=bits)
-    return pending.withColumn("ready", F.col("pending") <= max_pending)
+    return pending.selectExpr("*", f"pending <= {max_pending} as ready")
 
 
-def sink_totals(rows: DataFrame, **flags: Column) -> DataFrame:
-    """Rows per topic for which each flag holds."""
-    return rows.groupBy("topic").agg(*[F.count_if(flag).alias(name) for name, flag in flags.items()])
+def sink_totals(rows: DataFrame, **conditions: str) -> DataFrame:
+    """Rows per topic for which each condition holds."""
+    return rows.groupBy("topic").agg(*[F.expr(f"count_if({sql}) as {name}") for name, sql in conditions.items()])
 
 
 def latency_stats(rows: DataFrame, sent: str, received: str) -> DataFrame:
     """Count, total and mean of ``received - sent`` per partition, in the unit of the inputs."""
-    spent = F.col(received) - F.col(sent)
+    spent = f"{received} - {sent}"
     totals = rows.groupBy("topic", "partition").agg(
-        F.count(F.lit(1)).alias("messages"), F.sum(spent).alias("total_latency")
+        F.expr("count(1) as messages"), F.expr(f"sum({spent}) as total_latency")
     )
-    return totals.withColumn("mean_latency", F.col("total_latency").cast("double") / F.col("messages"))
+    return totals.selectExpr("*", "cast(total_latency as double) / messages as mean_latency")
 
 
-def checkpoint_step(total: Column) -> Column:
+def checkpoint_step(total: str) -> str:
     """Distance between throughput reports: a power of ten, at least 10, that cuts the total into
     at most 100 parts, then doubled until there are at most 20."""
-    digits = F.length((F.greatest(total, F.lit(1)) - 1).cast("string"))
-    tens = F.pow(F.lit(10), F.greatest(digits - 2, F.lit(1))).cast("long")
-    return (
-        F.when(tens * 20 >= total, tens)
-        .when(tens * 40 >= total, tens * 2)
-        .when(tens * 80 >= total, tens * 4)
-        .otherwise(tens * 8)
-    )
+    tens = f"cast(pow(10, greatest(length(cast(greatest({total}, 1) - 1 as string)) - 2, 1)) as bigint)"
+    return f"""case when {tens} * 20 >= {total} then {tens} when {tens} * 40 >= {total} then {tens} * 2
+        when {tens} * 80 >= {total} then {tens} * 4 else {tens} * 8 end"""
 
 
 def throughput_checkpoints(rows: DataFrame, seq: str, micros: str, bits: int = BLOCK_BITS) -> DataFrame:
@@ -50,17 +45,15 @@ def throughput_checkpoints(rows: DataFrame, seq: str, micros: str, bits: int = B
         rows,
         keys,
         seq,
-        partials={"_rows": F.count(F.lit(1)), "_start": F.min(micros)},
-        before={"_base": F.sum("_rows")},
-        overall={"_total": F.sum("_rows"), "_began": F.min("_start")},
+        partials={"_rows": "count(1)", "_start": f"min({micros})"},
+        before={"_base": "sum(_rows)"},
+        overall={"_total": "sum(_rows)", "_began": "min(_start)"},
         bits=bits,
     )
-    so_far = F.row_number().over(in_block(keys, seq)) + F.coalesce("_base", F.lit(0))
-    reports = (
-        carried.withColumn("messages", so_far.cast("long"))
-        .withColumn("step", checkpoint_step(F.col("_total")))
-        .where(F.pmod("messages", "step") == 0)
-        .withColumn("elapsed_us", F.col(micros) - F.col("_began"))
+    so_far = f"cast(row_number() over ({in_block(keys, seq)}) + coalesce(_base, 0) as bigint)"
+    reports = carried.selectExpr(
+        "topic", f"{so_far} as messages", f"{checkpoint_step('_total')} as step", f"{micros} - _began as elapsed_us"
+    ).where("messages % step = 0")
+    return reports.selectExpr(
+        "topic", "step", "messages", "elapsed_us", "messages * 1000000D / nullif(elapsed_us, 0) as per_second"
     )
-    rate = F.col("messages") * 1_000_000.0 / F.nullif(F.col("elapsed_us"), F.lit(0))
-    return reports.select("topic", "step", "messages", "elapsed_us", rate.alias("per_second"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirlog.operators.blocks import BLOCK, BLOCK_BITS, number_rows, with_prefix
@@ -17,37 +17,35 @@ from weirlog.operators.blocks import BLOCK, BLOCK_BITS, number_rows, with_prefix
 SAVE_SLICE = 1000
 SEND_BATCH = 100
 
+# Failed rows leave the queue before new ones; other states are not in the queue.
+_RANK = "case state when 'failed' then 0 when 'new' then 1 end as rank"
+
 
 def enqueue_ids(rows: DataFrame, arrival: str, last_id: int = 0, bits: int = BLOCK_BITS) -> DataFrame:
     """Ids per topic in arrival order, continuing after ``last_id``."""
     return number_rows(rows, ["topic"], arrival, "enqueue_id", start=last_id, bits=bits)
 
 
-def slice_of(number: Column, size: int) -> Column:
-    """Zero-based slice of a one-based dense number."""
-    return F.call_function("div", number - 1, F.lit(size))
-
-
-def _waiting(outbox: DataFrame) -> DataFrame:
-    """Rows in the queue, failed ones ranked before new ones."""
-    rank = F.when(F.col("state") == "failed", 0).when(F.col("state") == "new", 1)
-    return outbox.withColumn("rank", rank).where(F.col("rank").isNotNull())
+def slice_of(number: str, size: int) -> str:
+    """SQL for the zero-based slice of a one-based dense number."""
+    return f"({number} - 1) div {size}"
 
 
 def drain_order(outbox: DataFrame, size: int = SEND_BATCH, bits: int = BLOCK_BITS) -> DataFrame:
     """Failed rows first, then new ones, each by id. Batches are numbered per state, so that no
     batch mixes the two. Read in the order ``topic, rank, place``."""
-    placed = number_rows(_waiting(outbox), ["topic", "rank"], "id", "place", bits=bits)
-    return placed.withColumn("batch_no", slice_of(F.col("place"), size))
+    waiting = outbox.selectExpr("*", _RANK).where("rank is not null")
+    placed = number_rows(waiting, ["topic", "rank"], "id", "place", bits=bits)
+    return placed.selectExpr("*", f"{slice_of('place', size)} as batch_no")
 
 
 def drain_head(outbox: DataFrame, count: int) -> DataFrame:
     """The next batch of each topic: up to ``count`` rows, all failed or all new."""
-    queue = Window.partitionBy("topic").orderBy("rank", "id")
+    waiting = outbox.selectExpr("*", _RANK).where("rank is not null")
     # a bare row_number filter lets Spark cut each map task to `count` rows before the shuffle
-    head = _waiting(outbox).withColumn("place", F.row_number().over(queue)).where(F.col("place") <= count)
-    leading = F.min("rank").over(Window.partitionBy("topic"))
-    return head.withColumn("_leading", leading).where(F.col("rank") == F.col("_leading")).drop("_leading")
+    head = waiting.selectExpr("*", "row_number() over (partition by topic order by rank, id) as place")
+    head = head.where(f"place <= {count}").selectExpr("*", "min(rank) over (partition by topic) as _leading")
+    return head.where("rank = _leading").drop("_leading")
 
 
 def unconfirmed(sends: DataFrame, acks: DataFrame) -> DataFrame:
@@ -64,32 +62,32 @@ def retry_set(**parts: DataFrame) -> DataFrame:
     """Rows to queue again, each once. Parts are named by reason; where a row is in several, the
     part given first names it."""
     labelled = [
-        part.withColumn("_reason", F.struct(F.lit(place).alias("place"), F.lit(name).alias("reason")))
+        part.selectExpr("*", f"named_struct('place', {place}, 'reason', '{name}') as _reason")
         for place, (name, part) in enumerate(parts.items())
     ]
     union = reduce(lambda a, b: a.unionByName(b), labelled)
     rest = [c for c in union.columns if c not in ("id", "_reason")]
     once = union.groupBy("id").agg(
-        F.min("_reason").getField("reason").alias("reason"), *[F.any_value(c).alias(c) for c in rest]
+        F.expr("min(_reason).reason as reason"), *[F.expr(f"any_value(`{c}`) as `{c}`") for c in rest]
     )
     return once.select("id", *rest, "reason")
 
 
 def remaining_after_failure(
-    rows: DataFrame, keys: list[str], seq: str, slice_no: str, failed: Column, bits: int = BLOCK_BITS
+    rows: DataFrame, keys: list[str], seq: str, slice_no: str, failed: str, bits: int = BLOCK_BITS
 ) -> DataFrame:
     """Rows of the first failing slice of each key and of every later slice."""
     marked = with_prefix(
         rows,
         keys,
         seq,
-        partials={"_failed": F.min(F.when(failed, F.col(slice_no)))},
-        overall={"first_failed": F.min("_failed")},
+        partials={"_failed": f"min(if({failed}, {slice_no}, null))"},
+        overall={"first_failed": "min(_failed)"},
         bits=bits,
     )
-    return marked.where(F.col(slice_no) >= F.col("first_failed")).drop(BLOCK)
+    return marked.where(f"{slice_no} >= first_failed").drop(BLOCK)
 
 
 def backlog_depth(outbox: DataFrame) -> DataFrame:
     """Rows per topic and state."""
-    return outbox.groupBy("topic", "state").agg(F.count(F.lit(1)).alias("messages"))
+    return outbox.groupBy("topic", "state").agg(F.expr("count(1) as messages"))

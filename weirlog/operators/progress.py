@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirlog.operators.blocks import previous_value
@@ -16,7 +16,7 @@ LATEST = -1
 
 def partition_ranges(log: DataFrame) -> DataFrame:
     """Oldest offset and next offset (exclusive end) of each partition."""
-    return log.groupBy(*PARTITION).agg(F.min("offset").alias("oldest"), (F.max("offset") + 1).alias("newest"))
+    return log.groupBy(*PARTITION).agg(F.expr("min(offset) as oldest"), F.expr("max(offset) + 1 as newest"))
 
 
 def resume_offsets(ranges: DataFrame, saved: DataFrame, strict: bool = False) -> DataFrame:
@@ -26,39 +26,22 @@ def resume_offsets(ranges: DataFrame, saved: DataFrame, strict: bool = False) ->
     saved offset are no longer in the log. By default a saved offset of 0 is never a problem and
     one just before the oldest row is; ``strict`` reports exactly the cases that lose rows.
     """
-    known = ranges.join(saved, PARTITION, "left").withColumn("saved", F.coalesce("saved", F.lit(-1).cast("long")))
-    oldest, newest, at = F.col("oldest"), F.col("newest"), F.col("saved")
-    lost = (at >= 0) & (at < oldest - 1) if strict else (at > 0) & (at < oldest)
-    case = (
-        F.when(newest <= 0, "empty")
-        .when(at < 0, "unsaved")
-        .when(lost, "lost")
-        .when(at + 1 >= newest, "done")
-        .otherwise("next")
+    lost = "saved >= 0 and saved < oldest - 1" if strict else "saved > 0 and saved < oldest"
+    case = f"""case when newest <= 0 then 'empty' when saved < 0 then 'unsaved' when {lost} then 'lost'
+        when saved + 1 >= newest then 'done' else 'next' end"""
+    known = ranges.join(saved, PARTITION, "left").selectExpr(
+        *PARTITION, "oldest", "newest", "coalesce(saved, -1L) as saved"
     )
-    zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
-    known = known.withColumn("_case", case)
-
-    def pick(**by_case: Column) -> Column:
-        result = F
-        for name, value in by_case.items():
-            result = result.when(F.col("_case") == name, value)
-        return result
-
-    return known.select(
+    return known.selectExpr("*", f"{case} as _case").selectExpr(
         *PARTITION,
         "oldest",
         "newest",
         "saved",
-        pick(empty=zero, unsaved=oldest, lost=none, done=newest, next=at + 1).alias("first_offset"),
-        pick(
-            empty=F.lit(EARLIEST).cast("long"),
-            unsaved=F.lit(EARLIEST).cast("long"),
-            lost=none,
-            done=F.lit(LATEST).cast("long"),
-            next=at + 1,
-        ).alias("start"),
-        F.when(F.col("_case") == "lost", "rows_lost").alias("problem"),
+        """case _case when 'empty' then 0L when 'unsaved' then oldest when 'done' then newest
+           when 'next' then saved + 1 end as first_offset""",
+        f"""case when _case in ('empty', 'unsaved') then {EARLIEST}L when _case = 'done' then {LATEST}L
+            when _case = 'next' then saved + 1 end as start""",
+        "if(_case = 'lost', 'rows_lost', null) as problem",
     )
 
 
@@ -67,11 +50,10 @@ def starting_offsets(resume: DataFrame) -> DataFrame:
 
     There is one entry per topic partition, the same list a Kafka source plans with.
     """
-    start = F.struct(F.col("partition").cast("string"), F.col("start"))
-    per_topic = resume.groupBy("topic").agg(F.map_from_entries(F.array_sort(F.collect_list(start))).alias("starts"))
-    entry = F.concat(F.lit('"'), "topic", F.lit('":'), F.to_json("starts"))
-    entries = F.array_join(F.array_sort(F.collect_list(entry)), ",")
-    return per_topic.agg(F.concat(F.lit("{"), entries, F.lit("}")).alias("starting_offsets"))
+    starts = "map_from_entries(array_sort(collect_list(struct(cast(partition as string), start))))"
+    per_topic = resume.groupBy("topic").agg(F.expr(f"to_json({starts}) as starts"))
+    entries = """array_join(array_sort(collect_list(concat('"', topic, '":', starts))), ',')"""
+    return per_topic.agg(F.expr(f"concat('{{', {entries}, '}}') as starting_offsets"))
 
 
 # --- contiguous frontier -------------------------------------------------------------------
@@ -81,87 +63,80 @@ def starting_offsets(resume: DataFrame) -> DataFrame:
 # first gap is then found inside blocks of words, and after that over the blocks. Positions are
 # offsets plus one, which makes room for the seed -1 of an unread log.
 
-WORD_BITS = 6
 BLOCK_WORD_BITS = 14
-FULL = -1
-
-
-def _word(position: Column) -> Column:
-    return F.shiftright(position, WORD_BITS)
-
-
-def _place(position: Column) -> Column:
-    return position.bitwiseAND(F.lit(63)).cast("int")
-
-
-def _zero() -> Column:
-    return F.lit(0).cast("long")
 
 
 def confirmed_words(confirmed: DataFrame) -> DataFrame:
     """Masks of confirmed offsets: ``topic, partition, word, mask``."""
-    position = F.col("offset") + 1
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), _place(position))
     return (
-        confirmed.where(F.col("offset") >= 0)
-        .select(*PARTITION, _word(position).alias("word"), bit.alias("mask"))
+        confirmed.where("offset >= 0")
+        .selectExpr(
+            *PARTITION, "shiftright(offset + 1, 6) as word", "shiftleft(1L, cast((offset + 1) & 63 as int)) as mask"
+        )
         .groupBy(*PARTITION, "word")
-        .agg(F.bit_or("mask").alias("mask"))
+        .agg(F.expr("bit_or(mask) as mask"))
     )
 
 
 def _seed_words(seeds: DataFrame) -> DataFrame:
     """A mask per seed that counts every offset up to and including it as confirmed."""
-    position = F.greatest(F.col("frontier"), F.lit(-1)) + 1
-    ones = F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), F.lit(63) - _place(position))
-    return seeds.select(*PARTITION, _word(position).alias("word"), ones.alias("mask"), F.lit(1).alias("seed"))
+    at = seeds.selectExpr(*PARTITION, "greatest(frontier, -1L) + 1 as position")
+    return at.selectExpr(
+        *PARTITION,
+        "shiftright(position, 6) as word",
+        "shiftrightunsigned(-1L, 63 - cast(position & 63 as int)) as mask",
+        "1 as seed",
+    )
 
 
 def _scan(words: DataFrame, seeds: DataFrame, block_bits: int) -> DataFrame:
     """Per block: the first position not confirmed (the block's end when there is none)."""
-    rows = words.select(*PARTITION, "word", "mask", F.lit(0).alias("seed")).unionByName(_seed_words(seeds))
-    merged = rows.groupBy(*PARTITION, "word").agg(F.bit_or("mask").alias("mask"), F.max("seed").alias("seed"))
-    merged = merged.withColumn("mask", F.when(F.col("word") == 0, F.col("mask").bitwiseOR(F.lit(1))).otherwise(F.col("mask")))
-    merged = merged.withColumn("block", F.shiftright("word", block_bits))
-
-    group = Window.partitionBy(*PARTITION, "block")
-    ordered = group.orderBy("word")
-    started = F.max("seed").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    kept = merged.withColumns({"seeded": F.max("seed").over(group), "started": started}).where(
-        (F.col("seeded") == 0) | (F.col("started") == 1)
+    rows = words.selectExpr(*PARTITION, "word", "mask", "0 as seed").unionByName(_seed_words(seeds))
+    merged = rows.groupBy(*PARTITION, "word").agg(F.expr("bit_or(mask) as mask"), F.expr("max(seed) as seed"))
+    group = "partition by topic, partition, block"
+    flagged = merged.selectExpr(
+        *PARTITION, "word", "if(word = 0, mask | 1L, mask) as mask", "seed", f"shiftright(word, {block_bits}) as block"
+    ).selectExpr(
+        "*",
+        f"max(seed) over ({group}) as seeded",
+        f"max(seed) over ({group} order by word rows between unbounded preceding and current row) as started",
     )
-    start = F.when(F.col("seeded") == 1, F.min("word").over(group)).otherwise(
-        F.call_function("shiftleft", F.col("block"), F.lit(block_bits))
+    # words before the seed do not matter
+    kept = flagged.where("seeded = 0 or started = 1").selectExpr(
+        "*",
+        f"""if(seeded = 1, min(word) over ({group}), shiftleft(block, {block_bits}))
+            + row_number() over ({group} order by word) - 1 as expected""",
     )
-    expected = F.col("start") + F.row_number().over(ordered) - 1
-    # trailing ones of a mask that is not full
-    ones = F.coalesce(F.bit_count(F.col("mask").bitwiseXOR(F.try_add(F.col("mask"), F.lit(1)))) - 1, F.lit(63))
-    gap = F.when(F.col("word") != F.col("expected"), F.col("expected") * 64).when(
-        F.col("mask") != FULL, F.col("word") * 64 + ones
-    )
-    placed = kept.withColumn("start", start).withColumn("expected", expected).withColumn("gap", gap)
-    return placed.groupBy(*PARTITION, "block").agg(
-        F.coalesce(F.min("gap"), (F.min("start") + F.count(F.lit(1))) * 64).alias("open"),
-        F.max("seeded").alias("seeded"),
+    # a mask that is not full opens after its trailing ones
+    ones = "coalesce(bit_count(mask ^ try_add(mask, 1L)) - 1, 63)"
+    gap = f"case when word <> expected then expected * 64 when mask <> -1 then word * 64 + {ones} end"
+    return (
+        kept.selectExpr(*PARTITION, "block", "seeded", "expected", f"{gap} as gap")
+        .groupBy(*PARTITION, "block")
+        .agg(F.expr("coalesce(min(gap), (max(expected) + 1) * 64) as open"), F.expr("max(seeded) as seeded"))
     )
 
 
 def _frontiers(blocks: DataFrame, block_bits: int) -> DataFrame:
     size = 64 << block_bits
-    whole = Window.partitionBy(*PARTITION)
-    ordered = whole.orderBy("block")
-    started = F.max("seeded").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    kept = blocks.withColumns({"any_seed": F.max("seeded").over(whole), "started": started}).where(
-        (F.col("any_seed") == 0) | (F.col("started") == 1)
+    whole = "partition by topic, partition"
+    kept = blocks.selectExpr(
+        "*",
+        f"max(seeded) over ({whole}) as any_seed",
+        f"max(seeded) over ({whole} order by block rows between unbounded preceding and current row) as started",
+    ).where("any_seed = 0 or started = 1")
+    placed = kept.selectExpr(
+        "*",
+        f"""if(any_seed = 1, min(block) over ({whole}), 0)
+            + row_number() over ({whole} order by block) - 1 as expected""",
     )
-    start = F.when(F.col("any_seed") == 1, F.min("block").over(whole)).otherwise(_zero())
-    expected = F.col("start") + F.row_number().over(ordered) - 1
-    gap = F.when(F.col("block") != F.col("expected"), F.col("expected") * size).when(
-        F.col("open") < (F.col("block") + 1) * size, F.col("open")
+    gap = f"case when block <> expected then expected * {size} when open < (block + 1) * {size} then open end"
+    first_open = f"coalesce(min(gap), (max(expected) + 1) * {size})"
+    return (
+        placed.selectExpr(*PARTITION, "expected", f"{gap} as gap")
+        .groupBy(*PARTITION)
+        .agg(F.expr(f"greatest({first_open} - 2, -1L) as frontier"))
     )
-    placed = kept.withColumn("start", start).withColumn("expected", expected).withColumn("gap", gap)
-    first_open = F.coalesce(F.min("gap"), (F.min("start") + F.count(F.lit(1))) * size)
-    return placed.groupBy(*PARTITION).agg(F.greatest(first_open - 2, F.lit(-1)).alias("frontier"))
 
 
 def frontier_of_words(words: DataFrame, seeds: DataFrame, block_bits: int = BLOCK_WORD_BITS) -> DataFrame:
@@ -185,37 +160,29 @@ def words_beyond(words: DataFrame, frontiers: DataFrame, block_bits: int = BLOCK
     Frontiers are spread over the blocks of their partition first, so that the join key is as
     fine as the blocks and a single large partition does not end up in one task.
     """
-    blocked = words.withColumn("block", F.shiftright("word", block_bits))
+    blocked = words.selectExpr("*", f"shiftright(word, {block_bits}) as block")
     per_block = blocked.select(*PARTITION, "block").distinct()
-    known = per_block.join(frontiers.select(*PARTITION, "frontier"), PARTITION, "left").withColumn(
-        "frontier", F.coalesce("frontier", F.lit(-1).cast("long"))
+    known = per_block.join(frontiers.select(*PARTITION, "frontier"), PARTITION, "left").selectExpr(
+        *PARTITION, "block", "coalesce(frontier, -1L) as frontier"
     )
     # positions run one ahead of offsets; bits up to the frontier are cleared
-    first = F.col("frontier") + 2
-    low = F.call_function("shiftleft", F.lit(-1).cast("long"), _place(first))
-    mask = (
-        F.when(F.col("word") > _word(first), F.col("mask"))
-        .when(F.col("word") == _word(first), F.col("mask").bitwiseAND(low))
-        .otherwise(_zero())
-    )
+    beyond = """case when word > shiftright(frontier + 2, 6) then mask
+        when word = shiftright(frontier + 2, 6) then mask & shiftleft(-1L, cast((frontier + 2) & 63 as int))
+        else 0L end"""
     return (
         blocked.join(known, [*PARTITION, "block"])
-        .withColumn("mask", mask)
-        .where(F.col("mask") != 0)
-        .select(*PARTITION, "word", "mask", "frontier")
+        .selectExpr(*PARTITION, "word", f"{beyond} as mask", "frontier")
+        .where("mask <> 0")
     )
 
 
 def offsets_of_words(words: DataFrame) -> DataFrame:
     """The offsets a set of masks stands for."""
-    places = F.filter(
-        F.sequence(F.lit(0), F.lit(63)),
-        lambda i: F.call_function("shiftrightunsigned", F.col("mask"), i).bitwiseAND(F.lit(1)) == 1,
-    )
     rest = [c for c in words.columns if c not in (*PARTITION, "word", "mask")]
-    return words.select(
-        *PARTITION, *rest, "word", F.explode(places).alias("_place")
-    ).select(*PARTITION, (F.col("word") * 64 + F.col("_place") - 1).alias("offset"), *rest)
+    places = "filter(sequence(0, 63), i -> shiftrightunsigned(mask, i) & 1L = 1L)"
+    return words.selectExpr(*PARTITION, *rest, "word", f"explode({places}) as _place").selectExpr(
+        *PARTITION, "word * 64 + _place - 1 as offset", *rest
+    )
 
 
 def held_offsets(confirmed: DataFrame, seeds: DataFrame, block_bits: int = BLOCK_WORD_BITS) -> DataFrame:
@@ -229,12 +196,12 @@ def frontier_changes(reports: DataFrame, seq: str, initial: int | None = None) -
     """Reports whose frontier differs from the report before. The first one is compared with
     ``initial``, and kept when that is not given."""
     known = previous_value(reports, PARTITION, seq, "frontier", "previous")
-    before = F.col("previous") if initial is None else F.coalesce("previous", F.lit(initial))
-    return known.where(~F.col("frontier").eqNullSafe(before))
+    before = "previous" if initial is None else f"coalesce(previous, {initial})"
+    return known.where(f"not (frontier <=> {before})")
 
 
 def latest_progress(progress: DataFrame) -> DataFrame:
     """Last saved frontier of each partition from the append-only progress table."""
     return progress.groupBy(*PARTITION).agg(
-        F.max_by("frontier", "batch_id").alias("frontier"), F.max("batch_id").alias("batch_id")
+        F.expr("max_by(frontier, batch_id) as frontier"), F.expr("max(batch_id) as batch_id")
     )

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def route(rows: DataFrame, subscribers: int) -> DataFrame:
     """Subscriber of each row, by offset."""
-    return rows.withColumn("subscriber", F.pmod("offset", F.lit(subscribers)).cast("int"))
+    return rows.selectExpr("*", f"cast(pmod(offset, {subscribers}) as int) as subscriber")
 
 
 def chain(rows: DataFrame, *stages: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -12,10 +12,10 @@ is carried over in a table of one row per document and slice.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirlog.functions.identity import document_id, sender_key
+from weirlog.functions.identity import document_id, given, given_items, month_index, sender_key
 from weirlog.functions.times import month_of
 from weirlog.functions.unions import tagged
 from weirlog.schemas import DOCUMENT_TYPE, STORE_MSG_CREATED
@@ -27,69 +27,64 @@ SEED = "_seed_version"
 SLICE = "_slice"
 
 
-def _changed(fields: list[str]) -> Column:
-    differs = F.lit(False)
-    for name in fields:
-        new, old = F.col(name), F.col(f"_old_{name}")
-        differs = differs | (new.isNotNull() & ~new.eqNullSafe(old))
-    return differs
+def _outcomes(rows: DataFrame, keys: list[str], order: list[str], fields: list[str]) -> DataFrame:
+    """Merge fields and add ``outcome`` and ``_step``, the versions a row adds.
 
-
-def _with_outcomes(rows: DataFrame, keys: list[str], order: list[str], fields: list[str]) -> DataFrame:
-    """Old values, outcome and step; ``_carry_*`` columns hold the state before the group."""
-    ordered = Window.partitionBy(*keys).orderBy(*order)
-    earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    ``_carry_*`` columns, where present, hold the state before the group.
+    """
     carried = "_carry_seen" in rows.columns
+    ordered = f"partition by {', '.join(keys)} order by {', '.join(order)}"
 
-    def old(name: str) -> Column:
-        value = F.last(name, ignorenulls=True).over(earlier)
-        return F.coalesce(value, F.col(f"_carry_{name}")) if carried else value
-
-    first = F.row_number().over(ordered) == 1
-    if carried:
-        first = first & F.col("_carry_seen").isNull()
-    seen = rows.withColumns({**{f"_old_{name}": old(name) for name in fields}, "_first": first})
-    outcome = (
-        F.when(F.col(SEED).isNotNull(), "seed")
-        .when(F.col("_first"), "created")
-        .when(_changed(fields), "updated")
-        .otherwise("noop")
+    def old(name: str) -> str:
+        value = f"last(`{name}`, true) over ({ordered} rows between unbounded preceding and 1 preceding)"
+        return f"coalesce({value}, `_carry_{name}`)" if carried else value
+
+    first = f"row_number() over ({ordered}) = 1" + (" and _carry_seen is null" if carried else "")
+    rest = [f"`{c}`" for c in rows.columns if c not in fields and not c.startswith("_carry_")]
+    seen = rows.selectExpr(
+        *rest, *[f"`{f}`" for f in fields], *[f"{old(f)} as `_old_{f}`" for f in fields], f"{first} as _first"
+    )
+    changed = " or ".join(f"(`{f}` is not null and not (`{f}` <=> `_old_{f}`))" for f in fields)
+    outcome = f"""case when {SEED} is not null then 'seed' when _first then 'created'
+        when {changed} then 'updated' else 'noop' end"""
+    judged = seen.selectExpr(
+        *rest, *[f"coalesce(`{f}`, `_old_{f}`) as `{f}`" for f in fields], f"{outcome} as outcome"
     )
-    step = (
-        F.when(F.col("outcome") == "seed", F.col(SEED))
-        .when(F.col("outcome") == "noop", F.lit(0).cast("long"))
-        .otherwise(F.lit(1).cast("long"))
+    return judged.selectExpr(
+        "*", f"case outcome when 'seed' then {SEED} when 'noop' then 0L else 1L end as _step"
     )
-    return seen.withColumn("outcome", outcome).withColumn("_step", step)
 
 
-def _finish(rows: DataFrame, keys: list[str], order: list[str], fields: list[str], base: Column) -> DataFrame:
-    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("version", F.sum("_step").over(upto) + base)
-    merged = {name: F.coalesce(F.col(name), F.col(f"_old_{name}")) for name in fields}
-    helpers = [c for c in rows.columns if c.startswith(("_old_", "_carry_"))]
-    return rows.where(F.col("outcome") != "seed").withColumns(merged).drop(*helpers, "_first", "_step", SEED)
+def _versions(rows: DataFrame, keys: list[str], order: list[str], base: str = "0L") -> DataFrame:
+    ordered = f"partition by {', '.join(keys)} order by {', '.join(order)}"
+    rest = [f"`{c}`" for c in rows.columns if c not in ("_step", "_base", "_stored", SEED, SLICE)]
+    version = f"sum(_step) over ({ordered} rows between unbounded preceding and current row)"
+    return rows.selectExpr(*rest, f"{version} + {base} as version").where("outcome <> 'seed'")
+
+
+def _fold_whole(rows: DataFrame, key: str, order: list[str], fields: list[str]) -> DataFrame:
+    return _versions(_outcomes(rows, [key], order, fields), [key], order)
 
 
 def _fold_sliced(rows: DataFrame, key: str, order: list[str], fields: list[str], slices: int) -> DataFrame:
-    position = F.struct(*order)
-    sliced = settle(rows.repartitionByRange(slices, key, *order).withColumn(SLICE, F.spark_partition_id()))
+    sliced = settle(rows.repartitionByRange(slices, key, *order).selectExpr("*", f"spark_partition_id() as {SLICE}"))
     keys = [key, SLICE]
-    before = Window.partitionBy(key).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    before = f"over (partition by {key} order by {SLICE} rows between unbounded preceding and 1 preceding)"
+    position = f"struct({', '.join(order)})"
 
     state = sliced.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_rows"),
-        *[F.max_by(F.col(f), F.when(F.col(f).isNotNull(), position)).alias(f"_last_{f}") for f in fields],
+        F.expr("count(1) as _rows"),
+        *[F.expr(f"max_by(`{f}`, if(`{f}` is not null, {position}, null)) as `_last_{f}`") for f in fields],
     )
-    carry = state.select(
+    carry = state.selectExpr(
         *keys,
-        F.sum("_rows").over(before).alias("_carry_seen"),
-        *[F.last(f"_last_{f}", ignorenulls=True).over(before).alias(f"_carry_{f}") for f in fields],
+        f"sum(_rows) {before} as _carry_seen",
+        *[f"last(`_last_{f}`, true) {before} as `_carry_{f}`" for f in fields],
     )
-    stepped = _with_outcomes(sliced.join(carry, keys), keys, order, fields)
-    versions = stepped.groupBy(*keys).agg(F.sum("_step").alias("_steps"))
-    base = versions.select(*keys, F.sum("_steps").over(before).alias("_base"))
-    return _finish(stepped.join(base, keys), keys, order, fields, F.coalesce("_base", F.lit(0))).drop(SLICE, "_base")
+    stepped = _outcomes(sliced.join(carry, keys), keys, order, fields)
+    steps = stepped.groupBy(*keys).agg(F.expr("sum(_step) as _steps"))
+    base = steps.selectExpr(*keys, f"sum(_steps) {before} as _base")
+    return _versions(stepped.join(base, keys), keys, order, "coalesce(_base, 0L)")
 
 
 def fold_upserts(
@@ -107,35 +102,33 @@ def fold_upserts(
     ``stored`` holds the documents as they are before the first row: ``key``, ``fields`` and
     ``version``. ``order`` must be unique within a document and free of nulls.
     """
-    rows = rows.withColumn(SEED, F.lit(None).cast("long"))
+    rows = rows.selectExpr("*", f"cast(null as bigint) as {SEED}")
     if stored is not None:
-        seeds = stored.select(key, *fields, F.col("version").alias(SEED))
+        seeds = stored.selectExpr(key, *[f"`{f}`" for f in fields], f"version as {SEED}")
         rows = rows.unionByName(seeds, allowMissingColumns=True)
         # stored rows come first whatever the order columns say
-        rows = rows.withColumn("_stored", F.when(F.col(SEED).isNull(), 1).otherwise(0))
+        rows = rows.selectExpr("*", f"if({SEED} is null, 1, 0) as _stored")
         order = ["_stored", *order]
 
-    hot = settle(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows))
-    sizes = hot.agg(F.sum("_n")).first()[0]
-    if sizes is None:
-        folded = _finish(_with_outcomes(rows, [key], order, fields), [key], order, fields, F.lit(0))
-    else:
-        # at most total / hot_rows keys
-        names = hot.select(key)
-        cold = join_lookup(rows, names, [key], "left_anti")
-        cold = _finish(_with_outcomes(cold, [key], order, fields), [key], order, fields, F.lit(0))
-        split = _fold_sliced(
-            join_lookup(rows, names, [key], "left_semi"), key, order, fields, sizes // slice_rows + 1
-        )
-        folded = cold.unionByName(split)
-    return folded.drop("_stored")
+    hot = settle(rows.groupBy(key).agg(F.expr("count(1) as _n")).where(f"_n > {hot_rows}"))
+    hot_total = hot.agg(F.sum("_n")).first()[0]
+    if hot_total is None:
+        return _fold_whole(rows, key, order, fields)
+    # at most total / hot_rows keys
+    names = hot.select(key)
+    cold = _fold_whole(join_lookup(rows, names, [key], "left_anti"), key, order, fields)
+    slices = hot_total // slice_rows + 1
+    return cold.unionByName(
+        _fold_sliced(join_lookup(rows, names, [key], "left_semi"), key, order, fields, slices)
+    )
 
 
 def latest_documents(changes: DataFrame, key: str) -> DataFrame:
     """The highest version of each document; reduces before it shuffles."""
     rest = [c for c in changes.columns if c != key]
-    newest = changes.groupBy(key).agg(F.max_by(F.struct(*rest), "version").alias("_doc"))
-    return newest.select(key, *[F.col(f"_doc.`{c}`").alias(c) for c in rest])
+    packed = ", ".join(f"`{c}`" for c in rest)
+    newest = changes.groupBy(key).agg(F.expr(f"max_by(struct({packed}), version) as _doc"))
+    return newest.selectExpr(key, "_doc.*")
 
 
 # Leaf fields of a request in the document table. Objects merge leaf by leaf, arrays whole.
@@ -153,72 +146,60 @@ DOCUMENT_FIELDS = [
 ]
 
 
-def document_updates(rows: DataFrame, prefix: str) -> DataFrame:
-    """Delivery-event rows as updates. Defaults count as absent, as in the stored JSON."""
-    req = F.col("data.msgDelivery.req")
-    nanos = req["msg"]["tsNanos"]
-
-    def number(value: Column) -> Column:
-        return F.nullif(value, F.lit(0))
+TEXT = "''"  # default of a text field, in SQL
 
-    def text(value: Column) -> Column:
-        return F.nullif(value, F.lit(""))
 
-    def items(value: Column) -> Column:
-        return F.when(F.size(value) > 0, value)
-
-    return rows.select(
+def document_updates(rows: DataFrame, prefix: str) -> DataFrame:
+    """Delivery-event rows as updates. Defaults count as absent, as in the stored JSON."""
+    req, nanos = "data.msgDelivery.req", "data.msgDelivery.req.msg.tsNanos"
+    return rows.selectExpr(
         "topic",
         "partition",
         "offset",
         "timestamp",
-        document_id(req).alias("doc_id"),
-        month_of(nanos).alias("month"),
-        F.concat_ws("_", F.lit(prefix), month_of(nanos)).alias("index"),
-        sender_key(req["from"]).alias("sender"),
-        nanos.alias("ts_nanos"),
-        text(req["app"]).alias("app"),
-        text(req["id"]).alias("id"),
-        number(req["session"]["type"]).alias("session_type"),
-        items(req["session"]["data"]).alias("session_data"),
-        number(req["msg"]["type"]).alias("msg_type"),
-        text(req["msg"]["id"]).alias("msg_id"),
-        number(req["msg"]["ver"]).alias("msg_ver"),
-        number(req["from"]["user"]["type"]).alias("from_user"),
-        number(req["from"]["channel"]["type"]).alias("from_channel"),
-        items(req["to"]).alias("to"),
+        f"{document_id(req)} as doc_id",
+        f"{month_of(nanos)} as month",
+        f"{month_index(nanos, prefix)} as index",
+        f"{sender_key(f'{req}.`from`')} as sender",
+        f"{nanos} as ts_nanos",
+        f"{given(f'{req}.app', TEXT)} as app",
+        f"{given(f'{req}.id', TEXT)} as id",
+        f"{given(f'{req}.session.type')} as session_type",
+        f"{given_items(f'{req}.session.data')} as session_data",
+        f"{given(f'{req}.msg.type')} as msg_type",
+        f"{given(f'{req}.msg.id', TEXT)} as msg_id",
+        f"{given(f'{req}.msg.ver')} as msg_ver",
+        f"{given(f'{req}.`from`.user.type')} as from_user",
+        f"{given(f'{req}.`from`.channel.type')} as from_channel",
+        f"{given_items(f'{req}.to')} as to",
     )
 
 
 LOG_ORDER = ["timestamp", "topic", "partition", "offset"]
 
 
-def created_event(index: Column, doc_id: Column, version: Column) -> Column:
+def created_event(index: str, doc_id: str, version: str) -> str:
     """Change event for a new document. Its time stays 0."""
-    created = F.struct(
-        index.alias("index"), doc_id.alias("id"), F.lit(DOCUMENT_TYPE).alias("type"), version.alias("ver")
-    )
-    return tagged(STORE_MSG_CREATED, "msgCreated", created, tsNanos=F.lit(0).cast("long"))
+    created = f"named_struct('index', {index}, 'id', {doc_id}, 'type', '{DOCUMENT_TYPE}', 'ver', {version})"
+    return tagged(STORE_MSG_CREATED, ("msgCreated", created), "0")
 
 
 def created_events(folded: DataFrame) -> DataFrame:
     """One event per created document, keyed by sender, at its source offset."""
-    return folded.where(F.col("outcome") == "created").select(
+    return folded.where("outcome = 'created'").selectExpr(
         "topic",
         "partition",
         "offset",
         "timestamp",
         "sender",
-        created_event(F.col("index"), F.col("doc_id"), F.col("version")).alias("event"),
+        f"{created_event('index', 'doc_id', 'version')} as event",
     )
 
 
-def outcome_action(status: Column, outcome: Column) -> Column:
+def outcome_action(status: str, outcome: str) -> str:
     """What a stored row leads to: an event, nothing, or a report of the failure."""
-    ok = F.call_function("div", status, F.lit(100)) == 2
-    return (
-        F.when(ok & (outcome == "created"), "emit").when(ok & (outcome == "noop"), "silent").otherwise("report")
-    )
+    return f"""case when {status} div 100 = 2 and {outcome} = 'created' then 'emit'
+        when {status} div 100 = 2 and {outcome} = 'noop' then 'silent' else 'report' end"""
 
 
 def correlate(requests: DataFrame, responses: DataFrame, how: str = "inner") -> DataFrame:
@@ -228,5 +209,5 @@ def correlate(requests: DataFrame, responses: DataFrame, how: str = "inner") ->
 
 def lookup_existing(batch: DataFrame, documents: DataFrame, key: str = "doc_id") -> DataFrame:
     """Batch rows with the version their document has in the table, null when it is new."""
-    stored = documents.select(key, F.col("version").alias("stored_version"))
+    stored = documents.selectExpr(key, "version as stored_version")
     return batch.join(stored, key, "left")

@@ -4,17 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirlog.functions import codes
-from weirlog.functions.identity import document_body, document_id, month_index, sender_key
-from weirlog.functions.times import event_time, micros_of
-from weirlog.functions.unions import tagged, union_problem
+from weirlog.functions import codes, identity, times, unions
 from weirlog.operators import delivery, envelope, metrics, outbox, progress, routing, upsert
+from weirlog.operators.progress import PARTITION
 from weirlog.plans import views
-from weirlog.schemas import EVENT_MSG_DELIVERY, REQUEST_MSG_REQ, STORE_EVENT, STORE_MSG_CREATED
-from weirlog.session import scratch
+from weirlog.schemas import REQUEST_MSG_REQ, STORE_EVENT, STORE_MSG_CREATED
+from weirlog.session import scratch, settle
 from weirlog.sources import bodies, logs
 from weirlog.streaming import sinks, stages
 from weirlog.streaming.frontier import current_frontier, track_frontier
@@ -23,14 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 INDEX = "docs"
-
-
-def _part() -> Column:
-    return F.col("partition").alias("part")
-
-
-def _off() -> Column:
-    return F.col("offset").alias("off")
+PLACE = ("topic", "partition as part", "offset as off")
 
 
 def query(fn: Query) -> Query:
@@ -38,32 +29,22 @@ def query(fn: Query) -> Query:
     return fn
 
 
-def query_named(name: str) -> Callable[[Query], Query]:
-    """For queries named like a function this module uses."""
-
-    def register(fn: Query) -> Query:
-        QUERIES[name] = fn
-        return fn
-
-    return register
+def _text_md5(session: str) -> str:
+    return f"md5(get({session}.data, 0).value.data) as text_md5"
 
 
-def _props(session: Column) -> Column:
-    return F.md5(F.get(session["data"], F.lit(0))["value"]["data"])
-
-
-def _request_columns(req: Column) -> list[Column]:
+def _request_columns(req: str) -> list[str]:
     return [
-        req["id"].alias("id"),
-        req["app"].alias("app"),
-        req["session"]["type"].alias("session_type"),
-        req["msg"]["type"].alias("msg_type"),
-        req["msg"]["ver"].alias("ver"),
-        req["msg"]["tsNanos"].alias("ts_nanos"),
-        req["from"]["user"]["type"].alias("from_user"),
-        req["from"]["channel"]["type"].alias("from_channel"),
-        F.size(req["to"]).alias("to_count"),
-        _props(req["session"]).alias("text_md5"),
+        f"{req}.id as id",
+        f"{req}.app as app",
+        f"{req}.session.type as session_type",
+        f"{req}.msg.type as msg_type",
+        f"{req}.msg.ver as ver",
+        f"{req}.msg.tsNanos as ts_nanos",
+        f"{req}.`from`.user.type as from_user",
+        f"{req}.`from`.channel.type as from_channel",
+        f"size({req}.to) as to_count",
+        _text_md5(f"{req}.session"),
     ]
 
 
@@ -74,25 +55,28 @@ def _request_columns(req: Column) -> list[Column]:
 def log_scan(spark, sf):
     log = views.event_log(spark, sf)
     resume = progress.resume_offsets(progress.partition_ranges(log), views.saved_offsets(log))
-    return logs.from_starts(log, resume).select("topic", _part(), _off(), "log_key", "log_value", "ts_us")
+    return logs.from_starts(log, resume).selectExpr(*PLACE, "log_key", "log_value", "ts_us")
 
 
 @query
 def partition_ranges(spark, sf):
-    return progress.partition_ranges(views.event_log(spark, sf)).select("topic", _part(), "oldest", "newest")
+    return progress.partition_ranges(views.event_log(spark, sf)).selectExpr(
+        "topic", "partition as part", "oldest", "newest"
+    )
 
 
 @query
 def resume_offsets(spark, sf):
     log = views.event_log(spark, sf)
     resume = progress.resume_offsets(progress.partition_ranges(log), views.saved_offsets(log))
-    return resume.select("topic", _part(), "oldest", "newest", "saved", "first_offset", F.col("start").alias("start_at"))
+    return resume.selectExpr(
+        "topic", "partition as part", "oldest", "newest", "saved", "first_offset", "start as start_at"
+    )
 
 
 @query
 def json_requests(spark, sf):
-    rows = bodies.requests_of(views.bodies(spark, sf))
-    return rows.select("body_id", "place", *_request_columns(F.col("req")))
+    return bodies.requests_of(views.bodies(spark, sf)).selectExpr("body_id", "place", *_request_columns("req"))
 
 
 # --- sinks ----------------------------------------------------------------------------------
@@ -100,11 +84,10 @@ def json_requests(spark, sf):
 
 @query
 def keyed_sink(spark, sf):
-    rows = views.raw_log(views.event_log(spark, sf).withColumn("topic", F.concat_ws("-", F.lit("out"), "event_type")))
     root = scratch(spark, "keyed-sink")
-    sinks.file_topics(root)(rows, 0)
-    return sinks.read_topic(spark, root).select(
-        "topic", _part(), _off(), F.decode("key", "UTF-8").alias("log_key"), F.decode("value", "UTF-8").alias("log_value")
+    sinks.file_topics(root)(views.raw_log(views.event_log(spark, sf), "concat('out-', event_type)"), 0)
+    return sinks.read_topic(spark, root).selectExpr(
+        *PLACE, "decode(key, 'UTF-8') as log_key", "decode(value, 'UTF-8') as log_value"
     )
 
 
@@ -114,32 +97,33 @@ def upsert_snapshot(spark, sf):
     for batch_id, log in enumerate((views.first_requests(spark, sf), views.repeated_requests(spark, sf))):
         folded = sinks.fold_batch(upsert.document_updates(_accepted(log), INDEX), root, batch_id)
         sinks.store_documents(folded, root, batch_id)
-    return sinks.read_documents(spark, root).select(
+    return sinks.read_documents(spark, root).selectExpr(
         "doc_id",
         "month",
         "msg_type",
         "msg_ver",
         "from_user",
-        F.size("to").alias("to_count"),
-        F.md5(F.get("session_data", F.lit(0))["value"]["data"]).alias("text_md5"),
+        "size(to) as to_count",
+        "md5(get(session_data, 0).value.data) as text_md5",
         "version",
     )
 
 
 @query
 def progress_latest(spark, sf):
-    log = views.event_log(spark, sf).withColumn("batch_id", F.call_function("div", F.col("offset"), F.lit(1000)))
-    saved = log.groupBy(*progress.PARTITION, "batch_id").agg(F.max("offset").alias("frontier"))
-    return progress.latest_progress(saved).select("topic", _part(), "frontier", "batch_id")
+    log = views.event_log(spark, sf).selectExpr("*", "offset div 1000 as batch_id")
+    saved = log.groupBy(*PARTITION, "batch_id").agg(F.expr("max(offset) as frontier"))
+    return progress.latest_progress(saved).selectExpr("topic", "partition as part", "frontier", "batch_id")
 
 
 @query
 def fan_out(spark, sf):
-    stream = _event_stream(spark, sf)
     roots = {name: scratch(spark, f"fan-out-{name}") for name in ("left", "right")}
-    stages.drain(stream, sinks.fan_out(*[sinks.table(r) for r in roots.values()]), scratch(spark, "fan-out"))
+    both = sinks.fan_out(*[sinks.table(root) for root in roots.values()])
+    stages.drain(_event_stream(spark, sf), both, scratch(spark, "fan-out"))
     left, right = [
-        spark.read.parquet(root).select(F.lit(name).alias("sink"), "topic", _part(), _off()) for name, root in roots.items()
+        spark.read.schema(sinks.LOG).parquet(root).selectExpr(f"'{name}' as sink", *PLACE)
+        for name, root in roots.items()
     ]
     return left.unionByName(right)
 
@@ -147,19 +131,15 @@ def fan_out(spark, sf):
 # --- projections ----------------------------------------------------------------------------
 
 
+def _decoded_requests(spark: SparkSession, sf: str) -> DataFrame:
+    log = views.request_log(spark, sf)
+    return envelope.good(envelope.decode(log, delivery.REQUEST, delivery.REQUEST_WIDE, delivery.REQUEST_NANOS))
+
+
 @query
 def decode_envelope(spark, sf):
-    rows = delivery.decode(
-        views.request_log(spark, sf), delivery.REQUEST, delivery.REQUEST_WIDE, delivery.REQUEST_NANOS
-    )
-    good = envelope.good(rows)
-    return good.select(
-        "topic",
-        _part(),
-        _off(),
-        F.col("data.type").alias("type"),
-        F.col("data.tsNanos").alias("envelope_nanos"),
-        *_request_columns(F.col("data.msgReq")),
+    return _decoded_requests(spark, sf).selectExpr(
+        *PLACE, "data.type as type", "data.tsNanos as envelope_nanos", *_request_columns("data.msgReq")
     )
 
 
@@ -169,181 +149,164 @@ def quarantine(spark, sf):
     requests = delivery.requests(views.request_log(spark, sf))
     bad = envelope.quarantine(events).unionByName(envelope.quarantine(requests))
     # the dumps of rejected requests hold whole texts; those of damaged rows are short
-    dump = F.when(F.col("reason") == "undecodable", F.col("value_hex")).otherwise("")
-    return bad.select("topic", _part(), _off(), "key_hex", dump.alias("value_hex"), "reason")
+    return bad.selectExpr(
+        *PLACE, "key_hex", "if(reason = 'undecodable', value_hex, '') as value_hex", "reason"
+    )
 
 
 @query
 def wrap_request(spark, sf):
-    rows = views.messages(spark, sf).select(
-        delivery.wrap_request(F.col("req"), F.col("ts_nanos") + 1_000_000).alias("request")
-    )
-    return rows.select(
-        F.col("request.type").alias("type"),
-        F.col("request.tsNanos").alias("envelope_nanos"),
-        *_request_columns(F.col("request.msgReq")),
+    rows = views.messages(spark, sf).selectExpr(f"{delivery.wrap_request('req', 'ts_nanos + 1000000')} as request")
+    return rows.selectExpr(
+        "request.type as type", "request.tsNanos as envelope_nanos", *_request_columns("request.msgReq")
     )
 
 
 @query
 def send_response(spark, sf):
-    rsp = delivery.response(F.col("req"))
-    return views.messages(spark, sf).select(rsp.alias("rsp")).select(
-        "rsp.id",
-        "rsp.app",
-        F.col("rsp.session.type").alias("session_type"),
-        _props(F.col("rsp.session")).alias("text_md5"),
-        F.col("rsp.errCode").alias("err_code"),
-        F.col("rsp.errMsg").alias("err_msg"),
+    return views.messages(spark, sf).selectExpr(f"{delivery.response('req')} as rsp").selectExpr(
+        "rsp.id as id",
+        "rsp.app as app",
+        "rsp.session.type as session_type",
+        _text_md5("rsp.session"),
+        "rsp.errCode as err_code",
+        "rsp.errMsg as err_msg",
     )
 
 
-@query_named("sender_key")
-def sender_key_of(spark, sf):
-    return views.messages(spark, sf).select("req.id", sender_key(F.col("req.from")).alias("sender"))
+@query
+def sender_key(spark, sf):
+    return views.messages(spark, sf).selectExpr("req.id as id", f"{identity.sender_key('req.`from`')} as sender")
 
 
 @query
 def accept_delivery(spark, sf):
     rows = delivery.requests(views.request_log(spark, sf))
-    report = F.get("event.msgDelivery.report", F.lit(0))
-    return delivery.accept(envelope.good(rows)).select(
-        "topic",
-        _part(),
-        _off(),
+    return delivery.accept(envelope.good(rows)).selectExpr(
+        *PLACE,
         "sender",
-        F.col("event.type").alias("type"),
-        F.col("event.tsNanos").alias("event_nanos"),
-        F.col("event.msgDelivery.req.id").alias("id"),
-        F.size("event.msgDelivery.report").alias("reports"),
-        report["from"]["user"]["type"].alias("from_user"),
-        report["to"]["user"]["type"].alias("to_user"),
-        report["stat"]["code"].alias("code"),
+        "event.type as type",
+        "event.tsNanos as event_nanos",
+        "event.msgDelivery.req.id as id",
+        "size(event.msgDelivery.report) as reports",
+        "get(event.msgDelivery.report, 0).`from`.user.type as from_user",
+        "get(event.msgDelivery.report, 0).to.user.type as to_user",
+        "get(event.msgDelivery.report, 0).stat.code as code",
     )
 
 
 @query
 def doc_id(spark, sf):
-    return views.messages(spark, sf).select("conv_id", "turn", document_id(F.col("req")).alias("doc_id"))
+    return views.messages(spark, sf).selectExpr("conv_id", "turn", f"{identity.document_id('req')} as doc_id")
 
 
-@query_named("month_index")
-def month_index_of(spark, sf):
-    turns = views.messages(spark, sf).select(F.col("req.id").alias("id"), "ts_nanos")
-    orders = views.source(spark, sf, "orders").select(
-        F.col("o_orderkey").cast("string").alias("id"), (micros_of(F.col("o_orderdate")) * 1000).alias("ts_nanos")
+@query
+def month_index(spark, sf):
+    turns = views.messages(spark, sf).selectExpr("req.id as id", "ts_nanos")
+    orders = views.source(spark, sf, "orders").selectExpr(
+        "cast(o_orderkey as string) as id", f"{times.micros_of('o_orderdate')} * 1000 as ts_nanos"
     )
-    both = turns.unionByName(orders)
-    return both.select("id", month_index(F.col("ts_nanos"), INDEX).alias("month_index"))
+    return turns.unionByName(orders).selectExpr("id", f"{identity.month_index('ts_nanos', INDEX)} as month_index")
 
 
 @query
 def doc_body(spark, sf):
-    return views.messages(spark, sf).select("conv_id", "turn", document_body(F.col("req")).alias("body"))
+    return views.messages(spark, sf).selectExpr("conv_id", "turn", f"{identity.document_body('req')} as body")
+
+
+def _folded_requests(spark: SparkSession, sf: str) -> DataFrame:
+    updates = upsert.document_updates(_accepted(views.request_log(spark, sf)), INDEX)
+    return upsert.fold_upserts(updates, "doc_id", upsert.LOG_ORDER, upsert.DOCUMENT_FIELDS)
 
 
 @query
 def created_events(spark, sf):
-    folded = upsert.fold_upserts(
-        upsert.document_updates(_accepted(views.request_log(spark, sf)), INDEX),
-        "doc_id",
-        upsert.LOG_ORDER,
-        upsert.DOCUMENT_FIELDS,
-    )
-    return upsert.created_events(folded).select(
+    return upsert.created_events(_folded_requests(spark, sf)).selectExpr(
         "sender",
-        F.col("event.type").alias("type"),
-        F.col("event.tsNanos").alias("event_nanos"),
-        F.col("event.msgCreated.index").alias("doc_index"),
-        F.col("event.msgCreated.id").alias("doc_id"),
-        F.col("event.msgCreated.type").alias("doc_type"),
-        F.col("event.msgCreated.ver").alias("ver"),
+        "event.type as type",
+        "event.tsNanos as event_nanos",
+        "event.msgCreated.index as doc_index",
+        "event.msgCreated.id as doc_id",
+        "event.msgCreated.type as doc_type",
+        "event.msgCreated.ver as ver",
     )
 
 
 @query
 def tag_union(spark, sf):
-    rows = views.messages(spark, sf)
-    code = F.col("req.from.user.type")
-
-    def side() -> Column:
-        chosen = F
-        for value in (32, 33, 64, 65):
-            chosen = chosen.when(code == value, tagged(value))
-        return chosen
-
-    made = rows.select(
-        "req.id",
-        side().alias("user"),
-        side().alias("channel"),
-        delivery.wrap_request(F.col("req"), F.col("ts_nanos")).alias("request"),
-        delivery.accepted_event(F.col("req")).alias("event"),
-        upsert.created_event(F.lit(INDEX), F.col("req.id"), F.col("req.msg.ver")).alias("created"),
-        tagged(33).alias("updated"),
-        tagged(34).alias("deleted"),
+    sides = " ".join(f"when {code} then {unions.tagged(code)}" for code in (32, 33, 64, 65))
+    side = f"case req.`from`.user.type {sides} end"
+    made = views.messages(spark, sf).selectExpr(
+        "req.id as id",
+        f"{side} as user",
+        f"{side} as channel",
+        f"{delivery.wrap_request('req', 'ts_nanos')} as request",
+        f"{delivery.accepted_event('req')} as event",
+        f"{upsert.created_event(repr(INDEX), 'req.id', 'req.msg.ver')} as created",
+        f"{unions.tagged(33)} as updated",
+        f"{unions.tagged(34)} as deleted",
     )
-    return made.select(
+    return made.selectExpr(
         "id",
-        F.col("user.type").alias("user_tag"),
-        F.col("channel.type").alias("channel_tag"),
-        F.col("request.type").alias("request_tag"),
-        F.col("request.msgReq.msg.ver").alias("request_ver"),
-        F.col("event.type").alias("event_tag"),
-        F.col("event.msgDelivery.req.id").alias("event_req"),
-        F.col("created.type").alias("created_tag"),
-        F.col("created.msgCreated.id").alias("created_id"),
-        F.col("updated.type").alias("updated_tag"),
-        F.col("deleted.type").alias("deleted_tag"),
+        "user.type as user_tag",
+        "channel.type as channel_tag",
+        "request.type as request_tag",
+        "request.msgReq.msg.ver as request_ver",
+        "event.type as event_tag",
+        "event.msgDelivery.req.id as event_req",
+        "created.type as created_tag",
+        "created.msgCreated.id as created_id",
+        "updated.type as updated_tag",
+        "deleted.type as deleted_tag",
     )
 
 
 @query
 def union_check(spark, sf):
-    rows = views.tagged_requests(spark, sf)
-    problem = union_problem(F.col("type"), {REQUEST_MSG_REQ: F.col("req")})
-    return rows.select("id", "type", F.coalesce(problem, F.lit("valid")).alias("verdict"))
+    problem = unions.union_problem("type", {REQUEST_MSG_REQ: "req"})
+    return views.tagged_requests(spark, sf).selectExpr("id", "type", f"coalesce({problem}, 'valid') as verdict")
 
 
 @query
 def enum_names(spark, sf):
-    turns = views.messages(spark, sf)
-    kind = F.col("req.msg.type")
+    kind = "req.msg.type"
     pairs = {
-        "data_format": F.get("req.session.data", F.lit(0))["value"]["format"],
-        "session_type": F.col("req.session.type"),
-        "channel_type": F.col("req.from.channel.type"),
-        "user_type": F.col("req.from.user.type"),
-        "role_type": F.when(kind <= 2, kind).otherwise(0),
+        "data_format": "get(req.session.data, 0).value.format",
+        "session_type": "req.session.type",
+        "channel_type": "req.`from`.channel.type",
+        "user_type": "req.`from`.user.type",
+        "role_type": f"if({kind} <= 2, {kind}, 0)",
         "msg_type": kind,
-        "request_type": F.when(F.col("turn") % 5 == 4, 0).otherwise(1),
-        "event_type": F.when(F.col("turn") % 5 == 4, 0).otherwise(EVENT_MSG_DELIVERY),
-        "store_event_type": F.when(kind == 2, 32).when(kind == 1, 33).otherwise(34),
+        "request_type": "if(turn % 5 = 4, 0, 1)",
+        "event_type": "if(turn % 5 = 4, 0, 10)",
+        "store_event_type": f"case {kind} when 2 then 32 when 1 then 33 else 34 end",
     }
-    named = F.array(*[F.struct(F.lit(k).alias("enum"), v.cast("int").alias("code")) for k, v in pairs.items()])
-    used = turns.select(F.inline(named))
-    codes_sent = views.source(spark, sf, "events").select(
-        F.lit("delivery_code").alias("enum"), views.delivery_code().cast("int").alias("code")
+    used = ", ".join(f"named_struct('enum', '{enum}', 'code', {code})" for enum, code in pairs.items())
+    codes_used = views.messages(spark, sf).selectExpr(f"inline(array({used}))")
+    codes_sent = views.source(spark, sf, "events").selectExpr(
+        "'delivery_code' as enum", f"{views.DELIVERY_CODE} as code"
     )
-    counts = used.unionByName(codes_sent).groupBy("enum", "code").agg(F.count(F.lit(1)).alias("uses"))
-    return counts.withColumn("name", codes.enum_name(F.col("enum"), F.col("code")))
+    counts = codes_used.unionByName(codes_sent).groupBy("enum", "code").agg(F.expr("count(1) as uses"))
+    return counts.selectExpr("*", f"{codes.enum_name('enum', 'code')} as name")
 
 
-@query_named("event_time")
-def event_time_of(spark, sf):
-    nanos = micros_of(F.col("ts")) * 1000 + F.col("event_id") % 1000
-    rows = views.source(spark, sf, "events").select("event_id", nanos.alias("ts_nanos"))
-    at = event_time(F.col("ts_nanos"))
-    return rows.select(
+@query
+def event_time(spark, sf):
+    rows = views.source(spark, sf, "events").selectExpr(
+        "event_id", f"{times.micros_of('ts')} * 1000 + event_id % 1000 as ts_nanos"
+    )
+    at = times.event_time("ts_nanos")
+    return rows.selectExpr(
         "event_id",
-        F.unix_micros(at).alias("event_us"),
-        F.date_format(at, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("event_time"),
-        (F.col("ts_nanos") % 1000).alias("rest_nanos"),
+        f"unix_micros({at}) as event_us",
+        f"date_format({at}, 'yyyy-MM-dd HH:mm:ss.SSSSSS') as event_time",
+        "ts_nanos % 1000 as rest_nanos",
     )
 
 
 @query
 def route_mod(spark, sf):
-    return routing.route(views.event_log(spark, sf), 3).select("topic", _part(), _off(), "subscriber")
+    return routing.route(views.event_log(spark, sf), 3).selectExpr(*PLACE, "subscriber")
 
 
 @query
@@ -352,7 +315,7 @@ def transform_chain(spark, sf):
         return rows
 
     rows = routing.chain(views.event_log(spark, sf), forward, forward, forward)
-    return rows.select("topic", _part(), _off(), "log_key", "log_value")
+    return rows.selectExpr(*PLACE, "log_key", "log_value")
 
 
 # --- filters --------------------------------------------------------------------------------
@@ -360,46 +323,39 @@ def transform_chain(spark, sf):
 
 @query
 def filter_request_type(spark, sf):
-    rows = envelope.good(
-        delivery.decode(views.request_log(spark, sf), delivery.REQUEST, delivery.REQUEST_WIDE, delivery.REQUEST_NANOS)
-    )
-    return envelope.of_type(rows, REQUEST_MSG_REQ).select("topic", _part(), _off(), F.col("data.msgReq.id").alias("id"))
+    rows = envelope.of_type(_decoded_requests(spark, sf), REQUEST_MSG_REQ)
+    return rows.selectExpr(*PLACE, "data.msgReq.id as id")
 
 
 @query
 def filter_event_type(spark, sf):
     rows = delivery.delivery_events(views.delivery_log(spark, sf))
-    return rows.select("topic", _part(), _off(), F.coalesce("problem", F.lit("upsert")).alias("action"))
+    return rows.selectExpr(*PLACE, "coalesce(problem, 'upsert') as action")
 
 
 @query
 def filter_created(spark, sf):
-    log = views.change_log(spark, sf)
-    return stages.created_documents(log).select(_part(), _off(), F.col("index").alias("doc_index"), "doc_id", "version")
+    return stages.created_documents(views.change_log(spark, sf)).selectExpr(
+        "partition as part", "offset as off", "index as doc_index", "doc_id", "version"
+    )
+
+
+def _user_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return upsert.fold_upserts(views.document_log(spark, sf), "user_id", ["event_id"], ["f_status", "f_tier"])
 
 
 @query
 def outcome_action(spark, sf):
-    folded = _user_documents(spark, sf)
-    status = (
-        F.when((F.col("event_type") == "error") & (F.col("amount") > 100), 429)
-        .when(F.col("outcome") == "created", 201)
-        .otherwise(200)
-    )
-    rows = folded.withColumn("status", status)
-    return rows.select(
-        "user_id", "event_id", "outcome", "status", upsert.outcome_action(F.col("status"), F.col("outcome")).alias("action")
-    )
+    status = f"case when {views.IS_ERROR} then 429 when outcome = 'created' then 201 else 200 end"
+    rows = _user_documents(spark, sf).selectExpr("user_id", "event_id", "outcome", f"{status} as status")
+    return rows.selectExpr("*", f"{upsert.outcome_action('status', 'outcome')} as action")
 
 
 @query
 def delivery_class(spark, sf):
-    rows = views.source(spark, sf, "events").select("event_id", views.delivery_code().alias("code"))
-    return rows.select(
-        "event_id",
-        "code",
-        codes.delivery_class(F.col("code")).alias("class"),
-        codes.retryable(F.col("code")).alias("retryable"),
+    rows = views.source(spark, sf, "events").selectExpr("event_id", f"{views.DELIVERY_CODE} as code")
+    return rows.selectExpr(
+        "*", f"{codes.delivery_class('code')} as class", f"{codes.retryable('code')} as retryable"
     )
 
 
@@ -409,61 +365,61 @@ def delivery_class(spark, sf):
 @query
 def correlate_outcome(spark, sf):
     log = views.event_log(spark, sf)
-    requests = log.select("topic", "partition", "offset", "event_id")
-    responses = log.where(F.col("event_type") != "signup").select(
-        "topic", "partition", "offset", F.when(views.is_error(), 429).otherwise(200).alias("status")
+    responses = log.where("event_type <> 'signup'").selectExpr(
+        *PARTITION, "offset", f"if({views.IS_ERROR}, 429, 200) as status"
     )
-    return upsert.correlate(requests, responses).select("topic", _part(), _off(), "event_id", "status")
+    pairs = upsert.correlate(log.select(*PARTITION, "offset", "event_id"), responses)
+    return pairs.selectExpr(*PLACE, "event_id", "status")
 
 
 @query
 def upsert_lookup(spark, sf):
-    batch = views.messages(spark, sf).select(document_id(F.col("req")).alias("doc_id"), "conv_id", "turn")
-    documents = batch.where(F.col("conv_id") % 2 == 1).select("doc_id", (F.col("turn") + 1).alias("version"))
-    rows = upsert.lookup_existing(batch.select("doc_id"), documents)
-    found = F.col("stored_version").isNotNull().alias("found")
-    return rows.select("doc_id", F.coalesce("stored_version", F.lit(0)).alias("stored_version"), found)
+    batch = views.messages(spark, sf).selectExpr(f"{identity.document_id('req')} as doc_id", "conv_id", "turn")
+    documents = batch.where("conv_id % 2 = 1").selectExpr("doc_id", "turn + 1 as version")
+    return upsert.lookup_existing(batch.select("doc_id"), documents).selectExpr(
+        "doc_id", "coalesce(stored_version, 0) as stored_version", "stored_version is not null as found"
+    )
 
 
 @query
 def unconfirmed(spark, sf):
     sends = views.outbox(spark, sf)
-    return outbox.unconfirmed(sends, sends.where(views.is_ack()).select("id")).select("id", "topic", "event_type")
+    return outbox.unconfirmed(sends, sends.where(views.IS_ACK).select("id")).select("id", "topic", "event_type")
 
 
 @query
 def failed_sends(spark, sf):
     sends = views.outbox(spark, sf)
-    return outbox.failed_sends(sends, sends.where(views.is_error()).select("id")).select("id", "topic", "event_type")
+    return outbox.failed_sends(sends, sends.where(views.IS_ERROR).select("id")).select("id", "topic", "event_type")
 
 
 # --- aggregations ---------------------------------------------------------------------------
 
 
 def _confirmed(log: DataFrame) -> tuple[DataFrame, DataFrame]:
-    seeds = views.saved_offsets(log).withColumnRenamed("saved", "frontier")
-    return envelope.confirmed(log.where(~views.is_error())), seeds
+    return envelope.confirmed(log.where(f"not {views.IS_ERROR}")), views.saved_offsets(log, "frontier")
 
 
 @query
 def frontier(spark, sf):
-    return progress.frontier(*_confirmed(views.event_log(spark, sf))).select("topic", _part(), "frontier")
+    return progress.frontier(*_confirmed(views.event_log(spark, sf))).selectExpr(
+        "topic", "partition as part", "frontier"
+    )
 
 
 @query
 def held_offsets(spark, sf):
-    return progress.held_offsets(*_confirmed(views.event_log(spark, sf))).select("topic", _part(), _off(), "frontier")
+    return progress.held_offsets(*_confirmed(views.event_log(spark, sf))).selectExpr(*PLACE, "frontier")
 
 
 @query
 def sink_totals(spark, sf):
-    state = F.col("state")
     return metrics.sink_totals(
         views.outbox(spark, sf),
-        total_in=F.lit(True),
-        total_out=views.is_ack(),
-        total_err=views.is_error(),
-        total_get=state != "new",
+        total_in="true",
+        total_out=views.IS_ACK,
+        total_err=views.IS_ERROR,
+        total_get="state <> 'new'",
     )
 
 
@@ -474,20 +430,15 @@ def backlog_depth(spark, sf):
 
 @query
 def latency_stats(spark, sf):
-    rows = views.event_log(spark, sf).withColumn(
-        "sent_us", F.col("ts_us") - F.round(F.col("amount") * 1000).cast("long")
-    )
-    return metrics.latency_stats(rows, "sent_us", "ts_us").select(
-        "topic", _part(), "messages", "total_latency", "mean_latency"
+    rows = views.event_log(spark, sf).selectExpr("*", "ts_us - cast(round(amount * 1000) as bigint) as sent_us")
+    return metrics.latency_stats(rows, "sent_us", "ts_us").selectExpr(
+        "topic", "partition as part", "messages", "total_latency", "mean_latency"
     )
 
 
 @query
 def throughput_checkpoints(spark, sf):
-    rows = views.source(spark, sf, "events").select(
-        F.lit("events").alias("topic"), "event_id", micros_of(F.col("ts")).alias("ts_us")
-    )
-    return metrics.throughput_checkpoints(rows, "event_id", "ts_us")
+    return metrics.throughput_checkpoints(views.arrivals(spark, sf), "event_id", "ts_us")
 
 
 # --- windows, order, sets -------------------------------------------------------------------
@@ -495,24 +446,19 @@ def throughput_checkpoints(spark, sf):
 
 @query
 def pending_gate(spark, sf):
-    delta = F.when(F.col("event_type").isin("click", "view"), 3).otherwise(-4).cast("long")
-    rows = views.event_log(spark, sf).withColumn("delta", delta)
-    return metrics.pending_gate(rows, progress.PARTITION, "offset", "delta", 5).select(
-        "topic", _part(), _off(), "delta", "pending", "ready"
+    rows = views.event_log(spark, sf).selectExpr(
+        "*", "cast(if(event_type in ('click', 'view'), 3, -4) as bigint) as delta"
     )
-
-
-def _user_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return upsert.fold_upserts(views.document_log(spark, sf), "user_id", ["event_id"], ["f_status", "f_tier"])
+    return metrics.pending_gate(rows, PARTITION, "offset", "delta", 5).selectExpr(*PLACE, "delta", "pending", "ready")
 
 
 @query
 def upsert_outcome(spark, sf):
-    return _user_documents(spark, sf).select(
+    return _user_documents(spark, sf).selectExpr(
         "user_id",
         "event_id",
-        F.coalesce("f_status", F.lit("")).alias("f_status"),
-        F.coalesce("f_tier", F.lit(-1)).alias("f_tier"),
+        "coalesce(f_status, '') as f_status",
+        "coalesce(f_tier, -1) as f_tier",
         "outcome",
         "version",
     )
@@ -520,25 +466,22 @@ def upsert_outcome(spark, sf):
 
 @query
 def enqueue_id(spark, sf):
-    rows = views.source(spark, sf, "events").select("event_id", F.lit("events").alias("topic"))
-    return outbox.enqueue_ids(rows, "event_id").select("event_id", "topic", "enqueue_id")
+    return outbox.enqueue_ids(views.arrivals(spark, sf), "event_id").select("event_id", "topic", "enqueue_id")
 
 
 @query
 def batch_slices(spark, sf):
-    rows = views.source(spark, sf, "events").select("event_id", F.lit("events").alias("topic"))
-    number = F.col("enqueue_id")
-    return outbox.enqueue_ids(rows, "event_id").select(
+    return outbox.enqueue_ids(views.arrivals(spark, sf), "event_id").selectExpr(
         "event_id",
-        outbox.slice_of(number, outbox.SAVE_SLICE).alias("save_slice"),
-        outbox.slice_of(number, outbox.SEND_BATCH).alias("send_batch"),
+        f"{outbox.slice_of('enqueue_id', outbox.SAVE_SLICE)} as save_slice",
+        f"{outbox.slice_of('enqueue_id', outbox.SEND_BATCH)} as send_batch",
     )
 
 
 @query
 def frontier_changes(spark, sf):
-    reports = views.event_log(spark, sf).withColumn("frontier", F.col("offset") - F.col("offset") % 7)
-    return progress.frontier_changes(reports, "offset", initial=0).select("topic", _part(), _off(), "frontier")
+    reports = views.event_log(spark, sf).selectExpr("*", "offset - offset % 7 as frontier")
+    return progress.frontier_changes(reports, "offset", initial=0).selectExpr(*PLACE, "frontier")
 
 
 @query
@@ -556,61 +499,59 @@ def retry_set(spark, sf):
     sends = views.outbox(spark, sf)
     plain = ["id", "topic"]
     return outbox.retry_set(
-        failed=outbox.failed_sends(sends, sends.where(views.is_error()).select("id")).select(plain),
-        unsent=sends.where(F.col("state") == "new").select(plain),
-        unconfirmed=outbox.unconfirmed(sends, sends.where(views.is_ack()).select("id")).select(plain),
+        failed=outbox.failed_sends(sends, sends.where(views.IS_ERROR).select("id")).select(plain),
+        unsent=sends.where("state = 'new'").select(plain),
+        unconfirmed=outbox.unconfirmed(sends, sends.where(views.IS_ACK).select("id")).select(plain),
     )
 
 
 @query
 def replay_noop(spark, sf):
-    once = views.messages(spark, sf).select(
-        document_id(F.col("req")).alias("doc_id"),
-        F.col("req.msg.type").alias("msg_type"),
-        F.col("req.msg.ver").alias("msg_ver"),
-        _props(F.col("req.session")).alias("text_md5"),
+    twice = views.messages(spark, sf).selectExpr(
+        f"{identity.document_id('req')} as doc_id",
+        "req.msg.type as msg_type",
+        "req.msg.ver as msg_ver",
+        _text_md5("req.session"),
+        "explode(array(1, 2)) as pass_no",
     )
-    twice = once.withColumn("pass_no", F.explode(F.array(F.lit(1), F.lit(2))))
     folded = upsert.fold_upserts(twice, "doc_id", ["pass_no"], ["msg_type", "msg_ver", "text_md5"])
     return folded.select("doc_id", "pass_no", "outcome", "version")
 
 
 @query
 def remaining_after_failure(spark, sf):
-    rows = views.event_log(spark, sf).withColumn("slice_no", outbox.slice_of(F.col("offset") + 1, 100))
-    failed = (F.col("event_type") == "error") & (F.col("amount") > 200)
-    left = outbox.remaining_after_failure(rows, progress.PARTITION, "offset", "slice_no", failed)
-    return left.select("topic", _part(), _off(), "slice_no", "first_failed")
+    rows = views.event_log(spark, sf).selectExpr("*", f"{outbox.slice_of('(offset + 1)', 100)} as slice_no")
+    failed = "event_type = 'error' and amount > 200"
+    left = outbox.remaining_after_failure(rows, PARTITION, "offset", "slice_no", failed)
+    return left.selectExpr(*PLACE, "slice_no", "first_failed")
 
 
 # --- streams --------------------------------------------------------------------------------
 
 
 def _files(spark: SparkSession) -> int:
-    """Files to spread a written log over, and with it the size of a micro-batch (a quarter)."""
+    """Files to spread a written log over. A micro-batch takes a quarter of them."""
     return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _event_stream(spark: SparkSession, sf: str, keep: Column | None = None) -> DataFrame:
+def _event_stream(spark: SparkSession, sf: str, keep: str = "true") -> DataFrame:
     """The event log written out by offset and read back as a stream of about four batches."""
-    rows = views.event_log(spark, sf)
-    rows = views.raw_log(rows if keep is None else rows.where(keep))
     root, files = scratch(spark, "event-log"), _files(spark)
-    rows.repartition(files, *progress.PARTITION, "offset").write.parquet(root)
+    rows = views.raw_log(views.event_log(spark, sf).where(keep))
+    rows.repartition(files, *PARTITION, "offset").write.parquet(root)
     return logs.stream_log(spark, root, files_per_batch=-(-files // 4))
 
 
 def _accepted(log: DataFrame) -> DataFrame:
     """Accepted deliveries of a request log, as the store stage would decode them."""
-    rows = delivery.accept(envelope.good(delivery.requests(log)))
-    return rows.withColumnRenamed("event", "data")
+    return delivery.accept(envelope.good(delivery.requests(log))).withColumnRenamed("event", "data")
 
 
 @query
 def stream_bounded(spark, sf):
     root = scratch(spark, "bounded")
     stages.drain(_event_stream(spark, sf), sinks.table(root), scratch(spark, "bounded-progress"))
-    return spark.read.parquet(root).select("topic", _part(), _off(), F.decode("value", "UTF-8").alias("log_value"))
+    return spark.read.schema(sinks.LOG).parquet(root).selectExpr(*PLACE, "decode(value, 'UTF-8') as log_value")
 
 
 class _Store:
@@ -650,41 +591,38 @@ class _Store:
 
 @query
 def stage_accept(spark, sf):
-    rows = delivery.delivery_events(_Store(spark, sf).accept())
-    return envelope.good(rows).select(
-        "topic",
-        _part(),
-        _off(),
-        F.decode("key", "UTF-8").alias("sender"),
-        document_id(F.col("data.msgDelivery.req")).alias("doc_id"),
-        F.get("data.msgDelivery.report", F.lit(0))["stat"]["code"].alias("code"),
+    return envelope.good(delivery.delivery_events(_Store(spark, sf).accept())).selectExpr(
+        *PLACE,
+        "decode(key, 'UTF-8') as sender",
+        f"{identity.document_id('data.msgDelivery.req')} as doc_id",
+        "get(data.msgDelivery.report, 0).stat.code as code",
     )
 
 
 @query
 def stage_store(spark, sf):
     rows = envelope.good(envelope.decode(_Store(spark, sf).store(), STORE_EVENT))
-    return envelope.of_type(rows, STORE_MSG_CREATED).select(
-        _part(),
-        _off(),
-        F.decode("key", "UTF-8").alias("sender"),
-        F.col("data.msgCreated.index").alias("doc_index"),
-        F.col("data.msgCreated.id").alias("doc_id"),
-        F.col("data.msgCreated.ver").alias("version"),
+    return envelope.of_type(rows, STORE_MSG_CREATED).selectExpr(
+        "partition as part",
+        "offset as off",
+        "decode(key, 'UTF-8') as sender",
+        "data.msgCreated.index as doc_index",
+        "data.msgCreated.id as doc_id",
+        "data.msgCreated.ver as version",
     )
 
 
 @query
 def stage_changes(spark, sf):
-    return _Store(spark, sf).changes().select(_part(), _off(), F.col("index").alias("doc_index"), "doc_id", "version")
+    return _Store(spark, sf).changes().selectExpr(
+        "partition as part", "offset as off", "index as doc_index", "doc_id", "version"
+    )
 
 
 @query
 def frontier_stream(spark, sf):
-    log = views.event_log(spark, sf)
-    _, seeds = _confirmed(log)
+    seeds = settle(views.saved_offsets(views.event_log(spark, sf), "frontier"))
     root = scratch(spark, "frontier")
-    stream = _event_stream(spark, sf, ~views.is_error()).select("topic", "partition", "offset")
+    stream = _event_stream(spark, sf, f"not {views.IS_ERROR}").select(*PARTITION, "offset")
     stages.drain(stream, track_frontier(root, seeds), f"{root}/progress")
-    return current_frontier(spark, root).select("topic", _part(), "frontier")
-
+    return current_frontier(spark, root).selectExpr("topic", "partition as part", "frontier")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,184 +17,144 @@ from weirlog.session import use_utc
 PARTITIONS = 4
 PROPS = T.StructType([T.StructField("k", T.LongType())])
 
+IS_ACK = "event_type <> 'error'"
+IS_ERROR = "(event_type = 'error' and amount > 100)"
+STATE = "case event_type when 'error' then 'failed' when 'click' then 'sent' when 'purchase' then 'acked' else 'new' end"
+DELIVERY_CODE = """case event_type when 'signup' then 1 when 'view' then 2 when 'click' then 3
+    when 'purchase' then 64 else if(value > 100, 129, 128) end"""
+
+# Columns of the tables used here. Naming them spares a look into the files of every scan.
+_TABLES = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "orders": """o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,
+        o_orderdate timestamp_ntz, o_orderpriority string""",
+}
+
 
 def source(spark: SparkSession, sf: str, name: str) -> DataFrame:
     use_utc(spark)
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spark.read.schema(_TABLES[name]).parquet(f"{sf}/{name}.parquet")
 
 
 # --- events as a log ------------------------------------------------------------------------
 
 
 def event_log(spark: SparkSession, sf: str) -> DataFrame:
-    events = source(spark, sf, "events").select(
-        F.lit("events").alias("topic"),
-        F.pmod("user_id", F.lit(PARTITIONS)).cast("int").alias("partition"),
+    events = source(spark, sf, "events").selectExpr(
+        "'events' as topic",
+        f"cast(user_id % {PARTITIONS} as int) as partition",
         "event_id",
-        "user_id",
         "event_type",
-        F.col("value").alias("amount"),
-        F.col("user_id").cast("string").alias("log_key"),
-        F.col("props").alias("log_value"),
-        micros_of(F.col("ts")).alias("ts_us"),
+        "value as amount",
+        "cast(user_id as string) as log_key",
+        "props as log_value",
+        f"{micros_of('ts')} as ts_us",
     )
-    numbered = number_rows(events, PARTITION, "event_id", "offset", start=-1)
-    return numbered.withColumn("state", outbox_state())
+    return number_rows(events, PARTITION, "event_id", "offset", start=-1)
 
 
-def raw_log(rows: DataFrame, value: Column | None = None) -> DataFrame:
+def raw_log(rows: DataFrame, topic: str = "topic", value: str = "log_value") -> DataFrame:
     """``event_log`` rows in log layout."""
-    return rows.select(
-        F.encode("log_key", "UTF-8").alias("key"),
-        F.encode(F.col("log_value") if value is None else value, "UTF-8").alias("value"),
-        "topic",
+    return rows.selectExpr(
+        "encode(log_key, 'UTF-8') as key",
+        f"encode({value}, 'UTF-8') as value",
+        f"{topic} as topic",
         "partition",
         "offset",
-        F.timestamp_micros("ts_us").alias("timestamp"),
+        "timestamp_micros(ts_us) as timestamp",
     )
 
 
 def damaged_log(spark: SparkSession, sf: str) -> DataFrame:
-    value = F.when(F.col("event_id") % 100 == 0, "{bad").otherwise(F.col("log_value"))
-    return raw_log(event_log(spark, sf), value)
-
-
-def is_ack() -> Column:
-    return F.col("event_type") != "error"
-
-
-def is_error() -> Column:
-    return (F.col("event_type") == "error") & (F.col("amount") > 100)
-
-
-def outbox_state() -> Column:
-    kind = F.col("event_type")
-    return (
-        F.when(kind == "error", "failed").when(kind == "click", "sent").when(kind == "purchase", "acked").otherwise("new")
-    )
+    return raw_log(event_log(spark, sf), value="if(event_id % 100 = 0, '{bad', log_value)")
 
 
 def outbox(spark: SparkSession, sf: str) -> DataFrame:
     """Send queue in arrival order. Ids follow from the event ids, which are dense."""
-    return source(spark, sf, "events").select(
-        (F.col("event_id") + 1).alias("id"),
-        F.lit("events").alias("topic"),
-        outbox_state().alias("state"),
-        "event_type",
-        F.col("value").alias("amount"),
+    return source(spark, sf, "events").selectExpr(
+        "event_id + 1 as id", "'events' as topic", f"{STATE} as state", "event_type", "value as amount"
     )
 
 
-def saved_offsets(log: DataFrame) -> DataFrame:
-    at = (
-        F.when(F.col("partition") == 0, F.lit(-1))
-        .when(F.col("partition") == 1, F.lit(0))
-        .when(F.col("partition") == 2, F.lit(100))
-        .otherwise(F.col("newest"))
-    )
-    return partition_ranges(log).select(*PARTITION, at.cast("long").alias("saved"))
+def arrivals(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as messages not yet numbered."""
+    return source(spark, sf, "events").selectExpr("event_id", "'events' as topic", f"{micros_of('ts')} as ts_us")
+
+
+def saved_offsets(log: DataFrame, name: str = "saved") -> DataFrame:
+    at = "case partition when 0 then -1L when 1 then 0L when 2 then 100L else newest end"
+    return partition_ranges(log).selectExpr(*PARTITION, f"{at} as {name}")
 
 
 def document_log(spark: SparkSession, sf: str) -> DataFrame:
     """Updates of one document per user; nulls stand for fields not given."""
-    return source(spark, sf, "events").select(
+    return source(spark, sf, "events").selectExpr(
         "user_id",
         "event_id",
         "event_type",
-        F.col("value").alias("amount"),
-        F.nullif("event_type", F.lit("view")).alias("f_status"),
-        F.when(F.col("value") >= 10, F.floor(F.col("value") / 50).cast("int")).alias("f_tier"),
-    )
-
-
-def delivery_code() -> Column:
-    kind = F.col("event_type")
-    return (
-        F.when(kind == "signup", 1)
-        .when(kind == "view", 2)
-        .when(kind == "click", 3)
-        .when(kind == "purchase", 64)
-        .when(F.col("value") > 100, 129)
-        .otherwise(128)
+        "value as amount",
+        "nullif(event_type, 'view') as f_status",
+        "if(value >= 10, cast(floor(value / 50) as int), null) as f_tier",
     )
 
 
 # --- conversations as requests --------------------------------------------------------------
 
+_ADDRESSES = "array<struct<user:struct<type:int>,channel:struct<type:int>>>"
+
 
-def _address(number: Column) -> Column:
-    code = F.element_at(F.array(*[F.lit(c) for c in (32, 33, 64, 65)]), (F.pmod(number, F.lit(4)) + 1).cast("int"))
-    side = F.struct(code.alias("type"))
-    return F.struct(side.alias("user"), side.alias("channel"))
+def _address(number: str) -> str:
+    code = f"named_struct('type', element_at(array(32, 33, 64, 65), cast({number} % 4 as int) + 1))"
+    return f"named_struct('user', {code}, 'channel', {code})"
 
 
-def messages(spark: SparkSession, sf: str, ver: Column | None = None) -> DataFrame:
+def messages(spark: SparkSession, sf: str, ver: str = "1") -> DataFrame:
     """``conv_id, turn, role, ts_nanos, req``: one request per turn, holding its whole text."""
-    turns = source(spark, sf, "conversations")
-    nanos = (F.lit(1704067200) + F.col("conv_id") * 86400 + F.col("turn") * 60) * F.lit(1_000_000_000)
-    name = F.concat_ws("-", "conv_id", "turn")
-    kind = F.when(F.col("role") == "user", 2).when(F.col("role") == "assistant", 1).otherwise(128)
-    prop = F.struct(
-        F.lit("text").alias("name"),
-        F.struct(F.lit(0).alias("format"), F.encode("text", "UTF-8").alias("data")).alias("value"),
+    turns = source(spark, sf, "conversations").selectExpr(
+        "*",
+        "(1704067200 + conv_id * 86400 + turn * 60) * 1000000000 as ts_nanos",
+        "concat(conv_id, '-', turn) as name",
+        "case role when 'user' then 2 when 'assistant' then 1 else 128 end as kind",
     )
-    req = F.struct(
-        name.alias("id"),
-        F.lit("conv").alias("app"),
-        F.struct((F.pmod("conv_id", F.lit(2)) + 1).cast("int").alias("type"), F.array(prop).alias("data")).alias(
-            "session"
-        ),
-        F.struct(
-            kind.alias("type"),
-            name.alias("id"),
-            (F.lit(1) if ver is None else ver).cast("long").alias("ver"),
-            F.col("ts_nanos").alias("tsNanos"),
-        ).alias("msg"),
-        _address(F.col("conv_id")).alias("from"),
-        F.when(F.col("role") == "system", F.array().cast(LOG_ADDRS))
-        .otherwise(F.array(_address(F.col("conv_id") + 1)))
-        .alias("to"),
-    )
-    return turns.withColumn("ts_nanos", nanos).select("conv_id", "turn", "role", "ts_nanos", req.alias("req"))
-
-
-LOG_ADDRS = "array<struct<user:struct<type:int>,channel:struct<type:int>>>"
-
-
-def _placed(rows: DataFrame, topic: str, value: Column, step: int = 0) -> DataFrame:
+    text = "named_struct('name', 'text', 'value', named_struct('format', 0, 'data', encode(text, 'UTF-8')))"
+    req = f"""named_struct(
+        'id', name,
+        'app', 'conv',
+        'session', named_struct('type', cast(conv_id % 2 as int) + 1, 'data', array({text})),
+        'msg', named_struct('type', kind, 'id', name, 'ver', cast({ver} as bigint), 'tsNanos', ts_nanos),
+        'from', {_address('conv_id')},
+        'to', if(role = 'system', cast(array() as {_ADDRESSES}), array({_address('(conv_id + 1)')})))"""
+    return turns.selectExpr("conv_id", "turn", "role", "ts_nanos", f"{req} as req")
+
+
+def _placed(rows: DataFrame, topic: str, value: str, step: int = 0) -> DataFrame:
     """Rows in log layout. Offsets rise with conversation and turn and leave gaps."""
-    offset = F.call_function("div", F.col("conv_id"), F.lit(PARTITIONS)) * 1048576 + step * 524288 + F.col("turn")
-    return rows.select(
-        F.encode(F.concat_ws(":", "req.from.user.type", "req.from.channel.type"), "UTF-8").alias("key"),
-        F.encode(value, "UTF-8").alias("value"),
-        F.lit(topic).alias("topic"),
-        F.pmod("conv_id", F.lit(PARTITIONS)).cast("int").alias("partition"),
-        offset.cast("long").alias("offset"),
-        F.timestamp_micros(F.call_function("div", F.col("ts_nanos"), F.lit(1000)) + step * 1_000_000).alias("timestamp"),
-    ).select(LOG.names)
+    return rows.selectExpr(
+        "encode(concat(req.`from`.user.type, ':', req.`from`.channel.type), 'UTF-8') as key",
+        f"encode({value}, 'UTF-8') as value",
+        f"'{topic}' as topic",
+        f"cast(conv_id % {PARTITIONS} as int) as partition",
+        f"conv_id div {PARTITIONS} * 1048576 + {step * 524288} + turn as offset",
+        f"timestamp_micros(ts_nanos div 1000 + {step * 1_000_000}) as timestamp",
+    )
 
 
 def first_requests(spark: SparkSession, sf: str) -> DataFrame:
     """Every turn as a request, some of them damaged, of another type, or missing."""
-    rows = messages(spark, sf)
-    mark = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(11))
-    text = F.to_json(wrap_request(F.col("req"), F.col("ts_nanos")))
-    other = F.to_json(tagged(0, "msgReq", F.col("req"), tsNanos=F.col("ts_nanos")))
-    digits = F.col("ts_nanos").cast("string")
-    value = (
-        F.when(F.pmod(F.col("conv_id") + F.col("turn"), F.lit(13)) == 12, None)
-        .when(mark == 5, "{bad")
-        .when(mark == 7, other)
-        .when(mark == 9, F.replace(text, digits, F.lit("18446744073709551615")))
-        .otherwise(text)
-    )
-    return _placed(rows, "requests", value)
+    text = f"to_json({wrap_request('req', 'ts_nanos')})"
+    value = f"""case when (conv_id + turn) % 13 = 12 then null
+        when (conv_id + turn) % 11 = 5 then '{{bad'
+        when (conv_id + turn) % 11 = 7 then to_json({tagged(0, ('msgReq', 'req'), 'ts_nanos')})
+        when (conv_id + turn) % 11 = 9 then replace({text}, cast(ts_nanos as string), '18446744073709551615')
+        else {text} end"""
+    return _placed(messages(spark, sf), "requests", value)
 
 
 def repeated_requests(spark: SparkSession, sf: str) -> DataFrame:
     """A second delivery of every third conversation; even turns carry a new version."""
-    rows = messages(spark, sf, F.when(F.col("turn") % 2 == 0, 2).otherwise(1)).where(F.col("conv_id") % 3 == 0)
-    return _placed(rows, "requests", F.to_json(wrap_request(F.col("req"), F.col("ts_nanos"))), step=1)
+    rows = messages(spark, sf, "if(turn % 2 = 0, 2, 1)").where("conv_id % 3 = 0")
+    return _placed(rows, "requests", f"to_json({wrap_request('req', 'ts_nanos')})", step=1)
 
 
 def request_log(spark: SparkSession, sf: str) -> DataFrame:
@@ -203,38 +163,23 @@ def request_log(spark: SparkSession, sf: str) -> DataFrame:
 
 def delivery_log(spark: SparkSession, sf: str) -> DataFrame:
     """Turns as delivery events; every fifth turn of a conversation has another type."""
-    rows = messages(spark, sf)
-    event = accepted_event(F.col("req"))
-    other = tagged(0, "msgDelivery", event["msgDelivery"], tsNanos=F.lit(0).cast("long"))
-    value = F.when(F.col("turn") % 5 == 4, F.to_json(other)).otherwise(F.to_json(event))
-    return _placed(rows, "deliveries", value)
+    event = accepted_event("req")
+    other = tagged(0, ("msgDelivery", f"{event}.msgDelivery"), "0")
+    return _placed(messages(spark, sf), "deliveries", f"if(turn % 5 = 4, to_json({other}), to_json({event}))")
 
 
 def change_log(spark: SparkSession, sf: str) -> DataFrame:
     """Turns as change events: user turns created, assistant turns updated, the rest deleted."""
-    rows = messages(spark, sf)
-    created = F.struct(
-        F.concat_ws("_", F.lit("docs"), "role").alias("index"),
-        F.col("req.id").alias("id"),
-        F.lit("messages").alias("type"),
-        F.col("req.msg.ver").alias("ver"),
-    )
-    value = (
-        F.when(F.col("role") == "user", F.to_json(tagged(STORE_MSG_CREATED, "msgCreated", created)))
-        .when(F.col("role") == "assistant", F.to_json(tagged(STORE_MSG_UPDATED)))
-        .otherwise(F.to_json(tagged(STORE_MSG_DELETED)))
-    )
-    return _placed(rows, "changes", value)
+    created = """named_struct('index', concat('docs_', role), 'id', req.id, 'type', 'messages', 'ver', req.msg.ver)"""
+    value = f"""case role when 'user' then to_json({tagged(STORE_MSG_CREATED, ('msgCreated', created))})
+        when 'assistant' then to_json({tagged(STORE_MSG_UPDATED)}) else to_json({tagged(STORE_MSG_DELETED)}) end"""
+    return _placed(messages(spark, sf), "changes", value)
 
 
 def tagged_requests(spark: SparkSession, sf: str) -> DataFrame:
-    """Requests whose tag or payload is wrong in places: ``conv_id, turn, type, req``."""
-    return messages(spark, sf).select(
-        "conv_id",
-        "turn",
-        F.when(F.col("turn") % 5 == 4, 0).otherwise(1).alias("type"),
-        F.when(F.col("turn") % 7 != 6, F.col("req")).alias("req"),
-        F.col("req.id").alias("id"),
+    """Requests whose tag or payload is wrong in places: ``id, type, req``."""
+    return messages(spark, sf).selectExpr(
+        "req.id", "if(turn % 5 = 4, 0, 1) as type", "if(turn % 7 <> 6, req, null) as req"
     )
 
 
@@ -243,16 +188,14 @@ BODY_TURNS = 64
 
 def bodies(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations as landed JSON arrays of at most 64 requests; some are damaged."""
-    rows = messages(spark, sf).select(
-        "conv_id",
-        F.call_function("div", F.col("turn"), F.lit(BODY_TURNS)).alias("chunk"),
-        F.struct("turn", F.to_json("req").alias("text")).alias("item"),
+    rows = messages(spark, sf).selectExpr(
+        "conv_id", f"turn div {BODY_TURNS} as chunk", "struct(turn, to_json(req) as text) as item"
+    )
+    arrays = rows.groupBy("conv_id", "chunk").agg(
+        F.expr("array_join(transform(array_sort(collect_list(item)), i -> i.text), ',') as text")
     )
-    arrays = rows.groupBy("conv_id", "chunk").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    text = F.array_join(F.transform("items", lambda i: i["text"]), ",")
-    value = (
-        F.when(F.col("conv_id") % 10 == 3, F.concat(F.lit("["), text))
-        .when(F.col("conv_id") % 10 == 6, F.concat(F.lit("["), text, F.lit(',{"id":"7","msg":"oops"}]')))
-        .otherwise(F.concat(F.lit("["), text, F.lit("]")))
+    return arrays.selectExpr(
+        "concat(conv_id, '/', chunk) as body_id",
+        """case conv_id % 10 when 3 then concat('[', text)
+           when 6 then concat('[', text, ',{"id":"7","msg":"oops"}]') else concat('[', text, ']') end as value""",
     )
-    return arrays.select(F.concat_ws("/", "conv_id", "chunk").alias("body_id"), value.alias("value"))

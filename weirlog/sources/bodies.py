@@ -3,21 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from weirlog.operators.envelope import CORRUPT, LONG_MAX, parse_json
+from weirlog.operators.envelope import CORRUPT, LONG_MAX, compute_once, parse_json
 from weirlog.schemas import MSG_REQ, MSG_REQ_WIDE
 
+_BODY = ("_metadata.file_path as body_id", "value")
+
 
 def read_bodies(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("body_id"), "value")
+    return spark.read.text(path, wholetext=True).selectExpr(*_BODY)
 
 
 def stream_bodies(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     reader = spark.readStream.option("wholetext", True)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("body_id"), "value")
+    return reader.text(path).selectExpr(*_BODY)
 
 
 def parse_bodies(bodies: DataFrame) -> DataFrame:
@@ -26,33 +27,22 @@ def parse_bodies(bodies: DataFrame) -> DataFrame:
     Everything happens inside the row, so bodies never shuffle. Elements are cut out as text
     first: parsing straight into an array of records would keep damaged ones.
     """
-    parts = F.from_json("value", "array<string>")
-    elements = F.transform(F.col("_parts"), lambda e: parse_json(e, MSG_REQ))
-    beyond = F.exists(
-        F.col("_parts"), lambda e: F.coalesce(parse_json(e, MSG_REQ_WIDE)["msg"]["tsNanos"] > LONG_MAX, F.lit(False))
-    )
-    damaged = F.exists(F.col("elements"), lambda e: e.isNull() | e[CORRUPT].isNotNull())
-    return (
-        bodies.withColumn("_parts", parts)
-        .withColumn("elements", elements)
-        .withColumn(
-            "problem",
-            F.when(F.col("_parts").isNull(), "not_an_array").when(
-                damaged, F.when(beyond, "ts_out_of_range").otherwise("bad_element")
-            ),
-        )
-        .drop("_parts")
-    )
+    rows = compute_once(bodies, "_parts", "from_json(value, 'array<string>')")
+    rows = compute_once(rows, "elements", f"transform(_parts, e -> {parse_json('e', MSG_REQ)})")
+    beyond = f"exists(_parts, e -> coalesce({parse_json('e', MSG_REQ_WIDE)}.msg.tsNanos > {LONG_MAX}, false))"
+    damaged = f"exists(elements, e -> e is null or e.{CORRUPT} is not null)"
+    problem = f"""case when _parts is null then 'not_an_array'
+        when {damaged} then if({beyond}, 'ts_out_of_range', 'bad_element') end"""
+    return rows.selectExpr(*bodies.columns, "elements", f"{problem} as problem")
 
 
 def requests_of(bodies: DataFrame) -> DataFrame:
     """The requests of good bodies: ``body_id, place, req``."""
-    good = parse_bodies(bodies).where(F.col("problem").isNull())
-    rows = good.select("body_id", F.posexplode("elements").alias("place", "_req"))
-    return rows.select("body_id", "place", F.struct(*[F.col(f"_req.`{n}`") for n in MSG_REQ.names]).alias("req"))
+    good = parse_bodies(bodies).where("problem is null")
+    return good.selectExpr("body_id", "posexplode(elements) as (place, req)")
 
 
 def bad_bodies(bodies: DataFrame) -> DataFrame:
     """Bodies set aside, as hex dumps."""
-    bad = parse_bodies(bodies).where(F.col("problem").isNotNull())
-    return bad.select("body_id", F.hex("value").alias("value_hex"), F.col("problem").alias("reason"))
+    bad = parse_bodies(bodies).where("problem is not null")
+    return bad.selectExpr("body_id", "hex(value) as value_hex", "problem as reason")

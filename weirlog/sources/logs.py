@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from weirlog.operators.progress import EARLIEST, LATEST, PARTITION
 from weirlog.schemas import LOG
@@ -48,7 +47,6 @@ def from_starts(log: DataFrame, resume: DataFrame) -> DataFrame:
     There is one start per topic partition. Partitions whose start could not be resolved are
     left out.
     """
-    at = F.col("start")
-    wanted = (at == EARLIEST) | ((at >= 0) & (F.col("offset") >= at))
-    starts = resume.where(at.isNotNull() & (at != LATEST)).select(*PARTITION, "start")
+    starts = resume.where(f"start <> {LATEST}").select(*PARTITION, "start")
+    wanted = f"start = {EARLIEST} or offset >= start"
     return join_lookup(log, starts, PARTITION).where(wanted).drop("start")

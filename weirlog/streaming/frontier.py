@@ -52,7 +52,7 @@ def track_frontier(root: str, seeds: DataFrame, block_bits: int = BLOCK_WORD_BIT
             moved = frontier_of_words(words, started, block_bits)
             moved.write.mode("overwrite").parquet(batch_path(f"{root}/frontier", batch_id))
             written = spark.read.schema(FRONTIERS).parquet(batch_path(f"{root}/frontier", batch_id))
-            once = words.groupBy(*PARTITION, "word").agg(F.bit_or("mask").alias("mask"))
+            once = words.groupBy(*PARTITION, "word").agg(F.expr("bit_or(mask) as mask"))
             rest = words_beyond(once, written, block_bits).select(HELD.names)
             rest.write.mode("overwrite").parquet(batch_path(f"{root}/held", batch_id))
         finally:

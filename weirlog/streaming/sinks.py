@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,15 +23,16 @@ def batch_path(root: str, batch_id: int) -> str:
     return f"{root}/batch={batch_id}"
 
 
-def log_rows(rows: DataFrame, topic: str | Column, key: Column, record: Column) -> DataFrame:
-    """Rows in log layout: the record as JSON, keyed, at their source positions.
+def log_rows(rows: DataFrame, topic: str, key: str, record: str) -> DataFrame:
+    """Rows in log layout: the record as JSON, keyed, at their source positions. ``topic``,
+    ``key`` and ``record`` are SQL.
 
     A broker assigns positions of its own and ignores the last three columns.
     """
-    return rows.select(
-        F.encode(key, "UTF-8").alias("key"),
-        F.encode(F.to_json(record), "UTF-8").alias("value"),
-        (F.lit(topic) if isinstance(topic, str) else topic).alias("topic"),
+    return rows.selectExpr(
+        f"encode({key}, 'UTF-8') as key",
+        f"encode(to_json({record}), 'UTF-8') as value",
+        f"{topic} as topic",
         "partition",
         "offset",
         "timestamp",

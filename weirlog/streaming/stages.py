@@ -11,7 +11,6 @@ run again from the checkpoint; what it wrote is replaced, and replayed rows end
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from weirlog.operators.delivery import accept, delivery_events, requests
@@ -36,7 +35,7 @@ def accept_stage(topics: Sink, aside: Sink, store_topic: str) -> Sink:
     def run(batch: DataFrame, batch_id: int) -> None:
         rows = requests(batch).persist()
         try:
-            topics(log_rows(accept(good(rows)), store_topic, F.col("sender"), F.col("event")), batch_id)
+            topics(log_rows(accept(good(rows)), f"'{store_topic}'", "sender", "event"), batch_id)
             aside(quarantine(rows), batch_id)
         finally:
             rows.unpersist()
@@ -50,7 +49,7 @@ def store_stage(topics: Sink, aside: Sink, documents: str, change_topic: str, pr
         folded = fold_batch(document_updates(good(rows), prefix), documents, batch_id, **limits).persist()
         try:
             store_documents(folded, documents, batch_id)
-            topics(log_rows(created_events(folded), change_topic, F.col("sender"), F.col("event")), batch_id)
+            topics(log_rows(created_events(folded), f"'{change_topic}'", "sender", "event"), batch_id)
             aside(quarantine(rows), batch_id)
         finally:
             folded.unpersist()
@@ -62,13 +61,13 @@ def store_stage(topics: Sink, aside: Sink, documents: str, change_topic: str, pr
 def created_documents(log: DataFrame) -> DataFrame:
     """Created documents announced on a change topic."""
     created = of_type(good(decode(log, STORE_EVENT)), STORE_MSG_CREATED)
-    return created.select(
+    return created.selectExpr(
         "partition",
         "offset",
-        F.col("data.msgCreated.index").alias("index"),
-        F.col("data.msgCreated.id").alias("doc_id"),
-        F.col("data.msgCreated.type").alias("type"),
-        F.col("data.msgCreated.ver").alias("version"),
+        "data.msgCreated.index as index",
+        "data.msgCreated.id as doc_id",
+        "data.msgCreated.type as type",
+        "data.msgCreated.ver as version",
     )
 
 
