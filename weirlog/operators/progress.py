@@ -66,83 +66,74 @@ def starting_offsets(resume: DataFrame) -> DataFrame:
 BLOCK_WORD_BITS = 14
 
 
-def confirmed_words(confirmed: DataFrame) -> DataFrame:
-    """Masks of confirmed offsets: ``topic, partition, word, mask``."""
-    return (
-        confirmed.where("offset >= 0")
-        .selectExpr(
-            *PARTITION, "shiftright(offset + 1, 6) as word", "shiftleft(1L, cast((offset + 1) & 63 as int)) as mask"
-        )
-        .groupBy(*PARTITION, "word")
-        .agg(F.expr("bit_or(mask) as mask"))
+def confirmed_bits(confirmed: DataFrame) -> DataFrame:
+    """One mask per confirmation: ``topic, partition, word, mask``."""
+    return confirmed.where("offset >= 0").selectExpr(
+        *PARTITION, "shiftright(offset + 1, 6) as word", "shiftleft(1L, cast((offset + 1) & 63 as int)) as mask"
     )
 
 
-def _seed_words(seeds: DataFrame) -> DataFrame:
-    """A mask per seed that counts every offset up to and including it as confirmed."""
-    at = seeds.selectExpr(*PARTITION, "greatest(frontier, -1L) + 1 as position")
-    return at.selectExpr(
+def merge_words(masks: DataFrame, seeds: DataFrame) -> DataFrame:
+    """One mask per word. A seed sets every bit of its word up to and including its own, and is
+    marked, so that the words below it can be left out."""
+    at = seeds.selectExpr(*PARTITION, "greatest(frontier, -1L) + 1 as position").selectExpr(
         *PARTITION,
         "shiftright(position, 6) as word",
         "shiftrightunsigned(-1L, 63 - cast(position & 63 as int)) as mask",
         "1 as seed",
     )
+    rows = masks.selectExpr(*PARTITION, "word", "mask", "0 as seed").unionByName(at)
+    merged = rows.groupBy(*PARTITION, "word").agg(F.expr("bit_or(mask) as mask"), F.expr("max(seed) as seed"))
+    return merged.selectExpr(*PARTITION, "word", "if(word = 0, mask | 1L, mask) as mask", "seed")
 
 
-def _scan(words: DataFrame, seeds: DataFrame, block_bits: int) -> DataFrame:
-    """Per block: the first position not confirmed (the block's end when there is none)."""
-    rows = words.selectExpr(*PARTITION, "word", "mask", "0 as seed").unionByName(_seed_words(seeds))
-    merged = rows.groupBy(*PARTITION, "word").agg(F.expr("bit_or(mask) as mask"), F.expr("max(seed) as seed"))
-    group = "partition by topic, partition, block"
-    flagged = merged.selectExpr(
-        *PARTITION, "word", "if(word = 0, mask | 1L, mask) as mask", "seed", f"shiftright(word, {block_bits}) as block"
-    ).selectExpr(
-        "*",
-        f"max(seed) over ({group}) as seeded",
-        f"max(seed) over ({group} order by word rows between unbounded preceding and current row) as started",
-    )
-    # words before the seed do not matter
-    kept = flagged.where("seeded = 0 or started = 1").selectExpr(
-        "*",
-        f"""if(seeded = 1, min(word) over ({group}), shiftleft(block, {block_bits}))
-            + row_number() over ({group} order by word) - 1 as expected""",
-    )
+def frontier_of_words(words: DataFrame, block_bits: int = BLOCK_WORD_BITS) -> DataFrame:
+    """Frontiers of merged words: the first gap within blocks, then over the blocks."""
+    size = 64 << block_bits
     # a mask that is not full opens after its trailing ones
     ones = "coalesce(bit_count(mask ^ try_add(mask, 1L)) - 1, 63)"
-    gap = f"case when word <> expected then expected * 64 when mask <> -1 then word * 64 + {ones} end"
-    return (
-        kept.selectExpr(*PARTITION, "block", "seeded", "expected", f"{gap} as gap")
+    inside = "partition by topic, partition, block order by word"
+    first = f"shiftleft(block, {block_bits})"
+    blocks = (
+        words.selectExpr("*", f"shiftright(word, {block_bits}) as block")
+        .selectExpr(
+            *PARTITION,
+            "block",
+            "word",
+            f"""case when mask <> -1 then word * 64 + {ones}
+                when coalesce(lead(word) over ({inside}), -1) <> word + 1 then (word + 1) * 64 end as gap""",
+            f"""max(if(seed = 1, word, null)) over ({inside}
+                rows between unbounded preceding and unbounded following) as seed_word""",
+        )
         .groupBy(*PARTITION, "block")
-        .agg(F.expr("coalesce(min(gap), (max(expected) + 1) * 64) as open"), F.expr("max(seeded) as seeded"))
-    )
-
-
-def _frontiers(blocks: DataFrame, block_bits: int) -> DataFrame:
-    size = 64 << block_bits
-    whole = "partition by topic, partition"
-    kept = blocks.selectExpr(
-        "*",
-        f"max(seeded) over ({whole}) as any_seed",
-        f"max(seeded) over ({whole} order by block rows between unbounded preceding and current row) as started",
-    ).where("any_seed = 0 or started = 1")
-    placed = kept.selectExpr(
-        "*",
-        f"""if(any_seed = 1, min(block) over ({whole}), 0)
-            + row_number() over ({whole} order by block) - 1 as expected""",
+        .agg(
+            F.expr(
+                f"""if(max(seed_word) is null and min(word) > {first}, {first} * 64,
+                    min(gap) filter (where seed_word is null or word >= seed_word)) as open"""
+            ),
+            F.expr("max(seed_word) is not null as seeded"),
+        )
     )
-    gap = f"case when block <> expected then expected * {size} when open < (block + 1) * {size} then open end"
-    first_open = f"coalesce(min(gap), (max(expected) + 1) * {size})"
+    across = "partition by topic, partition order by block"
     return (
-        placed.selectExpr(*PARTITION, "expected", f"{gap} as gap")
+        blocks.selectExpr(
+            *PARTITION,
+            "block",
+            f"""case when open < (block + 1) * {size} then open
+                when coalesce(lead(block) over ({across}), -1) <> block + 1 then (block + 1) * {size} end as gap""",
+            f"""max(if(seeded, block, null)) over ({across}
+                rows between unbounded preceding and unbounded following) as seed_block""",
+        )
         .groupBy(*PARTITION)
-        .agg(F.expr(f"greatest({first_open} - 2, -1L) as frontier"))
+        .agg(
+            F.expr(
+                """greatest(-1L, if(max(seed_block) is null and min(block) > 0, 0L,
+                    min(gap) filter (where seed_block is null or block >= seed_block)) - 2) as frontier"""
+            )
+        )
     )
 
 
-def frontier_of_words(words: DataFrame, seeds: DataFrame, block_bits: int = BLOCK_WORD_BITS) -> DataFrame:
-    return _frontiers(_scan(words, seeds, block_bits), block_bits)
-
-
 def frontier(confirmed: DataFrame, seeds: DataFrame, block_bits: int = BLOCK_WORD_BITS) -> DataFrame:
     """Greatest offset up to which everything after the seed is confirmed, per partition.
 
@@ -151,11 +142,11 @@ def frontier(confirmed: DataFrame, seeds: DataFrame, block_bits: int = BLOCK_WOR
     the first offset to read minus one. A partition with no confirmation keeps its seed, one
     with no seed starts at -1.
     """
-    return frontier_of_words(confirmed_words(confirmed), seeds, block_bits)
+    return frontier_of_words(merge_words(confirmed_bits(confirmed), seeds), block_bits)
 
 
 def words_beyond(words: DataFrame, frontiers: DataFrame, block_bits: int = BLOCK_WORD_BITS) -> DataFrame:
-    """Masks that hold at least one confirmed offset past the frontier.
+    """Of merged words, the masks that hold a confirmed offset past the frontier.
 
     Frontiers are spread over the blocks of their partition first, so that the join key is as
     fine as the blocks and a single large partition does not end up in one task.
@@ -187,8 +178,8 @@ def offsets_of_words(words: DataFrame) -> DataFrame:
 
 def held_offsets(confirmed: DataFrame, seeds: DataFrame, block_bits: int = BLOCK_WORD_BITS) -> DataFrame:
     """Confirmed offsets past the frontier, held back by a gap."""
-    words = confirmed_words(confirmed)
-    frontiers = frontier_of_words(words, seeds, block_bits)
+    words = merge_words(confirmed_bits(confirmed), seeds)
+    frontiers = frontier_of_words(words, block_bits)
     return offsets_of_words(words_beyond(words, frontiers, block_bits))
 
 

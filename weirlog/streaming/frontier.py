@@ -12,7 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weirlog.operators.progress import BLOCK_WORD_BITS, PARTITION, confirmed_words, frontier_of_words, words_beyond
+from weirlog.operators.progress import (
+    BLOCK_WORD_BITS,
+    PARTITION,
+    confirmed_bits,
+    frontier_of_words,
+    merge_words,
+    words_beyond,
+)
 from weirlog.streaming.sinks import Sink, batch_path
 
 _PARTITION = [T.StructField("topic", T.StringType()), T.StructField("partition", T.IntegerType())]
@@ -47,13 +54,12 @@ def track_frontier(root: str, seeds: DataFrame, block_bits: int = BLOCK_WORD_BIT
         started = known.unionByName(seeds.select(FRONTIERS.names)).groupBy(*PARTITION).agg(
             F.max("frontier").alias("frontier")
         )
-        words = confirmed_words(batch).unionByName(held).persist()
+        words = merge_words(confirmed_bits(batch).unionByName(held), started).persist()
         try:
-            moved = frontier_of_words(words, started, block_bits)
+            moved = frontier_of_words(words, block_bits)
             moved.write.mode("overwrite").parquet(batch_path(f"{root}/frontier", batch_id))
             written = spark.read.schema(FRONTIERS).parquet(batch_path(f"{root}/frontier", batch_id))
-            once = words.groupBy(*PARTITION, "word").agg(F.expr("bit_or(mask) as mask"))
-            rest = words_beyond(once, written, block_bits).select(HELD.names)
+            rest = words_beyond(words, written, block_bits).select(HELD.names)
             rest.write.mode("overwrite").parquet(batch_path(f"{root}/held", batch_id))
         finally:
             words.unpersist()
