@@ -102,6 +102,9 @@ def fold_upserts(
     ``stored`` holds the documents as they are before the first row: ``key``, ``fields`` and
     ``version``. ``order`` must be unique within a document and free of nulls.
     """
+    counts = rows.groupBy(key).agg(F.expr("count(1) as _n")).where(f"_n > {hot_rows}")
+    hot_total = counts.agg(F.expr("sum(_n) as total")).first().total
+
     rows = rows.selectExpr("*", f"cast(null as bigint) as {SEED}")
     if stored is not None:
         seeds = stored.selectExpr(key, *[f"`{f}`" for f in fields], f"version as {SEED}")
@@ -110,17 +113,13 @@ def fold_upserts(
         rows = rows.selectExpr("*", f"if({SEED} is null, 1, 0) as _stored")
         order = ["_stored", *order]
 
-    hot = settle(rows.groupBy(key).agg(F.expr("count(1) as _n")).where(f"_n > {hot_rows}"))
-    hot_total = hot.agg(F.sum("_n")).first()[0]
     if hot_total is None:
         return _fold_whole(rows, key, order, fields)
     # at most total / hot_rows keys
-    names = hot.select(key)
-    cold = _fold_whole(join_lookup(rows, names, [key], "left_anti"), key, order, fields)
+    hot = settle(counts.select(key))
+    cold = _fold_whole(join_lookup(rows, hot, [key], "left_anti"), key, order, fields)
     slices = hot_total // slice_rows + 1
-    return cold.unionByName(
-        _fold_sliced(join_lookup(rows, names, [key], "left_semi"), key, order, fields, slices)
-    )
+    return cold.unionByName(_fold_sliced(join_lookup(rows, hot, [key], "left_semi"), key, order, fields, slices))
 
 
 def latest_documents(changes: DataFrame, key: str) -> DataFrame:

@@ -95,8 +95,9 @@ def keyed_sink(spark, sf):
 def upsert_snapshot(spark, sf):
     root = scratch(spark, "documents")
     for batch_id, log in enumerate((views.first_requests(spark, sf), views.repeated_requests(spark, sf))):
-        folded = sinks.fold_batch(upsert.document_updates(_accepted(log), INDEX), root, batch_id)
-        sinks.store_documents(folded, root, batch_id)
+        updates = upsert.document_updates(_accepted(log), INDEX).persist()
+        sinks.store_documents(sinks.fold_batch(updates, root, batch_id), root, batch_id)
+        updates.unpersist()
     return sinks.read_documents(spark, root).selectExpr(
         "doc_id",
         "month",

@@ -174,6 +174,6 @@ def store_documents(folded: DataFrame, root: str, batch_id: int) -> None:
     """Add the final state of each document the batch changed."""
     states = [f.name for f in DOCUMENTS.fields if f.name != "batch"]
     changed = folded.where(F.col("outcome") != "noop").select(*states)
-    latest = latest_documents(changed, "doc_id")
-    # spread a month over tasks by document; a month alone may be most of the batch
+    # months are brought together into few files, and a month that is most of the batch is split
+    latest = latest_documents(changed, "doc_id").hint("rebalance", "month")
     latest.write.mode("overwrite").partitionBy("month").parquet(batch_path(root, batch_id))
