@@ -17,6 +17,12 @@ def parse_json(text: str, schema: T.StructType) -> str:
     return f"from_json({text}, '{checked.simpleString()}', {options})"
 
 
+def record(parsed: str, schema: T.StructType) -> str:
+    """A parsed struct without its corrupt-record field."""
+    fields = ", ".join(f"'{name}', {parsed}.`{name}`" for name in schema.names)
+    return f"if({parsed} is null, null, named_struct({fields}))"
+
+
 def compute_once(rows: DataFrame, name: str, value: str) -> DataFrame:
     """Add an expensive column that is evaluated once per row.
 
@@ -56,7 +62,7 @@ def decode(
     reason = parse_problem("_text", "data", wide, nanos)
     if problem is not None:
         reason = f"coalesce({reason}, {problem})"
-    return rows.selectExpr(*log.columns, "data", f"{reason} as problem")
+    return rows.selectExpr(*log.columns, f"{record('data', schema)} as data", f"{reason} as problem")
 
 
 def decode_protobuf(log: DataFrame, message: str, descriptor_file: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weirlog.operators.envelope import CORRUPT, LONG_MAX, compute_once, parse_json
+from weirlog.operators.envelope import CORRUPT, LONG_MAX, compute_once, parse_json, record
 from weirlog.schemas import MSG_REQ, MSG_REQ_WIDE
 
 _BODY = ("_metadata.file_path as body_id", "value")
@@ -39,7 +39,8 @@ def parse_bodies(bodies: DataFrame) -> DataFrame:
 def requests_of(bodies: DataFrame) -> DataFrame:
     """The requests of good bodies: ``body_id, place, req``."""
     good = parse_bodies(bodies).where("problem is null")
-    return good.selectExpr("body_id", "posexplode(elements) as (place, req)")
+    rows = good.selectExpr("body_id", "posexplode(elements) as (place, req)")
+    return rows.selectExpr("body_id", "place", f"{record('req', MSG_REQ)} as req")
 
 
 def bad_bodies(bodies: DataFrame) -> DataFrame:
