@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirlog.operators.blocks import previous_value
+from weirlog.session import settle
 
 PARTITION = ["topic", "partition"]
 
@@ -87,8 +88,8 @@ def merge_words(masks: DataFrame, seeds: DataFrame) -> DataFrame:
     return merged.selectExpr(*PARTITION, "word", "if(word = 0, mask | 1L, mask) as mask", "seed")
 
 
-def frontier_of_words(words: DataFrame, block_bits: int = BLOCK_WORD_BITS) -> DataFrame:
-    """Frontiers of merged words: the first gap within blocks, then over the blocks."""
+def _block_gaps(words: DataFrame, block_bits: int) -> DataFrame:
+    """Per block of merged words: the first gap in or right after it, and the seed's block."""
     size = 64 << block_bits
     # a mask that is not full opens after its trailing ones
     ones = "coalesce(bit_count(mask ^ try_add(mask, 1L)) - 1, 63)"
@@ -115,25 +116,26 @@ def frontier_of_words(words: DataFrame, block_bits: int = BLOCK_WORD_BITS) -> Da
         )
     )
     across = "partition by topic, partition order by block"
-    return (
-        blocks.selectExpr(
-            *PARTITION,
-            "block",
-            f"""case when open < (block + 1) * {size} then open
-                when coalesce(lead(block) over ({across}), -1) <> block + 1 then (block + 1) * {size} end as gap""",
-            f"""max(if(seeded, block, null)) over ({across}
-                rows between unbounded preceding and unbounded following) as seed_block""",
-        )
-        .groupBy(*PARTITION)
-        .agg(
-            F.expr(
-                """greatest(-1L, if(max(seed_block) is null and min(block) > 0, 0L,
-                    min(gap) filter (where seed_block is null or block >= seed_block)) - 2) as frontier"""
-            )
-        )
+    return blocks.selectExpr(
+        *PARTITION,
+        "block",
+        f"""case when open < (block + 1) * {size} then open
+            when coalesce(lead(block) over ({across}), -1) <> block + 1 then (block + 1) * {size} end as gap""",
+        f"""max(if(seeded, block, null)) over ({across}
+            rows between unbounded preceding and unbounded following) as seed_block""",
     )
 
 
+# Over the block gaps of a partition. A partition without a seed starts at its very first block.
+_FRONTIER = """greatest(-1L, if(max(seed_block) {over} is null and min(block) {over} > 0, 0L,
+    min(if(seed_block is null or block >= seed_block, gap, null)) {over}) - 2) as frontier"""
+
+
+def frontier_of_words(words: DataFrame, block_bits: int = BLOCK_WORD_BITS) -> DataFrame:
+    """Frontier of each partition from its merged words."""
+    return _block_gaps(words, block_bits).groupBy(*PARTITION).agg(F.expr(_FRONTIER.format(over="")))
+
+
 def frontier(confirmed: DataFrame, seeds: DataFrame, block_bits: int = BLOCK_WORD_BITS) -> DataFrame:
     """Greatest offset up to which everything after the seed is confirmed, per partition.
 
@@ -145,23 +147,23 @@ def frontier(confirmed: DataFrame, seeds: DataFrame, block_bits: int = BLOCK_WOR
     return frontier_of_words(merge_words(confirmed_bits(confirmed), seeds), block_bits)
 
 
-def words_beyond(words: DataFrame, frontiers: DataFrame, block_bits: int = BLOCK_WORD_BITS) -> DataFrame:
-    """Of merged words, the masks that hold a confirmed offset past the frontier.
+def words_beyond(words: DataFrame, block_bits: int = BLOCK_WORD_BITS) -> DataFrame:
+    """Of merged words, the masks that hold a confirmed offset past the frontier, with the frontier.
 
-    Frontiers are spread over the blocks of their partition first, so that the join key is as
-    fine as the blocks and a single large partition does not end up in one task.
+    Frontiers are handed to every block of their partition first, so that the join key is as
+    fine as the blocks and a single large partition does not end up in one task. ``words`` is
+    read twice; give it stored or cached.
     """
-    blocked = words.selectExpr("*", f"shiftright(word, {block_bits}) as block")
-    per_block = blocked.select(*PARTITION, "block").distinct()
-    known = per_block.join(frontiers.select(*PARTITION, "frontier"), PARTITION, "left").selectExpr(
-        *PARTITION, "block", "coalesce(frontier, -1L) as frontier"
+    per_block = _block_gaps(words, block_bits).selectExpr(
+        *PARTITION, "block", _FRONTIER.format(over="over (partition by topic, partition)")
     )
     # positions run one ahead of offsets; bits up to the frontier are cleared
     beyond = """case when word > shiftright(frontier + 2, 6) then mask
         when word = shiftright(frontier + 2, 6) then mask & shiftleft(-1L, cast((frontier + 2) & 63 as int))
         else 0L end"""
     return (
-        blocked.join(known, [*PARTITION, "block"])
+        words.selectExpr(*PARTITION, "word", "mask", f"shiftright(word, {block_bits}) as block")
+        .join(per_block, [*PARTITION, "block"])
         .selectExpr(*PARTITION, "word", f"{beyond} as mask", "frontier")
         .where("mask <> 0")
     )
@@ -178,9 +180,9 @@ def offsets_of_words(words: DataFrame) -> DataFrame:
 
 def held_offsets(confirmed: DataFrame, seeds: DataFrame, block_bits: int = BLOCK_WORD_BITS) -> DataFrame:
     """Confirmed offsets past the frontier, held back by a gap."""
-    words = merge_words(confirmed_bits(confirmed), seeds)
-    frontiers = frontier_of_words(words, block_bits)
-    return offsets_of_words(words_beyond(words, frontiers, block_bits))
+    # one long per 64 offsets is stored, so that the log is read once
+    words = settle(merge_words(confirmed_bits(confirmed), seeds))
+    return offsets_of_words(words_beyond(words, block_bits))
 
 
 def frontier_changes(reports: DataFrame, seq: str, initial: int | None = None) -> DataFrame:

@@ -58,8 +58,7 @@ def track_frontier(root: str, seeds: DataFrame, block_bits: int = BLOCK_WORD_BIT
         try:
             moved = frontier_of_words(words, block_bits)
             moved.write.mode("overwrite").parquet(batch_path(f"{root}/frontier", batch_id))
-            written = spark.read.schema(FRONTIERS).parquet(batch_path(f"{root}/frontier", batch_id))
-            rest = words_beyond(words, written, block_bits).select(HELD.names)
+            rest = words_beyond(words, block_bits).select(HELD.names)
             rest.write.mode("overwrite").parquet(batch_path(f"{root}/held", batch_id))
         finally:
             words.unpersist()

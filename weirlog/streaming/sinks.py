@@ -110,9 +110,10 @@ def progress(root: str) -> Sink:
 
 # --- document table -------------------------------------------------------------------------
 #
-# Each batch adds the new state of the documents it changed, by month. The current table is the
-# highest version of every document. Batch N looks only at what batches before N wrote, and
-# only at months its own rows fall into: a document id contains the time that gives its month.
+# Each batch adds the new state of the documents it changed, by month and in time order. The
+# current table is the highest version of every document. Batch N looks only at what batches
+# before N wrote, and of that only at months and times its own rows fall into: a document id
+# contains the time that the state is filed under, so no other state can belong to it.
 
 _KINDS = {
     "session_type": T.IntegerType(),
@@ -161,12 +162,12 @@ def fold_batch(updates: DataFrame, root: str, batch_id: int, **limits: int) -> D
     history = document_history(updates.sparkSession, root, before=batch_id)
     stored = None
     if history is not None:
-        # one entry per month touched, to prune folders
-        months = [row.month for row in updates.select("month").distinct().collect()]
+        # one row per month touched
+        spans = updates.groupBy("month").agg(F.expr("min(ts_nanos) as low"), F.expr("max(ts_nanos) as high")).collect()
+        inside = [f"month = '{s.month}' and ts_nanos between {s.low} and {s.high}" for s in spans]
+        history = history.where(F.col("month").isin([s.month for s in spans])).where(" or ".join(inside) or "false")
         touched = updates.select("month", "doc_id").distinct()
-        stored = latest_documents(
-            history.where(F.col("month").isin(months)).join(touched, ["month", "doc_id"], "left_semi"), "doc_id"
-        )
+        stored = latest_documents(history.join(touched, ["month", "doc_id"], "left_semi"), "doc_id")
     return fold_upserts(updates, "doc_id", LOG_ORDER, DOCUMENT_FIELDS, stored=stored, **limits)
 
 
@@ -176,4 +177,4 @@ def store_documents(folded: DataFrame, root: str, batch_id: int) -> None:
     changed = folded.where(F.col("outcome") != "noop").select(*states)
     # months are brought together into few files, and a month that is most of the batch is split
     latest = latest_documents(changed, "doc_id").hint("rebalance", "month")
-    latest.write.mode("overwrite").partitionBy("month").parquet(batch_path(root, batch_id))
+    latest.sortWithinPartitions("month", "ts_nanos").write.mode("overwrite").partitionBy("month").parquet(batch_path(root, batch_id))
