@@ -159,11 +159,11 @@ def test_bodies_fail_whole(spark):
     far = json.dumps([{**REQ, "msg": {"tsNanos": 2**64 - 1}}])
     values = [good, number, good[:-3], json.dumps(REQ), far, "[]", "[null]", "null"]
     df = spark.createDataFrame([(str(i), v) for i, v in enumerate(values)], "body_id string, value string")
-    assert sorted((r.body_id, r.place, r.req.id) for r in bodies.requests_of(df).collect()) == [
+    assert sorted((r.body_id, r.place, r.req.id) for r in bodies.requests_of(bodies.parse_bodies(df)).collect()) == [
         ("0", 0, "m1"),
         ("0", 1, "m2"),
     ]
-    assert {r.body_id: r.reason for r in bodies.bad_bodies(df).collect()} == {
+    assert {r.body_id: r.reason for r in bodies.bad_bodies(bodies.parse_bodies(df)).collect()} == {
         "1": "bad_element",
         "2": "not_an_array",
         "3": "not_an_array",
@@ -177,7 +177,7 @@ def test_bodies_from_files(spark, place):
     root = place("bodies")
     text = json.dumps([REQ], indent=1)
     spark.createDataFrame([(text,)], "value string").write.text(root)
-    (row,) = bodies.requests_of(bodies.read_bodies(spark, root)).collect()
+    (row,) = bodies.requests_of(bodies.parse_bodies(bodies.read_bodies(spark, root))).collect()
     assert row.req.id == "m1"
 
 

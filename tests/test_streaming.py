@@ -166,3 +166,29 @@ def test_progress_table(spark, place):
     (row,) = latest_progress(spark.read.parquet(root)).collect()
     assert (row.frontier, row.batch_id) == (9, 2)
     assert set(PARTITION) < set(row.asDict())
+
+
+def test_bodies_enter_the_chain(spark, place):
+    from weirlog.sources.bodies import stream_bodies
+
+    root = place("ingress")
+    two = [{**REQ, "id": name, "to": to} for name, to in (("0", REQ["to"]), ("1", []))]
+    texts = [json.dumps(two), json.dumps([{**REQ, "id": "2"}]), json.dumps([{"id": 7, "msg": "oops"}])]
+    sink = stages.ingress_stage(
+        sinks.file_topics(f"{root}/topics"), sinks.table(f"{root}/rsp"), sinks.table(f"{root}/aside"), "requests"
+    )
+
+    def land(text):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("append").text(f"{root}/bodies")
+
+    for text in texts[:1], texts[1:]:
+        for one in text:
+            land(one)
+        stages.drain(stream_bodies(spark, f"{root}/bodies"), sink, f"{root}/at")
+    sent = delivery.requests(sinks.read_topic(spark, f"{root}/topics", "requests")).collect()
+    assert {r.data.msgReq.id: r.problem for r in sent} == {"0": None, "1": "no_recipient", "2": None}
+    assert all(r.data.tsNanos > 0 for r in sent)
+    assert len({(r.partition, r.offset) for r in sent}) == 3
+    answers = spark.read.parquet(f"{root}/rsp").collect()
+    assert sorted((r.id, r.app, r.errCode, r.errMsg) for r in answers) == [(n, "chat", 0, "") for n in "012"]
+    assert [r.reason for r in spark.read.parquet(f"{root}/aside").collect()] == ["bad_element"]

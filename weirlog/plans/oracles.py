@@ -406,6 +406,11 @@ ORACLES: dict[str, str] = {
              FROM (SELECT *, off // 100 AS slice_no FROM log) s) f WHERE slice_no >= first_failed""",
         "log",
     ),
+    "stage_ingress": _sql(
+        f"""SELECT sender, CAST(1 AS INTEGER) AS type, {_REQUEST.format(ver='ver')}, CAST(0 AS INTEGER) AS err_code
+           FROM msg_flat WHERE conv_id % 10 NOT IN (3, 6) AND to_count > 0""",
+        "msg_flat",
+    ),
     "stage_accept": _sql(
         "SELECT 'deliveries' AS topic, part, off, sender, doc_id, CAST(1 AS INTEGER) AS code FROM accepted", "accepted"
     ),

@@ -76,7 +76,8 @@ def resume_offsets(spark, sf):
 
 @query
 def json_requests(spark, sf):
-    return bodies.requests_of(views.bodies(spark, sf)).selectExpr("body_id", "place", *_request_columns("req"))
+    parsed = bodies.parse_bodies(views.bodies(spark, sf))
+    return bodies.requests_of(parsed).selectExpr("body_id", "place", *_request_columns("req"))
 
 
 # --- sinks ----------------------------------------------------------------------------------
@@ -555,6 +556,22 @@ def stream_bounded(spark, sf):
     return spark.read.schema(sinks.LOG).parquet(root).selectExpr(*PLACE, "decode(value, 'UTF-8') as log_value")
 
 
+@query
+def stage_ingress(spark, sf):
+    root = scratch(spark, "ingress")
+    views.bodies(spark, sf).select("value").write.text(f"{root}/bodies")
+    sink = stages.ingress_stage(
+        sinks.file_topics(f"{root}/topics"), sinks.table(f"{root}/responses"), sinks.table(f"{root}/aside"), "requests"
+    )
+    stages.drain(bodies.stream_bodies(spark, f"{root}/bodies", whole_files=False), sink, f"{root}/progress")
+    sent = envelope.good(delivery.requests(sinks.read_topic(spark, f"{root}/topics", "requests")))
+    answered = spark.read.parquet(f"{root}/responses").selectExpr("id", "errCode as err_code")
+    sent = sent.selectExpr(
+        "decode(key, 'UTF-8') as sender", "data.type as type", *_request_columns("data.msgReq")
+    )
+    return sent.join(answered, "id")
+
+
 class _Store:
     """Folders of one run of the chained stages over the request log."""
 

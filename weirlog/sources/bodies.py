@@ -7,15 +7,19 @@ from pyspark.sql import DataFrame, SparkSession
 from weirlog.operators.envelope import CORRUPT, LONG_MAX, compute_once, parse_json, record
 from weirlog.schemas import MSG_REQ, MSG_REQ_WIDE
 
-_BODY = ("_metadata.file_path as body_id", "value")
+# The time a body landed is that of its file, so that reading it again gives the same.
+_BODY = ("_metadata.file_path as body_id", "value", "_metadata.file_modification_time as landed")
 
 
-def read_bodies(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).selectExpr(*_BODY)
+def read_bodies(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
+    """Bodies under ``path``: one per file, or one per line."""
+    return spark.read.text(path, wholetext=whole_files).selectExpr(*_BODY)
 
 
-def stream_bodies(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    reader = spark.readStream.option("wholetext", True)
+def stream_bodies(
+    spark: SparkSession, path: str, whole_files: bool = True, files_per_batch: int | None = None
+) -> DataFrame:
+    reader = spark.readStream.option("wholetext", whole_files)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.text(path).selectExpr(*_BODY)
@@ -36,14 +40,14 @@ def parse_bodies(bodies: DataFrame) -> DataFrame:
     return rows.selectExpr(*bodies.columns, "elements", f"{problem} as problem")
 
 
-def requests_of(bodies: DataFrame) -> DataFrame:
-    """The requests of good bodies: ``body_id, place, req``."""
-    good = parse_bodies(bodies).where("problem is null")
-    rows = good.selectExpr("body_id", "posexplode(elements) as (place, req)")
-    return rows.selectExpr("body_id", "place", f"{record('req', MSG_REQ)} as req")
+def requests_of(parsed: DataFrame) -> DataFrame:
+    """The requests of good parsed bodies: ``place`` in the body and ``req``."""
+    rest = [c for c in parsed.columns if c not in ("value", "elements", "problem")]
+    rows = parsed.where("problem is null").selectExpr(*rest, "posexplode(elements) as (place, req)")
+    return rows.selectExpr(*rest, "place", f"{record('req', MSG_REQ)} as req")
 
 
-def bad_bodies(bodies: DataFrame) -> DataFrame:
-    """Bodies set aside, as hex dumps."""
-    bad = parse_bodies(bodies).where("problem is not null")
+def bad_bodies(parsed: DataFrame) -> DataFrame:
+    """Parsed bodies set aside, as hex dumps."""
+    bad = parsed.where("problem is not null")
     return bad.selectExpr("body_id", "hex(value) as value_hex", "problem as reason")

@@ -1,10 +1,11 @@
-"""The three stages of a message store, chained through topics.
+"""The stages of a message store, chained through topics.
 
+``ingress``: landed request bodies -> request topic, and a response to each request.
 ``accept``: request topic -> delivery events, keyed by sender, on the store topic.
 ``store``: store topic -> document table, and a change event for each new document.
 ``changes``: change topic -> table of created documents for readers.
 
-Each is one streaming query over rows in log layout, from files or Kafka. A batch that fails is
+Each is one streaming query; all but the first read rows in log layout, from files or Kafka. A batch that fails is
 run again from the checkpoint; what it wrote is replaced, and replayed rows end as ``noop``.
 """
 
@@ -13,10 +14,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from weirlog.operators.delivery import accept, delivery_events, requests
+from weirlog.functions.identity import sender_key
+from weirlog.operators.delivery import accept, delivery_events, requests, response, wrap_request
 from weirlog.operators.envelope import decode, good, of_type, quarantine
 from weirlog.operators.upsert import created_events, document_updates
 from weirlog.schemas import STORE_EVENT, STORE_MSG_CREATED
+from weirlog.sources.bodies import bad_bodies, parse_bodies, requests_of
 from weirlog.streaming.sinks import Sink, fold_batch, log_rows, store_documents
 
 
@@ -31,6 +34,32 @@ def drain(stream: DataFrame, sink: Sink, checkpoint: str) -> None:
     start(stream, sink, checkpoint).awaitTermination()
 
 
+def ingress_stage(topics: Sink, responses: Sink, aside: Sink, request_topic: str) -> Sink:
+    """Takes bodies (see ``sources.bodies``) rather than log rows.
+
+    Landed bodies have no log position. They get one that rises from batch to batch and, within
+    a task, in the order of the rows. A broker gives positions of its own.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        parsed = parse_bodies(batch).persist()
+        try:
+            rows = requests_of(parsed).selectExpr(
+                f"{sender_key('req.`from`')} as sender",
+                f"{wrap_request('req', 'unix_micros(landed) * 1000')} as request",
+                "spark_partition_id() as partition",
+                f"{batch_id << 33}L + (monotonically_increasing_id() & {(1 << 33) - 1}L) as offset",
+                "landed as timestamp",
+            )
+            topics(log_rows(rows, f"'{request_topic}'", "sender", "request"), batch_id)
+            responses(requests_of(parsed).selectExpr("body_id", "place", f"inline(array({response('req')}))"), batch_id)
+            aside(bad_bodies(parsed), batch_id)
+        finally:
+            parsed.unpersist()
+
+    return run
+
+
 def accept_stage(topics: Sink, aside: Sink, store_topic: str) -> Sink:
     def run(batch: DataFrame, batch_id: int) -> None:
         rows = requests(batch).persist()
