@@ -41,6 +41,7 @@ def test_decoding_and_quarantine(spark):
             request(msg="oops"),
             json.dumps({"type": 1, "tsNanos": 2**64 - 1, "msgReq": REQ}),
             "",
+            f"[{request()}]",
         )
     )
     problems = [r.problem for r in rows.orderBy("offset").collect()]
@@ -56,12 +57,13 @@ def test_decoding_and_quarantine(spark):
         "undecodable",
         "ts_out_of_range",
         "undecodable",
+        "undecodable",
     ]
     aside = envelope.quarantine(rows)
-    assert {r.offset for r in aside.collect()} == {1, 3, 5, 6, 7, 8, 9, 10}
+    assert {r.offset for r in aside.collect()} == {1, 3, 5, 6, 7, 8, 9, 10, 11}
     first = aside.where("offset = 1").first()
     assert (first.key_hex, first.value_hex) == ("6B", b"{bad".hex().upper())
-    assert envelope.confirmed(rows).count() == 11
+    assert envelope.confirmed(rows).count() == 12
     counts = {r.type: r.records for r in envelope.type_counts(envelope.good(rows)).collect()}
     assert counts == {1: 1, 0: 1}
 
@@ -157,7 +159,7 @@ def test_codes(spark):
 def test_bodies_fail_whole(spark):
     good, number = json.dumps([REQ, {**REQ, "id": "m2"}]), json.dumps([REQ, {"id": 7, "msg": "oops"}])
     far = json.dumps([{**REQ, "msg": {"tsNanos": 2**64 - 1}}])
-    values = [good, number, good[:-3], json.dumps(REQ), far, "[]", "[null]", "null"]
+    values = [good, number, good[:-3], json.dumps(REQ), far, "[]", "[null]", "null", f"[{json.dumps([REQ])}]"]
     df = spark.createDataFrame([(str(i), v) for i, v in enumerate(values)], "body_id string, value string")
     assert sorted((r.body_id, r.place, r.req.id) for r in bodies.requests_of(bodies.parse_bodies(df)).collect()) == [
         ("0", 0, "m1"),
@@ -170,6 +172,7 @@ def test_bodies_fail_whole(spark):
         "4": "ts_out_of_range",
         "6": "bad_element",
         "7": "not_an_array",
+        "8": "bad_element",
     }
 
 

@@ -7,7 +7,7 @@ from weirlog.operators import delivery, envelope, upsert
 from weirlog.operators.progress import PARTITION
 from weirlog.sources import logs
 from weirlog.streaming import sinks, stages
-from weirlog.streaming.frontier import HELD, _state, current_frontier, track_frontier
+from weirlog.streaming.frontier import current_frontier, held_words, track_frontier
 from tests.test_envelope import REQ, log
 
 
@@ -127,10 +127,22 @@ def test_frontier_of_a_shuffled_stream(spark, place):
             sink(spark.createDataFrame(rows, key), batch_id)
         seen.append({r.partition: r.frontier for r in current_frontier(spark, root).collect()})
     assert seen == [{0: 9, 1: 0, 2: 4}, {0: 12, 1: 0, 2: 4}, {0: 301, 1: 0, 2: 4}]
-    held = _state(spark, f"{root}/held", HELD, None).collect()
+    held = held_words(spark, root).collect()
     assert [(r.partition, r.word, r.mask) for r in held] == [(1, 0, 1 << 3)]
 
 
+def test_frontier_state_with_nothing_held(spark, place):
+    root = place("frontier-plain")
+    key = "topic string, partition int, offset bigint"
+    seeds = spark.createDataFrame([("t", 0, -1)], "topic string, partition int, frontier bigint")
+    sink = track_frontier(root, seeds)
+    seen = []
+    for batch_id, offsets in enumerate(([0, 2], [1], [3], [5], [4])):
+        sink(spark.createDataFrame([("t", 0, o) for o in offsets], key), batch_id)
+        seen.append(current_frontier(spark, root).first().frontier)
+    assert seen == [0, 2, 3, 3, 5]
+
+
 def test_bounded_batches(spark, place):
     root, out = place("bounded"), place("bounded-out")
     log(spark, *["x"] * 40).repartition(8, "offset").write.parquet(root)

@@ -17,6 +17,10 @@ def parse_json(text: str, schema: T.StructType) -> str:
     return f"from_json({text}, '{checked.simpleString()}', {options})"
 
 
+def not_an_object(text: str) -> str:
+    return f"left(ltrim({text}), 1) <> '{{'"
+
+
 def record(parsed: str, schema: T.StructType) -> str:
     """A parsed struct without its corrupt-record field."""
     fields = ", ".join(f"'{name}', {parsed}.`{name}`" for name in schema.names)
@@ -35,7 +39,8 @@ def compute_once(rows: DataFrame, name: str, value: str) -> DataFrame:
 def parse_problem(text: str, parsed: str, wide: T.StructType | None = None, nanos: list[str] | None = None) -> str:
     """Null for a record that decoded, otherwise why it did not.
 
-    ``wide`` is the schema with decimal nanosecond fields and ``nanos`` their paths. It is
+    Text that is not an object is refused by its first character: the parser would take an array
+    of one record for the record. ``wide`` is the schema with decimal nanosecond fields and ``nanos`` their paths. It is
     consulted for corrupt records only.
     """
     reason = "'undecodable'"
@@ -44,7 +49,8 @@ def parse_problem(text: str, parsed: str, wide: T.StructType | None = None, nano
         over = " or ".join(f"coalesce({again}.{path} > {LONG_MAX}, false)" for path in nanos or [])
         reason = f"if({again}.{CORRUPT} is null and ({over}), 'ts_out_of_range', {reason})"
     return f"""case when {text} is null then 'null_record'
-        when {parsed} is null or {parsed}.{CORRUPT} is not null then {reason} end"""
+        when {parsed} is null or {not_an_object(text)} then 'undecodable'
+        when {parsed}.{CORRUPT} is not null then {reason} end"""
 
 
 def decode(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weirlog.operators.envelope import CORRUPT, LONG_MAX, compute_once, parse_json, record
+from weirlog.operators.envelope import CORRUPT, LONG_MAX, compute_once, not_an_object, parse_json, record
 from weirlog.schemas import MSG_REQ, MSG_REQ_WIDE
 
 # The time a body landed is that of its file, so that reading it again gives the same.
@@ -36,6 +36,7 @@ def parse_bodies(bodies: DataFrame) -> DataFrame:
     beyond = f"exists(_parts, e -> coalesce({parse_json('e', MSG_REQ_WIDE)}.msg.tsNanos > {LONG_MAX}, false))"
     damaged = f"exists(elements, e -> e is null or e.{CORRUPT} is not null)"
     problem = f"""case when _parts is null then 'not_an_array'
+        when exists(_parts, e -> {not_an_object('e')}) then 'bad_element'
         when {damaged} then if({beyond}, 'ts_out_of_range', 'bad_element') end"""
     return rows.selectExpr(*bodies.columns, "elements", f"{problem} as problem")
 

@@ -27,18 +27,26 @@ FRONTIERS = T.StructType([*_PARTITION, T.StructField("frontier", T.LongType())])
 HELD = T.StructType([*_PARTITION, T.StructField("word", T.LongType()), T.StructField("mask", T.LongType())])
 
 
-def _state(spark: SparkSession, root: str, schema: T.StructType, before: int | None) -> DataFrame:
-    """State after the last batch (before ``before``); empty when there was none."""
+def _last_batch(spark: SparkSession, root: str, before: int | None = None) -> int | None:
+    """The last batch (before ``before``) that wrote its state. Frontiers are written last and
+    are never empty, unlike what is held back."""
     try:
-        found = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(root)
+        batches = spark.read.schema(T.StructType([*FRONTIERS.fields, T.StructField("batch", T.LongType())])).parquet(
+            f"{root}/frontier"
+        )
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return None
     if before is not None:
-        found = found.where(F.col("batch") < before)
-    last = found.agg(F.max("batch")).first()[0]
-    return found.where(F.col("batch") == F.lit(last)).select(schema.names)
+        batches = batches.where(f"batch < {before}")
+    return batches.agg(F.expr("max(batch) as last")).first().last
+
+
+def _state(spark: SparkSession, root: str, part: str, schema: T.StructType, batch_id: int | None) -> DataFrame:
+    if batch_id is None:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(batch_path(f"{root}/{part}", batch_id))
 
 
 def track_frontier(root: str, seeds: DataFrame, block_bits: int = BLOCK_WORD_BITS) -> Sink:
@@ -49,17 +57,18 @@ def track_frontier(root: str, seeds: DataFrame, block_bits: int = BLOCK_WORD_BIT
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        known = _state(spark, f"{root}/frontier", FRONTIERS, batch_id)
-        held = _state(spark, f"{root}/held", HELD, batch_id)
+        last = _last_batch(spark, root, batch_id)
+        known = _state(spark, root, "frontier", FRONTIERS, last)
         started = known.unionByName(seeds.select(FRONTIERS.names)).groupBy(*PARTITION).agg(
-            F.max("frontier").alias("frontier")
+            F.expr("max(frontier) as frontier")
         )
+        held = _state(spark, root, "held", HELD, last)
         words = merge_words(confirmed_bits(batch).unionByName(held), started).persist()
         try:
-            moved = frontier_of_words(words, block_bits)
-            moved.write.mode("overwrite").parquet(batch_path(f"{root}/frontier", batch_id))
             rest = words_beyond(words, block_bits).select(HELD.names)
             rest.write.mode("overwrite").parquet(batch_path(f"{root}/held", batch_id))
+            moved = frontier_of_words(words, block_bits)
+            moved.write.mode("overwrite").parquet(batch_path(f"{root}/frontier", batch_id))
         finally:
             words.unpersist()
 
@@ -67,4 +76,9 @@ def track_frontier(root: str, seeds: DataFrame, block_bits: int = BLOCK_WORD_BIT
 
 
 def current_frontier(spark: SparkSession, root: str) -> DataFrame:
-    return _state(spark, f"{root}/frontier", FRONTIERS, None)
+    return _state(spark, root, "frontier", FRONTIERS, _last_batch(spark, root))
+
+
+def held_words(spark: SparkSession, root: str) -> DataFrame:
+    """Masks of confirmed offsets that wait for a gap to fill."""
+    return _state(spark, root, "held", HELD, _last_batch(spark, root))
