@@ -204,3 +204,42 @@ def test_bodies_enter_the_chain(spark, place):
     answers = spark.read.parquet(f"{root}/rsp").collect()
     assert sorted((r.id, r.app, r.errCode, r.errMsg) for r in answers) == [(n, "chat", 0, "") for n in "012"]
     assert [r.reason for r in spark.read.parquet(f"{root}/aside").collect()] == ["bad_element"]
+
+
+def test_a_crash_between_writes_is_repaired_by_the_restart(spark, place):
+    root = place("crash")
+    chain = Chain(spark, root)
+    failures = [RuntimeError("lost after the documents were written")]
+    topics = sinks.file_topics(f"{root}/stored")
+
+    def flaky(rows, batch_id):
+        if failures:
+            raise failures.pop()
+        topics(rows, batch_id)
+
+    chain.store = stages.store_stage(flaky, sinks.table(f"{root}/aside2"), f"{root}/documents", "changes", "docs")
+    chain.land(requests(spark, FIRST).coalesce(1))
+    with pytest.raises(Exception, match="lost after"):
+        chain.run()
+    assert len(chain.documents()) == 3
+    chain.run()
+    assert {k: v[-1] for k, v in chain.documents().items()} == {"0": 1, "1": 1, "2": 1}
+    assert chain.created() == ["0", "1", "2"]
+
+
+def test_progress_beside_a_stage_gives_resume_positions(spark, place):
+    from weirlog.operators.progress import partition_ranges, resume_offsets
+
+    root = place("beside")
+    chain = Chain(spark, root)
+    seeds = spark.createDataFrame([("t", 0, -1)], "topic string, partition int, frontier bigint")
+    both = sinks.fan_out(chain.accept, track_frontier(f"{root}/progress", seeds))
+    chain.land(requests(spark, FIRST).coalesce(1))
+    stages.drain(logs.stream_log(spark, f"{root}/requests"), both, f"{root}/at")
+    saved = current_frontier(spark, f"{root}/progress").withColumnRenamed("frontier", "saved")
+    ranges = partition_ranges(logs.read_log(spark, f"{root}/requests"))
+    (row,) = resume_offsets(ranges, saved).collect()
+    # the undecodable row is confirmed like the others
+    assert (row.saved, row.first_offset, row.start) == (4, 5, -1)
+    more = ranges.selectExpr("topic", "partition", "oldest", "newest + 3 as newest")
+    assert resume_offsets(more, saved).first().start == 5

@@ -21,8 +21,8 @@ from weirlog.functions.unions import tagged
 from weirlog.schemas import DOCUMENT_TYPE, STORE_MSG_CREATED
 from weirlog.session import join_lookup, settle
 
-HOT_ROWS = 4_000_000
-SLICE_ROWS = 1_000_000
+HOT_ROWS = 1_000_000
+SLICE_ROWS = 500_000
 SEED = "_seed_version"
 SLICE = "_slice"
 

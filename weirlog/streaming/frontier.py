@@ -30,6 +30,8 @@ HELD = T.StructType([*_PARTITION, T.StructField("word", T.LongType()), T.StructF
 def _last_batch(spark: SparkSession, root: str, before: int | None = None) -> int | None:
     """The last batch (before ``before``) that wrote its state. Frontiers are written last and
     are never empty, unlike what is held back."""
+    if before == 0:
+        return None
     try:
         batches = spark.read.schema(T.StructType([*FRONTIERS.fields, T.StructField("batch", T.LongType())])).parquet(
             f"{root}/frontier"

@@ -138,6 +138,8 @@ DOCUMENTS = T.StructType(
 
 def document_history(spark: SparkSession, root: str, before: int | None = None) -> DataFrame | None:
     """Every stored state, of batches before ``before``; None when nothing was ever stored."""
+    if before == 0:
+        return None
     try:
         rows = spark.read.schema(DOCUMENTS).parquet(root)
     except AnalysisException as error:
