@@ -24,7 +24,7 @@ def connect(sf: str) -> duckdb.DuckDBPyConnection:
 def _rows(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame[sorted(frame.columns)].astype(object)
     frame = frame.where(frame.notna(), None)
-    return frame.map(lambda v: repr(round(v, 9)) if isinstance(v, float) else str(v)).sort_values(
+    return frame.map(lambda v: repr(v) if isinstance(v, float) else str(v)).sort_values(
         list(frame.columns)
     ).reset_index(drop=True)
 

@@ -92,8 +92,8 @@ _VIEWS: dict[str, tuple[str, list[str]]] = {
            FROM msg_flat
            UNION ALL
            SELECT *, 'requests', CAST(conv_id % 4 AS INTEGER), conv_id // 4 * 1048576 + 524288 + turn, 2,
-             CAST(CASE WHEN turn % 2 = 0 THEN 2 ELSE 1 END AS BIGINT), NULL, 1
-           FROM msg_flat WHERE conv_id % 3 = 0""",
+             CAST(CASE role WHEN 'user' THEN 2 ELSE 1 END AS BIGINT), NULL, 1
+           FROM msg_flat""",
         ["msg_flat"],
     ),
     "accepted": (
@@ -314,7 +314,8 @@ ORACLES: dict[str, str] = {
         "log",
     ),
     "upsert_lookup": _sql(
-        """SELECT doc_id, CASE WHEN conv_id % 2 = 1 THEN turn + 1 ELSE 0 END AS stored_version, conv_id % 2 = 1 AS found
+        """SELECT doc_id, CASE role WHEN 'assistant' THEN turn + 1 ELSE 0 END AS stored_version,
+             role = 'assistant' AS found
            FROM msg_flat""",
         "msg_flat",
     ),

@@ -376,8 +376,8 @@ def correlate_outcome(spark, sf):
 
 @query
 def upsert_lookup(spark, sf):
-    batch = views.messages(spark, sf).selectExpr(f"{identity.document_id('req')} as doc_id", "conv_id", "turn")
-    documents = batch.where("conv_id % 2 = 1").selectExpr("doc_id", "turn + 1 as version")
+    batch = views.messages(spark, sf).selectExpr(f"{identity.document_id('req')} as doc_id", "role", "turn")
+    documents = batch.where("role = 'assistant'").selectExpr("doc_id", "turn + 1 as version")
     return upsert.lookup_existing(batch.select("doc_id"), documents).selectExpr(
         "doc_id", "coalesce(stored_version, 0) as stored_version", "stored_version is not null as found"
     )
@@ -531,17 +531,17 @@ def remaining_after_failure(spark, sf):
 # --- streams --------------------------------------------------------------------------------
 
 
-def _files(spark: SparkSession) -> int:
-    """Files to spread a written log over. A micro-batch takes a quarter of them."""
-    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+# Bounds of a micro-batch, whatever the size of the tables.
+ROWS_PER_FILE = 1_000_000
+FILES_PER_BATCH = 1_000
 
 
 def _event_stream(spark: SparkSession, sf: str, keep: str = "true") -> DataFrame:
-    """The event log written out by offset and read back as a stream of about four batches."""
-    root, files = scratch(spark, "event-log"), _files(spark)
-    rows = views.raw_log(views.event_log(spark, sf).where(keep))
-    rows.repartition(files, *PARTITION, "offset").write.parquet(root)
-    return logs.stream_log(spark, root, files_per_batch=-(-files // 4))
+    """The event log written out by offset and read back as a stream, a few files at a time."""
+    root, tasks = scratch(spark, "event-log"), max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = views.raw_log(views.event_log(spark, sf).where(keep)).repartition(tasks, *PARTITION, "offset")
+    rows.write.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(root)
+    return logs.stream_log(spark, root, files_per_batch=min(-(-tasks // 4), FILES_PER_BATCH))
 
 
 def _accepted(log: DataFrame) -> DataFrame:
@@ -563,7 +563,7 @@ def stage_ingress(spark, sf):
     sink = stages.ingress_stage(
         sinks.file_topics(f"{root}/topics"), sinks.table(f"{root}/responses"), sinks.table(f"{root}/aside"), "requests"
     )
-    stages.drain(bodies.stream_bodies(spark, f"{root}/bodies", whole_files=False), sink, f"{root}/progress")
+    stages.drain(bodies.stream_bodies(spark, f"{root}/bodies", False, FILES_PER_BATCH), sink, f"{root}/progress")
     sent = envelope.good(delivery.requests(sinks.read_topic(spark, f"{root}/topics", "requests")))
     answered = spark.read.parquet(f"{root}/responses").selectExpr("id", "errCode as err_code")
     sent = sent.selectExpr(
@@ -588,7 +588,7 @@ class _Store:
 
     def accept(self) -> DataFrame:
         sink = stages.accept_stage(sinks.file_topics(f"{self.root}/accepted"), self._aside("accept"), "deliveries")
-        stages.drain(logs.stream_log(self.spark, f"{self.root}/requests"), sink, f"{self.root}/at-accept")
+        stages.drain(logs.stream_log(self.spark, f"{self.root}/requests", FILES_PER_BATCH), sink, f"{self.root}/at-accept")
         return sinks.read_topic(self.spark, f"{self.root}/accepted", "deliveries")
 
     def store(self) -> DataFrame:
@@ -596,14 +596,15 @@ class _Store:
         sink = stages.store_stage(
             sinks.file_topics(f"{self.root}/stored"), self._aside("store"), self.documents, "changes", INDEX
         )
-        stream = sinks.stream_topic(self.spark, f"{self.root}/accepted", "deliveries")
+        stream = sinks.stream_topic(self.spark, f"{self.root}/accepted", "deliveries", FILES_PER_BATCH)
         stages.drain(stream, sink, f"{self.root}/at-store")
         return sinks.read_topic(self.spark, f"{self.root}/stored", "changes")
 
     def changes(self) -> DataFrame:
         self.store()
         sink = stages.changes_stage(sinks.table(f"{self.root}/created"), self._aside("changes"))
-        stages.drain(sinks.stream_topic(self.spark, f"{self.root}/stored", "changes"), sink, f"{self.root}/at-changes")
+        stream = sinks.stream_topic(self.spark, f"{self.root}/stored", "changes", FILES_PER_BATCH)
+        stages.drain(stream, sink, f"{self.root}/at-changes")
         return self.spark.read.parquet(f"{self.root}/created")
 
 

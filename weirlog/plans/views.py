@@ -152,8 +152,8 @@ def first_requests(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def repeated_requests(spark: SparkSession, sf: str) -> DataFrame:
-    """A second delivery of every third conversation; even turns carry a new version."""
-    rows = messages(spark, sf, "if(turn % 2 = 0, 2, 1)").where("conv_id % 3 = 0")
+    """A second delivery of every turn, the users' turns with a new version."""
+    rows = messages(spark, sf, "if(role = 'user', 2, 1)")
     return _placed(rows, "requests", f"to_json({wrap_request('req', 'ts_nanos')})", step=1)
 
 
