@@ -136,6 +136,13 @@ def frontier_of_words(words: DataFrame, block_bits: int = BLOCK_WORD_BITS) -> Da
     return _block_gaps(words, block_bits).groupBy(*PARTITION).agg(F.expr(_FRONTIER.format(over="")))
 
 
+def frontier_of_blocks(words: DataFrame, block_bits: int = BLOCK_WORD_BITS) -> DataFrame:
+    """The same, repeated for every block of the partition: a join key as fine as the blocks, so
+    that a single large partition does not end up in one task."""
+    over = "over (partition by topic, partition)"
+    return _block_gaps(words, block_bits).selectExpr(*PARTITION, "block", _FRONTIER.format(over=over))
+
+
 def frontier(confirmed: DataFrame, seeds: DataFrame, block_bits: int = BLOCK_WORD_BITS) -> DataFrame:
     """Greatest offset up to which everything after the seed is confirmed, per partition.
 
@@ -147,24 +154,17 @@ def frontier(confirmed: DataFrame, seeds: DataFrame, block_bits: int = BLOCK_WOR
     return frontier_of_words(merge_words(confirmed_bits(confirmed), seeds), block_bits)
 
 
-def words_beyond(words: DataFrame, block_bits: int = BLOCK_WORD_BITS) -> DataFrame:
-    """Of merged words, the masks that hold a confirmed offset past the frontier, with the frontier.
-
-    Frontiers are handed to every block of their partition first, so that the join key is as
-    fine as the blocks and a single large partition does not end up in one task. ``words`` is
-    read twice; give it stored or cached.
-    """
-    per_block = _block_gaps(words, block_bits).selectExpr(
-        *PARTITION, "block", _FRONTIER.format(over="over (partition by topic, partition)")
-    )
+def words_beyond(words: DataFrame, frontiers: DataFrame, block_bits: int = BLOCK_WORD_BITS) -> DataFrame:
+    """Of merged words, the masks that hold a confirmed offset past the frontier, given
+    ``frontier_of_blocks``."""
     # positions run one ahead of offsets; bits up to the frontier are cleared
     beyond = """case when word > shiftright(frontier + 2, 6) then mask
         when word = shiftright(frontier + 2, 6) then mask & shiftleft(-1L, cast((frontier + 2) & 63 as int))
         else 0L end"""
     return (
         words.selectExpr(*PARTITION, "word", "mask", f"shiftright(word, {block_bits}) as block")
-        .join(per_block, [*PARTITION, "block"])
-        .selectExpr(*PARTITION, "word", f"{beyond} as mask", "frontier")
+        .join(frontiers, [*PARTITION, "block"])
+        .selectExpr(*PARTITION, "frontier", "word", f"{beyond} as mask")
         .where("mask <> 0")
     )
 
@@ -182,7 +182,7 @@ def held_offsets(confirmed: DataFrame, seeds: DataFrame, block_bits: int = BLOCK
     """Confirmed offsets past the frontier, held back by a gap."""
     # one long per 64 offsets is stored, so that the log is read once
     words = settle(merge_words(confirmed_bits(confirmed), seeds))
-    return offsets_of_words(words_beyond(words, block_bits))
+    return offsets_of_words(words_beyond(words, frontier_of_blocks(words, block_bits), block_bits))
 
 
 def frontier_changes(reports: DataFrame, seq: str, initial: int | None = None) -> DataFrame:

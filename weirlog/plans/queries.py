@@ -643,5 +643,5 @@ def frontier_stream(spark, sf):
     seeds = settle(views.saved_offsets(views.event_log(spark, sf), "frontier"))
     root = scratch(spark, "frontier")
     stream = _event_stream(spark, sf, f"not {views.IS_ERROR}").select(*PARTITION, "offset")
-    stages.drain(stream, track_frontier(root, seeds), f"{root}/progress")
+    stages.drain(stream, track_frontier(root, seeds), scratch(spark, "frontier-progress"))
     return current_frontier(spark, root).selectExpr("topic", "partition as part", "frontier")

@@ -1,8 +1,9 @@
 """Contiguous frontier of a stream whose offsets are confirmed out of order.
 
 State between batches is the frontier of each partition and the masks of offsets held back
-beyond it. Batch N reads the state written by the last batch before N and writes its own, so a
-replay starts from the same state.
+beyond it, in one table: a row without a mask per partition, and a row per mask. Batch N reads
+the state written by the last batch before N and writes its own, so a replay starts from the
+same state.
 """
 
 from __future__ import annotations
@@ -16,39 +17,37 @@ from weirlog.operators.progress import (
     BLOCK_WORD_BITS,
     PARTITION,
     confirmed_bits,
-    frontier_of_words,
+    frontier_of_blocks,
     merge_words,
     words_beyond,
 )
-from weirlog.streaming.sinks import Sink, batch_path
-
-_PARTITION = [T.StructField("topic", T.StringType()), T.StructField("partition", T.IntegerType())]
-FRONTIERS = T.StructType([*_PARTITION, T.StructField("frontier", T.LongType())])
-HELD = T.StructType([*_PARTITION, T.StructField("word", T.LongType()), T.StructField("mask", T.LongType())])
-
-
-def _last_batch(spark: SparkSession, root: str, before: int | None = None) -> int | None:
-    """The last batch (before ``before``) that wrote its state. Frontiers are written last and
-    are never empty, unlike what is held back."""
-    if before == 0:
-        return None
-    try:
-        batches = spark.read.schema(T.StructType([*FRONTIERS.fields, T.StructField("batch", T.LongType())])).parquet(
-            f"{root}/frontier"
-        )
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    if before is not None:
-        batches = batches.where(f"batch < {before}")
-    return batches.agg(F.expr("max(batch) as last")).first().last
+from weirlog.streaming.sinks import Sink, batch_path, table
+
+STATE = T.StructType(
+    [
+        T.StructField("topic", T.StringType()),
+        T.StructField("partition", T.IntegerType()),
+        T.StructField("frontier", T.LongType()),
+        T.StructField("word", T.LongType()),
+        T.StructField("mask", T.LongType()),
+    ]
+)
 
 
-def _state(spark: SparkSession, root: str, part: str, schema: T.StructType, batch_id: int | None) -> DataFrame:
-    if batch_id is None:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(batch_path(f"{root}/{part}", batch_id))
+def _last_state(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
+    """State after the last batch (before ``before``); empty when there was none."""
+    last = None
+    if before != 0:
+        try:
+            batches = spark.read.schema(T.StructType([*STATE.fields, T.StructField("batch", T.LongType())])).parquet(root)
+            earlier = batches if before is None else batches.where(f"batch < {before}")
+            last = earlier.agg(F.expr("max(batch) as last")).first().last
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+    if last is None:
+        return spark.createDataFrame([], STATE)
+    return spark.read.schema(STATE).parquet(batch_path(root, last))
 
 
 def track_frontier(root: str, seeds: DataFrame, block_bits: int = BLOCK_WORD_BITS) -> Sink:
@@ -56,21 +55,19 @@ def track_frontier(root: str, seeds: DataFrame, block_bits: int = BLOCK_WORD_BIT
 
     ``seeds`` gives the frontier of each partition before the stream began.
     """
+    write = table(root)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        last = _last_batch(spark, root, batch_id)
-        known = _state(spark, root, "frontier", FRONTIERS, last)
-        started = known.unionByName(seeds.select(FRONTIERS.names)).groupBy(*PARTITION).agg(
-            F.expr("max(frontier) as frontier")
-        )
-        held = _state(spark, root, "held", HELD, last)
+        state = _last_state(batch.sparkSession, root, batch_id)
+        known = state.select(*PARTITION, "frontier").unionByName(seeds.select(*PARTITION, "frontier"))
+        started = known.groupBy(*PARTITION).agg(F.expr("max(frontier) as frontier"))
+        held = state.where("word is not null").select(*PARTITION, "word", "mask")
         words = merge_words(confirmed_bits(batch).unionByName(held), started).persist()
         try:
-            rest = words_beyond(words, block_bits).select(HELD.names)
-            rest.write.mode("overwrite").parquet(batch_path(f"{root}/held", batch_id))
-            moved = frontier_of_words(words, block_bits)
-            moved.write.mode("overwrite").parquet(batch_path(f"{root}/frontier", batch_id))
+            frontiers = frontier_of_blocks(words, block_bits)
+            moved = frontiers.select(*PARTITION, "frontier").distinct()
+            moved = moved.selectExpr("*", "cast(null as bigint) as word", "cast(null as bigint) as mask")
+            write(moved.unionByName(words_beyond(words, frontiers, block_bits)), batch_id)
         finally:
             words.unpersist()
 
@@ -78,9 +75,9 @@ def track_frontier(root: str, seeds: DataFrame, block_bits: int = BLOCK_WORD_BIT
 
 
 def current_frontier(spark: SparkSession, root: str) -> DataFrame:
-    return _state(spark, root, "frontier", FRONTIERS, _last_batch(spark, root))
+    return _last_state(spark, root).where("word is null").select(*PARTITION, "frontier")
 
 
 def held_words(spark: SparkSession, root: str) -> DataFrame:
     """Masks of confirmed offsets that wait for a gap to fill."""
-    return _state(spark, root, "held", HELD, _last_batch(spark, root))
+    return _last_state(spark, root).where("word is not null")
