@@ -3,8 +3,9 @@
 A window over ``topic, partition`` would put a whole partition into one task. Instead each key
 is cut into blocks of consecutive sequence numbers. Blocks are reduced to one row each, the
 small block table is windowed, and the result is carried back into the blocks by an equi-join
-on ``key, block``. That join and the window inside the blocks share one shuffle, and because
-sequence numbers are unique within a key no block exceeds ``2 ** bits`` rows.
+on ``key, block``. The window inside the blocks comes first, so that the join finds its rows
+partitioned and sorted: one shuffle and one sort of the data. Because sequence numbers are unique
+within a key, no block exceeds ``2 ** bits`` rows.
 
 Keys and sequence numbers must not be null. Aggregates are given as SQL.
 """
@@ -32,11 +33,12 @@ def with_prefix(
     partials: dict[str, str],
     before: dict[str, str] | None = None,
     overall: dict[str, str] | None = None,
+    local: dict[str, str] | None = None,
     bits: int = BLOCK_BITS,
 ) -> DataFrame:
     """Add per-block carry columns.
 
-    ``partials`` are aggregates of each block. ``before`` are aggregates of the partials over
+    ``local`` are columns with windows inside the block. ``partials`` are aggregates of each block. ``before`` are aggregates of the partials over
     all earlier blocks of the key (null in the first), ``overall`` over all of its blocks.
     """
     key = ", ".join(keys)
@@ -46,6 +48,8 @@ def with_prefix(
     carry = table.selectExpr(
         *keys, BLOCK, *_named(before, earlier), *_named(overall, f"over (partition by {key})")
     )
+    if local:
+        blocked = blocked.selectExpr("*", *_named(local))
     return blocked.join(carry, [*keys, BLOCK])
 
 
@@ -62,10 +66,17 @@ def number_rows(
     df: DataFrame, keys: list[str], seq: str, name: str = "n", *, start: int = 0, bits: int = BLOCK_BITS
 ) -> DataFrame:
     """Dense numbers ``start + 1, start + 2, ...`` per key in ``seq`` order."""
-    carried = with_prefix(df, keys, seq, partials={"_rows": "count(1)"}, before={"_base": "sum(_rows)"}, bits=bits)
-    place = f"row_number() over ({in_block(keys, seq)})"
+    carried = with_prefix(
+        df,
+        keys,
+        seq,
+        partials={"_rows": "count(1)"},
+        before={"_base": "sum(_rows)"},
+        local={"_place": f"row_number() over ({in_block(keys, seq)})"},
+        bits=bits,
+    )
     return carried.selectExpr(
-        *_without(carried, BLOCK, "_base"), f"cast({place} + coalesce(_base, 0) + {start} as bigint) as {name}"
+        *_without(carried, BLOCK, "_base", "_place"), f"cast(_place + coalesce(_base, 0) + {start} as bigint) as {name}"
     )
 
 
@@ -73,12 +84,18 @@ def running_sum(
     df: DataFrame, keys: list[str], seq: str, value: str, name: str, *, bits: int = BLOCK_BITS
 ) -> DataFrame:
     """Sum of ``value`` from the first row of the key up to and including each row."""
+    upto = f"{in_block(keys, seq)} rows between unbounded preceding and current row"
     carried = with_prefix(
-        df, keys, seq, partials={"_sum": f"sum({value})"}, before={"_base": "sum(_sum)"}, bits=bits
+        df,
+        keys,
+        seq,
+        partials={"_sum": f"sum({value})"},
+        before={"_base": "sum(_sum)"},
+        local={"_upto": f"sum({value}) over ({upto})"},
+        bits=bits,
     )
-    upto = f"sum({value}) over ({in_block(keys, seq)} rows between unbounded preceding and current row)"
     return carried.selectExpr(
-        *_without(carried, BLOCK, "_base"), f"coalesce({upto}, 0) + coalesce(_base, 0) as {name}"
+        *_without(carried, BLOCK, "_base", "_upto"), f"coalesce(_upto, 0) + coalesce(_base, 0) as {name}"
     )
 
 
@@ -86,12 +103,19 @@ def previous_value(
     df: DataFrame, keys: list[str], seq: str, value: str, name: str, *, bits: int = BLOCK_BITS
 ) -> DataFrame:
     """``value`` of the preceding row of the key; null on its first row."""
+    within = f"over ({in_block(keys, seq)})"
     carried = with_prefix(
-        df, keys, seq, partials={"_last": f"max_by({value}, {seq})"}, before={"_carry": "last(_last)"}, bits=bits
+        df,
+        keys,
+        seq,
+        partials={"_last": f"max_by({value}, {seq})"},
+        before={"_carry": "last(_last)"},
+        local={"_first": f"row_number() {within} = 1", "_lag": f"lag({value}) {within}"},
+        bits=bits,
+    )
+    return carried.selectExpr(
+        *_without(carried, BLOCK, "_carry", "_first", "_lag"), f"if(_first, _carry, _lag) as {name}"
     )
-    within = f"over ({in_block(keys, seq)})"
-    previous = f"if(row_number() {within} = 1, _carry, lag({value}) {within})"
-    return carried.selectExpr(*_without(carried, BLOCK, "_carry"), f"{previous} as {name}")
 
 
 def number_by_range(
@@ -116,8 +140,8 @@ def number_by_range(
                 rows between unbounded preceding and 1 preceding) as _base""",
         )
     )
-    carried = sliced.join(base, [*keys, BLOCK])
-    place = f"row_number() over (partition by {key}, {BLOCK} order by {', '.join(order)})"
+    place = f"row_number() over (partition by {key}, {BLOCK} order by {', '.join(order)}) as _place"
+    carried = sliced.selectExpr("*", place).join(base, [*keys, BLOCK])
     return carried.selectExpr(
-        *_without(carried, BLOCK, "_base"), f"cast({place} + coalesce(_base, 0) + {start} as bigint) as {name}"
+        *_without(carried, BLOCK, "_base", "_place"), f"cast(_place + coalesce(_base, 0) + {start} as bigint) as {name}"
     )

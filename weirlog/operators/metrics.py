@@ -48,11 +48,14 @@ def throughput_checkpoints(rows: DataFrame, seq: str, micros: str, bits: int = B
         partials={"_rows": "count(1)", "_start": f"min({micros})"},
         before={"_base": "sum(_rows)"},
         overall={"_total": "sum(_rows)", "_began": "min(_start)"},
+        local={"_place": f"row_number() over ({in_block(keys, seq)})"},
         bits=bits,
     )
-    so_far = f"cast(row_number() over ({in_block(keys, seq)}) + coalesce(_base, 0) as bigint)"
     reports = carried.selectExpr(
-        "topic", f"{so_far} as messages", f"{checkpoint_step('_total')} as step", f"{micros} - _began as elapsed_us"
+        "topic",
+        "cast(_place + coalesce(_base, 0) as bigint) as messages",
+        f"{checkpoint_step('_total')} as step",
+        f"{micros} - _began as elapsed_us",
     ).where("messages % step = 0")
     return reports.selectExpr(
         "topic", "step", "messages", "elapsed_us", "messages * 1000000D / nullif(elapsed_us, 0) as per_second"

@@ -27,32 +27,33 @@ SEED = "_seed_version"
 SLICE = "_slice"
 
 
-def _outcomes(rows: DataFrame, keys: list[str], order: list[str], fields: list[str]) -> DataFrame:
+def _seen(rows: DataFrame, keys: list[str], order: list[str], fields: list[str]) -> DataFrame:
+    """Add what earlier rows of the group left: ``_old_*`` fields, and ``_first``."""
+    ordered = f"partition by {', '.join(keys)} order by {', '.join(order)}"
+    earlier = f"{ordered} rows between unbounded preceding and 1 preceding"
+    return rows.selectExpr(
+        "*",
+        *[f"last(`{f}`, true) over ({earlier}) as `_old_{f}`" for f in fields],
+        f"row_number() over ({ordered}) = 1 as _first",
+    )
+
+
+def _judged(seen: DataFrame, fields: list[str]) -> DataFrame:
     """Merge fields and add ``outcome`` and ``_step``, the versions a row adds.
 
     ``_carry_*`` columns, where present, hold the state before the group.
     """
-    carried = "_carry_seen" in rows.columns
-    ordered = f"partition by {', '.join(keys)} order by {', '.join(order)}"
-
-    def old(name: str) -> str:
-        value = f"last(`{name}`, true) over ({ordered} rows between unbounded preceding and 1 preceding)"
-        return f"coalesce({value}, `_carry_{name}`)" if carried else value
-
-    first = f"row_number() over ({ordered}) = 1" + (" and _carry_seen is null" if carried else "")
-    rest = [f"`{c}`" for c in rows.columns if c not in fields and not c.startswith("_carry_")]
-    seen = rows.selectExpr(
-        *rest, *[f"`{f}`" for f in fields], *[f"{old(f)} as `_old_{f}`" for f in fields], f"{first} as _first"
-    )
-    changed = " or ".join(f"(`{f}` is not null and not (`{f}` <=> `_old_{f}`))" for f in fields)
-    outcome = f"""case when {SEED} is not null then 'seed' when _first then 'created'
+    if "_carry_seen" in seen.columns:
+        old = {f: f"coalesce(`_old_{f}`, `_carry_{f}`)" for f in fields}
+        first = "_first and _carry_seen is null"
+    else:
+        old, first = {f: f"`_old_{f}`" for f in fields}, "_first"
+    changed = " or ".join(f"(`{f}` is not null and not (`{f}` <=> {old[f]}))" for f in fields)
+    outcome = f"""case when {SEED} is not null then 'seed' when {first} then 'created'
         when {changed} then 'updated' else 'noop' end"""
-    judged = seen.selectExpr(
-        *rest, *[f"coalesce(`{f}`, `_old_{f}`) as `{f}`" for f in fields], f"{outcome} as outcome"
-    )
-    return judged.selectExpr(
-        "*", f"case outcome when 'seed' then {SEED} when 'noop' then 0L else 1L end as _step"
-    )
+    rest = [f"`{c}`" for c in seen.columns if c not in fields and not c.startswith(("_old_", "_carry_", "_first"))]
+    judged = seen.selectExpr(*rest, *[f"coalesce(`{f}`, {old[f]}) as `{f}`" for f in fields], f"{outcome} as outcome")
+    return judged.selectExpr("*", f"case outcome when 'seed' then {SEED} when 'noop' then 0L else 1L end as _step")
 
 
 def _versions(rows: DataFrame, keys: list[str], order: list[str], base: str = "0L") -> DataFrame:
@@ -63,7 +64,7 @@ def _versions(rows: DataFrame, keys: list[str], order: list[str], base: str = "0
 
 
 def _fold_whole(rows: DataFrame, key: str, order: list[str], fields: list[str]) -> DataFrame:
-    return _versions(_outcomes(rows, [key], order, fields), [key], order)
+    return _versions(_judged(_seen(rows, [key], order, fields), fields), [key], order)
 
 
 def _fold_sliced(rows: DataFrame, key: str, order: list[str], fields: list[str], slices: int) -> DataFrame:
@@ -81,7 +82,7 @@ def _fold_sliced(rows: DataFrame, key: str, order: list[str], fields: list[str],
         f"sum(_rows) {before} as _carry_seen",
         *[f"last(`_last_{f}`, true) {before} as `_carry_{f}`" for f in fields],
     )
-    stepped = _outcomes(sliced.join(carry, keys), keys, order, fields)
+    stepped = _judged(_seen(sliced, keys, order, fields).join(carry, keys), fields)
     steps = stepped.groupBy(*keys).agg(F.expr("sum(_step) as _steps"))
     base = steps.selectExpr(*keys, f"sum(_steps) {before} as _base")
     return _versions(stepped.join(base, keys), keys, order, "coalesce(_base, 0L)")
