@@ -141,6 +141,8 @@ def test_frontier_state_with_nothing_held(spark, place):
         sink(spark.createDataFrame([("t", 0, o) for o in offsets], key), batch_id)
         seen.append(current_frontier(spark, root).first().frontier)
     assert seen == [0, 2, 3, 3, 5]
+    sink(spark.createDataFrame([("t", 0, 6)], key), 9)  # batch ids may leave gaps
+    assert current_frontier(spark, root).first().frontier == 6
 
 
 def test_bounded_batches(spark, place):
@@ -157,6 +159,14 @@ def test_bounded_batches(spark, place):
     assert spark.read.parquet(out).count() == 40
 
 
+def test_a_stream_starts_where_it_is_told(spark, place):
+    root, out = place("starts"), place("starts-out")
+    log(spark, *["x"] * 10).write.parquet(root)
+    resume = spark.createDataFrame([("t", 0, 6)], "topic string, partition int, start bigint")
+    stages.drain(logs.from_starts(logs.stream_log(spark, root), resume), sinks.table(out), place("starts-cp"))
+    assert {r.offset for r in spark.read.parquet(out).collect()} == {6, 7, 8, 9}
+
+
 def test_fan_out_gives_each_sink_everything_once(spark, place):
     a, b = place("a"), place("b")
     first, second = sinks.table(a), sinks.table(b)

@@ -34,20 +34,31 @@ STATE = T.StructType(
 )
 
 
+def _read(spark: SparkSession, path: str, *extra: T.StructField) -> DataFrame | None:
+    try:
+        return spark.read.schema(T.StructType([*STATE.fields, *extra])).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def _last_state(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
     """State after the last batch (before ``before``); empty when there was none."""
-    last = None
-    if before != 0:
-        try:
-            batches = spark.read.schema(T.StructType([*STATE.fields, T.StructField("batch", T.LongType())])).parquet(root)
-            earlier = batches if before is None else batches.where(f"batch < {before}")
-            last = earlier.agg(F.expr("max(batch) as last")).first().last
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-    if last is None:
-        return spark.createDataFrame([], STATE)
-    return spark.read.schema(STATE).parquet(batch_path(root, last))
+    none = spark.createDataFrame([], STATE)
+    if before == 0:
+        return none
+    if before is not None:
+        # batch ids follow each other, so this is where it is, short of a gap
+        previous = _read(spark, batch_path(root, before - 1))
+        if previous is not None:
+            return previous
+    batches = _read(spark, root, T.StructField("batch", T.LongType()))
+    if batches is None:
+        return none
+    earlier = batches if before is None else batches.where(f"batch < {before}")
+    last = earlier.agg(F.expr("max(batch) as last")).first().last
+    return none if last is None else _read(spark, batch_path(root, last))
 
 
 def track_frontier(root: str, seeds: DataFrame, block_bits: int = BLOCK_WORD_BITS) -> Sink:
