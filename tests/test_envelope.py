@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from weirlog.functions import codes, identity, times, unions
 from weirlog.operators import delivery, envelope, routing
 from weirlog.schemas import ENUMS
@@ -184,15 +186,17 @@ def test_bodies_from_files(spark, place):
     assert row.req.id == "m1"
 
 
-def test_start_positions(spark):
+@pytest.mark.parametrize("filter_partitions", [200, 1])
+def test_start_positions(spark, filter_partitions):
     rows = spark.createDataFrame(
-        [("t", p, o) for p in range(4) for o in range(10)], "topic string, partition int, offset bigint"
+        [("it's", p, o) for p in range(4) for o in range(10)], "topic string, partition int, offset bigint"
     )
     resume = spark.createDataFrame(
-        [("t", 0, -2), ("t", 1, -1), ("t", 2, 7), ("t", 3, None)], "topic string, partition int, start bigint"
+        [("it's", 0, -2), ("it's", 1, -1), ("it's", 2, 7), ("it's", 3, None)], "topic string, partition int, start bigint"
     )
-    got = {(r.partition, r.offset) for r in logs.from_starts(rows, resume).collect()}
+    got = {(r.partition, r.offset) for r in logs.from_starts(rows, resume, filter_partitions).collect()}
     assert got == {(0, o) for o in range(10)} | {(2, o) for o in (7, 8, 9)}
+    assert logs.from_starts(rows, resume.where("start = -1"), filter_partitions).count() == 0
 
 
 def test_kafka_options():

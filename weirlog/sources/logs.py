@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weirlog.operators.progress import EARLIEST, LATEST, PARTITION
 from weirlog.schemas import LOG
-from weirlog.session import join_lookup
+from weirlog.session import join_lookup, settle
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
@@ -41,12 +41,25 @@ def stream_kafka(spark: SparkSession, brokers: str, topic: str, **limits) -> Dat
     return spark.readStream.format("kafka").options(**kafka_options(brokers, topic, **limits)).load().select(LOG.names)
 
 
-def from_starts(log: DataFrame, resume: DataFrame) -> DataFrame:
+# Up to this many partitions, start positions become part of the scan's filter.
+FILTER_PARTITIONS = 200
+
+
+def from_starts(log: DataFrame, resume: DataFrame, filter_partitions: int = FILTER_PARTITIONS) -> DataFrame:
     """Rows at or after the start position of their partition (see ``resume_offsets``).
 
     There is one start per topic partition. Partitions whose start could not be resolved are
-    left out.
+    left out. With few partitions the starts are written into the filter, where a file scan can
+    skip everything older by its statistics; with many they are joined.
     """
-    starts = resume.where(f"start <> {LATEST}").select(*PARTITION, "start")
-    wanted = f"start = {EARLIEST} or offset >= start"
-    return join_lookup(log, starts, PARTITION).where(wanted).drop("start")
+    starts = settle(resume.where(f"start <> {LATEST}").select(*PARTITION, "start"))
+    few = starts.limit(filter_partitions + 1).collect()
+    if len(few) > filter_partitions:
+        wanted = f"start = {EARLIEST} or offset >= start"
+        return join_lookup(log, starts, PARTITION).where(wanted).drop("start")
+
+    def rows_of(topic: str, partition: int, start: int) -> str:
+        name = topic.replace("\\", "\\\\").replace("'", "\\'")
+        return f"(topic = '{name}' and partition = {partition}" + (")" if start == EARLIEST else f" and offset >= {start})")
+
+    return log.where(" or ".join(rows_of(*row) for row in few) or "false")
