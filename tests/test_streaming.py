@@ -167,6 +167,20 @@ def test_a_stream_starts_where_it_is_told(spark, place):
     assert {r.offset for r in spark.read.parquet(out).collect()} == {6, 7, 8, 9}
 
 
+def test_totals_are_reported_by_the_running_query(spark, place):
+    from weirlog.operators.metrics import observed_totals
+
+    root = place("observed")
+    log(spark, "x", "{bad", "y", None).write.parquet(root)
+    stream = observed_totals(
+        logs.stream_log(spark, root), "totals", total_in="true", total_err="value is null", total_out="value is not null"
+    )
+    running = stages.start(stream, sinks.table(place("observed-out")), place("observed-cp"))
+    running.awaitTermination()
+    seen = [p["observedMetrics"]["totals"].asDict() for p in running.recentProgress if p["numInputRows"] > 0]
+    assert seen == [{"total_in": 4, "total_err": 1, "total_out": 3}]
+
+
 def test_fan_out_gives_each_sink_everything_once(spark, place):
     a, b = place("a"), place("b")
     first, second = sinks.table(a), sinks.table(b)

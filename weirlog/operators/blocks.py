@@ -38,8 +38,9 @@ def with_prefix(
 ) -> DataFrame:
     """Add per-block carry columns.
 
-    ``local`` are columns with windows inside the block. ``partials`` are aggregates of each block. ``before`` are aggregates of the partials over
-    all earlier blocks of the key (null in the first), ``overall`` over all of its blocks.
+    ``local`` are columns with windows inside the block. ``partials`` are aggregates of each
+    block. ``before`` are aggregates of the partials over all earlier blocks of the key (null in
+    the first), ``overall`` over all of its blocks.
     """
     key = ", ".join(keys)
     earlier = f"over (partition by {key} order by {BLOCK} rows between unbounded preceding and 1 preceding)"

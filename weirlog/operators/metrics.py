@@ -21,6 +21,12 @@ def sink_totals(rows: DataFrame, **conditions: str) -> DataFrame:
     return rows.groupBy("topic").agg(*[F.expr(f"count_if({sql}) as {name}") for name, sql in conditions.items()])
 
 
+def observed_totals(rows: DataFrame, name: str, **conditions: str) -> DataFrame:
+    """The rows unchanged, counting on the way. A streaming query reports the counts of each batch
+    under ``name`` in its progress; nothing is computed twice."""
+    return rows.observe(name, *[F.expr(f"count_if({sql}) as {total}") for total, sql in conditions.items()])
+
+
 def latency_stats(rows: DataFrame, sent: str, received: str) -> DataFrame:
     """Count, total and mean of ``received - sent`` per partition, in the unit of the inputs."""
     spent = f"{received} - {sent}"

@@ -588,7 +588,8 @@ class _Store:
 
     def accept(self) -> DataFrame:
         sink = stages.accept_stage(sinks.file_topics(f"{self.root}/accepted"), self._aside("accept"), "deliveries")
-        stages.drain(logs.stream_log(self.spark, f"{self.root}/requests", FILES_PER_BATCH), sink, f"{self.root}/at-accept")
+        stream = logs.stream_log(self.spark, f"{self.root}/requests", FILES_PER_BATCH)
+        stages.drain(stream, sink, f"{self.root}/at-accept")
         return sinks.read_topic(self.spark, f"{self.root}/accepted", "deliveries")
 
     def store(self) -> DataFrame:

@@ -11,7 +11,7 @@ from weirlog.functions.unions import tagged
 from weirlog.operators.blocks import number_rows
 from weirlog.operators.delivery import accepted_event, wrap_request
 from weirlog.operators.progress import PARTITION, partition_ranges
-from weirlog.schemas import LOG, STORE_MSG_CREATED, STORE_MSG_DELETED, STORE_MSG_UPDATED
+from weirlog.schemas import STORE_MSG_CREATED, STORE_MSG_DELETED, STORE_MSG_UPDATED
 from weirlog.session import use_utc
 
 PARTITIONS = 4
@@ -19,7 +19,8 @@ PROPS = T.StructType([T.StructField("k", T.LongType())])
 
 IS_ACK = "event_type <> 'error'"
 IS_ERROR = "(event_type = 'error' and amount > 100)"
-STATE = "case event_type when 'error' then 'failed' when 'click' then 'sent' when 'purchase' then 'acked' else 'new' end"
+STATE = """case event_type when 'error' then 'failed' when 'click' then 'sent' when 'purchase' then 'acked'
+    else 'new' end"""
 DELIVERY_CODE = """case event_type when 'signup' then 1 when 'view' then 2 when 'click' then 3
     when 'purchase' then 64 else if(value > 100, 129, 128) end"""
 

@@ -60,6 +60,7 @@ def from_starts(log: DataFrame, resume: DataFrame, filter_partitions: int = FILT
 
     def rows_of(topic: str, partition: int, start: int) -> str:
         name = topic.replace("\\", "\\\\").replace("'", "\\'")
-        return f"(topic = '{name}' and partition = {partition}" + (")" if start == EARLIEST else f" and offset >= {start})")
+        since = "true" if start == EARLIEST else f"offset >= {start}"
+        return f"(topic = '{name}' and partition = {partition} and {since})"
 
     return log.where(" or ".join(rows_of(*row) for row in few) or "false")

@@ -179,4 +179,5 @@ def store_documents(folded: DataFrame, root: str, batch_id: int) -> None:
     changed = folded.where(F.col("outcome") != "noop").select(*states)
     # months are brought together into few files, and a month that is most of the batch is split
     latest = latest_documents(changed, "doc_id").hint("rebalance", "month")
-    latest.sortWithinPartitions("month", "ts_nanos").write.mode("overwrite").partitionBy("month").parquet(batch_path(root, batch_id))
+    writer = latest.sortWithinPartitions("month", "ts_nanos").write.mode("overwrite")
+    writer.partitionBy("month").parquet(batch_path(root, batch_id))
