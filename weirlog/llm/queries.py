@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weirlog.llm import token_counts, token_files
+from weirlog.llm import quality_rules, token_counts, token_files
 from weirlog.session import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,17 @@ def op2_token_files(spark, sf):
     return token_files.index_tokens(spark, out)
 
 
+@query
+def op5_quality_rules(spark, sf):
+    rated = quality_rules.quality_rules(
+        table(spark, sf, "documents"), vocabulary("piece_bpe_32k.model"), vocabulary("byte_bpe_50k.json")
+    )
+    return rated.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "reason", "chars_per_piece", "chars_per_byte_token", "byte_share", "token_entropy",
+    )
+
+
 @query
 def op8_token_counts(spark, sf):
     return token_counts.token_counts(table(spark, sf, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
