@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weirlog.llm import quality_rules, token_counts, token_files
+from weirlog.llm import pieces, quality_rules, token_counts, token_files
 from weirlog.session import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,12 @@ def op2_token_files(spark, sf):
     return token_files.index_tokens(spark, out)
 
 
+@query
+def op4_sentencepiece(spark, sf):
+    encoded = pieces.encode(table(spark, sf, "documents"), vocabulary("piece_bpe_32k.model"))
+    return encoded.select("doc_id", "n_tokens", "ids_crc32", "round_trip")
+
+
 @query
 def op5_quality_rules(spark, sf):
     rated = quality_rules.quality_rules(

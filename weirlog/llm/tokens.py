@@ -105,8 +105,8 @@ class Cache:
     is taken over from there.
     """
 
-    def __init__(self, encode):
-        self.encode, self.young, self.old = encode, {}, {}
+    def __init__(self, encode, at_once: int = 8192):
+        self.encode, self.at_once, self.young, self.old = encode, at_once, {}, {}
 
     def values(self, units: list[str]) -> list:
         young, old = self.young, self.old
@@ -118,8 +118,8 @@ class Cache:
                 miss.append(i)
             else:
                 young[units[i]] = v
-        for lo in range(0, len(miss), 8192):
-            part = miss[lo : lo + 8192]
+        for lo in range(0, len(miss), self.at_once):
+            part = miss[lo : lo + self.at_once]
             for i, v in zip(part, self.encode([units[i] for i in part]), strict=True):
                 found[i] = v
                 if len(units[i]) <= CACHE_BYTES:
