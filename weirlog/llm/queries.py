@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirlog.llm import phrase_index, pieces, quality_rules, token_counts, token_files
+from weirlog.llm import phrase_index, pieces, quality_rules, repeats, token_counts, token_files
 from weirlog.session import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query
+def op1_repeats(spark, sf):
+    cut = repeats.remove_repeats(table(spark, sf, "documents"), length=50)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op2_token_files(spark, sf):
     out = scratch(spark, "tokens")

@@ -11,13 +11,11 @@ from pyspark.sql import functions as F
 
 from weirlog.llm import texts, tokens
 
-#: Bytes of text for one file; the number of files follows the input.
-FILE_BYTES = 64 << 20
 STRIPE_BYTES = 16 << 20
 #: Arrow batches of long id lists are kept to this many ids.
 BATCH_IDS = 2 << 20
 
-ENCODED = "doc_id bigint, tie string, n_tokens bigint, tokens array<int>"
+ENCODED = "doc_id bigint, tie bigint, n_tokens bigint, tokens array<int>"
 
 
 def encode_documents(docs: DataFrame, path: str, end_id: int | None) -> DataFrame:
@@ -59,17 +57,15 @@ def write_tokens(
 
     Files are ranges of document ids, so a reader prunes files, stripes and row groups by their
     statistics, and single ids by the Bloom filter; stripes are read in parallel. Ids must fit in
-    31 bits, as those of all public vocabularies do. Null ids come first, repeated ids in the order
+    31 bits, as those of all public vocabularies do. ``files`` is the number of ranges, by default
+    that of shuffle partitions. Null ids come first, repeated ids in the order
     of a digest of their text. A null text is empty and has the end id alone. An empty table
     leaves a folder with the schema. Extra columns are left out.
     """
-    docs = texts.pick(docs, id_column, text_column).toDF("doc_id", "text").withColumn("tie", F.md5("text"))
-    if files is None:
-        total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        files = 1 + int(total) // FILE_BYTES
-    cores = docs.sparkSession.sparkContext.defaultParallelism
+    docs = texts.pick(docs, id_column, text_column).toDF("doc_id", "text").withColumn("tie", F.xxhash64("text"))
+    files = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Range bounds come from a sample of the sorted rows: texts are dealt out before they are encoded.
-    ranges = docs.repartitionByRange(max(files, 2 * cores), "doc_id", "tie")
+    ranges = docs.repartitionByRange(files, "doc_id", "tie")
     (
         encode_documents(ranges, path, end_id)
         .sortWithinPartitions("doc_id", "tie")
@@ -115,7 +111,7 @@ def index_tokens(spark: SparkSession, out: str) -> DataFrame:
             )
 
     digests = stored.select("doc_id", "tie", "part", "tokens").mapInArrow(
-        digest, "doc_id bigint, tie string, part int, n_tokens bigint, ids_crc32 bigint"
+        digest, "doc_id bigint, tie bigint, part int, n_tokens bigint, ids_crc32 bigint"
     )
     inside = Window.partitionBy("part").orderBy("doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = digests.withColumn("before", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
