@@ -110,8 +110,8 @@ def steps(values: np.ndarray) -> np.ndarray:
     return np.diff(values, prepend=values.dtype.type(0))
 
 
-def sent_documents(docs: DataFrame, buckets: int) -> DataFrame:
-    """Whole texts of (doc_id, text) dealt to the buckets of their ids."""
+def sent_documents(docs: DataFrame, buckets: int, carry: list[str] | None = None) -> DataFrame:
+    """Whole texts of (doc_id, text) dealt to the buckets of their ids, with the columns ``carry``."""
 
     def run(batches):
         def found():
@@ -123,11 +123,25 @@ def sent_documents(docs: DataFrame, buckets: int) -> DataFrame:
                         pick = pick[np.argsort(ids[pick], kind="stable")]
                         size = (off[1:] - off[:-1])[pick]
                         text = b"".join([raw[off[i] : off[i + 1]].tobytes() for i in pick.tolist()])
-                        yield to, "docs", pack(ids=steps(ids[pick]), size=size, text=text)
+                        null = np.packbits(np.asarray(part.column("text").is_null())[pick])
+                        more = {"side": _written(part.select(carry).take(pa.array(pick)))} if carry else {}
+                        yield to, "docs", pack(ids=steps(ids[pick]), size=size, null=null, text=text, **more)
 
         yield from rows(found())
 
-    return texts.pick(docs, "doc_id", "text").mapInArrow(run, ROW)
+    return docs.select("doc_id", "text", *(carry or [])).mapInArrow(run, ROW)
+
+
+def _written(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def carried(blobs: list[dict], order: np.ndarray) -> pa.Table:
+    """The carried columns of a bucket, in the order that ``received_order`` gives."""
+    return pa.concat_tables([pa.ipc.open_stream(b["side"]).read_all() for b in blobs]).take(pa.array(order))
 
 
 def received(frame: pa.Table) -> dict[str, list[dict]]:
@@ -138,10 +152,11 @@ def received(frame: pa.Table) -> dict[str, list[dict]]:
     return out
 
 
-def received_documents(blobs: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, bytes, offsets) of a bucket's documents in ascending order of ids, then of texts."""
+def received_order(blobs: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """(order of the rows by id, then text; ids, sizes and bytes as they came)."""
     if not blobs:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(1, np.int64)
+        none = np.zeros(0, np.int64)
+        return none, none, none, b""
     ids = np.concatenate([np.cumsum(b["ids"]) for b in blobs])
     size = np.concatenate([b["size"] for b in blobs])
     raw = b"".join([b["text"] for b in blobs])
@@ -151,5 +166,19 @@ def received_documents(blobs: list[dict]) -> tuple[np.ndarray, np.ndarray, np.nd
         order = np.array(sorted(range(len(keys)), key=keys.__getitem__))
     else:
         order = np.argsort(ids)
+    return order, ids, size, raw
+
+
+def received_documents(blobs: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, bytes, offsets) of a bucket's documents in ascending order of ids, then of texts."""
+    order, ids, size, raw = received_order(blobs)
+    at = np.cumsum(size) - size
     text = b"".join([raw[a : a + n] for a, n in zip(at[order].tolist(), size[order].tolist(), strict=True)])
     return ids[order], np.frombuffer(text, np.uint8), np.concatenate([[0], np.cumsum(size[order])])
+
+
+def received_nulls(blobs: list[dict], order: np.ndarray) -> np.ndarray:
+    """Which texts were null, in order."""
+    if not blobs:
+        return np.zeros(0, bool)
+    return np.concatenate([np.unpackbits(b["null"], count=len(b["ids"])).astype(bool) for b in blobs])[order]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirlog.llm import phrase_index, pieces, quality_rules, repeats, token_counts, token_files
+from weirlog.llm import fuzzy_lines, jaccard, phrase_index, pieces, quality_rules, repeats, token_counts, token_files
 from weirlog.session import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,6 +97,17 @@ FROM words LEFT JOIN spots USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+@query
+def op7_jaccard_join(spark, sf):
+    return jaccard.similar_documents(table(spark, sf, "documents"))
+
+
 @query
 def op8_token_counts(spark, sf):
     return token_counts.token_counts(table(spark, sf, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
+
+
+@query
+def op9_fuzzy_lines(spark, sf):
+    kept = fuzzy_lines.dedup_lines(table(spark, sf, "documents"))
+    return kept.selectExpr("doc_id", "n_lines", "n_removed", "sha2(text, 256) as text_sha256")

@@ -87,11 +87,12 @@ def _judge(bucket: int, blobs: list[dict], buckets: int):
 
 
 def shared_keys(
-    docs: DataFrame, keys_of: Callable[[pa.RecordBatch], tuple], buckets: int, extra: Callable | None = None
+    docs: DataFrame, keys_of: Callable[[pa.RecordBatch], tuple], buckets: int, extra: Callable | None = None,
+    columns: tuple[str, ...] = ("doc_id", "text"),
 ) -> DataFrame:
     """Replies (bucket of the id, kind ``keys``, blob) to the owners of shared keys.
 
-    ``keys_of`` takes a slice of (doc_id, text) and gives (ids, sub, owner, key): the id and number
+    ``keys_of`` takes a slice of the columns and gives (ids, sub, owner, key): the id and number
     of each owner, and for each key the index of its owner. ``extra`` may add rows of other kinds,
     which go to their buckets unchanged.
     """
@@ -115,7 +116,7 @@ def shared_keys(
         answers = bk.table(_judge(key[0].as_py(), blobs, buckets) if blobs else [])
         return pa.concat_tables([rest.cast(answers.schema), answers])
 
-    sent = texts.pick(docs, "doc_id", "text").mapInArrow(send, bk.ROW)
+    sent = texts.pick(docs, *columns).mapInArrow(send, bk.ROW)
     return sent.groupBy("bucket").applyInArrow(judge, bk.ROW)
 
 
