@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from weirlog.llm import buckets as bk
 from weirlog.llm import components as cc
@@ -243,7 +243,7 @@ def dedup_lines(
 
     carry = list(names.values())
     sent = bk.sent_documents(plain, buckets, carry)
-    schema = StructType(plain.schema.fields).add("n_lines", "bigint").add("n_removed", "bigint")
+    schema = StructType([*plain.schema.fields, StructField("n_lines", LongType()), StructField("n_removed", LongType())])
 
     def cut(key, frame):
         got = bk.received(frame)
