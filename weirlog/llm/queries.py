@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirlog.llm import fuzzy_lines, jaccard, phrase_index, pieces, quality_rules, repeats, token_counts, token_files
+from weirlog.llm import fuzzy_lines, jaccard, main_text, phrase_index, pieces, quality_rules, repeats, token_counts, token_files
 from weirlog.session import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,8 @@ def op8_token_counts(spark, sf):
 def op9_fuzzy_lines(spark, sf):
     kept = fuzzy_lines.dedup_lines(table(spark, sf, "documents"))
     return kept.selectExpr("doc_id", "n_lines", "n_removed", "sha2(text, 256) as text_sha256")
+
+
+@query
+def op10_main_text(spark, sf):
+    return main_text.main_text(table(spark, sf, "pages"))
