@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirlog.llm import fuzzy_lines, jaccard, main_text, phrase_index, pieces, quality_rules, repeats, token_counts, token_files
+from weirlog.llm import fuzzy_lines, jaccard, main_text, phrase_index, pieces, quality_rules, repeats, site_quality, token_counts, token_files
 from weirlog.session import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,11 @@ def op2_token_files(spark, sf):
     return token_files.index_tokens(spark, out)
 
 
+@query
+def op3_site_quality(spark, sf):
+    return site_quality.site_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query
 def op4_sentencepiece(spark, sf):
     encoded = pieces.encode(table(spark, sf, "documents"), vocabulary("piece_bpe_32k.model"))
