@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirlog.session import settle
+from weirlog.session import join_lookup, settle
 
 #: Members of a cluster that are compared in one task; a larger cluster is cut into blocks.
 BLOCK = 128
@@ -90,46 +90,50 @@ def links(
 
     ``members`` are (id bigint, n bigint, keys binary): a set's size and those of its elements that
     can be shared, as 64-bit numbers, unless ``elements`` turns a list of ``keys`` into arrays. Two link when 100 * intersection >= least * union. ``cluster``
-    is (id, root). Small clusters are dealt whole to ``bins``. A large one is cut into blocks that
-    are compared with the members of fewest elements of their own, its hubs; then members outside the
-    largest group found are compared, block by block, with all. Pairs are never rows.
+    is (id, root); a member may be in several. Small clusters are dealt whole to ``bins``. A large one
+    is cut into blocks that are compared with the members of fewest elements of their own, its hubs; then
+    members outside the largest group found are compared, block by block, with all. Pairs are never
+    rows.
     """
-    held = members.join(cluster.withColumnRenamed("node", "id") if "node" in cluster.columns else cluster, "id")
-    sizes = held.groupBy("root").agg(F.count("*").alias("size"))
-    held = settle(held.join(sizes, "root"))
-    small = held.where(f"size > 1 and size <= {BLOCK}").selectExpr(f"pmod(xxhash64(root), {bins}) as unit", "id", "n", "keys")
-    found = settle(compare(small, least, elements))
-    large = held.where(f"size > {BLOCK}").selectExpr(
-        "*", f"cast(ceil(size / {BLOCK}) as int) as blocks", f"pmod(xxhash64(id), cast(ceil(size / {BLOCK}) as int)) as block"
+    cluster = settle(cluster.select("id", "root").distinct())
+    sizes = cluster.groupBy("root").agg(F.count("*").alias("size")).where("size > 1")
+    sized = join_lookup(cluster, sizes, ["root"])
+    small = sized.where(f"size <= {BLOCK}").selectExpr(f"pmod(xxhash64(root), {bins}) as unit", "id").distinct()
+    found = settle(compare(small.join(members, "id"), least, elements))
+    large = settle(
+        sized.where(f"size > {BLOCK}")
+        .selectExpr("root", "id", f"cast(ceil(size / {BLOCK}) as bigint) as blocks")
+        .selectExpr("*", "pmod(xxhash64(id), blocks) as block")
     )
     if large.isEmpty():
         return found
-    ranked = large.selectExpr(
-        "*", "row_number() over (partition by root order by length(keys) / n desc, id) as hub_rank"
+    ranked = large.join(members.selectExpr("id", "length(keys) / n as share"), "id").selectExpr(
+        "root", "blocks", "id", "row_number() over (partition by root order by share desc, id) as place"
     )
-    hubs = ranked.where(f"hub_rank <= {HUBS}").selectExpr("root", "blocks", "id", "n", "keys")
-    spread = hubs.selectExpr("root", "explode(sequence(0, blocks - 1)) as block", "id", "n", "keys")
-    first = large.select("root", "block", "id", "n", "keys").unionByName(spread.withColumn("block", F.col("block").cast("bigint")))
-    first = first.selectExpr("xxhash64(root, block) as unit", "id", "n", "keys").dropDuplicates(["unit", "id"])
-    near = settle(compare(first, least, elements))
-    label = components(near)
-    labelled = large.join(label.withColumnRenamed("node", "id").withColumnRenamed("root", "label"), "id", "left")
-    labelled = labelled.withColumn("label", F.coalesce("label", "id"))
+    hubs = ranked.where(f"place <= {HUBS}").selectExpr("root", "id", "explode(sequence(0, blocks - 1)) as block")
+    first = large.select("root", "id", "block").unionByName(hubs).selectExpr("xxhash64(root, block) as unit", "id").distinct()
+    near = settle(compare(first.join(members, "id"), least, elements))
+    label = components(near).selectExpr("node as id", "root as label")
+    labelled = settle(large.join(label, "id", "left").withColumn("label", F.coalesce("label", "id")))
     counts = labelled.groupBy("root", "label").agg(F.count("*").alias("c"))
     main = counts.groupBy("root").agg(F.expr("max_by(label, struct(c, label))").alias("main"))
-    rest = settle(labelled.join(main, "root"))
-    out = rest.where("label <> main").selectExpr(
-        "root", "blocks", "id", "n", "keys", "label"
-    )
-    many = out.groupBy("root").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("parts"))
-    out = out.join(many, "root").selectExpr("root", "blocks", "parts", "pmod(xxhash64(id, 1), parts) as part", "id", "n", "keys")
-    one = out.selectExpr("root", "part", "explode(sequence(0, blocks - 1)) as block", "id", "n", "keys")
-    other = rest.join(many, "root").selectExpr("root", "explode(sequence(0, parts - 1)) as part", "block", "id", "n", "keys")
-    units = [x.selectExpr("xxhash64(root, cast(part as bigint), cast(block as bigint)) as unit", "id", "n", "keys") for x in (one, other)]
-    far = settle(compare(units[0].unionByName(units[1]).dropDuplicates(["unit", "id"]), least, elements))
+    out = join_lookup(labelled, main, ["root"]).where("label <> main").select("root", "blocks", "id")
+    parts = out.groupBy("root").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as bigint)").alias("parts"))
+    out = join_lookup(out, parts, ["root"]).selectExpr("root", "blocks", "id", "pmod(xxhash64(id, 1), parts) as part")
+    one = out.selectExpr("root", "part", "explode(sequence(0, blocks - 1)) as block", "id")
+    other = join_lookup(labelled, parts, ["root"]).selectExpr("root", "explode(sequence(0, parts - 1)) as part", "block", "id")
+    units = one.unionByName(other).selectExpr("xxhash64(root, part, block) as unit", "id").distinct()
+    far = settle(compare(units.join(members, "id"), least, elements))
     return functools.reduce(DataFrame.unionByName, [found, near, far])
 
 
+def gathered(keys: DataFrame) -> DataFrame:
+    """(id, root) from (id, key): every member of a key goes to the group of the key's smallest member,
+    so all members of a key meet in one group."""
+    lead = keys.groupBy("key").agg(F.min("id").alias("root"), F.max("id").alias("last")).where("root < last").select("key", "root")
+    return join_lookup(keys, lead, ["key"]).select("id", "root").distinct()
+
+
 def compare(units: DataFrame, least: int, elements: Callable | None = None) -> DataFrame:
     """Spanning edges of the links between the sets (unit, id, n, keys) of each unit."""
 

@@ -4,8 +4,8 @@ Shingles are ordered by how many documents hold them, rarest first, so that what
 holds leads. A document with more than a quarter of such shingles can link to none and drops out;
 the others carry on their shared shingles alone. Documents that link share a shingle among the first
 quarter of each, their prefixes. Documents with the same shingles are one class, classes with the same
-prefix and size one group; groups that meet in a prefix shingle make a cluster, and clusters are
-expanded and verified member by member with exact intersections.
+prefix and size one group; groups that hold a shingle in their prefixes gather under its first, and
+what is gathered is expanded and verified member by member with exact intersections.
 """
 
 from __future__ import annotations
@@ -19,9 +19,11 @@ from weirlog.llm import buckets as bk
 from weirlog.llm import components as cc
 from weirlog.llm import shared_keys as sk
 from weirlog.llm import texts
-from weirlog.session import settle
+from weirlog.session import join_lookup, settle
 
 SHINGLE = 5
+#: Bytes hashed at a time.
+HASHED_BYTES = 1 << 19
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -55,49 +57,56 @@ def shingles(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndar
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans: sums of their bytes scattered by place."""
-    at = np.arange(len(raw), dtype=np.uint64)
-    inside = np.zeros(len(raw) + 1, np.int8)
-    inside[starts] = 1
-    start_of = np.zeros(len(raw), np.uint64)
-    start_of[starts] = starts.astype(np.uint64)
-    np.maximum.accumulate(start_of, out=start_of)
-    value = bk.mix((raw.astype(np.uint64) + np.uint64(1)) | ((at - start_of) << np.uint64(8)))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value)])
-    return bk.mix(total[ends] - total[starts] + (ends - starts).astype(np.uint64))
-
-
-SETS = "rid bigint, doc_id bigint, n bigint, own bigint, keys binary"
+    """64-bit hashes of ascending byte spans: sums of their bytes scattered by place."""
+    out = np.zeros(len(starts), np.uint64)
+    lo = 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + HASHED_BYTES)))
+        first, last = starts[lo:hi] - starts[lo], ends[lo:hi] - starts[lo]
+        part = raw[starts[lo] : ends[hi - 1]].astype(np.uint64)
+        begin = np.zeros(len(part), np.int64)
+        begin[first] = first
+        np.maximum.accumulate(begin, out=begin)
+        place = (np.arange(len(part)) - begin).astype(np.uint64)
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(bk.mix((part + np.uint64(1)) | (place << np.uint64(8))), out=total[1:])
+        out[lo:hi] = bk.mix(total[last] - total[first] + (last - first).astype(np.uint64))
+        lo = hi
+    return out
+
+
+SETS = "rid bigint, doc_id bigint, tie bigint, n bigint, own bigint, keys binary"
 
 
 def shared_sets(docs: DataFrame, least: int) -> DataFrame:
-    """(rid, doc_id, n, own, keys) of every row: a number for it, its set's size, how many elements
+    """(rid, doc_id, tie, n, own, keys) of every row: a number for it, a digest of its text, its set's size, how many elements
     are its own, and the shared ones in ascending order of owners (null where it can't link)."""
     buckets = bk.bucket_count(docs)
     numbered = docs.select(
-        F.struct("doc_id", F.monotonically_increasing_id().alias("rid")).alias("both"), "text"
-    ).selectExpr("both.rid as doc_id", "both.doc_id as real", "text")
+        F.monotonically_increasing_id().alias("rid"), F.col("doc_id").alias("real"), F.xxhash64("text").alias("tie"), "text"
+    ).withColumnRenamed("rid", "doc_id")
 
     def keys_of(part: pa.RecordBatch):
         rows, key = shingles(part.column("text"))
         ids = texts.ids_of(part.column("doc_id"))
         return ids, np.zeros(len(ids), np.int32), rows, key
 
-    def sizes(part: pa.RecordBatch):
-        rows, _ = shingles(part.column("text"))
-        ids, real = texts.ids_of(part.column("doc_id")), texts.ids_of(part.column("real"))
+    def sizes(part: pa.RecordBatch, found: tuple):
+        rows = found[2]
+        ids, real, tie = (texts.ids_of(part.column(c)) for c in ("doc_id", "real", "tie"))
         n = texts.sums_by_row(rows, None, len(ids))
-        for to, i, r, c in bk.split(bk.home(ids, buckets), ids, real, n):
-            yield to, "sizes", bk.pack(ids=i, real=r, n=c)
+        for to, i, r, t, c in bk.split(bk.home(ids, buckets), ids, real, tie, n):
+            yield to, "sizes", bk.pack(ids=i, real=r, tie=t, n=c)
 
     def survive(key, frame):
         got = bk.received(frame)
         size = got.get("sizes", [])
         if not size:
-            return pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("own", pa.int64()), ("keys", pa.binary())]).empty_table()
-        ids, real, n = (np.concatenate([b[c] for b in size]) for c in ("ids", "real", "n"))
+            kinds = {c: pa.binary() if c == "keys" else pa.int64() for c in ("rid", "doc_id", "tie", "n", "own", "keys")}
+            return pa.schema(kinds).empty_table()
+        ids, real, tie, n = (np.concatenate([b[c] for b in size]) for c in ("ids", "real", "tie", "n"))
         order = np.argsort(ids)
-        ids, real, n = ids[order], real[order], n[order]
+        ids, real, tie, n = ids[order], real[order], tie[order], n[order]
         who, _, keys, count = sk.replies(got.get("keys", []))
         row = np.searchsorted(ids, who)
         order = np.lexsort((keys, count, row))
@@ -107,15 +116,15 @@ def shared_sets(docs: DataFrame, least: int) -> DataFrame:
         can = (held > 0) & (100 * held >= least * n)
         data = [keys[at[r] : at[r + 1]].tobytes() if can[r] else None for r in range(len(ids))]
         return pa.table(
-            {"rid": ids, "doc_id": texts.ids_back(real), "n": n, "own": n - held, "keys": pa.array(data, pa.binary())}
+            {"rid": ids, "doc_id": texts.ids_back(real), "tie": tie, "n": n, "own": n - held, "keys": pa.array(data, pa.binary())}
         )
 
-    told = sk.shared_keys(numbered, keys_of, buckets, extra=sizes, columns=("doc_id", "real", "text"))
+    told = sk.shared_keys(numbered, keys_of, buckets, extra=sizes, columns=("doc_id", "real", "tie", "text"))
     return told.groupBy("bucket").applyInArrow(survive, SETS)
 
 
 def prefixes(groups: DataFrame, least: int) -> DataFrame:
-    """Edges (a: id of a set, b: a number below zero for a shingle) over the sets' prefixes."""
+    """(id, key) of the shared shingles in the sets' prefixes."""
 
     def run(batches):
         for batch in batches:
@@ -124,16 +133,17 @@ def prefixes(groups: DataFrame, least: int) -> DataFrame:
             keys = [np.frombuffer(k, np.uint64)[:t] for k, t in zip(batch.column("keys").to_pylist(), take.tolist(), strict=True)]
             size = [len(k) for k in keys]
             flat = np.concatenate([*keys, np.zeros(0, np.uint64)]).astype(np.int64)
-            yield pa.record_batch({"a": np.repeat(np.asarray(batch.column("id"), np.int64), size), "b": -1 - flat})
+            yield pa.record_batch({"id": np.repeat(np.asarray(batch.column("id"), np.int64), size), "key": flat})
 
-    return groups.select("id", "n", "own", "keys").mapInArrow(run, "a bigint, b bigint")
+    return groups.select("id", "n", "own", "keys").mapInArrow(run, "id bigint, key bigint")
 
 
 def similar_documents(
     docs: DataFrame, *, least: int = 75, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row: documents link when 100 * intersection >=
-    least * union of their distinct shingles; a component is named by its smallest document id.
+    """(doc_id, n_shingles, component_id, leader, tie) of every row: documents link when 100 * intersection >=
+    least * union of their distinct shingles; a component is named by its smallest document id. One row
+    of each component is its ``leader``, one with that id; ``tie`` is a digest of the row's text.
 
     A text of fewer than five words is one shingle; one without words, or null, has none and stays
     alone. Rows that repeat an id are documents of their own. A null id is named by itself unless
@@ -142,11 +152,13 @@ def similar_documents(
     """
     docs = texts.pick(docs, id_column, text_column).toDF("doc_id", "text")
     sets = settle(shared_sets(docs, least).withColumn("class", F.expr("if(own = 0 and keys is not null, md5(concat(keys, cast(n as string))), null)")))
-    whole = sets.where("class is not null").groupBy("class").agg(F.min("rid").alias("id"))
-    member = sets.where("keys is not null").select("rid", "doc_id", "class", "n", "own").join(whole, "class", "left")
-    member = settle(member.withColumn("id", F.coalesce("id", "rid")))
+    some = sets.where("keys is not null")
+    whole = some.where("class is not null").groupBy("class").agg(F.min("rid").alias("id"))
+    member = settle(
+        join_lookup(some.select("rid", "doc_id", "class"), whole, ["class"], "left").selectExpr("rid", "doc_id", "coalesce(id, rid) as id")
+    )
     reps = settle(
-        sets.where("keys is not null").join(member.where("id = rid").select("rid"), "rid", "left_semi").selectExpr("rid as id", "n", "own", "keys")
+        some.join(member.where("id = rid").select("rid"), "rid", "left_semi").selectExpr("rid as id", "n", "own", "keys")
     )
     # classes with the same prefix and size are one group
     take = f"greatest(n - cast(ceil({least} * n / 100.0) as bigint) + 1 - own, 0)"
@@ -156,13 +168,15 @@ def similar_documents(
     lead = grouped.groupBy("grp").agg(F.min("id").alias("lead"))
     ledger = settle(grouped.select("id", "grp").join(lead, "grp").select("id", "lead"))
     leads = reps.join(ledger.where("id = lead").select("id"), "id", "left_semi")
-    met = cc.components(prefixes(leads, least))
-    cluster = ledger.join(met.withColumnRenamed("node", "lead"), "lead", "left").selectExpr("id", "coalesce(root, lead) as root")
+    met = cc.gathered(prefixes(leads, least)).withColumnRenamed("id", "lead")
+    cluster = ledger.join(met, "lead").select("id", "root")
     bins = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), reps.count() // (2 * cc.BLOCK))
     found = cc.components(cc.links(reps.select("id", "n", "keys"), cluster, bins, least))
-    named = member.join(found.withColumnRenamed("node", "id"), "id", "left").selectExpr("rid", "doc_id", "coalesce(root, id) as root")
-    smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("c")).where("c > 1")
-    named = named.join(smallest, "root").select("rid", "component_id")
-    return sets.select("rid", "doc_id", "n").join(named, "rid", "left").selectExpr(
-        "doc_id", "n as n_shingles", "coalesce(component_id, doc_id) as component_id"
+    named = settle(member.join(found.withColumnRenamed("node", "id"), "id", "left").selectExpr("rid", "doc_id", "coalesce(root, id) as root"))
+    smallest = named.groupBy("root").agg(
+        F.min("doc_id").alias("component_id"), F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "rid")).alias("first"), F.count("*").alias("c")
+    ).where("c > 1")
+    named = join_lookup(named, smallest, ["root"]).selectExpr("rid", "component_id", "rid = first.rid as leader")
+    return sets.select("rid", "doc_id", "tie", "n").join(named, "rid", "left").selectExpr(
+        "doc_id", "n as n_shingles", "coalesce(component_id, doc_id) as component_id", "coalesce(leader, true) as leader", "tie"
     )

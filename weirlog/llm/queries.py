@@ -104,7 +104,7 @@ FROM words LEFT JOIN spots USING (doc_id) LEFT JOIN items USING (doc_id)
 
 @query
 def op7_jaccard_join(spark, sf):
-    return jaccard.similar_documents(table(spark, sf, "documents"))
+    return jaccard.similar_documents(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 @query

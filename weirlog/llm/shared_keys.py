@@ -93,18 +93,18 @@ def shared_keys(
     """Replies (bucket of the id, kind ``keys``, blob) to the owners of shared keys.
 
     ``keys_of`` takes a slice of the columns and gives (ids, sub, owner, key): the id and number
-    of each owner, and for each key the index of its owner. ``extra`` may add rows of other kinds,
-    which go to their buckets unchanged.
+    of each owner, and for each key the index of its owner. ``extra`` (of the
+    slice and its keys) may add rows of other kinds, which go to their buckets unchanged.
     """
 
     def send(batches):
         def found():
             for batch in batches:
                 for part in texts.slices(batch, "text", bk.SLICE_BYTES):
-                    ids, sub, owner, key = keys_of(part)
-                    yield from _send(ids, sub, owner, key, buckets)
+                    keys = keys_of(part)
+                    yield from _send(*keys, buckets)
                     if extra is not None:
-                        yield from extra(part)
+                        yield from extra(part, keys)
 
         yield from bk.rows(found())
 
