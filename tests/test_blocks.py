@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from weirlog.operators import blocks, metrics, outbox
 
 
@@ -86,3 +88,27 @@ def test_latency(spark):
     got = {r.partition: r for r in metrics.latency_stats(df, "s", "r").collect()}
     assert (got[0].messages, got[0].total_latency, got[0].mean_latency) == (2, 12, 6.0)
     assert got[1].mean_latency == 0.0
+
+
+@pytest.mark.parametrize("bits", [1, 3, 20])
+def test_sparse_sequences(spark, bits):
+    rng = random.Random(3)
+    times = rng.sample(range(10**18), 400)
+    rows = [(k % 3, t, rng.choice([None, rng.randrange(9)])) for k, t in enumerate(times)]
+    df = spark.createDataFrame(rows, "k int, t bigint, v int")
+    numbered = blocks.number_rows(df, ["k"], "t", bits=bits)
+    summed = blocks.running_sum(numbered, ["k"], "t", "v", "s", bits=bits)
+    got = {(r.k, r.t): (r.n, r.s, r.p) for r in blocks.previous_value(summed, ["k"], "t", "v", "p", bits=bits).collect()}
+    for k in range(3):
+        total, before = 0, None
+        for n, (_, t, v) in enumerate(sorted(r for r in rows if r[0] == k), 1):
+            total += v or 0
+            assert got[k, t] == (n, total, before)
+            before = v
+
+
+def test_null_keys_are_refused(spark):
+    for row in [(None, 1), (1, None)]:
+        df = spark.createDataFrame([(1, 5), row], "k int, t bigint")
+        with pytest.raises(Exception, match="need keys"):
+            blocks.number_rows(df, ["k"], "t").collect()

@@ -1,6 +1,8 @@
 import json
 
 import pytest
+from pyspark.sql import types as T
+
 
 from weirlog.functions import codes, identity, times, unions
 from weirlog.operators import delivery, envelope, routing
@@ -103,7 +105,10 @@ def test_ids_months_and_keys(spark):
         f"{identity.month_index('nanos', 'docs')} as month",
         f"date_format({times.event_time('nanos')}, 'yyyy-MM-dd HH:mm:ss.SSSSSS') as at",
     ).collect()
-    assert [r.id for r in rows] == ["a_m_1514764799999999999", "a_m_1514764800000000000", None]
+    # an absent field is at its default
+    assert [r.id for r in rows] == ["a_m_1514764799999999999", "a_m_1514764800000000000", "_m_0"]
+    none = spark.range(1).selectExpr("named_struct('id', 'x', 'app', 'a', 'msg', cast(null as struct<tsNanos:bigint>)) as req")
+    assert none.selectExpr(f"{identity.document_id('req')} as id").first().id is None
     assert [r.month for r in rows] == ["docs_2017-12", "docs_2018-01", "docs_1970-01"]
     assert rows[0].at == "2017-12-31 23:59:59.999999"
     for tz in ("America/New_York", "Asia/Tokyo"):
@@ -118,9 +123,13 @@ def test_ids_months_and_keys(spark):
         finally:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
     address = "named_struct('user', named_struct('type', {}), 'channel', {})"
-    some = [address.format(32, "named_struct('type', 33)"), address.format(32, "cast(null as struct<type:int>)")]
+    some = [
+        address.format(32, "named_struct('type', 33)"),
+        address.format(32, "cast(null as struct<type:int>)"),
+        address.format("cast(null as int)", "named_struct('type', 0)"),
+    ]
     keys = [spark.range(1).selectExpr(f"{a} as a").selectExpr(f"{identity.sender_key('a')} as k").first().k for a in some]
-    assert keys == ["32:33", "32:-"]
+    assert keys == ["32:33", "32:-", "0:0"]
 
 
 def test_body_leaves_defaults_out(spark):
@@ -211,3 +220,20 @@ def test_routing(spark):
     twice = routing.chain(df, lambda d: d.where("offset > 3"), lambda d: d.where("offset < 6"))
     assert {r.offset for r in twice.collect()} == {4, 5}
     assert routing.chain(df).count() == 10
+
+
+def test_one_record_and_nothing_else(spark):
+    good = json.dumps(REQ)
+    values = [good, f"\n\t {good}\r\n ", good + "and more", good + good, f"{good},{good}", f"[{good}]", "", "   ", "{", None]
+    log = spark.createDataFrame([("t", 0, i, v) for i, v in enumerate(values)], "topic string, partition int, offset bigint, value string")
+    schema = T.StructType([T.StructField("id", T.StringType())])
+    rows = envelope.decode(log, schema).orderBy("offset").collect()
+    assert [r.problem for r in rows] == [None, None] + ["undecodable"] * 7 + ["null_record"]
+
+
+def test_times_below_zero_are_set_aside(spark):
+    req = {**REQ, "msg": {**REQ["msg"], "tsNanos": -1}}
+    log = spark.createDataFrame(
+        [("t", 0, 0, json.dumps({"type": 1, "tsNanos": 5, "msgReq": req}))], "topic string, partition int, offset bigint, value string"
+    )
+    assert delivery.requests(log).first().problem == "ts_out_of_range"

@@ -8,16 +8,20 @@ from weirlog.functions.times import month_of
 def sender_key(address: str) -> str:
     """Canonical text of an address; equal addresses, and only those, share a key.
 
-    An address holds two enum codes, so few distinct keys exist. Route with it, but do not
-    shuffle heavy work on it alone.
+    A side that is absent is ``-``; one that is there without a type has type 0, as the record format
+    does not tell a default from an absent field. An address holds two enum codes, so few distinct
+    keys exist. Route with it, but do not shuffle heavy work on it alone.
     """
-    user, channel = (f"coalesce(cast({address}.{side}.type as string), '-')" for side in ("user", "channel"))
+    user, channel = (
+        f"if({address}.{side} is null, '-', cast(coalesce({address}.{side}.type, 0) as string))" for side in ("user", "channel")
+    )
     return f"concat({user}, ':', {channel})"
 
 
 def document_id(req: str) -> str:
-    """``app_id_nanos``; null when any part is missing."""
-    return f"concat({req}.app, '_', {req}.id, '_', cast({req}.msg.tsNanos as string))"
+    """``app_id_nanos``; absent fields are at their defaults. Null when there is no message."""
+    return f"""if({req}.msg is null, null, concat(coalesce({req}.app, ''), '_', coalesce({req}.id, ''), '_',
+        cast(coalesce({req}.msg.tsNanos, 0) as string)))"""
 
 
 def month_index(nanos: str, prefix: str) -> str:

@@ -5,9 +5,11 @@ is cut into blocks of consecutive sequence numbers. Blocks are reduced to one ro
 small block table is windowed, and the result is carried back into the blocks by an equi-join
 on ``key, block``. The window inside the blocks comes first, so that the join finds its rows
 partitioned and sorted: one shuffle and one sort of the data. Because sequence numbers are unique
-within a key, no block exceeds ``2 ** bits`` rows.
+within a key, no block exceeds ``2 ** bits`` rows. The block table is blocked in turn, so that sparse
+sequences, such as arrival times, don't put a key's blocks into one task.
 
-Keys and sequence numbers must not be null. Aggregates are given as SQL.
+Keys and sequence numbers must not be null; rows where they are make the job fail with a message, as
+leaving them out would lose them. Aggregates are given as SQL: sums, minima and last values.
 """
 
 from __future__ import annotations
@@ -42,18 +44,54 @@ def with_prefix(
     block. ``before`` are aggregates of the partials over all earlier blocks of the key (null in
     the first), ``overall`` over all of its blocks.
     """
-    key = ", ".join(keys)
-    earlier = f"over (partition by {key} order by {BLOCK} rows between unbounded preceding and 1 preceding)"
-    blocked = df.selectExpr("*", f"shiftright({seq}, {bits}) as {BLOCK}")
+    # the checks are part of the columns joined on, so that no filter on nulls can come before them
+    refused = f"raise_error('rows to be numbered need keys and a sequence number ({', '.join((*keys, seq))})')"
+    named = [f"if(`{c}` is null, {refused}, `{c}`) as `{c}`" if c in keys else f"`{c}`" for c in df.columns]
+    blocked = df.selectExpr(*named, f"shiftright(if({seq} is null, {refused}, {seq}), {bits}) as {BLOCK}")
     table = blocked.groupBy(*keys, BLOCK).agg(*[F.expr(p) for p in _named(partials)])
-    carry = table.selectExpr(
-        *keys, BLOCK, *_named(before, earlier), *_named(overall, f"over (partition by {key})")
-    )
+    carry = _carried(table, keys, before or {}, overall or {}, bits)
     if local:
         blocked = blocked.selectExpr("*", *_named(local))
     return blocked.join(carry, [*keys, BLOCK])
 
 
+#: How the aggregates of two neighbouring stretches make that of both.
+_BOTH = {
+    "sum": "if({0} is null and {1} is null, null, coalesce({0}, 0) + coalesce({1}, 0))",
+    "last": "if(_head, {0}, {1})",
+    "min": "least({0}, {1})",
+}
+
+
+def _carried(table: DataFrame, keys: list[str], before: dict, overall: dict, bits: int) -> DataFrame:
+    """Carry columns of a block table, by windows over blocks of blocks.
+
+    Where sequence numbers are far apart there are nearly as many blocks as rows. Blocks are therefore
+    blocked themselves, so a window holds ``2 ** bits`` of them at most, and what comes from earlier
+    ones of these is added.
+    """
+    upper = "_upper"
+    aggregates = {**before, **overall}
+    folds = {name: agg.split("(")[0] for name, agg in aggregates.items()}
+    table = table.selectExpr("*", f"shiftright({BLOCK}, {bits}) as {upper}")
+    ordered = {n: (f"max_by({a.split('(')[1][:-1]}, {BLOCK})" if folds[n] == "last" else a) for n, a in aggregates.items()}
+    tops = table.groupBy(*keys, upper).agg(*[F.expr(f"{a} as _t_{n}") for n, a in ordered.items()])
+    key = ", ".join(keys)
+    earlier = f"over (partition by {key} order by {upper} rows between unbounded preceding and 1 preceding)"
+    tops = tops.selectExpr(
+        *keys,
+        upper,
+        *[f"{folds[n]}(_t_{n}) {earlier} as _top_{n}" for n in before],
+        *[f"{folds[n]}(_t_{n}) over (partition by {key}) as {n}" for n in overall],
+    )
+    inside = f"over (partition by {key}, {upper} order by {BLOCK} rows between unbounded preceding and 1 preceding)"
+    head = f"row_number() over (partition by {key}, {upper} order by {BLOCK}) = 1 as _head"
+    local = table.selectExpr("*", head, *[f"{a} {inside} as _in_{n}" for n, a in before.items()])
+    joined = local.join(tops, [*keys, upper])
+    both = [f"{_BOTH[folds[n]].format(f'_top_{n}', f'_in_{n}')} as {n}" for n in before]
+    return joined.selectExpr(*keys, BLOCK, *both, *overall)
+
+
 def in_block(keys: list[str], seq: str) -> str:
     """Window over the rows of a block, for SQL."""
     return f"partition by {', '.join(keys)}, {BLOCK} order by {seq}"

@@ -43,6 +43,7 @@ def requests(log: DataFrame) -> DataFrame:
     """Decoded request rows. Other request types pass, with no event to come and no problem."""
     problem = f"""case when data.type = {REQUEST_MSG_REQ} then
         case when data.msgReq is null then 'payload_missing'
+             when data.msgReq.msg.tsNanos < 0 or data.tsNanos < 0 then 'ts_out_of_range'
              when get(data.msgReq.to, 0) is null then 'no_recipient'
              when {document_id('data.msgReq')} is null then 'no_document_id' end end"""
     return decode(log, REQUEST, REQUEST_WIDE, REQUEST_NANOS, problem)
@@ -64,5 +65,6 @@ def delivery_events(log: DataFrame) -> DataFrame:
     """Decoded event rows; events that are not deliveries are set aside."""
     problem = f"""case when data.type is null or data.type <> {EVENT_MSG_DELIVERY} then 'unknown_type'
         when data.msgDelivery.req is null then 'payload_missing'
+        when data.msgDelivery.req.msg.tsNanos < 0 or data.tsNanos < 0 then 'ts_out_of_range'
         when {document_id('data.msgDelivery.req')} is null then 'no_document_id' end"""
     return decode(log, EVENT, EVENT_WIDE, EVENT_NANOS, problem)

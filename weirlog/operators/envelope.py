@@ -18,7 +18,12 @@ def parse_json(text: str, schema: T.StructType) -> str:
 
 
 def not_an_object(text: str) -> str:
-    return f"left(ltrim({text}), 1) <> '{{'"
+    """True for text that is not one JSON object: another value, none, or an object with more behind it.
+
+    The parser would skip what follows the first object, so the text is counted as an array's element.
+    """
+    first = f"left(trim(leading ' \\t\\n\\r' from {text}), 1)"
+    return f"({first} <> '{{' or coalesce(json_array_length(concat('[', {text}, ']')), 0) <> 1)"
 
 
 def record(parsed: str, schema: T.StructType) -> str:
@@ -39,8 +44,8 @@ def compute_once(rows: DataFrame, name: str, value: str) -> DataFrame:
 def parse_problem(text: str, parsed: str, wide: T.StructType | None = None, nanos: list[str] | None = None) -> str:
     """Null for a record that decoded, otherwise why it did not.
 
-    Text that is not an object is refused by its first character: the parser would take an array
-    of one record for the record. ``wide`` is the schema with decimal nanosecond fields and ``nanos`` their paths. It is
+    Text that is not one object is refused: the parser would take an array of one record for the
+    record, and skip what follows a record. ``wide`` is the schema with decimal nanosecond fields and ``nanos`` their paths. It is
     consulted for corrupt records only.
     """
     reason = "'undecodable'"
@@ -75,7 +80,8 @@ def decode_protobuf(log: DataFrame, message: str, descriptor_file: str) -> DataF
     """As ``decode`` for protobuf values; needs the spark-protobuf package on the cluster."""
     from pyspark.sql.protobuf.functions import from_protobuf
 
-    rows = log.withColumn("data", from_protobuf("value", message, descriptor_file, {"mode": "PERMISSIVE"}))
+    options = {"mode": "PERMISSIVE", "enums.as.ints": "true"}
+    rows = log.withColumn("data", from_protobuf("value", message, descriptor_file, options))
     return rows.selectExpr(
         "*", "case when value is null then 'null_record' when data is null then 'undecodable' end as problem"
     )

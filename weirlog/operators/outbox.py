@@ -73,6 +73,20 @@ def retry_set(**parts: DataFrame) -> DataFrame:
     return once.select("id", *rest, "reason")
 
 
+def retry_plan(sends: DataFrame, acks: DataFrame, errors: DataFrame) -> DataFrame:
+    """Sends to queue again with the reason, each once: those that came back with an error, those not yet
+    sent, and those without an acknowledgement. Both answers are reduced to one row per id and joined
+    once."""
+    answers = acks.selectExpr("id", "true as _ack", "false as _error").unionByName(
+        errors.selectExpr("id", "false as _ack", "true as _error")
+    )
+    once = answers.groupBy("id").agg(F.expr("bool_or(_ack) as _ack"), F.expr("bool_or(_error) as _error"))
+    reason = """case when coalesce(_error, false) then 'failed' when state = 'new' then 'unsent'
+        when not coalesce(_ack, false) then 'unconfirmed' end as reason"""
+    joined = sends.join(once, "id", "left").selectExpr("*", reason).where("reason is not null")
+    return joined.drop("_ack", "_error")
+
+
 def remaining_after_failure(
     rows: DataFrame, keys: list[str], seq: str, slice_no: str, failed: str, bits: int = BLOCK_BITS
 ) -> DataFrame:

@@ -86,7 +86,7 @@ _VIEWS: dict[str, tuple[str, list[str]]] = {
         """SELECT *, 'requests' AS topic, CAST(conv_id % 4 AS INTEGER) AS part,
              conv_id // 4 * 1048576 + turn AS off, 1 AS pass_no, ver AS sent_ver,
              CASE WHEN (conv_id + turn) % 13 = 12 THEN 'null_record'
-                  WHEN (conv_id + turn) % 11 = 5 THEN 'undecodable'
+                  WHEN (conv_id + turn) % 11 IN (1, 2, 5) THEN 'undecodable'
                   WHEN (conv_id + turn) % 11 = 9 THEN 'ts_out_of_range' END AS damage,
              CAST(CASE WHEN (conv_id + turn) % 11 = 7 THEN 0 ELSE 1 END AS INTEGER) AS type
            FROM msg_flat
@@ -96,6 +96,23 @@ _VIEWS: dict[str, tuple[str, list[str]]] = {
            FROM msg_flat""",
         ["msg_flat"],
     ),
+    # the text of each request, damaged as the log has it
+    "request_text": (
+        """SELECT *, CASE WHEN pass_no = 2 THEN whole
+             WHEN (conv_id + turn) % 11 = 5 THEN '{bad'
+             WHEN (conv_id + turn) % 11 = 1 THEN whole || 'and more'
+             WHEN (conv_id + turn) % 11 = 2 THEN whole || whole
+             WHEN (conv_id + turn) % 11 = 3 THEN E'\\n\\t' || whole || E' \\r\\n'
+             WHEN (conv_id + turn) % 11 = 9 THEN replace(whole, CAST(ts_nanos AS VARCHAR), '18446744073709551615')
+             ELSE whole END AS value
+           FROM (SELECT *, '{"type":1,"tsNanos":' || ts_nanos || ',"msgReq":{"id":"' || id || '","app":"conv","session":{"type":'
+             || session_type || ',"data":[{"name":"text","value":{"format":0,"data":"' || base64(encode(text))
+             || '"}}]},"msg":{"type":' || msg_type || ',"id":"' || id || '","ver":' || sent_ver || ',"tsNanos":' || ts_nanos
+             || '},"from":{"user":{"type":' || from_user || '},"channel":{"type":' || from_user || '}},"to":['
+             || CASE WHEN to_count = 0 THEN '' ELSE '{"user":{"type":' || to_user || '},"channel":{"type":' || to_user || '}}' END
+             || ']}}' AS whole FROM request_log)""",
+        ["request_log"],
+    ),
     "accepted": (
         "SELECT * FROM request_log WHERE damage IS NULL AND type = 1 AND to_count > 0",
         ["request_log"],
@@ -167,6 +184,7 @@ _ENUM_NAMES = """CASE enum
 _CREATED = "SELECT part, off, {sender} 'docs_' || month AS doc_index, doc_id, CAST(1 AS BIGINT) AS version FROM created"
 
 ORACLES: dict[str, str] = {
+    "transform_chain": _sql("SELECT topic, part, off, log_key, log_value FROM log", "log"),
     "log_scan": _sql(
         """SELECT l.topic, l.part, l.off, l.log_key, l.log_value, l.ts_us
            FROM log l JOIN resume r USING (topic, part)
@@ -190,7 +208,7 @@ ORACLES: dict[str, str] = {
         "accepted",
     ),
     "progress_latest": _sql(
-        "SELECT topic, part, max(off) AS frontier, max(off) // 1000 AS batch_id FROM log GROUP BY topic, part", "log"
+        "SELECT topic, part, max(off) AS frontier, least(3, max(off) // 1000) AS batch_id FROM log GROUP BY topic, part", "log"
     ),
     "fan_out": _sql("SELECT sink, topic, part, off FROM log, (VALUES ('left'), ('right')) s(sink)", "log"),
     "decode_envelope": _sql(
@@ -202,12 +220,11 @@ ORACLES: dict[str, str] = {
         """SELECT topic, part, off, hex(log_key) AS key_hex, hex('{bad') AS value_hex, 'undecodable' AS reason
            FROM log WHERE event_id % 100 = 0
            UNION ALL
-           SELECT topic, part, off, hex(sender), CASE WHEN damage = 'undecodable' THEN hex('{bad') ELSE '' END,
-             coalesce(damage, 'no_recipient')
-           FROM request_log
+           SELECT topic, part, off, hex(sender), hex(value), coalesce(damage, 'no_recipient')
+           FROM request_text
            WHERE damage IN ('undecodable', 'ts_out_of_range') OR (damage IS NULL AND type = 1 AND to_count = 0)""",
         "log",
-        "request_log",
+        "request_text",
     ),
     "wrap_request": _sql(
         f"""SELECT CAST(1 AS INTEGER) AS type, ts_nanos + 1000000 AS envelope_nanos,
@@ -280,7 +297,6 @@ ORACLES: dict[str, str] = {
     "event_time": """SELECT event_id, epoch_us(ts) AS event_us, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS event_time,
              event_id % 1000 AS rest_nanos FROM events""",
     "route_mod": _sql("SELECT topic, part, off, CAST(off % 3 AS INTEGER) AS subscriber FROM log", "log"),
-    "transform_chain": _sql("SELECT topic, part, off, log_key, log_value FROM log", "log"),
     "filter_request_type": _sql(
         "SELECT topic, part, off, id FROM request_log WHERE damage IS NULL AND type = 1", "request_log"
     ),
@@ -397,7 +413,7 @@ ORACLES: dict[str, str] = {
     "replay_noop": _sql(
         """SELECT doc_id, CAST(pass_no AS INTEGER) AS pass_no,
              CASE pass_no WHEN 1 THEN 'created' ELSE 'noop' END AS outcome, CAST(1 AS BIGINT) AS version
-           FROM msg_flat, (VALUES (1), (2)) p(pass_no)""",
+           FROM msg_flat, (VALUES (1), (2)) p(pass_no) WHERE to_count > 0""",
         "msg_flat",
     ),
     "remaining_after_failure": _sql(

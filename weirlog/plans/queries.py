@@ -53,9 +53,14 @@ def _request_columns(req: str) -> list[str]:
 
 @query
 def log_scan(spark, sf):
-    log = views.event_log(spark, sf)
-    resume = progress.resume_offsets(progress.partition_ranges(log), views.saved_offsets(log))
-    return logs.from_starts(log, resume).selectExpr(*PLACE, "log_key", "log_value", "ts_us")
+    root = scratch(spark, "log")
+    views.raw_log(views.event_log(spark, sf)).write.parquet(root)
+    log = logs.read_log(spark, root)
+    saved = settle(views.saved_offsets(log))
+    resume = progress.resume_offsets(progress.partition_ranges(log), saved)
+    return logs.from_starts(log, resume).selectExpr(
+        *PLACE, "decode(key, 'UTF-8') as log_key", "decode(value, 'UTF-8') as log_value", "unix_micros(timestamp) as ts_us"
+    )
 
 
 @query
@@ -67,7 +72,7 @@ def partition_ranges(spark, sf):
 
 @query
 def resume_offsets(spark, sf):
-    log = views.event_log(spark, sf)
+    log = settle(views.event_log(spark, sf))
     resume = progress.resume_offsets(progress.partition_ranges(log), views.saved_offsets(log))
     return resume.selectExpr(
         "topic", "partition as part", "oldest", "newest", "saved", "first_offset", "start as start_at"
@@ -113,8 +118,13 @@ def upsert_snapshot(spark, sf):
 
 @query
 def progress_latest(spark, sf):
-    log = views.event_log(spark, sf).selectExpr("*", "offset div 1000 as batch_id")
-    saved = log.groupBy(*PARTITION, "batch_id").agg(F.expr("max(offset) as frontier"))
+    """The frontiers of four batches through the progress sink, the first of them delivered twice."""
+    root = scratch(spark, "progress")
+    log = settle(views.event_log(spark, sf).selectExpr(*PARTITION, "offset", "least(3, offset div 1000) as batch_id"))
+    for batch_id in (0, 0, 1, 2, 3):
+        rows = log.where(f"batch_id = {batch_id}").groupBy(*PARTITION).agg(F.expr("max(offset) as frontier"))
+        sinks.progress(root)(rows, batch_id)
+    saved = sinks.read_progress(spark, root)
     return progress.latest_progress(saved).selectExpr("topic", "partition as part", "frontier", "batch_id")
 
 
@@ -150,10 +160,7 @@ def quarantine(spark, sf):
     events = envelope.decode(views.damaged_log(spark, sf), views.PROPS)
     requests = delivery.requests(views.request_log(spark, sf))
     bad = envelope.quarantine(events).unionByName(envelope.quarantine(requests))
-    # the dumps of rejected requests hold whole texts; those of damaged rows are short
-    return bad.selectExpr(
-        *PLACE, "key_hex", "if(reason = 'undecodable', value_hex, '') as value_hex", "reason"
-    )
+    return bad.selectExpr(*PLACE, "key_hex", "value_hex", "reason")
 
 
 @query
@@ -217,7 +224,8 @@ def doc_body(spark, sf):
 
 
 def _folded_requests(spark: SparkSession, sf: str) -> DataFrame:
-    updates = upsert.document_updates(_accepted(views.request_log(spark, sf)), INDEX)
+    # decoded once: the fold reads its input twice
+    updates = settle(upsert.document_updates(_accepted(views.request_log(spark, sf)), INDEX))
     return upsert.fold_upserts(updates, "doc_id", upsert.LOG_ORDER, upsert.DOCUMENT_FIELDS)
 
 
@@ -313,11 +321,13 @@ def route_mod(spark, sf):
 
 @query
 def transform_chain(spark, sf):
-    def forward(rows: DataFrame) -> DataFrame:
-        return rows
-
-    rows = routing.chain(views.event_log(spark, sf), forward, forward, forward)
-    return rows.selectExpr(*PLACE, "log_key", "log_value")
+    rows = routing.chain(
+        views.event_log(spark, sf),
+        views.raw_log,
+        lambda log: envelope.decode(log, views.PROPS),
+        envelope.good,
+    )
+    return rows.selectExpr(*PLACE, "decode(key, 'UTF-8') as log_key", "decode(value, 'UTF-8') as log_value")
 
 
 # --- filters --------------------------------------------------------------------------------
@@ -366,7 +376,7 @@ def delivery_class(spark, sf):
 
 @query
 def correlate_outcome(spark, sf):
-    log = views.event_log(spark, sf)
+    log = settle(views.event_log(spark, sf))
     responses = log.where("event_type <> 'signup'").selectExpr(
         *PARTITION, "offset", f"if({views.IS_ERROR}, 429, 200) as status"
     )
@@ -404,14 +414,14 @@ def _confirmed(log: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 @query
 def frontier(spark, sf):
-    return progress.frontier(*_confirmed(views.event_log(spark, sf))).selectExpr(
+    return progress.frontier(*_confirmed(settle(views.event_log(spark, sf)))).selectExpr(
         "topic", "partition as part", "frontier"
     )
 
 
 @query
 def held_offsets(spark, sf):
-    return progress.held_offsets(*_confirmed(views.event_log(spark, sf))).selectExpr(*PLACE, "frontier")
+    return progress.held_offsets(*_confirmed(settle(views.event_log(spark, sf)))).selectExpr(*PLACE, "frontier")
 
 
 @query
@@ -499,25 +509,22 @@ def drain_head(spark, sf):
 @query
 def retry_set(spark, sf):
     sends = views.outbox(spark, sf)
-    plain = ["id", "topic"]
-    return outbox.retry_set(
-        failed=outbox.failed_sends(sends, sends.where(views.IS_ERROR).select("id")).select(plain),
-        unsent=sends.where("state = 'new'").select(plain),
-        unconfirmed=outbox.unconfirmed(sends, sends.where(views.IS_ACK).select("id")).select(plain),
-    )
+    plan = outbox.retry_plan(sends, sends.where(views.IS_ACK).select("id"), sends.where(views.IS_ERROR).select("id"))
+    return plan.select("id", "topic", "reason")
 
 
 @query
 def replay_noop(spark, sf):
-    twice = views.messages(spark, sf).selectExpr(
-        f"{identity.document_id('req')} as doc_id",
-        "req.msg.type as msg_type",
-        "req.msg.ver as msg_ver",
-        _text_md5("req.session"),
-        "explode(array(1, 2)) as pass_no",
-    )
-    folded = upsert.fold_upserts(twice, "doc_id", ["pass_no"], ["msg_type", "msg_ver", "text_md5"])
-    return folded.select("doc_id", "pass_no", "outcome", "version")
+    """Every request twice, as two batches of the document table; each batch is run twice, too."""
+    root = scratch(spark, "replayed")
+    updates = settle(upsert.document_updates(_accepted(views.repeated_requests(spark, sf)), INDEX))
+    passes = []
+    for batch_id in (0, 1):
+        for _ in ("first attempt", "replay"):
+            folded = settle(sinks.fold_batch(updates, root, batch_id))
+            sinks.store_documents(folded, root, batch_id)
+        passes.append(folded.selectExpr("doc_id", f"{batch_id + 1} as pass_no", "outcome", "version"))
+    return passes[0].unionByName(passes[1])
 
 
 @query

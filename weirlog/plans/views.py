@@ -146,6 +146,9 @@ def first_requests(spark: SparkSession, sf: str) -> DataFrame:
     text = f"to_json({wrap_request('req', 'ts_nanos')})"
     value = f"""case when (conv_id + turn) % 13 = 12 then null
         when (conv_id + turn) % 11 = 5 then '{{bad'
+        when (conv_id + turn) % 11 = 1 then concat({text}, 'and more')
+        when (conv_id + turn) % 11 = 2 then concat({text}, {text})
+        when (conv_id + turn) % 11 = 3 then concat('\n\t', {text}, ' \r\n')
         when (conv_id + turn) % 11 = 7 then to_json({tagged(0, ('msgReq', 'req'), 'ts_nanos')})
         when (conv_id + turn) % 11 = 9 then replace({text}, cast(ts_nanos as string), '18446744073709551615')
         else {text} end"""

@@ -1,7 +1,9 @@
 """Sinks for micro-batches.
 
-Everything a batch writes goes to folders named by its batch id and replaces what an earlier
-attempt at the same batch left there, so a replay does not add rows.
+Everything a batch writes goes to a folder named by its batch id, once: a folder that an earlier attempt
+at the batch completed is left alone, so a replay neither adds rows nor takes files from under a
+reader. What an attempt left unfinished is replaced. Batch ids count from a stream's checkpoint, so a
+root belongs to one stream: another one, such as the same stream with a new checkpoint, is refused.
 """
 
 from __future__ import annotations
@@ -19,10 +21,45 @@ from weirlog.schemas import ADDR, LOG, PROPERTY
 Sink = Callable[[DataFrame, int], None]
 
 
+OWNER = "_owner-"
+
+
+class OtherStream(ValueError):
+    """A sink's root was written by another stream, whose batch ids mean other rows."""
+
+
 def batch_path(root: str, batch_id: int) -> str:
     return f"{root}/batch={batch_id}"
 
 
+def _path(spark: SparkSession, path: str):
+    """(file system, path) as Spark sees them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def claim(spark: SparkSession, root: str) -> None:
+    """Make the running stream the owner of a root, or refuse. Outside a stream nothing is checked."""
+    stream = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+    if stream is None:
+        return
+    files, at = _path(spark, root)
+    found = [s.getPath().getName() for s in files.globStatus(_path(spark, f"{root}/{OWNER}*")[1]) or []]
+    if not found:
+        files.create(_path(spark, f"{root}/{OWNER}{stream}")[1], True).close()
+    elif f"{OWNER}{stream}" not in found:
+        raise OtherStream(f"{root} belongs to stream {found[0].removeprefix(OWNER)}, not {stream}: keep its checkpoint or use a new root")
+
+
+def write_once(rows: DataFrame, root: str, batch_id: int, partition_by: list[str] | None = None) -> None:
+    """Write a batch unless an earlier attempt at it was completed."""
+    spark, path = rows.sparkSession, batch_path(root, batch_id)
+    claim(spark, root)
+    files, done = _path(spark, f"{path}/_SUCCESS")
+    if not files.exists(done):
+        rows.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(path)
+
+
 def log_rows(rows: DataFrame, topic: str, key: str, record: str) -> DataFrame:
     """Rows in log layout: the record as JSON, keyed, at their source positions. ``topic``,
     ``key`` and ``record`` are SQL.
@@ -43,7 +80,7 @@ def file_topics(root: str) -> Sink:
     """Append log rows under ``root``, one folder per batch and topic."""
 
     def write(rows: DataFrame, batch_id: int) -> None:
-        rows.write.mode("overwrite").partitionBy("topic").parquet(batch_path(root, batch_id))
+        write_once(rows, root, batch_id, ["topic"])
 
     return write
 
@@ -77,7 +114,7 @@ def table(root: str, partition_by: list[str] | None = None) -> Sink:
     """Append any rows under ``root``, one folder per batch."""
 
     def write(rows: DataFrame, batch_id: int) -> None:
-        rows.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(batch_path(root, batch_id))
+        write_once(rows, root, batch_id, partition_by)
 
     return write
 
@@ -103,11 +140,16 @@ def progress(root: str) -> Sink:
 
     def write(frontiers: DataFrame, batch_id: int) -> None:
         rows = frontiers.select("topic", "partition", "frontier").withColumn("batch_id", F.lit(batch_id).cast("long"))
-        rows.write.mode("overwrite").parquet(batch_path(root, batch_id))
+        write_once(rows, root, batch_id)
 
     return write
 
 
+def read_progress(spark: SparkSession, root: str) -> DataFrame:
+    """What ``progress`` has saved: (topic, partition, frontier, batch_id)."""
+    return spark.read.schema("topic string, partition int, frontier bigint, batch_id bigint").parquet(root)
+
+
 # --- document table -------------------------------------------------------------------------
 #
 # Each batch adds the new state of the documents it changed, by month and in time order. The
@@ -150,8 +192,11 @@ def document_history(spark: SparkSession, root: str, before: int | None = None)
 
 
 def read_documents(spark: SparkSession, root: str) -> DataFrame:
-    """The document table as it is now."""
-    return latest_documents(document_history(spark, root), "doc_id").drop("batch")
+    """The document table as it is now; empty where nothing was ever stored."""
+    history = document_history(spark, root)
+    if history is None:
+        history = spark.createDataFrame([], DOCUMENTS)
+    return latest_documents(history, "doc_id").drop("batch")
 
 
 def compact_documents(spark: SparkSession, root: str, target: str, batch_id: int) -> None:
@@ -161,6 +206,7 @@ def compact_documents(spark: SparkSession, root: str, target: str, batch_id: int
 
 def fold_batch(updates: DataFrame, root: str, batch_id: int, **limits: int) -> DataFrame:
     """Outcome and version of a batch of updates against the table before the batch."""
+    claim(updates.sparkSession, root)
     history = document_history(updates.sparkSession, root, before=batch_id)
     stored = None
     if history is not None:
@@ -179,5 +225,4 @@ def store_documents(folded: DataFrame, root: str, batch_id: int) -> None:
     changed = folded.where(F.col("outcome") != "noop").select(*states)
     # months are brought together into few files, and a month that is most of the batch is split
     latest = latest_documents(changed, "doc_id").hint("rebalance", "month")
-    writer = latest.sortWithinPartitions("month", "ts_nanos").write.mode("overwrite")
-    writer.partitionBy("month").parquet(batch_path(root, batch_id))
+    write_once(latest.sortWithinPartitions("month", "ts_nanos"), root, batch_id, ["month"])

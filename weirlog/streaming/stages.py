@@ -5,8 +5,8 @@
 ``store``: store topic -> document table, and a change event for each new document.
 ``changes``: change topic -> table of created documents for readers.
 
-Each is one streaming query; all but the first read rows in log layout, from files or Kafka. A batch that fails is
-run again from the checkpoint; what it wrote is replaced, and replayed rows end as ``noop``.
+Each is one streaming query; all but the first read rows in log layout, from files or Kafka. A batch that
+fails is run again from the checkpoint; what it completed stays as it is, and replayed rows end as ``noop``.
 """
 
 from __future__ import annotations
@@ -74,14 +74,15 @@ def accept_stage(topics: Sink, aside: Sink, store_topic: str) -> Sink:
 
 def store_stage(topics: Sink, aside: Sink, documents: str, change_topic: str, prefix: str, **limits: int) -> Sink:
     def run(batch: DataFrame, batch_id: int) -> None:
-        rows = delivery_events(batch).persist()
-        folded = fold_batch(document_updates(good(rows), prefix), documents, batch_id, **limits).persist()
+        rows, folded = delivery_events(batch).persist(), None
         try:
+            folded = fold_batch(document_updates(good(rows), prefix), documents, batch_id, **limits).persist()
             store_documents(folded, documents, batch_id)
             topics(log_rows(created_events(folded), f"'{change_topic}'", "sender", "event"), batch_id)
             aside(quarantine(rows), batch_id)
         finally:
-            folded.unpersist()
+            if folded is not None:
+                folded.unpersist()
             rows.unpersist()
 
     return run
@@ -89,8 +90,11 @@ def store_stage(topics: Sink, aside: Sink, documents: str, change_topic: str, pr
 
 def created_documents(log: DataFrame) -> DataFrame:
     """Created documents announced on a change topic."""
-    created = of_type(good(decode(log, STORE_EVENT)), STORE_MSG_CREATED)
-    return created.selectExpr(
+    return _created(decode(log, STORE_EVENT))
+
+
+def _created(rows: DataFrame) -> DataFrame:
+    return of_type(good(rows), STORE_MSG_CREATED).selectExpr(
         "partition",
         "offset",
         "data.msgCreated.index as index",
@@ -102,11 +106,11 @@ def created_documents(log: DataFrame) -> DataFrame:
 
 def changes_stage(changes: Sink, aside: Sink) -> Sink:
     def run(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
+        rows = decode(batch, STORE_EVENT).persist()
         try:
-            changes(created_documents(batch), batch_id)
-            aside(quarantine(decode(batch, STORE_EVENT)), batch_id)
+            changes(_created(rows), batch_id)
+            aside(quarantine(rows), batch_id)
         finally:
-            batch.unpersist()
+            rows.unpersist()
 
     return run
