@@ -98,9 +98,11 @@ def table(found: Iterable[tuple[int, str, bytes]]) -> pa.Table:
 
 def split(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
     """(bucket, its part of each column), keeping the order of rows."""
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
-    at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+    at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     for a, b in zip(at.tolist(), np.append(at[1:], len(bucket)).tolist(), strict=True):
         yield (int(bucket[a]), *[c[order[a:b]] for c in columns])
 
