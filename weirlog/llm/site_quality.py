@@ -18,7 +18,7 @@ from weirlog.llm.jaccard import word_hashes
 from weirlog.session import join_lookup, settle
 
 #: Labelled documents that the model is fitted on, at most: those with the least hashes of their ids.
-SAMPLE = 20_000
+SAMPLE = 12_000
 #: Columns of the hashed space, and how many of them each target keeps, by chi-square.
 SPACE_BITS, KEPT = 20, 1500
 LEAST_DOCS = 8
@@ -83,22 +83,21 @@ class Model:
 
 def fit(rows: list[np.ndarray], measures: np.ndarray, truth: np.ndarray, steps: int = 250) -> Model:
     """Fit on slots (one array per document), measures and 0/1 labels, one column per target."""
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    slot = np.concatenate([*rows, np.zeros(0, np.int64)])
-    held, code = np.unique(slot, return_inverse=True)
-    keep = np.zeros(len(held), bool)
-    total = np.bincount(code, minlength=len(held)).astype(np.float64)
+    slot = np.concatenate([*rows, np.zeros(0, np.int32)])
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    keep = np.zeros(1 << SPACE_BITS, bool)
+    total = np.bincount(slot, minlength=len(keep)).astype(np.float64)
     for y in truth.T:
-        hits = np.bincount(code, y[owner], len(held))
+        hits = np.bincount(slot[(y > 0)[owner]], minlength=len(keep))
         share = y.mean()
         chi = (hits - total * share) ** 2 / np.maximum(total * share * (1 - share), 1e-9)
         chi[total < LEAST_DOCS] = 0
         best = np.argsort(-chi, kind="stable")[:KEPT]
         keep[best[chi[best] > 10]] = True
     number = np.cumsum(keep) - 1
-    some = keep[code]
+    some = keep[slot]
     n = int(keep.sum())
-    doc, word = owner[some], number[code[some]]
+    doc, word = owner[some], number[slot[some]]
     mean, scale = measures.mean(0), measures.std(0) + 1e-3
     dense = np.column_stack([np.clip((measures - mean) / scale, -8, 8), np.ones(len(rows))])
     weights = []
@@ -112,7 +111,7 @@ def fit(rows: list[np.ndarray], measures: np.ndarray, truth: np.ndarray, steps:
             first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
             w = w - 0.08 * 0.99**step * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
         weights.append(w)
-    return Model(held[keep] if n else np.array([-1]), weights if n else [np.concatenate([[0.0], w]) for w in weights], mean, scale)
+    return Model(np.flatnonzero(keep) if n else np.array([-1]), weights if n else [np.concatenate([[0.0], w]) for w in weights], mean, scale)
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Model | None:
@@ -142,7 +141,7 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model | None:
     if not found:
         return None
     return fit(
-        [np.frombuffer(r.slots, np.int32).astype(np.int64) for r in found],
+        [np.frombuffer(r.slots, np.int32) for r in found],
         np.stack([np.frombuffer(r.measures, np.float32) for r in found]),
         np.array([[r.quality, r.toxic] for r in found], np.float64),
     )
