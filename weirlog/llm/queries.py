@@ -35,6 +35,31 @@ def op1_repeats(spark, sf):
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+ORACLES["op1_repeats"] = """
+WITH texts AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+windows AS (
+  SELECT doc_id, k, substr(h, 2 * k + 1, 100) AS g
+  FROM (SELECT doc_id, h, unnest(range(0, greatest(0, n - 49))) AS k FROM texts)),
+firsts AS (SELECT g, min(doc_id) AS first FROM windows GROUP BY g),
+gone AS (SELECT doc_id, k FROM windows JOIN firsts USING (g) WHERE doc_id > first),
+marked AS (
+  SELECT doc_id, k, CASE WHEN k <= lag(k) OVER w + 50 THEN 0 ELSE 1 END AS new FROM gone WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+numbered AS (SELECT doc_id, k, sum(new) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM marked),
+spans AS (SELECT doc_id, min(k) AS a, max(k) + 50 AS b FROM numbered GROUP BY doc_id, run),
+pieces AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans),
+joined AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last,
+    string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head
+  FROM pieces JOIN texts USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM texts LEFT JOIN joined USING (doc_id)
+"""
+
+
 @query
 def op2_token_files(spark, sf):
     out = scratch(spark, "tokens")
@@ -107,6 +132,26 @@ def op7_jaccard_join(spark, sf):
     return jaccard.similar_documents(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+ORACLES["op7_jaccard_join"] = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + least(len(w), 5) - 1], ' ') AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sets a JOIN sets b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, y FROM reached r JOIN ways ON other = x)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, min(other) AS component_id
+FROM documents d JOIN reached r USING (doc_id) LEFT JOIN sizes s USING (doc_id) GROUP BY ALL
+"""
+
+
 @query
 def op8_token_counts(spark, sf):
     return token_counts.token_counts(table(spark, sf, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
