@@ -267,3 +267,31 @@ def test_progress_beside_a_stage_gives_resume_positions(spark, place):
     assert (row.saved, row.first_offset, row.start) == (4, 5, -1)
     more = ranges.selectExpr("topic", "partition", "oldest", "newest + 3 as newest")
     assert resume_offsets(more, saved).first().start == 5
+
+
+def test_a_new_checkpoint_over_stored_documents_is_refused(spark, place):
+    chain = Chain(spark, place("owner"))
+    chain.land(requests(spark, FIRST).coalesce(1))
+    chain.run()
+    before = chain.documents()
+    stream = sinks.stream_topic(spark, f"{chain.root}/accepted", "deliveries")
+    with pytest.raises(Exception, match="belongs to stream"):
+        stages.drain(stream, chain.store, f"{chain.root}/at-another-place")
+    assert chain.documents() == before
+    # the stream itself goes on
+    chain.land(requests(spark, SECOND).selectExpr("key", "value", "topic", "partition", "offset + 100 as offset", "timestamp_micros(offset + 100) as timestamp").coalesce(1))
+    chain.run()
+    assert chain.documents() == DOCUMENTS
+
+
+def test_completed_batches_are_left_alone(spark, place):
+    root = place("once")
+    sinks.table(root)(spark.range(3), 0)
+    files = sorted(spark.read.parquet(root).inputFiles())
+    sinks.table(root)(spark.range(5), 0)
+    assert sorted(spark.read.parquet(root).inputFiles()) == files
+    assert spark.read.parquet(root).count() == 3
+
+
+def test_documents_never_stored(spark, place):
+    assert sinks.read_documents(spark, place("nothing")).count() == 0

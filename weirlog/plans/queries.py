@@ -24,6 +24,18 @@ INDEX = "docs"
 PLACE = ("topic", "partition as part", "offset as off")
 
 
+DOCUMENT_COLUMNS = (
+    "doc_id",
+    "month",
+    "msg_type",
+    "msg_ver",
+    "from_user",
+    "size(to) as to_count",
+    "md5(get(session_data, 0).value.data) as text_md5",
+    "version",
+)
+
+
 def query(fn: Query) -> Query:
     QUERIES[fn.__name__] = fn
     return fn
@@ -104,16 +116,7 @@ def upsert_snapshot(spark, sf):
         updates = upsert.document_updates(_accepted(log), INDEX).persist()
         sinks.store_documents(sinks.fold_batch(updates, root, batch_id), root, batch_id)
         updates.unpersist()
-    return sinks.read_documents(spark, root).selectExpr(
-        "doc_id",
-        "month",
-        "msg_type",
-        "msg_ver",
-        "from_user",
-        "size(to) as to_count",
-        "md5(get(session_data, 0).value.data) as text_md5",
-        "version",
-    )
+    return sinks.read_documents(spark, root).selectExpr(*DOCUMENT_COLUMNS)
 
 
 @query
@@ -582,13 +585,16 @@ def stage_ingress(spark, sf):
 class _Store:
     """Folders of one run of the chained stages over the request log."""
 
-    def __init__(self, spark: SparkSession, sf: str):
+    def __init__(self, spark: SparkSession, sf: str, land: bool = True):
         self.spark = spark
         self.root = scratch(spark, "store")
         self.documents = f"{self.root}/documents"
         # two appends, so that second deliveries come after first ones
-        for log in (views.first_requests(spark, sf), views.repeated_requests(spark, sf)):
-            log.write.mode("append").parquet(f"{self.root}/requests")
+        for log in (views.first_requests(spark, sf), views.repeated_requests(spark, sf)) if land else ():
+            self.land(log)
+
+    def land(self, log: DataFrame) -> None:
+        log.write.mode("append").parquet(f"{self.root}/requests")
 
     def _aside(self, stage: str) -> sinks.Sink:
         return sinks.table(f"{self.root}/aside-{stage}")
@@ -639,6 +645,16 @@ def stage_store(spark, sf):
     )
 
 
+@query
+def store_restart(spark, sf):
+    """The stages over first deliveries, stopped, and started again over second ones."""
+    store = _Store(spark, sf, land=False)
+    for log in (views.first_requests(spark, sf), views.repeated_requests(spark, sf)):
+        store.land(log)
+        store.store()
+    return sinks.read_documents(spark, store.documents).selectExpr(*DOCUMENT_COLUMNS)
+
+
 @query
 def stage_changes(spark, sf):
     return _Store(spark, sf).changes().selectExpr(
