@@ -142,7 +142,7 @@ def _written(batch: pa.RecordBatch) -> bytes:
 
 
 def carried(blobs: list[dict], order: np.ndarray) -> pa.Table:
-    """The carried columns of a bucket, in the order that ``received_order`` gives."""
+    """The carried columns of a bucket, in the order that ``received_in_order`` gives."""
     return pa.concat_tables([pa.ipc.open_stream(b["side"]).read_all() for b in blobs]).take(pa.array(order))
 
 
@@ -171,12 +171,17 @@ def received_order(blobs: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return order, ids, size, raw
 
 
-def received_documents(blobs: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, bytes, offsets) of a bucket's documents in ascending order of ids, then of texts."""
+def received_in_order(blobs: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order of the rows, ids, bytes, offsets) with the documents ascending by id, then by text."""
     order, ids, size, raw = received_order(blobs)
     at = np.cumsum(size) - size
     text = b"".join([raw[a : a + n] for a, n in zip(at[order].tolist(), size[order].tolist(), strict=True)])
-    return ids[order], np.frombuffer(text, np.uint8), np.concatenate([[0], np.cumsum(size[order])])
+    return order, ids[order], np.frombuffer(text, np.uint8), np.concatenate([[0], np.cumsum(size[order])])
+
+
+def received_documents(blobs: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, bytes, offsets) of a bucket's documents in ascending order of ids, then of texts."""
+    return received_in_order(blobs)[1:]
 
 
 def received_nulls(blobs: list[dict], order: np.ndarray) -> np.ndarray:

@@ -98,7 +98,7 @@ def links(
     cluster = settle(cluster.select("id", "root").distinct())
     sizes = cluster.groupBy("root").agg(F.count("*").alias("size")).where("size > 1")
     sized = join_lookup(cluster, sizes, ["root"])
-    small = sized.where(f"size <= {BLOCK}").selectExpr(f"pmod(xxhash64(root), {bins}) as unit", "id").distinct()
+    small = sized.where(f"size <= {BLOCK}").selectExpr(f"pmod(xxhash64(root), {bins}) as unit", "root as part", "id").distinct()
     found = settle(compare(small.join(members, "id"), least, elements))
     large = settle(
         sized.where(f"size > {BLOCK}")
@@ -107,11 +107,11 @@ def links(
     )
     if large.isEmpty():
         return found
-    ranked = large.join(members.selectExpr("id", "length(keys) / n as share"), "id").selectExpr(
+    ranked = large.join(members.selectExpr("id", "length(keys) / greatest(n, 1) as share"), "id").selectExpr(
         "root", "blocks", "id", "row_number() over (partition by root order by share desc, id) as place"
     )
     hubs = ranked.where(f"place <= {HUBS}").selectExpr("root", "id", "explode(sequence(0, blocks - 1)) as block")
-    first = large.select("root", "id", "block").unionByName(hubs).selectExpr("xxhash64(root, block) as unit", "id").distinct()
+    first = large.select("root", "id", "block").unionByName(hubs).selectExpr("xxhash64(root, block) as unit", "0L as part", "id").distinct()
     near = settle(compare(first.join(members, "id"), least, elements))
     label = components(near).selectExpr("node as id", "root as label")
     labelled = settle(large.join(label, "id", "left").withColumn("label", F.coalesce("label", "id")))
@@ -122,7 +122,7 @@ def links(
     out = join_lookup(out, parts, ["root"]).selectExpr("root", "blocks", "id", "pmod(xxhash64(id, 1), parts) as part")
     one = out.selectExpr("root", "part", "explode(sequence(0, blocks - 1)) as block", "id")
     other = join_lookup(labelled, parts, ["root"]).selectExpr("root", "explode(sequence(0, parts - 1)) as part", "block", "id")
-    units = one.unionByName(other).selectExpr("xxhash64(root, part, block) as unit", "id").distinct()
+    units = one.unionByName(other).selectExpr("xxhash64(root, part, block) as unit", "0L as part", "id").distinct()
     far = settle(compare(units.join(members, "id"), least, elements))
     return functools.reduce(DataFrame.unionByName, [found, near, far])
 
@@ -135,14 +135,31 @@ def gathered(keys: DataFrame) -> DataFrame:
 
 
 def compare(units: DataFrame, least: int, elements: Callable | None = None) -> DataFrame:
-    """Spanning edges of the links between the sets (unit, id, n, keys) of each unit."""
+    """Spanning edges of the links between the sets (unit, part, id, n, keys) of each part of a unit.
+
+    With ``elements`` sets are whole and ``n`` is their size, otherwise ``n`` counts what they can't
+    share, too.
+    """
 
     def run(key, frame):
+        frame = frame.sort_by("part")
+        part, ids, n = (np.asarray(frame.column(c), np.int64) for c in ("part", "id", "n"))
         keys = frame.column("keys").to_pylist()
         sets = elements(keys) if elements else [np.frombuffer(k, np.uint64) for k in keys]
-        a, b = _spanning(
-            np.asarray(frame.column("id"), np.int64), np.asarray(frame.column("n"), np.int64), sets, least
-        )
+        if elements:
+            n = np.array([len(x) for x in sets], np.int64)
+        at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        a, b = [], []
+        for lo, hi in zip(at.tolist(), np.append(at[1:], len(part)).tolist(), strict=True):
+            if hi - lo == 2:
+                both = len(np.intersect1d(sets[lo], sets[lo + 1], assume_unique=True))
+                if both and 100 * both >= least * (n[lo] + n[lo + 1] - both):
+                    a.append(int(ids[lo]))
+                    b.append(int(ids[lo + 1]))
+            elif hi - lo > 2:
+                more = _spanning(ids[lo:hi], n[lo:hi], sets[lo:hi], least)
+                a += more[0]
+                b += more[1]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return units.groupBy("unit").applyInArrow(run, "a bigint, b bigint")

@@ -1,6 +1,6 @@
 """Line dedup by MinHash: near-equal lines of all documents, one of each group is kept.
 
-Lines are compared by their distinct five-character shingles. A line's signature is one permutation
+Lines are compared by their distinct seven-character shingles. A line's signature is one permutation
 in bins, each holding the least hash that fell into it; bands of bins are keys. Lines that share a band
 key with others are told so; the distinct ones among them that meet in a key form clusters, which are
 verified with exact Jaccard and joined by distributed union-find. Of each component the first line, by
@@ -20,11 +20,12 @@ from weirlog.llm import buckets as bk
 from weirlog.llm import components as cc
 from weirlog.llm import shared_keys as sk
 from weirlog.llm import texts
-from weirlog.session import settle
+from weirlog.session import join_lookup, scratch, settle
 
-SHINGLE = 5
-#: 12 bands of 4: of pairs at the threshold of 0.8, 998 in 1,000 share a band.
-BANDS, ROWS = 12, 4
+SHINGLE = 7
+#: 12 bands of 5 out of 64 bins: of pairs at the threshold of 0.8, 99 in 100 share a band, of those at
+#: 0.85 999 in 1,000.
+BANDS, ROWS, BIN_BITS = 12, 5, 6
 LEAST = 80
 #: Characters hashed at a time.
 CHUNK = 1 << 20
@@ -39,27 +40,37 @@ def lines(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     starts, ends, rows = texts.words(raw, off, newline)
     if not len(starts):
         return starts, ends, rows, rows
-    breaks = np.concatenate([[0], np.cumsum(raw == 10)])
-    number = breaks[starts] - breaks[off[rows]]
-    ink = ~texts.table_of(texts.SPACE)[raw]
-    at = np.arange(len(raw))
-    after = np.minimum.accumulate(np.where(ink, at, len(raw))[::-1])[::-1]
-    before = np.maximum.accumulate(np.where(ink, at, -1))
-    first, last = after[starts], before[ends - 1] + 1
-    keep = first < last
-    keep &= (first < ends) & (last > starts)
-    return first[keep], last[keep], rows[keep], number[keep]
+    breaks = np.flatnonzero(raw == 10)
+    number = np.searchsorted(breaks, starts) - np.searchsorted(breaks, off[rows])
+    space = texts.table_of(texts.SPACE)
+    starts, ends = starts.copy(), ends.copy()
+    live = np.arange(len(starts))
+    while len(live):
+        live = live[starts[live] < ends[live]]
+        live = live[space[raw[starts[live]]]]
+        starts[live] += 1
+    live = np.arange(len(starts))
+    while len(live):
+        live = live[starts[live] < ends[live]]
+        live = live[space[raw[ends[live] - 1]]]
+        ends[live] -= 1
+    keep = starts < ends
+    return starts[keep], ends[keep], rows[keep], number[keep]
 
 
 def _hashes(chars: np.ndarray) -> np.ndarray:
-    """32-bit hashes of all shingles of code points."""
-    n = len(chars) - SHINGLE + 1
-    h = np.zeros(max(n, 0), np.uint32)
-    for j in range(SHINGLE):
-        h = (h ^ chars[j : j + n]) * np.uint32(0x9E3779B1)
-        h ^= h >> np.uint32(15)
-    h *= np.uint32(0x85EBCA77)
-    return h ^ (h >> np.uint32(13))
+    """32-bit hashes of all shingles of code points, by doubling."""
+    base, square = np.uint32(0x9E3779B1), np.uint32(0x9E3779B1 * 0x9E3779B1 & 0xFFFFFFFF)
+    one = chars * np.uint32(0x85EBCA77)
+    two = one[:-1] * base + one[1:]
+    four = two[:-2] * square + two[2:]
+    six = four[:-2] * square + two[4:]
+    h = six[:-1] * base + one[6:]
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x2C1B3C6D)
+    h ^= h >> np.uint32(13)
+    h *= np.uint32(0x297A2D39)
+    return h ^ (h >> np.uint32(16))
 
 
 def elements(payloads: list[bytes]) -> list[np.ndarray]:
@@ -83,38 +94,39 @@ def elements(payloads: list[bytes]) -> list[np.ndarray]:
 
 def band_keys(column: pa.Array) -> np.ndarray:
     """Band keys (lines x BANDS) of trimmed, lower-cased lines."""
-    bins = BANDS * ROWS
     n = len(column)
     raw, off = texts.bytes_of(column)
     lead = (raw & 0xC0) != 0x80
     at = np.concatenate([[0], np.cumsum(lead)])[off]
     chars = np.frombuffer(raw.tobytes().decode(errors="replace").encode("utf-32-le"), np.uint32)
     empty = np.uint32(0xFFFFFFFF)
-    sig = np.full(n * bins, empty, np.uint32)
+    sig = np.full((n + 1) << BIN_BITS, empty, np.uint32)
     size = at[1:] - at[:-1]
     with np.errstate(over="ignore"):
         lo = 0
         while lo < n:
             hi = max(lo + 1, int(np.searchsorted(at, at[lo] + CHUNK, "right")) - 1)
-            h = _hashes(chars[at[lo] : at[hi]])
-            count = np.maximum(size[lo:hi] - SHINGLE + 1, 0)
-            line = np.repeat(np.arange(lo, hi), count)
-            h = h[np.repeat(at[lo:hi] - at[lo], count) + texts.spread(count)]
-            flat = line * bins + ((h.astype(np.uint64) * np.uint64(bins)) >> np.uint64(32)).astype(np.int64)
-            np.minimum.at(sig, flat, h * np.uint32(0x2C1B3C6D) >> np.uint32(1))
+            part = chars[at[lo] : at[hi]]
+            if len(part) >= SHINGLE:
+                h = _hashes(part)
+                flat = np.repeat(np.arange(lo, hi, dtype=np.int64) << BIN_BITS, size[lo:hi])[: len(h)]
+                flat |= h >> np.uint32(32 - BIN_BITS)
+                # shingles that reach over the end of their line
+                over = (at[lo + 1 : hi + 1, None] - at[lo] - np.arange(1, SHINGLE)).ravel()
+                over = over[(over >= 0) & (over < len(h))]
+                flat[over] = n << BIN_BITS
+                np.minimum.at(sig, flat, h & np.uint32((1 << (32 - BIN_BITS)) - 1))
             lo = hi
-        sig = sig.reshape(n, bins)
+        bins = BANDS * ROWS
+        sig = sig.reshape(n + 1, 1 << BIN_BITS)[:n, :bins].copy()
         # an empty bin takes the value of the next one that is not, marked with the distance
         bare = sig == empty
         none = bare.all(axis=1)
-        for step in range(1, bins):
-            if not bare[~none].any():
-                break
-            fill = np.roll(sig, -step, axis=1)
-            use = bare & (np.roll(bare, -step, axis=1) == 0) & (sig == empty)
-            sig = np.where(use, fill + np.uint32(step * 0x632BE5AB & 0xFFFFFFFF), sig)
-            if not (sig[~none] == empty).any():
-                break
+        place = np.arange(2 * bins, dtype=np.int16)
+        after = np.where(np.concatenate([bare, bare], axis=1), np.int16(2 * bins), place)
+        after = np.minimum.accumulate(after[:, ::-1], axis=1)[:, ::-1][:, :bins]
+        far = (after - place[:bins]).astype(np.uint32)
+        sig = np.take_along_axis(sig, after.astype(np.int64) % bins, axis=1) + far * np.uint32(0x632BE5AB)
         for r in np.flatnonzero(none).tolist():
             key = np.uint32(xxhash.xxh32_intdigest(raw[off[r] : off[r + 1]].tobytes()))
             sig[r] = key + np.arange(bins, dtype=np.uint32)
@@ -124,7 +136,14 @@ def band_keys(column: pa.Array) -> np.ndarray:
         return bk.mix(key ^ (np.arange(BANDS, dtype=np.uint64) << np.uint64(40)))
 
 
-CLASSES = "cls bigint, doc_id bigint, twin int, line int, n bigint, text binary, bands binary"
+def stored(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once into a compressed table in the shared folder."""
+    path = scratch(df.sparkSession, "lines")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+CLASSES = "cls bigint, doc_id bigint, twin int, line int, text binary, bands binary"
 
 
 def _line_keys(part: pa.RecordBatch):
@@ -161,8 +180,7 @@ def _classes(got: dict):
         first = cls not in seen
         seen.add(cls)
         yield (
-            cls, int(ids[r]), int(twin[r]), l, len(elements([text])[0]) if first else None,
-            text if first else None, key[head[k] : stop[k]].tobytes() if first else None,
+            cls, int(ids[r]), int(twin[r]), l, text if first else None, key[head[k] : stop[k]].tobytes() if first else None,
         )
 
 
@@ -170,41 +188,37 @@ def repeated_lines(docs: DataFrame, buckets: int, least: int = LEAST) -> DataFra
     """(doc_id, twin, line) of every line that goes; ``twin`` numbers rows of one id by their texts."""
 
     def gather(key, frame):
-        cols = list(zip(*_classes(bk.received(frame)), strict=True)) or [[]] * 7
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-        names = ("cls", "doc_id", "twin", "line", "n", "text", "bands")
+        cols = list(zip(*_classes(bk.received(frame)), strict=True)) or [[]] * 6
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        names = ("cls", "doc_id", "twin", "line", "text", "bands")
         return pa.table({c: pa.array(v, k) for c, v, k in zip(names, cols, kinds, strict=True)})
 
     told = sk.shared_keys(docs, _line_keys, buckets)
-    held = settle(bk.sent_documents(docs, buckets).unionByName(told).groupBy("bucket").applyInArrow(gather, CLASSES))
+    held = stored(bk.sent_documents(docs, buckets).unionByName(told).groupBy("bucket").applyInArrow(gather, CLASSES))
 
     def bands(batches):
         for batch in batches:
             keys = [np.frombuffer(k, np.int64) for k in batch.column("bands").to_pylist()]
             yield pa.record_batch(
                 {
-                    "cls": np.repeat(np.asarray(batch.column("cls"), np.int64), [len(k) for k in keys]),
+                    "id": np.repeat(np.asarray(batch.column("cls"), np.int64), [len(k) for k in keys]),
                     "key": np.concatenate([*keys, np.zeros(0, np.int64)]),
                 }
             )
 
     some = held.where("text is not null")
-    keys = some.select("cls", "bands").mapInArrow(bands, "cls bigint, key bigint")
-    lead = keys.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi")
-    edges = keys.join(lead, "key").where("cls <> lo").selectExpr("cls as a", "lo as b")
-    met = cc.components(edges)
-    members = (
-        some.join(met.selectExpr("node as cls"), "cls", "left_semi")
-        .dropDuplicates(["cls"])
-        .selectExpr("cls as id", "n", "text as keys")
+    keys = some.select("cls", "bands").mapInArrow(bands, "id bigint, key bigint")
+    met = settle(cc.gathered(keys))
+    members = stored(
+        some.selectExpr("cls as id", "0L as n", "text as keys").join(met.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     )
-    bins = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), met.count() // (2 * cc.BLOCK))
-    found = cc.components(cc.links(settle(members), met.withColumnRenamed("node", "id"), bins, least, elements))
+    bins = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), members.count() // (2 * cc.BLOCK))
+    found = cc.components(cc.links(members, met, bins, least, elements))
     place = held.select("cls", "doc_id", "twin", "line").join(found.withColumnRenamed("node", "cls"), "cls", "left")
-    place = place.selectExpr("coalesce(root, cls) as root", "doc_id", "twin", "line")
+    place = settle(place.selectExpr("coalesce(root, cls) as root", "doc_id", "twin", "line"))
     first = place.groupBy("root").agg(F.min(F.struct("doc_id", "twin", "line")).alias("first"), F.count("*").alias("c"))
     return (
-        place.join(first.where("c > 1"), "root")
+        join_lookup(place, first.where("c > 1"), ["root"])
         .where("struct(doc_id, twin, line) <> first")
         .select("doc_id", "twin", "line")
     )
@@ -217,7 +231,7 @@ def dedup_lines(
     ``n_removed`` (lines with ink, and those taken out), unless columns have these names already.
 
     Lines are compared without white space around them and without regard to ASCII case; two are
-    alike when 100 * intersection >= least * union of their shingles. A line of fewer than five
+    alike when 100 * intersection >= least * union of their shingles. A line of fewer than seven
     characters is like equal ones only. Lines without ink are left as they are. The first of a group
     by document id, then by text among rows of one id, then by place, stays. A null text stays null,
     a null id counts as the smallest. An empty table gives an empty result.
@@ -248,8 +262,7 @@ def dedup_lines(
     def cut(key, frame):
         got = bk.received(frame)
         blobs = got.get("docs", [])
-        order, _, _, _ = bk.received_order(blobs)
-        ids, raw, off = bk.received_documents(blobs)
+        order, ids, raw, off = bk.received_in_order(blobs)
         null = bk.received_nulls(blobs, order)
         drop: dict[int, set] = {}
         for b in got.get("gone", []):
@@ -263,9 +276,9 @@ def dedup_lines(
             one = raw[off[r] : off[r + 1]].tobytes()
             if r in drop:
                 one = b"\n".join([x for k, x in enumerate(one.split(b"\n")) if k not in drop[r]])
-            text.append(None if null[r] else one.decode(errors="replace"))
+            text.append(None if null[r] else one)
         side = bk.carried(blobs, order) if carry and blobs else None
-        out = {"doc_id": texts.ids_back(ids), "text": pa.array(text, pa.string())}
+        out = {"doc_id": texts.ids_back(ids), "text": pa.array(text, pa.binary()).cast(pa.string())}
         for c in carry:
             out[c] = side.column(c) if side is not None else pa.array([], pa.null())
         out["n_lines"] = pa.array(total.astype(np.int64))
