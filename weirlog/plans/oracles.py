@@ -30,6 +30,33 @@ _VIEWS: dict[str, tuple[str, list[str]]] = {
            FROM ranges JOIN saved USING (topic, part)""",
         ["saved"],
     ),
+    "resume_cases": (
+        """SELECT *,
+             CASE WHEN newest <= 0 THEN 0 WHEN saved < 0 THEN oldest WHEN saved > 0 AND saved < oldest THEN NULL
+                  WHEN saved + 1 >= newest THEN newest ELSE saved + 1 END AS first_offset,
+             CAST(CASE WHEN newest <= 0 OR saved < 0 THEN -2 WHEN saved > 0 AND saved < oldest THEN NULL
+                  WHEN saved + 1 >= newest THEN -1 ELSE saved + 1 END AS BIGINT) AS start_at,
+             CASE WHEN newest > 0 AND saved > 0 AND saved < oldest THEN 'rows_lost' END AS problem
+           FROM (
+             SELECT topic, part, min(off) AS oldest, max(off) + 1 AS newest,
+               CAST(CASE part WHEN 0 THEN -1 WHEN 1 THEN 0 WHEN 2 THEN 100 ELSE max(off) + 1 END AS BIGINT) AS saved
+             FROM log WHERE NOT (part = 2 AND off < 150) GROUP BY topic, part
+             UNION ALL
+             SELECT 'events', 4, 0, 0, -1)""",
+        ["log"],
+    ),
+    "frontier_steps": (
+        """SELECT topic, part, b AS off, min(reached) AS frontier FROM (
+             SELECT topic, part, b, saved AS reached FROM saved, range(4) t(b)
+             UNION ALL
+             SELECT c.topic, c.part, b, c.off FROM confirmed c JOIN saved s USING (topic, part), range(4) t(b)
+             WHERE c.off > s.saved AND least(3, c.off // 1000) <= b
+           ) candidates
+           WHERE NOT EXISTS (SELECT 1 FROM confirmed n WHERE n.topic = candidates.topic AND n.part = candidates.part
+             AND n.off = candidates.reached + 1 AND least(3, n.off // 1000) <= candidates.b)
+           GROUP BY topic, part, b""",
+        ["saved", "confirmed"],
+    ),
     "confirmed": ("SELECT topic, part, off FROM log WHERE NOT (event_type = 'error' AND amount > 100)", ["log"]),
     "frontiers": (
         """SELECT topic, part, min(reached) AS frontier FROM (
@@ -193,6 +220,16 @@ ORACLES: dict[str, str] = {
     ),
     "partition_ranges": _sql("SELECT topic, part, oldest, newest FROM ranges", "ranges"),
     "resume_offsets": _sql("SELECT * FROM resume", "resume"),
+    "resume_cases": _sql(
+        """SELECT topic, part, oldest, newest, saved, coalesce(first_offset, -9) AS first_offset,
+             coalesce(start_at, -9) AS start_at, coalesce(problem, '') AS problem FROM resume_cases""",
+        "resume_cases",
+    ),
+    "starting_offsets": _sql(
+        """SELECT '{"events":{' || string_agg('"' || part || '":' || start_at, ',' ORDER BY CAST(part AS VARCHAR)) || '}}'
+             AS starting_offsets FROM resume_cases WHERE problem IS NULL""",
+        "resume_cases",
+    ),
     "json_requests": _sql(
         f"""SELECT conv_id || '/' || turn // 64 AS body_id,
              CAST(row_number() OVER (PARTITION BY conv_id, turn // 64 ORDER BY turn) - 1 AS INTEGER) AS place,
@@ -336,10 +373,9 @@ ORACLES: dict[str, str] = {
         "log",
     ),
     "upsert_lookup": _sql(
-        """SELECT doc_id, CASE role WHEN 'assistant' THEN turn + 1 ELSE 0 END AS stored_version,
-             role = 'assistant' AS found
-           FROM msg_flat""",
-        "msg_flat",
+        """SELECT doc_id, CAST(CASE WHEN found THEN 1 ELSE 0 END AS BIGINT) AS stored_version, found
+           FROM (SELECT doc_id, doc_id IN (SELECT doc_id FROM accepted WHERE pass_no = 1) AS found FROM accepted WHERE pass_no = 2)""",
+        "accepted",
     ),
     "unconfirmed": _sql("SELECT id, topic, event_type FROM outbox WHERE event_type = 'error'", "outbox"),
     "failed_sends": _sql(
@@ -397,9 +433,9 @@ ORACLES: dict[str, str] = {
            FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS n FROM events) e""",
     "frontier_changes": _sql(
         """SELECT topic, part, off, frontier FROM (
-             SELECT *, coalesce(lag(frontier) OVER (PARTITION BY topic, part ORDER BY off), 0) AS previous
-             FROM (SELECT *, off - off % 7 AS frontier FROM log) r) l WHERE frontier <> previous""",
-        "log",
+             SELECT *, lag(frontier) OVER (PARTITION BY topic, part ORDER BY off) AS previous FROM frontier_steps) s
+           WHERE frontier IS DISTINCT FROM previous""",
+        "frontier_steps",
     ),
     "drain_order": _sql(
         "SELECT id, topic, state, rank, place, (place - 1) // 100 AS batch_no FROM drain", "drain"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -91,6 +92,34 @@ def resume_offsets(spark, sf):
     )
 
 
+def _resume_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Every case of resuming: unsaved, saved at 0, rows lost by trimming, all done, and an empty partition."""
+    log = settle(views.event_log(spark, sf).where("not (partition = 2 and offset < 150)"))
+    empty = spark.createDataFrame([("events", views.PARTITIONS, 0, 0)], "topic string, partition int, oldest bigint, newest bigint")
+    ranges = progress.partition_ranges(log).unionByName(empty)
+    return progress.resume_offsets(ranges, views.saved_offsets(log))
+
+
+@query
+def resume_cases(spark, sf):
+    return _resume_cases(spark, sf).selectExpr(
+        "topic",
+        "partition as part",
+        "oldest",
+        "newest",
+        "saved",
+        "coalesce(first_offset, -9L) as first_offset",
+        "coalesce(start, -9L) as start_at",
+        "coalesce(problem, '') as problem",
+    )
+
+
+@query
+def starting_offsets(spark, sf):
+    """Start positions as a Kafka source takes them, of the partitions that can be resumed."""
+    return progress.starting_offsets(_resume_cases(spark, sf).where("problem is null"))
+
+
 @query
 def json_requests(spark, sf):
     parsed = bodies.parse_bodies(views.bodies(spark, sf))
@@ -389,9 +418,12 @@ def correlate_outcome(spark, sf):
 
 @query
 def upsert_lookup(spark, sf):
-    batch = views.messages(spark, sf).selectExpr(f"{identity.document_id('req')} as doc_id", "role", "turn")
-    documents = batch.where("role = 'assistant'").selectExpr("doc_id", "turn + 1 as version")
-    return upsert.lookup_existing(batch.select("doc_id"), documents).selectExpr(
+    """Documents of a second delivery looked up in the table that the first one left."""
+    root = scratch(spark, "looked-up")
+    first = settle(upsert.document_updates(_accepted(views.first_requests(spark, sf)), INDEX))
+    sinks.store_documents(sinks.fold_batch(first, root, 0), root, 0)
+    batch = upsert.document_updates(_accepted(views.repeated_requests(spark, sf)), INDEX)
+    return upsert.lookup_existing(batch.select("doc_id"), sinks.read_documents(spark, root)).selectExpr(
         "doc_id", "coalesce(stored_version, 0) as stored_version", "stored_version is not null as found"
     )
 
@@ -495,8 +527,15 @@ def batch_slices(spark, sf):
 
 @query
 def frontier_changes(spark, sf):
-    reports = views.event_log(spark, sf).selectExpr("*", "offset - offset % 7 as frontier")
-    return progress.frontier_changes(reports, "offset", initial=0).selectExpr(*PLACE, "frontier")
+    """Frontiers after each of four batches; only those that moved are reported."""
+    log = settle(views.event_log(spark, sf).selectExpr("*", "least(3, offset div 1000) as batch_id"))
+    seeds = settle(views.saved_offsets(log, "frontier"))
+    reports = []
+    for batch_id in range(4):
+        upto = envelope.confirmed(log.where(f"not {views.IS_ERROR} and batch_id <= {batch_id}"))
+        reports.append(progress.frontier(upto, seeds).selectExpr(*PARTITION, "frontier", f"{batch_id}L as offset"))
+    merged = functools.reduce(DataFrame.unionByName, reports)
+    return progress.frontier_changes(merged, "offset").selectExpr(*PLACE, "frontier")
 
 
 @query
