@@ -7,6 +7,8 @@ so each distinct unit of a batch is encoded once.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +27,13 @@ UNIT_SLICE_BYTES = 12 << 20
 SPACE = b" \t\n\x0b\x0c\r"
 
 
+def release() -> None:
+    """Give free memory back to the system: idle workers stay beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def pick(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that extra ones can't clash with those of the operator."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
@@ -137,10 +146,18 @@ def spread(lengths: np.ndarray) -> np.ndarray:
     return out - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
-def gather(codes: np.ndarray, offsets: np.ndarray, values: np.ndarray) -> np.ndarray:
+def gather(codes: np.ndarray, offsets: np.ndarray, values: np.ndarray, at_once: int = 1 << 17) -> np.ndarray:
     """The values of each code's list, in the order of ``codes``."""
-    lengths = (offsets[1:] - offsets[:-1])[codes]
-    return values[np.repeat(offsets[:-1][codes], lengths) + spread(lengths)]
+    sizes = offsets[1:] - offsets[:-1]
+    out = np.empty(int(sizes[codes].sum()), values.dtype)
+    done = 0
+    for lo in range(0, len(codes), at_once):
+        part = codes[lo : lo + at_once]
+        lengths = sizes[part]
+        found = values[np.repeat(offsets[:-1][part], lengths) + spread(lengths)]
+        out[done : done + len(found)] = found
+        done += len(found)
+    return out
 
 
 def sums_by_row(rows: np.ndarray, values: np.ndarray | None, n: int) -> np.ndarray:

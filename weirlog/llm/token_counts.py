@@ -65,6 +65,7 @@ def token_counts(
     def count(batches):
         first = dict(zip(table.value[0], table.value[1].tolist(), strict=True))
         second = _counts_cache(path)
+        tokens.only(second)
         for batch in batches:
             for part in texts.slices(batch, "text", texts.UNIT_SLICE_BYTES):
                 codes, rows, values, raw, at = tokens.unit_codes(part.column("text"))

@@ -11,7 +11,12 @@ from pyspark.sql import functions as F
 
 from weirlog.llm import texts, tokens
 
+#: Bytes of text for one file; the number of files follows the input.
+FILE_BYTES = 64 << 20
 STRIPE_BYTES = 16 << 20
+#: Bytes of text encoded at a time, and units that a worker remembers.
+SLICE_BYTES = 16 << 20
+CACHED_UNITS = 240_000
 #: Arrow batches of long id lists are kept to this many ids.
 BATCH_IDS = 2 << 20
 
@@ -22,8 +27,9 @@ def encode_documents(docs: DataFrame, path: str, end_id: int | None) -> DataFram
     """(doc_id, tie, n_tokens, tokens) of (doc_id, text, tie); a null text is empty."""
 
     def encode(batches):
+        tokens.only(tokens.ids_cache(path, CACHED_UNITS))
         for batch in batches:
-            for part in texts.slices(batch, "text", texts.UNIT_SLICE_BYTES):
+            for part in texts.slices(batch, "text", SLICE_BYTES):
                 ids, counts = tokens.encode_rows(part.column("text"), path)
                 if end_id is not None:
                     ids = np.insert(ids, np.cumsum(counts), end_id)
@@ -58,12 +64,14 @@ def write_tokens(
     Files are ranges of document ids, so a reader prunes files, stripes and row groups by their
     statistics, and single ids by the Bloom filter; stripes are read in parallel. Ids must fit in
     31 bits, as those of all public vocabularies do. ``files`` is the number of ranges, by default
-    that of shuffle partitions. Null ids come first, repeated ids in the order
+    one for 64 MB of text. Null ids come first, repeated ids in the order
     of a digest of their text. A null text is empty and has the end id alone. An empty table
     leaves a folder with the schema. Extra columns are left out.
     """
     docs = texts.pick(docs, id_column, text_column).toDF("doc_id", "text").withColumn("tie", F.xxhash64("text"))
-    files = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if files is None:
+        total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        files = max(1 + int(total) // FILE_BYTES, 2 * docs.sparkSession.sparkContext.defaultParallelism)
     # Range bounds come from a sample of the sorted rows: texts are dealt out before they are encoded.
     ranges = docs.repartitionByRange(files, "doc_id", "tie")
     (

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from weirlog.llm import texts
 
 #: Units of a generation of a worker's cache. Results don't depend on it.
-CACHE_UNITS = 250_000
+CACHE_UNITS = 100_000
 #: Longer units are encoded each time they occur.
 CACHE_BYTES = 48
 #: White space beyond ASCII: a text that holds one is one unit, for it could stand beside a cut.
@@ -98,6 +98,18 @@ def sizes_of(path: str):
     return (True, table), re.compile("[ \n]+[!-;=-~\u00c0-\u00ff]+").fullmatch
 
 
+_ALL: list[Cache] = []
+
+
+def only(*caches: Cache) -> None:
+    """Empty the other caches of this worker, which may have come from another operator's tasks, and give
+    memory back that earlier tasks left free."""
+    for c in _ALL:
+        if c not in caches:
+            c.young, c.old = {}, {}
+    texts.release()
+
+
 class Cache:
     """Unit -> value, for the life of a worker. ``encode`` gives the values of missing units.
 
@@ -105,8 +117,9 @@ class Cache:
     is taken over from there.
     """
 
-    def __init__(self, encode, at_once: int = 8192):
-        self.encode, self.at_once, self.young, self.old = encode, at_once, {}, {}
+    def __init__(self, encode, at_once: int = 8192, most: int = CACHE_UNITS):
+        self.encode, self.at_once, self.most, self.young, self.old = encode, at_once, most, {}, {}
+        _ALL.append(self)
 
     def values(self, units: list[str]) -> list:
         young, old = self.young, self.old
@@ -124,7 +137,7 @@ class Cache:
                 found[i] = v
                 if len(units[i]) <= CACHE_BYTES:
                     young[units[i]] = v
-        if len(young) > CACHE_UNITS:
+        if len(young) > self.most:
             self.young, self.old = {}, young
         return found
 
@@ -132,10 +145,12 @@ class Cache:
 _IDS: dict[tuple, Cache] = {}
 
 
-def ids_cache(path: str) -> Cache:
+def ids_cache(path: str, most: int | None = None) -> Cache:
     """Ids of units as little-endian uint32 bytes."""
     if path not in _IDS:
         _IDS[path] = Cache(lambda many: encode_units(path, many))
+    if most is not None:
+        _IDS[path].most = most
     return _IDS[path]
 
 
