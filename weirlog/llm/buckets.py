@@ -93,7 +93,9 @@ def _batch(held: list) -> pa.RecordBatch:
 
 
 def table(found: Iterable[tuple[int, str, bytes]]) -> pa.Table:
-    return pa.Table.from_batches(rows(found), _ARROW)
+    out = pa.Table.from_batches(rows(found), _ARROW)
+    texts.release()
+    return out
 
 
 def split(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
@@ -130,6 +132,7 @@ def sent_documents(docs: DataFrame, buckets: int, carry: list[str] | None = None
                         yield to, "docs", pack(ids=steps(ids[pick]), size=size, null=null, text=text, **more)
 
         yield from rows(found())
+        texts.release()
 
     return docs.select("doc_id", "text", *(carry or [])).mapInArrow(run, ROW)
 

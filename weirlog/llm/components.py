@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weirlog.llm import texts
 from weirlog.session import join_lookup, settle
 
 #: Members of a cluster that are compared in one task; a larger cluster is cut into blocks.
@@ -160,6 +161,7 @@ def compare(units: DataFrame, least: int, elements: Callable | None = None) -> D
                 more = _spanning(ids[lo:hi], n[lo:hi], sets[lo:hi], least)
                 a += more[0]
                 b += more[1]
+        texts.release()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return units.groupBy("unit").applyInArrow(run, "a bigint, b bigint")

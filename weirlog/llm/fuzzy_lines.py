@@ -189,6 +189,7 @@ def repeated_lines(docs: DataFrame, buckets: int, least: int = LEAST) -> DataFra
 
     def gather(key, frame):
         cols = list(zip(*_classes(bk.received(frame)), strict=True)) or [[]] * 6
+        texts.release()
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
         names = ("cls", "doc_id", "twin", "line", "text", "bands")
         return pa.table({c: pa.array(v, k) for c, v, k in zip(names, cols, kinds, strict=True)})
@@ -278,6 +279,7 @@ def dedup_lines(
                 one = b"\n".join([x for k, x in enumerate(one.split(b"\n")) if k not in drop[r]])
             text.append(None if null[r] else one)
         side = bk.carried(blobs, order) if carry and blobs else None
+        texts.release()
         out = {"doc_id": texts.ids_back(ids), "text": pa.array(text, pa.binary()).cast(pa.string())}
         for c in carry:
             out[c] = side.column(c) if side is not None else pa.array([], pa.null())

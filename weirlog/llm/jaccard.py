@@ -22,6 +22,8 @@ from weirlog.llm import texts
 from weirlog.session import join_lookup, settle
 
 SHINGLE = 5
+#: Bytes of text of a slice: it has one key per word.
+SLICE_BYTES = 3 << 20
 #: Bytes hashed at a time.
 HASHED_BYTES = 1 << 19
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -115,11 +117,12 @@ def shared_sets(docs: DataFrame, least: int) -> DataFrame:
         at = np.concatenate([[0], np.cumsum(held)])
         can = (held > 0) & (100 * held >= least * n)
         data = [keys[at[r] : at[r + 1]].tobytes() if can[r] else None for r in range(len(ids))]
+        texts.release()
         return pa.table(
             {"rid": ids, "doc_id": texts.ids_back(real), "tie": tie, "n": n, "own": n - held, "keys": pa.array(data, pa.binary())}
         )
 
-    told = sk.shared_keys(numbered, keys_of, buckets, extra=sizes, columns=("doc_id", "real", "tie", "text"))
+    told = sk.shared_keys(numbered, keys_of, buckets, extra=sizes, columns=("doc_id", "real", "tie", "text"), slice_bytes=SLICE_BYTES)
     return told.groupBy("bucket").applyInArrow(survive, SETS)
 
 

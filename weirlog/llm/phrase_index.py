@@ -91,6 +91,8 @@ def build_index(docs: DataFrame, terms: list[str] | None = None) -> DataFrame:
                     }
                 )
 
+        texts.release()
+
     return texts.pick(docs, "doc_id", "text").mapInArrow(run, INDEX)
 
 

@@ -25,6 +25,8 @@ BLANK = "▁"
 CUTS = b" \n\t"
 #: Longer units are relaxed one position at a time instead of side by side.
 LONG = 256
+#: Bytes of text encoded at a time, which bounds memory.
+SLICE_BYTES = 3 << 20
 #: Slots of the table of piece pairs that were judged before. A slot is overwritten when needed.
 PAIR_SLOTS = 1 << 21
 
@@ -330,7 +332,7 @@ _CACHES: dict[str, tokens.Cache] = {}
 
 def _cache(path: str) -> tokens.Cache:
     if path not in _CACHES:
-        _CACHES[path] = tokens.Cache(vocabulary(path).encode, at_once=1 << 17)
+        _CACHES[path] = tokens.Cache(vocabulary(path).encode, at_once=1 << 14)
     return _CACHES[path]
 
 
@@ -364,8 +366,9 @@ def encode(docs: DataFrame, path: str, *, id_column: str = "doc_id", text_column
     docs = texts.pick(docs, id_column, text_column).toDF("doc_id", "text")
 
     def run(batches):
+        tokens.only(_cache(path))
         for batch in batches:
-            for part in texts.slices(batch, "text", texts.UNIT_SLICE_BYTES):
+            for part in texts.slices(batch, "text", SLICE_BYTES):
                 ids, counts = encode_column(part.column("text"), path)
                 off = np.concatenate([[0], np.cumsum(counts)])
                 crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(off[:-1], off[1:], strict=True)]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirlog.llm import texts, tokens
-from weirlog.session import settle
+from weirlog.session import join_lookup, settle
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -31,6 +31,8 @@ BANDS = {
 SHORT = 400
 #: A language seen in fewer texts has no band.
 MIN_TEXTS = 50
+#: Bands are broadcast up to this many languages (under 3 MB), and joined by shuffle beyond.
+LANGUAGES = 10_000
 
 MEASURES = (
     "doc_id bigint, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
@@ -97,6 +99,7 @@ def measure(docs: DataFrame, piece_path: str, byte_path: str) -> DataFrame:
         is_byte = np.array([tool.is_byte(i) for i in range(len(tool))])
         space, symbol = texts.table_of(texts.SPACE), texts.table_of(SYMBOLS)
         lengths = _lengths_cache(byte_path)
+        tokens.only(tokens.ids_cache(piece_path), lengths)
         for batch in batches:
             for part in texts.slices(batch, "text"):
                 n = part.num_rows
@@ -137,6 +140,9 @@ def measure(docs: DataFrame, piece_path: str, byte_path: str) -> DataFrame:
                     }
                 )
 
+        # a worker may stay idle beside those of the next stages
+        tokens.only()
+
     return docs.mapInArrow(rows_of, MEASURES)
 
 
@@ -159,7 +165,9 @@ def verdicts(measured: DataFrame) -> DataFrame:
         )
         .where(f"n_texts >= {MIN_TEXTS}")
     )
-    joined = based.withColumn("lang_key", F.coalesce("lang", F.lit(""))).join(bands, "lang_key", "left")
+    joined = join_lookup(
+        based.withColumn("lang_key", F.coalesce("lang", F.lit(""))), bands, ["lang_key"], "left", LANGUAGES
+    )
     rules = [
         "when base_failed then 'base'",
         f"when n_symbols > {MAX_SYMBOLS} * n_words then 'symbols'",

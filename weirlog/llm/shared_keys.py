@@ -89,6 +89,7 @@ def _judge(bucket: int, blobs: list[dict], buckets: int):
 def shared_keys(
     docs: DataFrame, keys_of: Callable[[pa.RecordBatch], tuple], buckets: int, extra: Callable | None = None,
     columns: tuple[str, ...] = ("doc_id", "text"),
+    slice_bytes: int = bk.SLICE_BYTES,
 ) -> DataFrame:
     """Replies (bucket of the id, kind ``keys``, blob) to the owners of shared keys.
 
@@ -100,13 +101,14 @@ def shared_keys(
     def send(batches):
         def found():
             for batch in batches:
-                for part in texts.slices(batch, "text", bk.SLICE_BYTES):
+                for part in texts.slices(batch, "text", slice_bytes):
                     keys = keys_of(part)
                     yield from _send(*keys, buckets)
                     if extra is not None:
                         yield from extra(part, keys)
 
         yield from bk.rows(found())
+        texts.release()
 
     def judge(key, frame):
         kinds = frame.column("kind").to_pylist()
