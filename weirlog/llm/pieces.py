@@ -389,6 +389,9 @@ def encode(docs: DataFrame, path: str, *, id_column: str = "doc_id", text_column
                         }
                     )
 
+        # a worker may stay idle beside those of the next job
+        tokens.only()
+
     return docs.mapInArrow(
         run, "doc_id bigint, n_tokens bigint, tokens array<int>, ids_crc32 bigint, round_trip boolean"
     )
