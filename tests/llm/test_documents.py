@@ -266,6 +266,23 @@ def test_quality_rejects_noise_and_keeps_prose(spark, vocab):
     assert found.get((0, True), 0) <= 0.1 * found.get((0, False), 0)
 
 
+@pytest.fixture(scope="module")
+def rated(spark, vocab):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    paths = vocab("piece_bpe_32k.model"), vocab("byte_bpe_50k.json")
+    yield quality_rules.quality_rules(docs, *paths).join(labels, "doc_id").where("not base_failed").cache()
+
+
+def test_bands_reject_low_quality_without_symbols(rated):
+    found = {(r.quality, r.kept): r["count"] for r in rated.groupBy("quality", "kept").count().collect()}
+    assert rated.where("reason = 'symbols'").count() == 0
+    assert found.get((0, True), 0) <= 0.1 * found.get((0, False), 0)
+    assert found.get((1, False), 0) <= 0.01 * found[(1, True)]
+    bare = rated.where("quality = 0 and n_symbols = 0")
+    assert bare.where("not kept").count() >= 0.75 * bare.count() > 0
+
+
 def test_site_quality_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

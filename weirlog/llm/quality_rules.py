@@ -1,4 +1,4 @@
-"""Quality rules: counts of a base rule, then tokenizer fertility within bands per language."""
+"""Quality rules: counts of a base rule, then tokenizer fertility within bands per language and length."""
 
 from __future__ import annotations
 
@@ -15,23 +15,20 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT = 0.3
 
-#: More symbols than this share of the words is markup, tables or noise.
-MAX_SYMBOLS = 0.3
-
-#: How far below and above the median of its language a text may lie, in spreads (half the distance
-#: of the quartiles), and the least spread that counts, so that a uniform language doesn't reject
-#: what differs by little. Short texts vary more: a text of n tokens lies at its distance times
-#: sqrt(n / (n + SHORT)).
+#: Measures of fertility, how many spreads (half the distance of the quartiles) below and above the middle
+#: of texts of its language and length a text may lie, and the least spread that counts, so that uniform
+#: texts don't reject what differs by little. Few byte tokens are no fault.
 BANDS = {
-    "chars_per_piece": (7.0, 7.0, 0.01),
-    "chars_per_byte_token": (9.0, 9.0, 0.015),
-    "byte_share": (1e9, 14.0, 0.001),
-    "token_entropy": (6.0, 12.0, 0.05),
+    "chars_per_piece": ("chars_per_piece", 5.5, 5.5, 0.008),
+    "chars_per_byte_token": ("chars_per_byte_token", 5.5, 5.5, 0.012),
+    "piece_ratio": ("chars_per_piece / nullif(chars_per_byte_token, 0)", 5.5, 5.5, 0.005),
+    "byte_share": ("byte_share", None, 8.0, 0.001),
+    "token_entropy": ("token_entropy", 5.5, 5.5, 0.03),
 }
-SHORT = 400
-#: A language seen in fewer texts has no band.
-MIN_TEXTS = 50
-#: Bands are broadcast up to this many languages (under 3 MB), and joined by shuffle beyond.
+#: Texts that the whole counts for against a language's own middle, and against the quartiles of a length
+#: or of a language's length.
+PULL, BAND_PULL = 5, 20
+#: Bands are broadcast up to this many rows (under 3 MB), and joined by shuffle beyond.
 LANGUAGES = 10_000
 
 MEASURES = (
@@ -149,35 +146,61 @@ def measure(docs: DataFrame, piece_path: str, byte_path: str) -> DataFrame:
 def verdicts(measured: DataFrame) -> DataFrame:
     """Add ``base_failed``, ``reason`` (the first rule broken, or null) and ``kept``.
 
-    Quartiles are taken per language over all texts that pass the base rule, from values rounded to
-    a thousandth, so their number is bounded and the result does not depend on partitions.
+    The middle of each language is shrunk towards that of all texts. What texts depart from it has
+    quartiles per length (doublings of the tokens) and language, shrunk towards those of the length, and
+    these towards those of all texts, so that a text in a language or of a length seen rarely is judged,
+    too. A middle that is known from few texts widens its band by how much languages differ. All are taken
+    over the texts that pass the base rule, from values rounded to a thousandth, so their number is
+    bounded and the result does not depend on partitions.
     """
-    based = measured.withColumn(
-        "base_failed",
-        F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {round(100 * MAX_REPEAT)} * n_words"),
+    based = measured.withColumns(
+        {
+            "base_failed": F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {round(100 * MAX_REPEAT)} * n_words"),
+            "lang_key": F.coalesce("lang", F.lit("")),
+            "size": F.expr("cast(floor(log2(greatest(n_pieces, 1))) as int)"),
+            **{f"m_{m}": F.expr(value) for m, (value, *_) in BANDS.items()},
+        }
     )
-    bands = (
+    middles = settle(
         based.where("not base_failed")
-        .groupBy(F.coalesce("lang", F.lit("")).alias("lang_key"))
-        .agg(
-            F.count("*").alias("n_texts"),
-            *[F.expr(f"percentile(round({m}, 3), array(0.25, 0.5, 0.75))").alias(f"q_{m}") for m in BANDS],
-        )
-        .where(f"n_texts >= {MIN_TEXTS}")
+        .rollup("lang_key")
+        .agg(F.count("*").alias("n"), *[F.expr(f"percentile(round(m_{m}, 3), 0.5)").alias(f"c_{m}") for m in BANDS])
+    )
+    whole = middles.where("lang_key is null").first()
+    known = whole is not None and whole["n"] > 0
+    mid = {m: f"{whole[f'c_{m}'] if known else 0.0!r}D" for m in BANDS}
+    languages = middles.where("lang_key is not null")
+    apart = languages.agg(*[F.expr(f"round(sum(n * pow(c_{m} - {mid[m]}, 2)) / sum(n), 9)").alias(m) for m in BANDS]).first()
+    centres = languages.selectExpr(
+        "lang_key",
+        *[f"(n * c_{m} + {PULL} * {mid[m]}) / (n + {PULL}) as c_{m}" for m in BANDS],
+        *[f"{apart[m] if known else 0.0!r}D * {PULL} / (n + {PULL}) as u_{m}" for m in BANDS],
     )
-    joined = join_lookup(
-        based.withColumn("lang_key", F.coalesce("lang", F.lit(""))), bands, ["lang_key"], "left", LANGUAGES
+    centred = join_lookup(based, centres, ["lang_key"], "left", LANGUAGES)
+    centred = centred.withColumns({f"r_{m}": F.expr(f"round(m_{m} - c_{m}, 3)") for m in BANDS})
+    quartiles = settle(
+        centred.where("not base_failed")
+        .rollup("size", "lang_key")
+        .agg(F.count("*").alias("n"), *[F.expr(f"percentile(r_{m}, array(0.25D, 0.5D, 0.75D))").alias(f"q_{m}") for m in BANDS])
     )
-    rules = [
-        "when base_failed then 'base'",
-        f"when n_symbols > {MAX_SYMBOLS} * n_words then 'symbols'",
-    ]
-    for m, (below, above, least) in BANDS.items():
-        far = (
-            f"({m} - q_{m}[1]) / greatest((q_{m}[2] - q_{m}[0]) / 2, {least}D)"
-            f" * sqrt(n_pieces / (n_pieces + {SHORT}))"
+
+    def pulled(inner: DataFrame, outer: DataFrame, on: list[str]) -> DataFrame:
+        outer = outer.select(*on, *[F.col(f"q_{m}").alias(f"o_{m}") for m in BANDS])
+        both = inner.join(outer, on) if on else inner.crossJoin(outer)
+        return both.select(
+            "size", "lang_key", "n",
+            *[F.expr(f"zip_with(q_{m}, o_{m}, (q, o) -> (n * q + {BAND_PULL} * o) / (n + {BAND_PULL}))").alias(f"q_{m}") for m in BANDS],
         )
-        rules.append(f"when {far} < -{below}D or {far} > {above}D then '{m}'")
+
+    sizes = pulled(quartiles.where("size is not null and lang_key is null"), quartiles.where("size is null"), [])
+    bands = pulled(quartiles.where("lang_key is not null"), sizes, ["size"]).drop("n")
+    joined = join_lookup(centred, bands, ["size", "lang_key"], "left", LANGUAGES)
+    rules = ["when base_failed then 'base'"]
+    for m, (_, below, above, least) in BANDS.items():
+        far = f"(r_{m} - q_{m}[1]) / sqrt(pow(greatest((q_{m}[2] - q_{m}[0]) / 2, {least}D), 2) + u_{m})"
+        if below is not None:
+            rules.append(f"when {far} < -{below}D then '{m}'")
+        rules.append(f"when {far} > {above}D then '{m}'")
     return joined.withColumn("reason", F.expr(f"case {' '.join(rules)} end")).select(
         *measured.columns, "base_failed", "reason", F.col("reason").isNull().alias("kept")
     )
@@ -195,7 +218,8 @@ def quality_rules(
     """Counts, fertility and verdict of every whole text.
 
     Fertility is measured with two public vocabularies: characters per token of both, the share of
-    byte-fallback tokens and the entropy of the tokens. One row per row of ``docs``; ids may be
+    byte-fallback tokens and the entropy of the tokens; the bands also hold the first two against each
+    other. One row per row of ``docs``; ids may be
     null or repeat. A null or empty text has no words and fails the base rule. A null language is a
     language of its own. Extra columns are ignored whatever their names. An empty table gives an
     empty result.
