@@ -283,6 +283,16 @@ def test_bands_reject_low_quality_without_symbols(rated):
     assert bare.where("not kept").count() >= 0.75 * bare.count() > 0
 
 
+def test_rare_language_is_judged(spark, vocab):
+    """A few texts of a language have a band, in a table of any size."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id", "lang", "text")
+    noise = " ".join("%x" % (7919**k % (1 << 61)) for k in range(1, 200))
+    prose = docs.where("lang = 'en' and length(text) > 2000").orderBy("doc_id").first().text
+    more = spark.createDataFrame([(10**6 + k, "xx", t) for k, t in enumerate([noise, prose, prose[:-9]])], docs.schema)
+    out = quality_rules.quality_rules(docs.unionByName(more), vocab("piece_bpe_32k.model"), vocab("byte_bpe_50k.json"))
+    assert {r.doc_id - 10**6: r.kept for r in out.where("lang = 'xx'").collect()} == {0: False, 1: True, 2: True}
+
+
 def test_site_quality_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
