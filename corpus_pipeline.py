@@ -43,7 +43,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier one go, and documents of which nothing is left by that."""
-    cut = fuzzy_lines.dedup_lines(docs).where("n_removed = 0 or n_removed < n_lines")
+    cut = fuzzy_lines.dedup_lines(docs, shingle=5).where("n_removed = 0 or n_removed < n_lines")
     return cut.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 

@@ -184,6 +184,14 @@ def test_band_recall():
     assert total > 100 and met / total >= 0.98
 
 
+def test_lines_of_49_characters_with_a_typo(spark, docs_of):
+    """One changed character leaves such lines near copies by five-character shingles."""
+    a = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVW".lower()[:26] + "0123456789-+=/,;:!?()[]{"[:23]
+    b = a[:24] + "~" + a[25:]
+    out = fuzzy_lines.dedup_lines(docs_of([(1, a), (2, b)]), shingle=5).collect()
+    assert {r.doc_id: r.n_removed for r in out} == {1: 0, 2: 1}
+
+
 def item_words(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
 

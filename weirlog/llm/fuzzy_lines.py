@@ -1,6 +1,6 @@
 """Line dedup by MinHash: near-equal lines of all documents, one of each group is kept.
 
-Lines are compared by their distinct seven-character shingles. A line's signature is one permutation
+Lines are compared by their distinct shingles. A line's signature is one permutation
 in bins, each holding the least hash that fell into it; bands of bins are keys. Lines that share a band
 key with others are told so; the distinct ones among them that meet in a key form clusters, which are
 verified with exact Jaccard and joined by distributed union-find. Of each component the first line, by
@@ -9,6 +9,8 @@ document id and place, stays.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -22,10 +24,12 @@ from weirlog.llm import shared_keys as sk
 from weirlog.llm import texts
 from weirlog.session import join_lookup, scratch, settle
 
+#: Characters of a shingle, unless told otherwise; the queries and the pipeline take five.
 SHINGLE = 7
-#: 12 bands of 5 out of 64 bins: of pairs at the threshold of 0.8, 99 in 100 share a band, of those at
-#: 0.85 999 in 1,000.
-BANDS, ROWS, BIN_BITS = 12, 5, 6
+#: 12 bands of 4, taken from 64 bins: of pairs at the threshold of 0.8, 998 in 1,000 share a band.
+BANDS, ROWS, BIN_BITS = 12, 4, 6
+#: The bins, each in an order of its own, that an empty one looks at for a value.
+_LOOK = np.argsort(np.random.Generator(np.random.PCG64(9)).random((BANDS * ROWS, 1 << BIN_BITS)), axis=1).astype(np.int16)
 LEAST = 80
 #: Characters hashed at a time.
 CHUNK = 1 << 20
@@ -58,14 +62,21 @@ def lines(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return starts[keep], ends[keep], rows[keep], number[keep]
 
 
-def _hashes(chars: np.ndarray) -> np.ndarray:
+def _hashes(chars: np.ndarray, shingle: int) -> np.ndarray:
     """32-bit hashes of all shingles of code points, by doubling."""
-    base, square = np.uint32(0x9E3779B1), np.uint32(0x9E3779B1 * 0x9E3779B1 & 0xFFFFFFFF)
-    one = chars * np.uint32(0x85EBCA77)
-    two = one[:-1] * base + one[1:]
-    four = two[:-2] * square + two[2:]
-    six = four[:-2] * square + two[4:]
-    h = six[:-1] * base + one[6:]
+    base = 0x9E3779B1
+    n = len(chars) - shingle + 1
+    power = chars * np.uint32(0x85EBCA77)
+    h, width, done = None, 1, 0
+    while True:
+        if shingle & width:
+            part = power[done : done + n]
+            h = part.copy() if h is None else h * np.uint32(pow(base, width, 1 << 32)) + part
+            done += width
+        if done == shingle:
+            break
+        power = power[:-width] * np.uint32(pow(base, width, 1 << 32)) + power[width:]
+        width *= 2
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x2C1B3C6D)
     h ^= h >> np.uint32(13)
@@ -73,26 +84,26 @@ def _hashes(chars: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint32(16))
 
 
-def elements(payloads: list[bytes]) -> list[np.ndarray]:
+def elements(payloads: list[bytes], shingle: int = SHINGLE) -> list[np.ndarray]:
     """Distinct shingles of each line as 64-bit numbers; a shorter line is one of its own."""
     out = []
     for p in payloads:
         chars = np.frombuffer(p.decode(errors="replace").encode("utf-32-le"), np.uint32).astype(np.uint64)
-        if len(chars) < SHINGLE:
+        if len(chars) < shingle:
             key = np.uint64(len(chars))
             for c in chars:
                 key = bk.mix(np.array([key ^ c]))[0]
             out.append(np.array([key], np.uint64))
             continue
-        n = len(chars) - SHINGLE + 1
+        n = len(chars) - shingle + 1
         key = np.zeros(n, np.uint64)
-        for j in range(SHINGLE):
-            key = bk.mix(key ^ chars[j : j + n]) if j == SHINGLE - 1 else (key ^ chars[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
+        for j in range(shingle):
+            key = bk.mix(key ^ chars[j : j + n]) if j == shingle - 1 else (key ^ chars[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
         out.append(np.unique(key))
     return out
 
 
-def band_keys(column: pa.Array) -> np.ndarray:
+def band_keys(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     """Band keys (lines x BANDS) of trimmed, lower-cased lines."""
     n = len(column)
     raw, off = texts.bytes_of(column)
@@ -107,26 +118,31 @@ def band_keys(column: pa.Array) -> np.ndarray:
         while lo < n:
             hi = max(lo + 1, int(np.searchsorted(at, at[lo] + CHUNK, "right")) - 1)
             part = chars[at[lo] : at[hi]]
-            if len(part) >= SHINGLE:
-                h = _hashes(part)
+            if len(part) >= shingle:
+                h = _hashes(part, shingle)
                 flat = np.repeat(np.arange(lo, hi, dtype=np.int64) << BIN_BITS, size[lo:hi])[: len(h)]
                 flat |= h >> np.uint32(32 - BIN_BITS)
                 # shingles that reach over the end of their line
-                over = (at[lo + 1 : hi + 1, None] - at[lo] - np.arange(1, SHINGLE)).ravel()
+                over = (at[lo + 1 : hi + 1, None] - at[lo] - np.arange(1, shingle)).ravel()
                 over = over[(over >= 0) & (over < len(h))]
                 flat[over] = n << BIN_BITS
                 np.minimum.at(sig, flat, h & np.uint32((1 << (32 - BIN_BITS)) - 1))
             lo = hi
         bins = BANDS * ROWS
-        sig = sig.reshape(n + 1, 1 << BIN_BITS)[:n, :bins].copy()
-        # an empty bin takes the value of the next one that is not, marked with the distance
-        bare = sig == empty
+        full = sig.reshape(n + 1, 1 << BIN_BITS)[:n]
+        bare = full == empty
         none = bare.all(axis=1)
-        place = np.arange(2 * bins, dtype=np.int16)
-        after = np.where(np.concatenate([bare, bare], axis=1), np.int16(2 * bins), place)
-        after = np.minimum.accumulate(after[:, ::-1], axis=1)[:, ::-1][:, :bins]
-        far = (after - place[:bins]).astype(np.uint32)
-        sig = np.take_along_axis(sig, after.astype(np.int64) % bins, axis=1) + far * np.uint32(0x632BE5AB)
+        sig = full[:, :bins].copy()
+        # an empty bin takes the value of one that is not, each looking in an order of its own, so that
+        # the bands of short lines are not copies of each other
+        row, col = np.nonzero(bare[:, :bins] & ~none[:, None])
+        for look in range(1 << BIN_BITS):
+            if not len(row):
+                break
+            at_bin = _LOOK[col, look]
+            hit = ~bare[row, at_bin]
+            sig[row[hit], col[hit]] = full[row[hit], at_bin[hit]] + (at_bin[hit] + 1).astype(np.uint32) * np.uint32(0x632BE5AB)
+            row, col = row[~hit], col[~hit]
         for r in np.flatnonzero(none).tolist():
             key = np.uint32(xxhash.xxh32_intdigest(raw[off[r] : off[r + 1]].tobytes()))
             sig[r] = key + np.arange(bins, dtype=np.uint32)
@@ -146,12 +162,12 @@ def stored(df: DataFrame) -> DataFrame:
 CLASSES = "cls bigint, doc_id bigint, twin int, line int, text binary, bands binary"
 
 
-def _line_keys(part: pa.RecordBatch):
+def _line_keys(part: pa.RecordBatch, shingle: int = SHINGLE):
     raw, off = texts.bytes_of(part.column("text"))
     raw = _LOWER[raw]
     starts, ends, rows, number = lines(raw, off)
     codes, values = texts.distinct(texts.strings(raw, starts, ends))
-    keys = band_keys(values)
+    keys = band_keys(values, shingle)
     ids = texts.ids_of(part.column("doc_id"))
     n = len(starts)
     return ids[rows], number.astype(np.int32), np.repeat(np.arange(n), BANDS), keys[codes].ravel()
@@ -184,7 +200,7 @@ def _classes(got: dict):
         )
 
 
-def repeated_lines(docs: DataFrame, buckets: int, least: int = LEAST) -> DataFrame:
+def repeated_lines(docs: DataFrame, buckets: int, least: int = LEAST, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, twin, line) of every line that goes; ``twin`` numbers rows of one id by their texts."""
 
     def gather(key, frame):
@@ -194,7 +210,7 @@ def repeated_lines(docs: DataFrame, buckets: int, least: int = LEAST) -> DataFra
         names = ("cls", "doc_id", "twin", "line", "text", "bands")
         return pa.table({c: pa.array(v, k) for c, v, k in zip(names, cols, kinds, strict=True)})
 
-    told = sk.shared_keys(docs, _line_keys, buckets)
+    told = sk.shared_keys(docs, partial(_line_keys, shingle=shingle), buckets)
     held = stored(bk.sent_documents(docs, buckets).unionByName(told).groupBy("bucket").applyInArrow(gather, CLASSES))
 
     def bands(batches):
@@ -214,7 +230,7 @@ def repeated_lines(docs: DataFrame, buckets: int, least: int = LEAST) -> DataFra
         some.selectExpr("cls as id", "0L as n", "text as keys").join(met.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     )
     bins = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), members.count() // (2 * cc.BLOCK))
-    found = cc.components(cc.links(members, met, bins, least, elements))
+    found = cc.components(cc.links(members, met, bins, least, partial(elements, shingle=shingle)))
     place = held.select("cls", "doc_id", "twin", "line").join(found.withColumnRenamed("node", "cls"), "cls", "left")
     place = settle(place.selectExpr("coalesce(root, cls) as root", "doc_id", "twin", "line"))
     first = place.groupBy("root").agg(F.min(F.struct("doc_id", "twin", "line")).alias("first"), F.count("*").alias("c"))
@@ -226,13 +242,13 @@ def repeated_lines(docs: DataFrame, buckets: int, least: int = LEAST) -> DataFra
 
 
 def dedup_lines(
-    docs: DataFrame, *, least: int = LEAST, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame, *, least: int = LEAST, shingle: int = SHINGLE, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
     """All columns of ``docs`` with the repeated lines taken out of the text, and ``n_lines`` and
     ``n_removed`` (lines with ink, and those taken out), unless columns have these names already.
 
     Lines are compared without white space around them and without regard to ASCII case; two are
-    alike when 100 * intersection >= least * union of their shingles. A line of fewer than seven
+    alike when 100 * intersection >= least * union of their shingles. A line of fewer than ``shingle``
     characters is like equal ones only. Lines without ink are left as they are. The first of a group
     by document id, then by text among rows of one id, then by place, stays. A null text stays null,
     a null id counts as the smallest. An empty table gives an empty result.
@@ -244,7 +260,7 @@ def dedup_lines(
         *[F.col(f"`{c}`").alias(n) for c, n in names.items()],
     )
     buckets = bk.bucket_count(plain)
-    gone = repeated_lines(plain.select("doc_id", "text"), buckets, least)
+    gone = repeated_lines(plain.select("doc_id", "text"), buckets, least, shingle)
 
     def tell(batches):
         for batch in batches:

@@ -159,7 +159,7 @@ def op8_token_counts(spark, sf):
 
 @query
 def op9_fuzzy_lines(spark, sf):
-    kept = fuzzy_lines.dedup_lines(table(spark, sf, "documents"))
+    kept = fuzzy_lines.dedup_lines(table(spark, sf, "documents"), shingle=5)
     return kept.selectExpr("doc_id", "n_lines", "n_removed", "sha2(text, 256) as text_sha256")
 
 
