@@ -184,6 +184,19 @@ def test_band_recall():
     assert total > 100 and met / total >= 0.98
 
 
+@pytest.mark.parametrize("shingle", [5, 7])
+@pytest.mark.parametrize("union", [5, 10, 20, 25, 30, 50, 100, 300])
+def test_band_recall_by_length(union, shingle):
+    """Of pairs just at the threshold nearly all share a band, however short the lines are."""
+    rng = random.Random(union)
+    lines = []
+    for _ in range(2000):
+        b = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(union + shingle - 1))
+        lines += [b, b[: union * 4 // 5 + shingle - 1]]
+    k = fuzzy_lines.band_keys(pa.array(lines), shingle)
+    assert (k[::2] == k[1::2]).any(axis=1).mean() >= 0.98
+
+
 def test_lines_of_49_characters_with_a_typo(spark, docs_of):
     """One changed character leaves such lines near copies by five-character shingles."""
     a = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVW".lower()[:26] + "0123456789-+=/,;:!?()[]{"[:23]
