@@ -27,6 +27,15 @@ def test_blocks():
     assert texts_of("<p>a<script>never closed") == ["a"]
 
 
+@pytest.mark.parametrize("tag", ["svg", "math", "object", "video", "audio", "canvas", "noscript", "template"])
+def test_skipped_elements_without_end(tag):
+    assert texts_of(f"<p>a<{tag} x='1'><g>no</g>no<p>b<p>c") == ["a", "b", "c"]
+    assert texts_of(f"<header><{tag}><path d='M0'>no</header>b<p>c") == ["b", "c"]
+    assert texts_of(f"<{tag}>no<p>b</p><{tag}>no<p>no</p></{tag}>c<script>'<{tag}>'</script><p>d") == ["b", "c", "d"]
+    assert texts_of(f"<p>a<{tag}><div>no<{tag}>no</{tag}>no</div></{tag}>b") == ["ab"]
+    assert texts_of(f"<p>a<{tag}/>b<{tag}><!-- </{tag}> --><p>no</{tag}>c") == ["abc"]
+
+
 def test_path_of_unclosed_tags():
     path = blocks('<div class="mainContent"><p>a<p>b</div><p>c')
     assert [p for p, _, _ in path] == [

@@ -12,6 +12,14 @@ INLINE = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset("script style noscript template textarea title svg math iframe object canvas audio video".split())
+#: Of these the content is text only, which runs to the end of the page where the end tag is missing.
+RAW = frozenset("script style textarea title iframe".split())
+#: Elements that can't be inside an open one of the other skipped ones unless that has an end tag.
+BLOCK = frozenset(
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
+    "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td "
+    "tfoot th thead tr ul".split()
+)
 #: A start tag of the first closes an open element of the second, up to one of the third.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -27,7 +35,15 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
 )
 _MARKS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in SKIPPED}
+_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
+_PAIRS = {
+    name: re.compile(
+        rf"<!--.*?(?:-->|\Z)|<({'|'.join(sorted(RAW))})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+        rf"|<(/?){name}(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+        re.S | re.I,
+    )
+    for name in SKIPPED - RAW
+}
 _WORD = re.compile(r"[a-z]+")
 _marks_of: dict[str, tuple[str, ...]] = {}
 
@@ -50,12 +66,25 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
     return known
 
 
+def _ends_of(page: str, tag: str) -> dict[int, int]:
+    """Where each element of a name that has an end tag starts, and the end of that tag."""
+    out, opened = {}, []
+    for m in _PAIRS[tag].finditer(page):
+        if m[2]:
+            if opened:
+                out[opened.pop()] = m.end()
+        elif m[2] is not None and not m[3].endswith("/"):
+            opened.append(m.start())
+    return out
+
+
 def blocks(page: str | None) -> list[tuple[tuple[tuple[str, ...], ...], str, int]]:
     """(path, text, characters inside links) of each block with text, in page order.
 
     The path holds the block-level elements around the text, outermost first, each with its marks.
     Character references are decoded, white space is one blank. Ends that were left out are closed as
-    browsers do for paragraphs, list items and table cells.
+    browsers do for paragraphs, list items and table cells. A skipped element without an end tag ends at
+    the next tag of a block, or with the page if it holds text only, such as a script.
     """
     out: list = []
     if not page:
@@ -65,6 +94,8 @@ def blocks(page: str | None) -> list[tuple[tuple[tuple[str, ...], ...], str, int
     text: list[str] = []
     link = linked = 0
     at = 0
+    ends: dict[str, dict[int, int]] = {}
+    mute = ""
 
     def flush():
         nonlocal linked
@@ -83,9 +114,10 @@ def blocks(page: str | None) -> list[tuple[tuple[tuple[str, ...], ...], str, int
     while at < size:
         m = search(page, at)
         if m is None:
-            text.append(page[at:])
+            if not mute:
+                text.append(page[at:])
             break
-        if m.start() > at:
+        if m.start() > at and not mute:
             piece = page[at : m.start()]
             text.append(piece)
             if link:
@@ -95,6 +127,13 @@ def blocks(page: str | None) -> list[tuple[tuple[tuple[str, ...], ...], str, int
         if tag is None:
             continue
         tag = tag.lower()
+        if mute:
+            if tag in BLOCK and (not m[1] or tag in stack):
+                mute = ""
+            elif m[1] or tag not in SKIPPED:
+                if m[1] and tag == mute:
+                    mute = ""
+                continue
         if m[1]:
             if tag == "a":
                 link = max(0, link - 1)
@@ -107,8 +146,17 @@ def blocks(page: str | None) -> list[tuple[tuple[tuple[str, ...], ...], str, int
             continue
         if tag in SKIPPED:
             if not m[3].endswith("/"):
-                end = _ENDS[tag].search(page, at)
-                at = end.end() if end else size
+                if tag in RAW:
+                    end = _ENDS[tag].search(page, at)
+                    at = end.end() if end else size
+                    continue
+                if tag not in ends:
+                    ends[tag] = _ends_of(page, tag)
+                end = ends[tag].get(m.start())
+                if end:
+                    at = end
+                else:
+                    mute = mute or tag
             continue
         if tag == "br":
             text.append(" ")
