@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirlog.llm import fuzzy_lines, hard_negatives, jaccard, main_text, phrase_index, pieces, quality_rules, repeats, site_quality, token_counts, token_files
+from weirlog.llm import fuzzy_lines, hard_negatives, jaccard, main_text, phrase_index, pieces, quality_rules, repeats, simhash, site_quality, token_counts, token_files
 from weirlog.session import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -194,3 +194,9 @@ WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * po
 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)
 QUALIFY row_number() OVER w <= 3
 """
+
+
+@query
+def op12_simhash(spark, sf):
+    found = simhash.near_duplicates(table(spark, sf, "documents"))
+    return found.selectExpr("doc_id", "lower(lpad(hex(fp), 16, '0')) as fingerprint", "component_id")
