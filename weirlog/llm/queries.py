@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirlog.llm import fuzzy_lines, hard_negatives, jaccard, main_text, phrase_index, pieces, quality_rules, repeats, simhash, site_quality, token_counts, token_files
+from weirlog.llm import collocations, fuzzy_lines, hard_negatives, jaccard, main_text, phrase_index, pieces, quality_rules, repeats, simhash, site_quality, token_counts, token_files
 from weirlog.session import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,3 +200,8 @@ QUALIFY row_number() OVER w <= 3
 def op12_simhash(spark, sf):
     found = simhash.near_duplicates(table(spark, sf, "documents"))
     return found.selectExpr("doc_id", "lower(lpad(hex(fp), 16, '0')) as fingerprint", "component_id")
+
+
+@query
+def op13_collocations(spark, sf):
+    return collocations.collocations(table(spark, sf, "documents"))
