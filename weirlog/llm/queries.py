@@ -205,3 +205,32 @@ def op12_simhash(spark, sf):
 @query
 def op13_collocations(spark, sf):
     return collocations.collocations(table(spark, sf, "documents"))
+
+
+ORACLES["op13_collocations"] = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+counts AS (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, range(1, 6) AS lengths(k) WHERE len(w) >= k)
+  GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE k > 1 AND f >= 100),
+parts AS (
+  SELECT lang, a, size, array_to_string(w[i : i + size - 1], ' ') AS phrase
+  FROM (SELECT lang, w, a, size, unnest(range(1, k - size + 2)) AS i FROM candidates, range(2, 5) AS sizes(size) WHERE size < k)),
+cuts AS (
+  SELECT c.lang, c.phrase, a, j, l.f AS l, r.f AS r, n, (1000 * CAST(a AS HUGEINT) * n) // (CAST(l.f AS HUGEINT) * r.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM candidates) c JOIN totals USING (lang)
+  JOIN counts l ON l.lang = c.lang AND l.k = j AND l.phrase = array_to_string(w[1 : j], ' ')
+  JOIN counts r ON r.lang = c.lang AND r.k = c.k - j AND r.phrase = array_to_string(w[j + 1 :], ' ')),
+kept AS (
+  SELECT * FROM cuts c WHERE NOT EXISTS (SELECT 1 FROM parts p WHERE p.lang = c.lang AND p.phrase = c.phrase AND 100 * p.a >= 100 * c.a)
+  QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER w AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM kept WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)
+QUALIFY row_number() OVER w <= 2000
+"""
