@@ -63,10 +63,15 @@ def _word_ids(raw: np.ndarray, off: np.ndarray, langs: list[str]):
     names, lang = np.unique(np.array(langs, object), return_inverse=True) if langs else (np.zeros(0, object), np.zeros(0, int))
     code, words = texts.distinct(texts.strings(raw, starts, ends))
     key = lang[rows] * max(1, len(words)) + code
-    used, ids, count = np.unique(key, return_inverse=True, return_counts=True)
+    counts = np.bincount(key, minlength=1)
+    used = np.flatnonzero(counts)
+    count, number = counts[used], np.zeros(len(counts), np.int32)
+    number[used] = np.arange(1, len(used) + 1)
+    ids = number[key]
+    del key, code, counts, number
     piece = np.cumsum(_END[raw])[starts] if len(starts) else starts
     cut = np.flatnonzero((piece[1:] != piece[:-1]) | (rows[1:] != rows[:-1])) + 1
-    ids = np.insert(ids.astype(np.int32) + 1, cut, 0)
+    ids = np.insert(ids, cut, 0)
     return ids, pa.array(names[used // max(1, len(words))], pa.string()), words.take(pa.array(used % max(1, len(words)))), count
 
 
@@ -201,22 +206,25 @@ class Index:
 
     @classmethod
     def unpacked(cls, blob: bytes, words: int) -> Index:
+        """Of what ``packed`` gave."""
         left, right = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int32).reshape(2, -1)
         return cls(Transform(left, words), Transform(right, words))
 
 
 # --- rounds ---------------------------------------------------------------------------------
 
-_FOUND = pa.schema([("shard", pa.int64()), ("head", pa.int64()), ("tail", pa.int64()), ("n", pa.int64()), ("index", pa.binary())])
-FOUND = "shard bigint, head bigint, tail bigint, n bigint, index binary"
+_FOUND = pa.schema([("shard", pa.int64()), ("head", pa.int64()), ("tail", pa.int64()), ("n", pa.int64()), ("index", pa.binary()), ("words", pa.binary())])
+FOUND = "shard bigint, head bigint, tail bigint, n bigint, index binary, words binary"
 
 
-def _found(shard: int, head: np.ndarray, tail: np.ndarray, count: np.ndarray, index: bytes | None = None) -> pa.Table:
+def _found(shard: int, head: np.ndarray, tail: np.ndarray, count: np.ndarray, **blobs: bytes) -> pa.Table:
+    """Rows in batches of a megabyte or so, which Spark holds one at a time."""
     n = len(head)
-    out = pa.table([np.full(n, shard), head, tail, count, pa.nulls(n, pa.binary())], schema=_FOUND)
-    if index is not None:
-        out = pa.concat_tables([out, pa.table([[shard], [None], [None], [None], [index]], schema=_FOUND)])
-    return out
+    empty = pa.nulls(n, pa.binary())
+    out = pa.table([np.full(n, shard), head, tail, count, empty, empty], schema=_FOUND).to_batches(max_chunksize=32768)
+    if blobs:
+        out += pa.table([[shard], [None], [None], [None], [blobs["index"]], [blobs["words"]]], schema=_FOUND).to_batches()
+    return pa.Table.from_batches(out, _FOUND)
 
 
 def _first_round(depth: int):
@@ -240,7 +248,7 @@ def _first_round(depth: int):
         index = Index.of(ids, len(old), depth)
         head, tail, count = index.longer(True)
         gid = np.concatenate([[0], gid])
-        out = _found(shard, gid[head], gid[tail], count, index.packed())
+        out = _found(shard, gid[head], gid[tail], count, index=index.packed(), words=gid[1:].tobytes())
         texts.release()
         return out
 
@@ -251,11 +259,11 @@ def _next_round(length: int):
     """Count the phrases of ``length`` + 1 words of a shard, told its frequent ones up to ``length``."""
 
     def run(key, frame):
-        blob = frame.filter(frame.column("index").is_valid()).column("index").to_pylist()[0]
+        stored = frame.filter(frame.column("index").is_valid())
         told = frame.filter(frame.column("index").is_null())
         size, gid, head, tail = (np.asarray(told.column(c), np.int64) for c in ("length", "gid", "head", "tail"))
-        known = np.sort(gid[size == 1])
-        index = Index.unpacked(blob, len(known))
+        known = np.frombuffer(stored.column("words")[0].as_py(), np.int64)
+        index = Index.unpacked(stored.column("index")[0].as_py(), len(known))
         for n in range(2, length + 1):
             some = size == n
             order = np.argsort(gid[some])
@@ -280,38 +288,44 @@ def _frequent(counts: DataFrame, least: int) -> DataFrame:
 def frequent_phrases(docs: DataFrame, *, least: int, longest: int, shard_bytes: int = SHARD_BYTES) -> list[DataFrame]:
     """Frequent phrases by length: (gid, lang, word, f, n) of words, then (gid, head, tail, f) of two, three, ... of
     them; head and tail are the gids of a phrase without its last and first word."""
-    spark = docs.sparkSession
-    at = scratch(spark, "shards")
-    shards(docs, shard_bytes).write.parquet(at)
-    stored = spark.read.parquet(at)
+    stored = _stored(shards(docs, shard_bytes), "shards")
     local = stored.where("word is not null")
-    counts = settle(local.groupBy("lang", "word").agg(F.sum("n").alias("f")))
+    counts = _stored(local.groupBy("lang", "word").agg(F.sum("n").alias("f")), "words")
     totals = counts.groupBy("lang").agg(F.sum("f").alias("n"))
     words = settle(counts.where(f"f >= {least}")).selectExpr("monotonically_increasing_id() + 1 as gid", "lang", "word", "f")
     words = settle(join_lookup(words, totals, ["lang"]))
-    told = settle(join_lookup(local.select("shard", "lang", "word", "id"), words.select("lang", "word", "gid"), ["lang", "word"]).select("shard", "id", "gid"))
+    named = join_lookup(local.select("shard", "lang", "word", "id"), words.select("lang", "word", "gid"), ["lang", "word"])
+    told = _stored(named.select("shard", "id", "gid"), "told")
     # shards without a frequent word have nothing to say
     live = told.select("shard").distinct()
     blobs = stored.where("ids is not null").select("shard", "ids").join(live, "shard", "left_semi")
     levels = [words]
     first = told.unionByName(blobs, allowMissingColumns=True).groupBy("shard").applyInArrow(_first_round(longest), FOUND)
-    at = scratch(spark, "phrases")
-    first.write.parquet(at)
-    found = spark.read.parquet(at)
-    indexes, found = found.where("index is not null").select("shard", "index"), found.where("index is null")
-    known = told.selectExpr("shard", "1 as length", "gid", "0L as head", "0L as tail")
+    found = _stored(first, "phrases")
+    indexes, found = found.where("index is not null").select("shard", "index", "words"), found.where("index is null")
+    known = None
     for length in range(2, longest + 1):
         level = settle(_frequent(found, least))
         levels.append(level)
         if length == longest:
             break
         mine = join_lookup(found.select("shard", "head", "tail"), level.select("gid", "head", "tail"), ["head", "tail"])
-        known = settle(known.unionByName(mine.selectExpr("shard", f"{length} as length", "gid", "head", "tail")))
-        rows = known.unionByName(indexes, allowMissingColumns=True)
-        found = settle(rows.groupBy("shard").applyInArrow(_next_round(length), FOUND)).drop("index")
+        mine = _stored(mine.selectExpr("shard", f"{length} as length", "gid", "head", "tail"), "known")
+        known = mine if known is None else known.unionByName(mine)
+        # shards where no phrase of this length is frequent have none that is longer
+        live = mine.select("shard").distinct()
+        rows = known.unionByName(indexes, allowMissingColumns=True).join(live, "shard", "left_semi")
+        found = _stored(rows.groupBy("shard").applyInArrow(_next_round(length), FOUND).drop("index", "words"), "phrases")
     return levels
 
 
+def _stored(rows: DataFrame, name: str) -> DataFrame:
+    """Rows written to the shared folder, compressed, and read again."""
+    at = scratch(rows.sparkSession, name)
+    rows.write.parquet(at)
+    return rows.sparkSession.read.schema(rows.schema).parquet(at)
+
+
 # --- scores ---------------------------------------------------------------------------------
 
 
