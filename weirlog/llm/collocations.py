@@ -7,7 +7,8 @@ forward (backward) transform, so a shard's counts of all its one-word extensions
 intervals, and an interval of a longer phrase follows from that of a shorter one by two ranks.
 
 Counts are summed across shards, length by length. Only extensions whose two parts are frequent across all
-shards are counted (no other can be frequent), and a shard is told which of its phrases are. Words and
+shards are counted (no other can be frequent), and a shard is told which of its phrases are. Pairs come
+from an index of all frequent words, longer phrases from one of the words in frequent pairs. Words and
 phrases are told apart by numbers given to frequent ones, never by hashes.
 """
 
@@ -201,16 +202,42 @@ class Index:
         return (order[at] + 1 if len(keys) else at), known
 
     def packed(self) -> bytes:
-        both = np.stack([self.left.bwt, self.right.bwt]).astype(np.int32)
-        return zstandard.ZstdCompressor(level=1).compress(both.tobytes())
+        return _packed(self.left.bwt, self.right.bwt)
 
     @classmethod
     def unpacked(cls, blob: bytes, words: int) -> Index:
         """Of what ``packed`` gave."""
-        left, right = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int32).reshape(2, -1)
+        left, right = _unpacked(blob, 2)
         return cls(Transform(left, words), Transform(right, words))
 
 
+def _packed(*ids: np.ndarray) -> bytes:
+    """Arrays of one length, the bytes of a place in the numbers together."""
+    planes = np.stack(ids).astype(np.int32).view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _unpacked(blob: bytes, arrays: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view(np.int32).reshape(arrays, -1)
+
+
+def _compact(ids: np.ndarray) -> np.ndarray:
+    """Ids without words that have no neighbour, and with one zero at each gap and end."""
+    lone = np.r_[True, ids[:-1] == 0] & np.r_[ids[1:] == 0, True]
+    ids = np.where(lone, 0, ids)
+    return np.concatenate([[0], ids[(ids > 0) | np.r_[True, ids[:-1] > 0]], [0]]).astype(np.int32)
+
+
+def _in_pairs(ids: np.ndarray, first: np.ndarray, second: np.ndarray, words: int) -> np.ndarray:
+    """Ids cut wherever two neighbours aren't one of the pairs, without words that are in none."""
+    pairs = np.sort(first * (words + 1) + second)
+    mine = ids[:-1].astype(np.int64) * (words + 1) + ids[1:]
+    at = np.minimum(np.searchsorted(pairs, mine), max(0, len(pairs) - 1))
+    joined = pairs[at] == mine if len(pairs) else np.zeros(len(mine), bool)
+    return _compact(np.insert(ids, np.flatnonzero(~joined) + 1, 0))
+
+
 # --- rounds ---------------------------------------------------------------------------------
 
 _FOUND = pa.schema([("shard", pa.int64()), ("head", pa.int64()), ("tail", pa.int64()), ("n", pa.int64()), ("index", pa.binary()), ("words", pa.binary())])
@@ -227,7 +254,7 @@ def _found(shard: int, head: np.ndarray, tail: np.ndarray, count: np.ndarray, **
     return pa.Table.from_batches(out, _FOUND)
 
 
-def _first_round(depth: int):
+def _first_round():
     """Index a shard by its frequent words, and count pairs of them."""
 
     def run(key, frame):
@@ -242,28 +269,32 @@ def _first_round(depth: int):
         number[old] = np.arange(1, len(old) + 1)
         ids = number[ids]
         # rare words end a phrase as pieces do; words without a neighbour lead nowhere
-        lone = np.r_[True, ids[:-1] == 0] & np.r_[ids[1:] == 0, True]
-        ids = np.where(lone, 0, ids)
-        ids = np.concatenate([[0], ids[(ids > 0) | np.r_[True, ids[:-1] > 0]], [0]]).astype(np.int32)
-        index = Index.of(ids, len(old), depth)
-        head, tail, count = index.longer(True)
+        ids = _compact(ids)
+        head, tail, count = Index.of(ids, len(old), 2).longer(True)
         gid = np.concatenate([[0], gid])
-        out = _found(shard, gid[head], gid[tail], count, index=index.packed(), words=gid[1:].tobytes())
+        out = _found(shard, gid[head], gid[tail], count, index=_packed(ids), words=gid[1:].tobytes())
         texts.release()
         return out
 
     return run
 
 
-def _next_round(length: int):
-    """Count the phrases of ``length`` + 1 words of a shard, told its frequent ones up to ``length``."""
+def _next_round(length: int, depth: int):
+    """Count the phrases of ``length`` + 1 words of a shard, told its frequent ones up to ``length``. The pairs
+    come with the ids, of which those in frequent pairs are indexed once more, for all longer phrases."""
 
     def run(key, frame):
         stored = frame.filter(frame.column("index").is_valid())
         told = frame.filter(frame.column("index").is_null())
         size, gid, head, tail = (np.asarray(told.column(c), np.int64) for c in ("length", "gid", "head", "tail"))
         known = np.frombuffer(stored.column("words")[0].as_py(), np.int64)
-        index = Index.unpacked(stored.column("index")[0].as_py(), len(known))
+        blob, more = stored.column("index")[0].as_py(), {}
+        if length == 2:
+            first, second = (np.searchsorted(known, x) + 1 for x in (head, tail))
+            index = Index.of(_in_pairs(_unpacked(blob, 1)[0], first, second, len(known)), len(known), depth)
+            more = {"index": index.packed(), "words": known.tobytes()}
+        else:
+            index = Index.unpacked(blob, len(known))
         for n in range(2, length + 1):
             some = size == n
             order = np.argsort(gid[some])
@@ -272,50 +303,50 @@ def _next_round(length: int):
             known = gid[some][order]
         head, tail, count = index.longer(length % 2 == 1)
         known = np.concatenate([[0], known])
-        out = _found(key[0].as_py(), known[head], known[tail], count)
+        out = _found(key[0].as_py(), known[head], known[tail], count, **more)
         texts.release()
         return out
 
     return run
 
 
-def _frequent(counts: DataFrame, least: int) -> DataFrame:
-    """Numbers for the phrases that are frequent across all shards."""
-    frequent = settle(counts.groupBy("head", "tail").agg(F.sum("n").alias("f")).where(f"f >= {least}"))
-    return frequent.selectExpr("monotonically_increasing_id() + 1 as gid", "head", "tail", "f")
+def _frequent(rows: DataFrame, keys: str, least: int) -> DataFrame:
+    """Rows of shards whose keys are frequent across all shards, with the sum ``f`` and a number ``gid`` for the
+    keys. The rows are stored, so that their numbers stay; a key has a row per shard at most."""
+    over = f"over (partition by {keys})"
+    return rows.selectExpr("*", "monotonically_increasing_id() + 1 as row").selectExpr(
+        "*", f"sum(n) {over} as f", f"min(row) {over} as gid"
+    ).where(f"f >= {least}")
 
 
 def frequent_phrases(docs: DataFrame, *, least: int, longest: int, shard_bytes: int = SHARD_BYTES) -> list[DataFrame]:
     """Frequent phrases by length: (gid, lang, word, f, n) of words, then (gid, head, tail, f) of two, three, ... of
     them; head and tail are the gids of a phrase without its last and first word."""
     stored = _stored(shards(docs, shard_bytes), "shards")
-    local = stored.where("word is not null")
-    counts = _stored(local.groupBy("lang", "word").agg(F.sum("n").alias("f")), "words")
-    totals = counts.groupBy("lang").agg(F.sum("f").alias("n"))
-    words = settle(counts.where(f"f >= {least}")).selectExpr("monotonically_increasing_id() + 1 as gid", "lang", "word", "f")
-    words = settle(join_lookup(words, totals, ["lang"]))
-    named = join_lookup(local.select("shard", "lang", "word", "id"), words.select("lang", "word", "gid"), ["lang", "word"])
-    told = _stored(named.select("shard", "id", "gid"), "told")
+    local = stored.where("word is not null").select("shard", "lang", "word", "id", "n")
+    totals = local.groupBy("lang").agg(F.sum("n").alias("n"))
+    told = _stored(_frequent(local, "lang, word", least).select("shard", "id", "gid", "lang", "word", "f"), "told")
+    words = told.groupBy("gid").agg(*[F.first(c).alias(c) for c in ("lang", "word", "f")])
+    levels = [settle(join_lookup(words, totals, ["lang"]))]
     # shards without a frequent word have nothing to say
     live = told.select("shard").distinct()
     blobs = stored.where("ids is not null").select("shard", "ids").join(live, "shard", "left_semi")
-    levels = [words]
-    first = told.unionByName(blobs, allowMissingColumns=True).groupBy("shard").applyInArrow(_first_round(longest), FOUND)
-    found = _stored(first, "phrases")
-    indexes, found = found.where("index is not null").select("shard", "index", "words"), found.where("index is null")
-    known = None
+    rows = told.select("shard", "id", "gid").unionByName(blobs, allowMissingColumns=True)
+    found = _stored(rows.groupBy("shard").applyInArrow(_first_round(), FOUND), "phrases")
+    known = indexes = None
     for length in range(2, longest + 1):
-        level = settle(_frequent(found, least))
-        levels.append(level)
+        if length < 4:
+            indexes = found.where("index is not null").select("shard", "index", "words")
+        found = found.where("index is null").select("shard", "head", "tail", "n")
+        mine = _stored(_frequent(found, "head, tail", least).selectExpr("shard", f"{length} as length", "gid", "head", "tail", "f"), "known")
+        levels.append(settle(mine.select("gid", "head", "tail", "f").distinct()))
         if length == longest:
             break
-        mine = join_lookup(found.select("shard", "head", "tail"), level.select("gid", "head", "tail"), ["head", "tail"])
-        mine = _stored(mine.selectExpr("shard", f"{length} as length", "gid", "head", "tail"), "known")
         known = mine if known is None else known.unionByName(mine)
         # shards where no phrase of this length is frequent have none that is longer
         live = mine.select("shard").distinct()
-        rows = known.unionByName(indexes, allowMissingColumns=True).join(live, "shard", "left_semi")
-        found = _stored(rows.groupBy("shard").applyInArrow(_next_round(length), FOUND).drop("index", "words"), "phrases")
+        rows = known.drop("f").unionByName(indexes, allowMissingColumns=True).join(live, "shard", "left_semi")
+        found = _stored(rows.groupBy("shard").applyInArrow(_next_round(length, longest), FOUND), "phrases")
     return levels
 
 
@@ -381,5 +412,10 @@ def collocations(
     score = _quotient(f"{wide('f')} * {wide('n')} * 1000", f"{wide('get(heads, k - 1)')} * {wide('get(tails, size(tails) - k - 1)')}")
     cuts = f"transform(sequence(1, size(heads) - 1), k -> struct({score} as score, k as k, get(heads, k - 1) as l, get(tails, size(tails) - k - 1) as r))"
     out = out.selectExpr("lang", "phrase", "f as a", "n", f"array_min({cuts}) as cut").selectExpr("lang", "phrase", "a", "cut.l as l", "cut.r as r", "n", "cut.score as score")
-    ranked = out.selectExpr("*", "row_number() over (partition by lang order by score desc, a desc, phrase) as place").where(f"place <= {most}")
+    # a language's phrases are ranked in parts first, so that none passes one task whole
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranked = out.selectExpr("*", f"pmod(xxhash64(phrase), {parts}) as part")
+    for keys in ("lang, part", "lang"):
+        ranked = ranked.drop("place").selectExpr("*", f"row_number() over (partition by {keys} order by score desc, a desc, phrase) as place")
+        ranked = ranked.where(f"place <= {most}")
     return ranked.selectExpr("lang", "cast(place as bigint) as rank", "phrase", "a", "l", "r", "n", "score")
