@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from weirlog.operators import delivery, envelope, upsert
 from weirlog.operators.progress import PARTITION
 from weirlog.sources import logs
-from weirlog.streaming import sinks, stages
+from weirlog.streaming import documents, sinks, stages
 from weirlog.streaming.frontier import current_frontier, held_words, track_frontier
 from tests.test_envelope import REQ, log
 
@@ -39,7 +39,7 @@ class Chain:
         stages.drain(sinks.stream_topic(spark, f"{root}/stored", "changes"), self.changes, f"{root}/at3")
 
     def documents(self):
-        rows = sinks.read_documents(self.spark, f"{self.root}/documents").collect()
+        rows = documents.read_documents(self.spark, f"{self.root}/documents").collect()
         return {r.id: (r.month, r.msg_ver, r.msg_type, r.version) for r in rows}
 
     def created(self):
@@ -81,11 +81,6 @@ def test_stages_stop_and_restart(spark, place, limits):
     last = {r.id: (r.month, r.msg_ver, r.msg_type, r.version) for r in folded.orderBy("offset").collect()}
     assert last == DOCUMENTS
 
-    compact = f"{chain.root}/compact"
-    sinks.compact_documents(spark, f"{chain.root}/documents", compact, 7)
-    rows = sinks.read_documents(spark, compact).collect()
-    assert {r.id: (r.month, r.msg_ver, r.msg_type, r.version) for r in rows} == DOCUMENTS
-
 
 def test_replayed_batch_is_noop_and_leaves_the_same_tables(spark, place):
     root = place("replay")
@@ -97,7 +92,7 @@ def test_replayed_batch_is_noop_and_leaves_the_same_tables(spark, place):
 
     def tables():
         return (
-            sorted(sinks.read_documents(spark, f"{root}/documents").select("id", "version").collect()),
+            sorted(documents.read_documents(spark, f"{root}/documents").select("id", "version").collect()),
             sinks.read_topic(spark, f"{root}/stored", "changes").count(),
         )
 
@@ -107,8 +102,11 @@ def test_replayed_batch_is_noop_and_leaves_the_same_tables(spark, place):
     assert tables() == before
     store(topic, 1)  # the rows arrive a second time
     assert tables() == before
-    history = sinks.document_history(spark, f"{root}/documents")
-    assert history.where("batch = 1").count() == 0
+    table = documents.documents(f"{root}/documents")
+    assert table.batches(spark) == [0, 1]
+    # batch 1 has nothing to add
+    assert table.segments(spark, 0) == table.segments(spark, 1)
+    assert spark.read.parquet(f"{table.root}/segments").count() == 3
 
 
 def test_frontier_of_a_shuffled_stream(spark, place):
@@ -294,4 +292,4 @@ def test_completed_batches_are_left_alone(spark, place):
 
 
 def test_documents_never_stored(spark, place):
-    assert sinks.read_documents(spark, place("nothing")).count() == 0
+    assert documents.read_documents(spark, place("nothing")).count() == 0

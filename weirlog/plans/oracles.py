@@ -250,6 +250,12 @@ ORACLES: dict[str, str] = {
            FROM accepted GROUP BY doc_id, month, msg_type, from_user, to_count, text_md5""",
         "accepted",
     ),
+    "levelled_store": _sql(
+        """SELECT doc_id, month, msg_type, max(sent_ver) AS msg_ver, from_user, to_count, text_md5,
+             CAST(count(DISTINCT sent_ver) AS BIGINT) AS version
+           FROM accepted GROUP BY doc_id, month, msg_type, from_user, to_count, text_md5""",
+        "accepted",
+    ),
     "progress_latest": _sql(
         "SELECT topic, part, max(off) AS frontier, least(3, max(off) // 1000) AS batch_id FROM log GROUP BY topic, part", "log"
     ),

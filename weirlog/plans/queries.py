@@ -15,7 +15,7 @@ from weirlog.plans import views
 from weirlog.schemas import REQUEST_MSG_REQ, STORE_EVENT, STORE_MSG_CREATED
 from weirlog.session import scratch, settle
 from weirlog.sources import bodies, logs
-from weirlog.streaming import sinks, stages
+from weirlog.streaming import documents, sinks, stages
 from weirlog.streaming.frontier import current_frontier, track_frontier
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,9 +143,28 @@ def upsert_snapshot(spark, sf):
     root = scratch(spark, "documents")
     for batch_id, log in enumerate((views.first_requests(spark, sf), views.repeated_requests(spark, sf))):
         updates = upsert.document_updates(_accepted(log), INDEX).persist()
-        sinks.store_documents(sinks.fold_batch(updates, root, batch_id), root, batch_id)
+        documents.store_documents(documents.fold_batch(updates, root, batch_id), root, batch_id)
         updates.unpersist()
-    return sinks.read_documents(spark, root).selectExpr(*DOCUMENT_COLUMNS)
+    return documents.read_documents(spark, root).selectExpr(*DOCUMENT_COLUMNS)
+
+
+#: Batches of the levelled table's query: a first delivery of every document, then a second one.
+LEVELLED = 20
+
+
+@query
+def levelled_store(spark, sf):
+    """Deliveries in twenty batches, the last of them run twice; segments are merged on the way."""
+    root = scratch(spark, "levelled")
+    parts = [
+        upsert.document_updates(_accepted(log), INDEX).selectExpr("*", f"pmod(xxhash64(doc_id), {LEVELLED // 2}) + {first} as batch_id")
+        for first, log in ((0, views.first_requests(spark, sf)), (LEVELLED // 2, views.repeated_requests(spark, sf)))
+    ]
+    updates = settle(parts[0].unionByName(parts[1]))
+    for batch_id in (*range(LEVELLED), LEVELLED - 1):
+        batch = updates.where(f"batch_id = {batch_id}").drop("batch_id")
+        documents.store_documents(documents.fold_batch(batch, root, batch_id), root, batch_id)
+    return documents.read_documents(spark, root).selectExpr(*DOCUMENT_COLUMNS)
 
 
 @query
@@ -421,9 +440,9 @@ def upsert_lookup(spark, sf):
     """Documents of a second delivery looked up in the table that the first one left."""
     root = scratch(spark, "looked-up")
     first = settle(upsert.document_updates(_accepted(views.first_requests(spark, sf)), INDEX))
-    sinks.store_documents(sinks.fold_batch(first, root, 0), root, 0)
-    batch = upsert.document_updates(_accepted(views.repeated_requests(spark, sf)), INDEX)
-    return upsert.lookup_existing(batch.select("doc_id"), sinks.read_documents(spark, root)).selectExpr(
+    documents.store_documents(documents.fold_batch(first, root, 0), root, 0)
+    batch = settle(upsert.document_updates(_accepted(views.repeated_requests(spark, sf)), INDEX).select("doc_id", "month"))
+    return upsert.lookup_existing(batch.select("doc_id"), documents.document_versions(batch, root)).selectExpr(
         "doc_id", "coalesce(stored_version, 0) as stored_version", "stored_version is not null as found"
     )
 
@@ -563,8 +582,8 @@ def replay_noop(spark, sf):
     passes = []
     for batch_id in (0, 1):
         for _ in ("first attempt", "replay"):
-            folded = settle(sinks.fold_batch(updates, root, batch_id))
-            sinks.store_documents(folded, root, batch_id)
+            folded = settle(documents.fold_batch(updates, root, batch_id))
+            documents.store_documents(folded, root, batch_id)
         passes.append(folded.selectExpr("doc_id", f"{batch_id + 1} as pass_no", "outcome", "version"))
     return passes[0].unionByName(passes[1])
 
@@ -691,7 +710,7 @@ def store_restart(spark, sf):
     for log in (views.first_requests(spark, sf), views.repeated_requests(spark, sf)):
         store.land(log)
         store.store()
-    return sinks.read_documents(spark, store.documents).selectExpr(*DOCUMENT_COLUMNS)
+    return documents.read_documents(spark, store.documents).selectExpr(*DOCUMENT_COLUMNS)
 
 
 @query

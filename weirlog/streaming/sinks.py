@@ -10,13 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weirlog.operators.upsert import DOCUMENT_FIELDS, LOG_ORDER, fold_upserts, latest_documents
-from weirlog.schemas import ADDR, LOG, PROPERTY
+from weirlog.schemas import LOG
 
 Sink = Callable[[DataFrame, int], None]
 
@@ -32,7 +30,7 @@ def batch_path(root: str, batch_id: int) -> str:
     return f"{root}/batch={batch_id}"
 
 
-def _path(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
     """(file system, path) as Spark sees them."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
@@ -43,10 +41,10 @@ def claim(spark: SparkSession, root: str) -> None:
     stream = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
     if stream is None:
         return
-    files, at = _path(spark, root)
-    found = [s.getPath().getName() for s in files.globStatus(_path(spark, f"{root}/{OWNER}*")[1]) or []]
+    files, at = hadoop_path(spark, root)
+    found = [s.getPath().getName() for s in files.globStatus(hadoop_path(spark, f"{root}/{OWNER}*")[1]) or []]
     if not found:
-        files.create(_path(spark, f"{root}/{OWNER}{stream}")[1], True).close()
+        files.create(hadoop_path(spark, f"{root}/{OWNER}{stream}")[1], True).close()
     elif f"{OWNER}{stream}" not in found:
         raise OtherStream(f"{root} belongs to stream {found[0].removeprefix(OWNER)}, not {stream}: keep its checkpoint or use a new root")
 
@@ -55,7 +53,7 @@ def write_once(rows: DataFrame, root: str, batch_id: int, partition_by: list[str
     """Write a batch unless an earlier attempt at it was completed."""
     spark, path = rows.sparkSession, batch_path(root, batch_id)
     claim(spark, root)
-    files, done = _path(spark, f"{path}/_SUCCESS")
+    files, done = hadoop_path(spark, f"{path}/_SUCCESS")
     if not files.exists(done):
         rows.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(path)
 
@@ -148,81 +146,3 @@ def progress(root: str) -> Sink:
 def read_progress(spark: SparkSession, root: str) -> DataFrame:
     """What ``progress`` has saved: (topic, partition, frontier, batch_id)."""
     return spark.read.schema("topic string, partition int, frontier bigint, batch_id bigint").parquet(root)
-
-
-# --- document table -------------------------------------------------------------------------
-#
-# Each batch adds the new state of the documents it changed, by month and in time order. The
-# current table is the highest version of every document. Batch N looks only at what batches
-# before N wrote, and of that only at months and times its own rows fall into: a document id
-# contains the time that the state is filed under, so no other state can belong to it.
-
-_KINDS = {
-    "session_type": T.IntegerType(),
-    "session_data": T.ArrayType(PROPERTY),
-    "msg_type": T.IntegerType(),
-    "msg_ver": T.LongType(),
-    "from_user": T.IntegerType(),
-    "from_channel": T.IntegerType(),
-    "to": T.ArrayType(ADDR),
-}
-DOCUMENTS = T.StructType(
-    [T.StructField("doc_id", T.StringType())]
-    + [T.StructField(name, _KINDS.get(name, T.StringType())) for name in DOCUMENT_FIELDS]
-    + [
-        T.StructField("ts_nanos", T.LongType()),
-        T.StructField("version", T.LongType()),
-        T.StructField("batch", T.LongType()),
-        T.StructField("month", T.StringType()),
-    ]
-)
-
-
-def document_history(spark: SparkSession, root: str, before: int | None = None) -> DataFrame | None:
-    """Every stored state, of batches before ``before``; None when nothing was ever stored."""
-    if before == 0:
-        return None
-    try:
-        rows = spark.read.schema(DOCUMENTS).parquet(root)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    return rows if before is None else rows.where(F.col("batch") < before)
-
-
-def read_documents(spark: SparkSession, root: str) -> DataFrame:
-    """The document table as it is now; empty where nothing was ever stored."""
-    history = document_history(spark, root)
-    if history is None:
-        history = spark.createDataFrame([], DOCUMENTS)
-    return latest_documents(history, "doc_id").drop("batch")
-
-
-def compact_documents(spark: SparkSession, root: str, target: str, batch_id: int) -> None:
-    """Write the current table as one batch of a new root, leaving superseded states behind."""
-    read_documents(spark, root).write.mode("overwrite").partitionBy("month").parquet(batch_path(target, batch_id))
-
-
-def fold_batch(updates: DataFrame, root: str, batch_id: int, **limits: int) -> DataFrame:
-    """Outcome and version of a batch of updates against the table before the batch."""
-    claim(updates.sparkSession, root)
-    history = document_history(updates.sparkSession, root, before=batch_id)
-    stored = None
-    if history is not None:
-        # one row per month touched
-        spans = updates.groupBy("month").agg(F.expr("min(ts_nanos) as low"), F.expr("max(ts_nanos) as high")).collect()
-        inside = [f"month = '{s.month}' and ts_nanos between {s.low} and {s.high}" for s in spans]
-        history = history.where(F.col("month").isin([s.month for s in spans])).where(" or ".join(inside) or "false")
-        touched = updates.select("month", "doc_id").distinct()
-        stored = latest_documents(history.join(touched, ["month", "doc_id"], "left_semi"), "doc_id")
-    return fold_upserts(updates, "doc_id", LOG_ORDER, DOCUMENT_FIELDS, stored=stored, **limits)
-
-
-def store_documents(folded: DataFrame, root: str, batch_id: int) -> None:
-    """Add the final state of each document the batch changed."""
-    states = [f.name for f in DOCUMENTS.fields if f.name != "batch"]
-    changed = folded.where(F.col("outcome") != "noop").select(*states)
-    # months are brought together into few files, and a month that is most of the batch is split
-    latest = latest_documents(changed, "doc_id").hint("rebalance", "month")
-    write_once(latest.sortWithinPartitions("month", "ts_nanos"), root, batch_id, ["month"])

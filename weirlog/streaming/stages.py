@@ -20,7 +20,8 @@ from weirlog.operators.envelope import decode, good, of_type, quarantine
 from weirlog.operators.upsert import created_events, document_updates
 from weirlog.schemas import STORE_EVENT, STORE_MSG_CREATED
 from weirlog.sources.bodies import bad_bodies, parse_bodies, requests_of
-from weirlog.streaming.sinks import Sink, fold_batch, log_rows, store_documents
+from weirlog.streaming.documents import fold_batch, store_documents
+from weirlog.streaming.sinks import Sink, log_rows
 
 
 def start(stream: DataFrame, sink: Sink, checkpoint: str, every: str | None = None) -> StreamingQuery:
