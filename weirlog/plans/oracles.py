@@ -435,6 +435,25 @@ ORACLES: dict[str, str] = {
         "doc_outcome",
     ),
     "enqueue_id": "SELECT event_id, 'events' AS topic, row_number() OVER (ORDER BY event_id) AS enqueue_id FROM events",
+    "enqueue_batches": "SELECT event_id, event_type AS topic, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS enqueue_id FROM events",
+    "send_state": """WITH changes AS (
+             SELECT event_id + 1 AS id, s.state, event_id % 3 + s.later AS batch, s.pos AS pos FROM events, (VALUES
+               ('new', 0, 0), ('sent', 1, 1), ('acked', 1, 2), ('failed', 1, 2), ('sent', 2, 3), ('acked', 2, 4)) s(state, later, pos)
+             WHERE event_id % 3 + s.later < 4 AND CASE
+               WHEN s.pos = 0 THEN true WHEN s.pos = 1 THEN event_type IN ('click', 'purchase', 'error')
+               WHEN s.pos = 2 AND s.state = 'acked' THEN event_type = 'purchase' WHEN s.pos = 2 THEN event_type = 'error'
+               WHEN s.pos = 3 THEN event_type = 'error' AND event_id % 2 = 0 ELSE event_type = 'error' AND event_id % 4 = 0 END),
+           before AS (SELECT id, arg_max(state, pos) AS state FROM changes WHERE batch < 3 GROUP BY id),
+           history AS (
+             SELECT id, state, batch, pos FROM changes
+             UNION ALL SELECT id, 'failed', 2.5, 9 FROM before WHERE state = 'sent'),
+           last AS (
+             SELECT id, arg_max(state, batch * 10 + pos) AS state, CAST(count(*) FILTER (state = 'sent') AS INTEGER) AS sends FROM history GROUP BY id),
+           queued AS (
+             SELECT *, CASE state WHEN 'failed' THEN 0 ELSE 1 END AS rank FROM last WHERE state IN ('failed', 'new')),
+           placed AS (SELECT *, row_number() OVER (PARTITION BY rank ORDER BY id) AS place FROM queued)
+           SELECT 'events' AS topic, id, state, sends, md5(props) AS value_md5, rank, place, (place - 1) // 100 AS batch_no
+           FROM placed JOIN events ON event_id = id - 1""",
     "batch_slices": """SELECT event_id, (n - 1) // 1000 AS save_slice, (n - 1) // 100 AS send_batch
            FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS n FROM events) e""",
     "frontier_changes": _sql(

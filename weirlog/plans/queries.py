@@ -15,7 +15,7 @@ from weirlog.plans import views
 from weirlog.schemas import REQUEST_MSG_REQ, STORE_EVENT, STORE_MSG_CREATED
 from weirlog.session import scratch, settle
 from weirlog.sources import bodies, logs
-from weirlog.streaming import documents, sinks, stages
+from weirlog.streaming import documents, sends, sinks, stages
 from weirlog.streaming.frontier import current_frontier, track_frontier
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -574,6 +574,33 @@ def retry_set(spark, sf):
     return plan.select("id", "topic", "reason")
 
 
+@query
+def enqueue_batches(spark, sf):
+    """Ids over three batches, the second of them run twice."""
+    root = scratch(spark, "marks")
+    rows = views.source(spark, sf, "events").selectExpr("event_id", "event_type as topic", "least(2, event_id div 300) as batch_id")
+    given = {}
+    for batch_id in (0, 1, 1, 2):
+        batch = rows.where(f"batch_id = {batch_id}").drop("batch_id")
+        given[batch_id] = sends.allocate_ids(batch, root, batch_id, "event_id")
+    return functools.reduce(DataFrame.unionByName, given.values()).select("event_id", "topic", "enqueue_id")
+
+
+@query
+def send_state(spark, sf):
+    """The queue after four batches of changes, the third of them run twice, with a restart before the last."""
+    root = scratch(spark, "sends")
+    history = settle(views.send_history(spark, sf))
+    changes = [history.where(f"batch_id = {n}").drop("batch_id") for n in range(4)]
+    for batch_id in (0, 1, 2, 2):
+        sends.apply_changes(changes[batch_id], root, batch_id)
+    sends.restore(spark, root, 3)
+    sends.apply_changes(changes[3], root, 4)
+    left = sends.send_table(root).read(spark)
+    queued = outbox.drain_order(left.selectExpr("topic", "id", "state", "sends", "md5(value) as value_md5"))
+    return queued.select("topic", "id", "state", "sends", "value_md5", "rank", "place", "batch_no")
+
+
 @query
 def replay_noop(spark, sf):
     """Every request twice, as two batches of the document table; each batch is run twice, too."""

@@ -78,6 +78,29 @@ def outbox(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def send_history(spark: SparkSession, sf: str) -> DataFrame:
+    """Changes of state of the queue's messages over four batches: a message arrives in one of the first three, and
+    clicks, purchases and errors are sent in the next batch. Purchases are acknowledged, errors fail; every
+    other error is sent once more, and half of these are acknowledged."""
+    b = "event_id % 3"
+    changes = ", ".join(
+        f"named_struct('state', '{state}', 'batch_id', {batch}, 'at', {at}L, 'holds', {holds})"
+        for state, batch, at, holds in (
+            ("new", b, 0, "true"),
+            ("sent", f"{b} + 1", 1, "event_type in ('click', 'purchase', 'error')"),
+            ("acked", f"{b} + 1", 2, "event_type = 'purchase'"),
+            ("failed", f"{b} + 1", 2, "event_type = 'error'"),
+            ("sent", f"{b} + 2", 3, "event_type = 'error' and event_id % 2 = 0"),
+            ("acked", f"{b} + 2", 4, "event_type = 'error' and event_id % 4 = 0"),
+        )
+    )
+    rows = source(spark, sf, "events").selectExpr(
+        "'events' as topic", "event_id + 1 as id", "encode(cast(user_id as string), 'UTF-8') as key", "encode(props, 'UTF-8') as value",
+        f"inline(filter(array({changes}), c -> c.holds and c.batch_id < 4))",
+    )
+    return rows.selectExpr("topic", "id", "state", "cast(batch_id as int) as batch_id", "at", "if(state = 'new', key, null) as key", "if(state = 'new', value, null) as value")
+
+
 def arrivals(spark: SparkSession, sf: str) -> DataFrame:
     """Events as messages not yet numbered."""
     return source(spark, sf, "events").selectExpr("event_id", "'events' as topic", f"{micros_of('ts')} as ts_us")

@@ -127,7 +127,11 @@ class KeyedTable:
 
     def read(self, spark: SparkSession, batch: int | None = None) -> DataFrame:
         """The table as it is now, or as it was after a batch."""
-        latest = self._latest(self._rows(spark, self.segments(spark, batch)))
+        return self.rows_of(spark, self.segments(spark, batch))
+
+    def rows_of(self, spark: SparkSession, segments: list[dict]) -> DataFrame:
+        """The latest rows in some segments."""
+        latest = self._latest(self._rows(spark, segments))
         return latest.where(f"not ({self.done})").select(*self.schema.names)
 
     def get(self, spark: SparkSession, *key: object) -> DataFrame:
