@@ -436,6 +436,9 @@ ORACLES: dict[str, str] = {
     ),
     "enqueue_id": "SELECT event_id, 'events' AS topic, row_number() OVER (ORDER BY event_id) AS enqueue_id FROM events",
     "enqueue_batches": "SELECT event_id, event_type AS topic, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS enqueue_id FROM events",
+    "answered_stream": """SELECT event_id AS id, event_type <> 'error' AND event_id % 7 <= 5 AS answered,
+             CASE WHEN event_type <> 'error' AND event_id % 7 <= 5 THEN event_id % 7 * 60000000 ELSE -1 END AS waited_us FROM events""",
+    "suppressed_repeats": "SELECT event_id AS id, epoch_us(ts) AS at_us, event_type FROM events",
     "send_state": """WITH changes AS (
              SELECT event_id + 1 AS id, s.state, event_id % 3 + s.later AS batch, s.pos AS pos FROM events, (VALUES
                ('new', 0, 0), ('sent', 1, 1), ('acked', 1, 2), ('failed', 1, 2), ('sent', 2, 3), ('acked', 2, 4)) s(state, later, pos)

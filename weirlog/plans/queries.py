@@ -17,6 +17,7 @@ from weirlog.session import scratch, settle
 from weirlog.sources import bodies, logs
 from weirlog.streaming import documents, sends, sinks, stages
 from weirlog.streaming.frontier import current_frontier, track_frontier
+from weirlog.streaming.matching import match_answers, once
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -754,3 +755,60 @@ def frontier_stream(spark, sf):
     stream = _event_stream(spark, sf, f"not {views.IS_ERROR}").select(*PARTITION, "offset")
     stages.drain(stream, track_frontier(root, seeds), scratch(spark, "frontier-progress"))
     return current_frontier(spark, root).selectExpr("topic", "partition as part", "frontier")
+
+
+#: Landings of the streams that are matched, by time; a row of a far later time follows, so that all earlier ones are due.
+LANDINGS = 3
+CLOSING = "timestamp'2100-01-01'"
+
+
+def _landings(spark: SparkSession, sf: str) -> list[DataFrame]:
+    """Events as (id, at, event_type, amount, landing), by landing."""
+    rows = views.source(spark, sf, "events").selectExpr(
+        "event_id as id", "cast(ts as timestamp) as at", "event_type", "value as amount", f"cast(least({LANDINGS - 1}, (dayofmonth(ts) - 1) div 10) as int) as landing"
+    )
+    rows = settle(rows)
+    return [rows.where(f"landing = {n}").drop("landing") for n in range(LANDINGS)]
+
+
+def _landed(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """A stream of what is landed in a folder."""
+    spark.createDataFrame([], schema).write.parquet(root)
+    return spark.readStream.schema(schema).parquet(root)
+
+
+def _closing(spark: SparkSession, name: str) -> DataFrame:
+    return spark.range(-1, 0).selectExpr("id", f"{CLOSING} as {name}")
+
+
+@query
+def answered_stream(spark, sf):
+    """Sends and answers as streams; errors are never answered, and every seventh answer comes too late."""
+    root = scratch(spark, "answered")
+    schemas = {"sends": "id bigint, sent_at timestamp", "answers": "id bigint, answered_at timestamp"}
+    streams = {name: _landed(spark, f"{root}/{name}", schema) for name, schema in schemas.items()}
+    matched = match_answers(streams["sends"], streams["answers"], ["id"], within="5 minutes", lateness="10 minutes")
+    late = "answered_at"
+    for rows in [*_landings(spark, sf), None]:
+        sent = _closing(spark, "sent_at") if rows is None else rows.selectExpr("id", "at as sent_at")
+        back = _closing(spark, late) if rows is None else rows.where(views.IS_ACK).selectExpr("id", f"at + make_interval(0, 0, 0, 0, 0, id % 7) as {late}")
+        sent.write.mode("append").parquet(f"{root}/sends")
+        back.write.mode("append").parquet(f"{root}/answers")
+        stages.drain(matched, sinks.table(f"{root}/matched"), f"{root}/progress")
+    found = spark.read.schema("id bigint, sent_at timestamp, answered_at timestamp").parquet(f"{root}/matched").where("id >= 0")
+    return found.selectExpr("id", "answered_at is not null as answered", "coalesce(unix_micros(answered_at) - unix_micros(sent_at), -1) as waited_us")
+
+
+@query
+def suppressed_repeats(spark, sf):
+    """Events delivered up to three times over three batches, each kept once."""
+    root = scratch(spark, "repeats")
+    stream = _landed(spark, f"{root}/events", "id bigint, at timestamp, event_type string, amount double")
+    seen = None
+    for rows in _landings(spark, sf):
+        again = rows if seen is None else rows.unionByName(seen.where("id % 3 = 0"))
+        seen = rows if seen is None else seen.unionByName(rows)
+        again.unionByName(rows.where("id % 2 = 0")).write.mode("append").parquet(f"{root}/events")
+        stages.drain(once(stream, ["id"], "at", "40 days"), sinks.table(f"{root}/once"), f"{root}/progress")
+    kept = spark.read.schema("id bigint, at timestamp, event_type string, amount double").parquet(f"{root}/once")
+    return kept.selectExpr("id", "unix_micros(at) as at_us", "event_type")
