@@ -16,7 +16,7 @@ from weirlog.llm import fuzzy_lines, jaccard, phrase_index, pieces, quality_rule
 from weirlog.llm.queries import vocabulary
 from weirlog.session import join_lookup, scratch
 
-#: Digests of an id and a text: rows that are equal in both share every verdict.
+#: Digests of an id, a text and a language: rows that are equal in these share every verdict.
 ROW, TIE = "_pipeline_row", "_pipeline_tie"
 #: Verdicts are broadcast up to this many rows (some 30 MB), and joined by shuffle beyond.
 VERDICTS = 1_000_000
@@ -28,7 +28,7 @@ def _without(docs: DataFrame, gone: DataFrame, on: list[str]) -> DataFrame:
 
 
 def _marked(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(ROW, F.xxhash64("doc_id", "text"))
+    return docs.withColumn(ROW, F.xxhash64("doc_id", "text", "lang"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +43,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier one go, and documents of which nothing is left by that."""
-    cut = fuzzy_lines.dedup_lines(docs, shingle=5).where("n_removed = 0 or n_removed < n_lines")
-    return cut.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    # a table's own columns of these names must not stand in for the counts
+    aside = {c: f"_pipeline_{c}" for c in docs.columns if c.lower() in ("n_lines", "n_removed")}
+    cut = fuzzy_lines.dedup_lines(docs.withColumnsRenamed(aside), shingle=5).where("n_removed = 0 or n_removed < n_lines")
+    kept = cut.drop("n_lines", "n_removed").withColumnsRenamed({name: c for c, name in aside.items()})
+    return kept.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
