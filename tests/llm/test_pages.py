@@ -1,6 +1,7 @@
 """Main text of pages: markup cases, held-out generated pages, and the given ones."""
 
 import random
+import time
 
 import pytest
 
@@ -81,3 +82,17 @@ def test_odd_rows(spark, model):
     out = main_text.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string, text int"), model).collect()
     assert len(out) == 4 and sum(r.text == "" for r in out) == 3
     assert main_text.main_text(spark.createDataFrame([], "page_id bigint, url string, html string"), model).count() == 0
+
+
+@pytest.mark.parametrize("text", ["<a b ", "<! ", "<svg b ", "x<!-- ", "< ", "<a b='"])
+def test_tags_without_an_end_take_time_in_proportion(text):
+    began = time.perf_counter()
+    blocks("<p>before</p>" + text * (2_000_000 // len(text)))
+    blocks("<svg>" + text * (1_000_000 // len(text)) + ">" + text * (1_000_000 // len(text)))
+    assert time.perf_counter() - began < 20
+
+
+def test_comments_without_an_end_run_to_the_end_of_the_page():
+    for page in ("<p>a</p><!-- b <p>c</p> d", "<p>a</p><!--> b", "<p>a</p><!-- b", "<p>a<!-- <b> -->"):
+        assert [t for _, t, _ in blocks(page)] == ["a"]
+    assert [t for _, t, _ in blocks("<p>a</p>1 < 2 <b")] == ["a", "1 < 2 <b"]

@@ -32,14 +32,14 @@ CLOSES = {
 }
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>", re.S
 )
 _MARKS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 _PAIRS = {
     name: re.compile(
-        rf"<!--.*?(?:-->|\Z)|<({'|'.join(sorted(RAW))})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-        rf"|<(/?){name}(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+        rf"<!--.*?(?:-->|\Z)|<({'|'.join(sorted(RAW))})(?=[\s/>])(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
+        rf"|<(/?){name}(?=[\s/>])((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>",
         re.S | re.I,
     )
     for name in SKIPPED - RAW
@@ -69,7 +69,8 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
 def _ends_of(page: str, tag: str) -> dict[int, int]:
     """Where each element of a name that has an end tag starts, and the end of that tag."""
     out, opened = {}, []
-    for m in _PAIRS[tag].finditer(page):
+    # behind the last > there is no tag, and each < there would be followed to the end of the page
+    for m in _PAIRS[tag].finditer(page, 0, page.rfind(">") + 1):
         if m[2]:
             if opened:
                 out[opened.pop()] = m.end()
@@ -110,12 +111,15 @@ def blocks(page: str | None) -> list[tuple[tuple[tuple[str, ...], ...], str, int
         linked = 0
 
     size = len(page)
+    # behind the last > there is no tag, only text and perhaps a comment without an end
+    tail = page.rfind(">") + 1
     search = _TOKEN.search
     while at < size:
-        m = search(page, at)
+        m = search(page, at, tail) if at < tail else None
         if m is None:
             if not mute:
-                text.append(page[at:])
+                comment = page.find("<!--", at)
+                text.append(page[at:] if comment < 0 else page[at:comment])
             break
         if m.start() > at and not mute:
             piece = page[at : m.start()]
@@ -125,6 +129,8 @@ def blocks(page: str | None) -> list[tuple[tuple[tuple[str, ...], ...], str, int
         at = m.end()
         tag = m[2]
         if tag is None:
+            if at == tail and m[0].startswith("<!--") and not (len(m[0]) > 6 and m[0].endswith("-->")):
+                break
             continue
         tag = tag.lower()
         if mute:
