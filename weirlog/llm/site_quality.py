@@ -2,7 +2,7 @@
 
 A logistic model over hashed words gives each document's own evidence. Grouped sums of it give
 every host and every path within a host a posterior mean, shrunk towards its parent (path to host, host
-to all) by a strength estimated from how much siblings differ. A document's final log-odds are its
+to all) by a strength estimated from how much siblings differ beyond chance. A document's final log-odds are its
 own plus what its path departs from the whole, itself left out of its path.
 """
 
@@ -29,6 +29,8 @@ PREFIX = 5
 SITE_WEIGHT = 0.5
 #: Hosts and paths are broadcast up to this many rows (some 10 MB), and joined by shuffle beyond.
 SITE_ROWS = 100_000
+#: Bounds of a prior's strength in documents; the upper one is also that of sites that do not differ.
+LEAST_STRENGTH, MOST = 2.0, 1000.0
 TARGETS = ("quality", "toxic")
 MEASURES = 7
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -147,13 +149,32 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model | None:
     )
 
 
-def _prior(children: DataFrame, keys: list[str], target: str) -> str:
-    """Strength of a prior in documents, from how children's means vary beyond chance (moments)."""
-    mean = f"sum(s_{target}) / sum(n)"
-    m, v = children.selectExpr(f"{mean} as m", f"sum(n * pow(s_{target} / n, 2)) / sum(n) - pow({mean}, 2) as v").first()
-    if m is None or v is None or v <= 0 or m <= 0 or m >= 1:
-        return "100.0D"
-    return f"{min(1000.0, max(2.0, m * (1 - m) / v - 1))!r}D"
+def variances(hosts: DataFrame, target: str) -> tuple[float, float, float]:
+    """Variance of probabilities among documents of a path, paths of a host, and hosts, by moments.
+
+    Sums of squares at each level are held against what chance and the levels below add to them, whatever the
+    numbers of documents are. Where no path has two documents, sites cannot be told from chance, and
+    the two latter are 0.
+    """
+    t = target
+    r = hosts.selectExpr(
+        "coalesce(sum(n), 0L) as n", "count(*) as hosts", "coalesce(sum(paths), 0L) as paths", f"sum(s_{t}) as s", f"sum(q_{t}) as q", f"sum(r_{t}) as by_path",
+        f"sum(s_{t} * s_{t} / n) as by_host", "sum(w) as w", "sum(w / n) as w_host", "sum(cast(n as double) * n) as w_all",
+    ).first()
+    if r.n <= r.paths:
+        return 0.0, 0.0, 0.0
+    chance = max(0.0, r.q - r.by_path) / (r.n - r.paths)
+    path = max(0.0, r.by_path - r.by_host - (r.paths - r.hosts) * chance) / max(r.n - r.w_host, 1.0) if r.paths > r.hosts else 0.0
+    among = r.by_host - r.s * r.s / r.n - (r.hosts - 1) * chance - (r.w_host - r.w / r.n) * path
+    host = max(0.0, among) / max(r.n - r.w_all / r.n, 1.0) if r.hosts > 1 else 0.0
+    # differences within rounding of the sums are none
+    dust = 1e-12 * max(r.q, 1.0)
+    return chance, path if path * r.n > dust else 0.0, host if host * r.n > dust else 0.0
+
+
+def _strength(noise: str, effect: float) -> str:
+    """Documents a prior counts for: variance of a document over that of the effect, within bounds."""
+    return f"least({MOST}, greatest({LEAST_STRENGTH}, ({noise}) / {effect!r}D))" if effect > 0 else f"{MOST}"
 
 
 def site_quality(
@@ -194,18 +215,37 @@ def site_quality(
                 )
 
     scored = settle(docs.mapInArrow(score, "doc_id bigint, host string, path string, l_quality double, l_toxic double"))
+    return posteriors(scored)
+
+
+def sites(scored: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents with probabilities, and sums of these by path and by host."""
     own = scored.selectExpr(
         "*", "coalesce(host, '') as h", "coalesce(path, '') as p", *[f"1 / (1 + exp(-l_{t})) as p_{t}" for t in TARGETS]
     )
-    sums = [F.count("*").alias("n"), *[F.sum(f"p_{t}").alias(f"s_{t}") for t in TARGETS]]
-    paths = settle(own.groupBy("h", "p").agg(*sums))
-    hosts = settle(paths.groupBy("h").agg(F.sum("n").alias("n"), *[F.sum(f"s_{t}").alias(f"s_{t}") for t in TARGETS]))
+    sums = [F.expr(e) for t in TARGETS for e in (f"sum(p_{t}) as s_{t}", f"sum(p_{t} * p_{t}) as q_{t}")]
+    paths = settle(own.groupBy("h", "p").agg(F.count("*").alias("n"), *sums))
+    parts = [F.expr(e) for t in TARGETS for e in (f"sum(s_{t}) as s_{t}", f"sum(q_{t}) as q_{t}", f"sum(s_{t} * s_{t} / n) as r_{t}")]
+    hosts = settle(
+        paths.groupBy("h").agg(F.expr("sum(n) as n"), F.expr("count(*) as paths"), F.expr("sum(cast(n as double) * n) as w"), *parts)
+    )
+    return own, paths, hosts
+
+
+def posteriors(scored: DataFrame) -> DataFrame:
+    """The columns of ``site_quality`` from (doc_id, host, path, l_quality, l_toxic), the log-odds of each
+    document's own evidence. ``scored`` is read twice."""
+    own, paths, hosts = sites(scored)
     whole = hosts.selectExpr(*[f"coalesce(sum(s_{t}) / sum(n), 0.5) as m_{t}" for t in TARGETS]).first()
     mean = {t: f"{min(0.999, max(0.001, whole[f'm_{t}']))!r}D" for t in TARGETS}
-    of_host = {t: _prior(hosts, ["h"], t) for t in TARGETS}
-    of_path = {t: _prior(paths, ["h", "p"], t) for t in TARGETS}
-    host = hosts.selectExpr("h", *[f"({of_host[t]} * {mean[t]} + s_{t}) / ({of_host[t]} + n) as host_{t}" for t in TARGETS])
-    site = paths.join(host, "h").withColumnsRenamed({"n": "site_n"})
+    host, of_path = [], {}
+    for t in TARGETS:
+        chance, path, among = variances(hosts, t)
+        of_path[t] = _strength(f"{chance!r}D", path)
+        # a host's mean varies with its paths, the more the fewer they are
+        of_host = _strength(f"{chance!r}D + {path!r}D * w / n", among)
+        host.append(f"({of_host} * {mean[t]} + s_{t}) / ({of_host} + n) as host_{t}")
+    site = paths.join(hosts.selectExpr("h", *host), "h").withColumnsRenamed({"n": "site_n"})
     joined = join_lookup(own, site, ["h", "p"], max_rows=SITE_ROWS)
     # the path's posterior without the document itself
     posterior = {t: f"(({of_path[t]} * host_{t} + s_{t} - p_{t}) / ({of_path[t]} + site_n - 1))" for t in TARGETS}
