@@ -118,7 +118,7 @@ def test_frontier_of_a_shuffled_stream(spark, place):
         [("t", 0, 10), ("t", 0, 12), ("t", 1, 2)],
         [("t", 0, o) for o in range(13, 300)],
     ]
-    sink = track_frontier(root, seeds, block_bits=1)
+    sink = track_frontier(root, seeds, block=128)
     seen = []
     for batch_id, rows in enumerate(batches):
         for _ in range(2):  # every batch is replayed once
