@@ -113,3 +113,25 @@ def test_frontier_changes(spark):
     moved = progress.frontier_changes(rows, "seq", initial=10)
     assert sorted(r.frontier for r in moved.collect()) == [12, 15, 16]
     assert sorted(r.frontier for r in progress.frontier_changes(rows, "seq").collect()) == [10, 12, 15, 16]
+
+
+def test_frontier_history_against_frontiers_of_each_batch(spark):
+    rng = random.Random(4)
+    for block, seed in ((4, 1), (16, 2), (1 << 20, 3)):
+        rows = [("t", p, o, rng.randrange(5)) for p in range(4) for o in range(60) if rng.random() < (0.97 if p else 1.0)]
+        rows += rng.sample(rows, 20) + [("t", 0, o, 4) for o in range(10)]
+        start = {0: 5, 1: -1, 2: 17}
+        seeds = spark.createDataFrame([("t", p, f) for p, f in start.items()], SEEDS)
+        have = spark.createDataFrame(rows, "topic string, partition int, offset bigint, b int")
+        got = {(r.partition, r.batch): r.frontier for r in progress.frontier_history(have, seeds, "b", block).collect()}
+        want = {}
+        for p in range(4):
+            at = start.get(p, -1)
+            for b in range(5):
+                known = {o for _, q, o, c in rows if q == p and c <= b}
+                last = at
+                while at + 1 in known:
+                    at += 1
+                if at != last:
+                    want[p, b] = at
+        assert got == want

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from weirlog.operators import delivery, envelope, upsert
 from weirlog.operators.progress import PARTITION
 from weirlog.sources import logs
 from weirlog.streaming import documents, sinks, stages
-from weirlog.streaming.frontier import current_frontier, held_words, track_frontier
+from weirlog.streaming.frontier import current_frontier, held_runs, held_words, track_frontier
 from tests.test_envelope import REQ, log
 
 
@@ -129,6 +130,46 @@ def test_frontier_of_a_shuffled_stream(spark, place):
     assert [(r.partition, r.word, r.mask) for r in held] == [(1, 0, 1 << 3)]
 
 
+def test_a_gap_that_stays_costs_a_batch_what_it_changes(spark, place):
+    root = place("frontier-stuck")
+    key = "topic string, partition int, offset bigint"
+    seeds = spark.createDataFrame([("t", 0, -1)], "topic string, partition int, frontier bigint")
+    sink = track_frontier(root, seeds, full_every=4)
+    files = spark._jvm.java.io.File
+    for batch_id in range(14):  # offset 0 never comes
+        sink(spark.createDataFrame([("t", 0, 1 + 100 * batch_id + o) for o in range(100)], key), batch_id)
+        changed = spark.read.parquet(f"{root}/changes/batch={batch_id}")
+        # one run goes, a longer one comes
+        assert changed.where("start is not null").count() == (2 if batch_id else 1)
+        assert changed.where("start is null").count() == (0 if batch_id else 1)
+    assert [(r.start, r.stop) for r in held_runs(spark, root).collect()] == [(1, 1400)]
+    assert len([f for f in files(root.removeprefix("file:") + "/changes").list() if f.startswith("batch=")]) <= 8
+    assert len([f for f in files(root.removeprefix("file:") + "/full").list() if f.startswith("batch=")]) == 2
+    sink(spark.createDataFrame([("t", 0, 0)], key), 14)
+    assert current_frontier(spark, root).first().frontier == 1400 and held_runs(spark, root).isEmpty()
+
+
+def test_runs_against_brute_force(spark):
+    from weirlog.streaming.frontier import advanced, merged_runs, runs_of
+
+    rng = random.Random(11)
+    have = {(p, rng.randrange(700)) for p in range(4) for _ in range((p + 1) * 300)}
+    known = {p: rng.randrange(-1, 40) for p in range(5)}
+    have |= {(2, o) for o in range(known[2] + 1, 420)}
+    rows = spark.createDataFrame([("t", p, o) for p, o in have] * 2, "topic string, partition int, offset bigint")
+    for block in (64, 100, 1 << 20):
+        runs = merged_runs(runs_of(rows), block)
+        got = {(r.partition, r.start, r.stop) for r in runs.collect()}
+        want = {
+            (p, o, next(e for e in range(o, 10**6) if (p, e + 1) not in have or (e + 1) % block == 0))
+            for p, o in have if (p, o - 1) not in have or o % block == 0
+        }
+        assert got == want
+        start = spark.createDataFrame([("t", p, f) for p, f in known.items()], "topic string, partition int, frontier bigint")
+        reached = {r.partition: r.frontier for r in advanced(runs.join(start, ["topic", "partition"]).where("stop > frontier").drop("frontier"), start, block).collect()}
+        assert reached == {p: next(o for o in range(f + 1, 10**6) if (p, o) not in have) - 1 for p, f in known.items()}
+
+
 def test_frontier_state_with_nothing_held(spark, place):
     root = place("frontier-plain")
     key = "topic string, partition int, offset bigint"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirlog.operators.blocks import previous_value
-from weirlog.session import settle
+from weirlog.session import join_lookup, settle
 
 PARTITION = ["topic", "partition"]
 
@@ -193,6 +193,36 @@ def frontier_changes(reports: DataFrame, seq: str, initial: int | None = None) -
     return known.where(f"not (frontier <=> {before})")
 
 
+def frontier_history(confirmed: DataFrame, seeds: DataFrame, batch: str, block: int = 1 << 20) -> DataFrame:
+    """Frontiers after the batches that moved them, in one pass over all batches: ``topic, partition, batch, frontier``.
+
+    ``confirmed`` has ``topic, partition, offset`` in any order, with repeats, and the whole number of the batch that
+    confirmed a row. An offset is reached with the last of the batches that the offsets before it and
+    itself waited for, so the frontier after a batch is the last offset reached with it. Offsets meet in blocks; what
+    goes on from block to block is one row each.
+    """
+    start = seeds.groupBy(*PARTITION).agg(F.expr("greatest(max(frontier), -1L) + 1 as begin"))
+    rows = confirmed.selectExpr(*PARTITION, "offset", f"cast({batch} as bigint) as batch")
+    rows = join_lookup(rows, start, PARTITION, "left").selectExpr(*PARTITION, "offset", "batch", "coalesce(begin, 0L) as begin")
+    rows = rows.where("offset >= begin").selectExpr("*", f"offset div {block} as block").repartition(*PARTITION, "block")
+    first = rows.groupBy(*PARTITION, "block", "begin", "offset").agg(F.min("batch").alias("batch"))
+    inside = "partition by topic, partition, block order by offset"
+    chain = first.selectExpr(
+        "*", f"max(batch) over ({inside}) as reached", f"greatest(begin, block * {block}) as low", f"row_number() over ({inside}) as place"
+    ).where("offset = low + place - 1")
+    steps = settle(chain.groupBy(*PARTITION, "begin", "block", "reached").agg(F.max("offset").alias("last")))
+    blocks = steps.groupBy(*PARTITION, "begin", "block").agg(F.max("reached").alias("reached"), F.max("last").alias("last"))
+    # a block counts when all from the first one on are there, and those before it are full
+    before = "partition by topic, partition order by block rows between unbounded preceding and 1 preceding"
+    along = blocks.selectExpr(
+        *PARTITION, "block", f"max(reached) over ({before}) as waited",
+        f"coalesce(bool_and(last = (block + 1) * {block} - 1) over ({before}), true) as full",
+        f"row_number() over (partition by topic, partition order by block) = block - begin div {block} + 1 as follows",
+    ).where("full and follows")
+    met = steps.join(along, [*PARTITION, "block"]).selectExpr(*PARTITION, "greatest(reached, waited) as batch", "last")
+    return met.groupBy(*PARTITION, "batch").agg(F.max("last").alias("frontier"))
+
+
 def latest_progress(progress: DataFrame) -> DataFrame:
     """Last saved frontier of each partition from the append-only progress table."""
     return progress.groupBy(*PARTITION).agg(

@@ -388,6 +388,13 @@ ORACLES: dict[str, str] = {
         "SELECT id, topic, event_type FROM outbox WHERE event_type = 'error' AND amount > 100", "outbox"
     ),
     "frontier": _sql("SELECT topic, part, frontier FROM frontiers", "frontiers"),
+    "held_stream": _sql(
+        """SELECT topic, part, min(off) AS first_off, max(off) AS last_off FROM (
+             SELECT topic, part, c.off, c.off - row_number() OVER (PARTITION BY topic, part ORDER BY c.off) AS run
+             FROM (SELECT DISTINCT * FROM confirmed) c JOIN frontiers f USING (topic, part) WHERE c.off > f.frontier) held
+           GROUP BY topic, part, off // 1048576, run""",
+        "confirmed", "frontiers",
+    ),
     "frontier_stream": _sql("SELECT topic, part, frontier FROM frontiers", "frontiers"),
     "held_offsets": _sql(
         """SELECT topic, part, c.off, f.frontier FROM confirmed c JOIN frontiers f USING (topic, part)

@@ -16,7 +16,7 @@ from weirlog.schemas import REQUEST_MSG_REQ, STORE_EVENT, STORE_MSG_CREATED
 from weirlog.session import scratch, settle
 from weirlog.sources import bodies, logs
 from weirlog.streaming import documents, sends, sinks, stages
-from weirlog.streaming.frontier import current_frontier, track_frontier
+from weirlog.streaming.frontier import current_frontier, held_runs, track_frontier
 from weirlog.streaming.matching import match_answers, once
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -550,11 +550,12 @@ def frontier_changes(spark, sf):
     """Frontiers after each of four batches; only those that moved are reported."""
     log = settle(views.event_log(spark, sf).selectExpr("*", "least(3, offset div 1000) as batch_id"))
     seeds = settle(views.saved_offsets(log, "frontier"))
-    reports = []
-    for batch_id in range(4):
-        upto = envelope.confirmed(log.where(f"not {views.IS_ERROR} and batch_id <= {batch_id}"))
-        reports.append(progress.frontier(upto, seeds).selectExpr(*PARTITION, "frontier", f"{batch_id}L as offset"))
-    merged = functools.reduce(DataFrame.unionByName, reports)
+    confirmed = log.where(f"not {views.IS_ERROR}")
+    moved = progress.frontier_history(confirmed, seeds, "batch_id").selectExpr(*PARTITION, "frontier", "batch as offset")
+    # the first batch is reported whether it moved anything or not
+    begun = seeds.select(*PARTITION, "frontier").unionByName(confirmed.selectExpr(*PARTITION, "-1L as frontier").distinct())
+    first = begun.selectExpr(*PARTITION, "frontier", "0L as offset")
+    merged = moved.unionByName(first).groupBy(*PARTITION, "offset").agg(F.max("frontier").alias("frontier"))
     return progress.frontier_changes(merged, "offset").selectExpr(*PLACE, "frontier")
 
 
@@ -757,6 +758,18 @@ def frontier_stream(spark, sf):
     return current_frontier(spark, root).selectExpr("topic", "partition as part", "frontier")
 
 
+@query
+def held_stream(spark, sf):
+    """Runs of offsets held back at the end of a stream that confirms later offsets first."""
+    log = settle(views.event_log(spark, sf))
+    seeds = settle(views.saved_offsets(log, "frontier"))
+    root = scratch(spark, "held")
+    sink = track_frontier(root, seeds, full_every=2)
+    for batch_id, part in enumerate(("offset >= 2000", "offset < 1000", "offset between 1000 and 1999")):
+        sink(envelope.confirmed(log.where(f"not {views.IS_ERROR} and {part}")), batch_id)
+    return held_runs(spark, root).selectExpr("topic", "partition as part", "start as first_off", "stop as last_off")
+
+
 #: Landings of the streams that are matched, by time; a row of a far later time follows, so that all earlier ones are due.
 LANDINGS = 3
 CLOSING = "timestamp'2100-01-01'"

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirlog.operators.progress import PARTITION, confirmed_bits
-from weirlog.session import settle
 from weirlog.streaming.sinks import Sink, batch_path, hadoop_path, write_once
 
 #: Offsets of a block; no run crosses a border.
@@ -111,24 +110,34 @@ def track_frontier(root: str, seeds: DataFrame, block: int = BLOCK, full_every:
         if batch_id in _stored(spark, f"{root}/changes"):
             return
         last, held, since = _state(spark, root, batch_id)
-        fresh = settle(runs_of(batch))
-        begun = fresh.select(*PARTITION).distinct().selectExpr(*PARTITION, "-1L as frontier")
-        known = last.unionByName(seeds.selectExpr(*PARTITION, "greatest(frontier, -1L) as frontier")).unionByName(begun)
-        known = settle(known.groupBy(*PARTITION).agg(F.max("frontier").alias("frontier")))
-        held = settle(held)
-        beyond = fresh.join(known, PARTITION).where("stop > frontier").selectExpr(*PARTITION, "greatest(start, frontier + 1) as start", "stop")
-        runs = settle(merged_runs(held.unionByName(beyond), block))
-        now = settle(advanced(runs, known, block))
-        kept = runs.join(now, PARTITION).where("stop > frontier").select(*PARTITION, *RUN)
-        moved = now.join(last.withColumnRenamed("frontier", "was"), PARTITION, "left").where("not (frontier <=> was)").drop("was")
-        both = kept.selectExpr("*", "1 as held").unionByName(held.selectExpr("*", "-1 as held"))
-        turned = both.groupBy(*PARTITION, *RUN).agg(F.expr("cast(sum(held) as int) as held")).where("held <> 0")
-        told = "cast(null as bigint) as start", "cast(null as bigint) as stop", "1 as held"
-        if since + 1 >= full_every:
-            whole = now.selectExpr("*", *told).unionByName(kept.selectExpr("*", "1 as held"), allowMissingColumns=True)
-            write_once(_few(whole), f"{root}/full", batch_id)
-        changes = moved.selectExpr("*", *told).unionByName(turned, allowMissingColumns=True)
-        write_once(_few(changes), f"{root}/changes", batch_id)
+        used: list[DataFrame] = []
+
+        def shared(df: DataFrame) -> DataFrame:
+            used.append(df.persist())
+            return df
+
+        try:
+            fresh = shared(runs_of(batch))
+            begun = fresh.select(*PARTITION).distinct().selectExpr(*PARTITION, "-1L as frontier")
+            known = last.unionByName(seeds.selectExpr(*PARTITION, "greatest(frontier, -1L) as frontier")).unionByName(begun)
+            known = shared(known.groupBy(*PARTITION).agg(F.max("frontier").alias("frontier")))
+            beyond = fresh.join(known, PARTITION).where("stop > frontier")
+            beyond = beyond.selectExpr(*PARTITION, "greatest(start, frontier + 1) as start", "stop")
+            runs = shared(merged_runs(held.unionByName(beyond), block))
+            now = shared(advanced(runs, known, block))
+            kept = runs.join(now, PARTITION).where("stop > frontier").select(*PARTITION, *RUN)
+            moved = now.join(last.withColumnRenamed("frontier", "was"), PARTITION, "left").where("not (frontier <=> was)").drop("was")
+            both = kept.selectExpr("*", "1 as held").unionByName(held.selectExpr("*", "-1 as held"))
+            turned = both.groupBy(*PARTITION, *RUN).agg(F.expr("cast(sum(held) as int) as held")).where("held <> 0")
+            told = "cast(null as bigint) as start", "cast(null as bigint) as stop", "1 as held"
+            if since + 1 >= full_every:
+                whole = now.selectExpr("*", *told).unionByName(kept.selectExpr("*", "1 as held"), allowMissingColumns=True)
+                write_once(_few(whole), f"{root}/full", batch_id)
+            changes = moved.selectExpr("*", *told).unionByName(turned, allowMissingColumns=True)
+            write_once(_few(changes), f"{root}/changes", batch_id)
+        finally:
+            for df in used:
+                df.unpersist()
         _forget(spark, root)
 
     return run
