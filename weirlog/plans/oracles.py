@@ -144,6 +144,12 @@ _VIEWS: dict[str, tuple[str, list[str]]] = {
         "SELECT * FROM request_log WHERE damage IS NULL AND type = 1 AND to_count > 0",
         ["request_log"],
     ),
+    # dealt to three partitions by sender, the first landing before the second
+    "keyed": (
+        """SELECT target AS part, row_number() OVER (PARTITION BY target ORDER BY pass_no, off, part) - 1 AS off, sender, doc_id
+           FROM (SELECT *, CAST(CAST('0x' || left(md5(sender), 8) AS BIGINT) % 3 AS INTEGER) AS target FROM accepted)""",
+        ["accepted"],
+    ),
     # the second delivery of a document differs only in its version
     "request_fold": (
         """SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pass_no) AS nth,
@@ -508,6 +514,13 @@ ORACLES: dict[str, str] = {
     "stage_accept": _sql(
         "SELECT 'deliveries' AS topic, part, off, sender, doc_id, CAST(1 AS INTEGER) AS code FROM accepted", "accepted"
     ),
+    "keyed_accept": _sql("SELECT 'deliveries' AS topic, part, off, sender, doc_id FROM keyed", "keyed"),
+    "saved_progress": _sql(
+        """SELECT 'requests' AS topic, part, min(off) AS frontier FROM request_log r
+           WHERE NOT EXISTS (SELECT 1 FROM request_log n WHERE n.part = r.part AND n.off = r.off + 1) GROUP BY part
+           UNION ALL SELECT 'deliveries', part, max(off) FROM keyed GROUP BY part""",
+        "request_log", "keyed",
+    ),
     "stage_store": _sql(_CREATED.format(sender="sender,"), "created"),
     "stage_changes": _sql(_CREATED.format(sender=""), "created"),
 }

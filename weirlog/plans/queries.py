@@ -15,7 +15,7 @@ from weirlog.plans import views
 from weirlog.schemas import REQUEST_MSG_REQ, STORE_EVENT, STORE_MSG_CREATED
 from weirlog.session import scratch, settle
 from weirlog.sources import bodies, logs
-from weirlog.streaming import documents, sends, sinks, stages
+from weirlog.streaming import documents, keyed_topics, sends, sinks, stages
 from weirlog.streaming.frontier import current_frontier, held_runs, track_frontier
 from weirlog.streaming.matching import match_answers, once
 
@@ -719,6 +719,38 @@ def stage_accept(spark, sf):
     )
 
 
+TARGETS = 3
+
+
+def _keyed_accept(spark: SparkSession, sf: str) -> tuple[str, str]:
+    """The accept stage over two landings, bad rows among them, into a keyed topic; (its root, that of the frontiers saved)."""
+    store = _Store(spark, sf, land=False)
+    root, saved = f"{store.root}/keyed", f"{store.root}/saved"
+    seeds = spark.createDataFrame([], "topic string, partition int, frontier bigint")
+    sink = stages.accept_stage(keyed_topics.keyed_topics(root, TARGETS), store._aside("accept"), "deliveries")
+    sink = stages.with_progress(sink, saved, seeds)
+    for log in (views.first_requests(spark, sf), views.repeated_requests(spark, sf)):
+        store.land(log)
+        stages.drain(logs.stream_log(spark, f"{store.root}/requests", FILES_PER_BATCH), sink, f"{store.root}/at-accept")
+    return root, saved
+
+
+@query
+def keyed_accept(spark, sf):
+    rows = envelope.good(delivery.delivery_events(keyed_topics.read_keyed(spark, _keyed_accept(spark, sf)[0], "deliveries")))
+    return rows.selectExpr(*PLACE, "decode(key, 'UTF-8') as sender", f"{identity.document_id('data.msgDelivery.req')} as doc_id")
+
+
+@query
+def saved_progress(spark, sf):
+    """Frontiers that the accept stage has saved, and those of the topic it wrote, which has no gaps."""
+    root, saved = _keyed_accept(spark, sf)
+    written = keyed_topics.read_keyed(spark, root).select(*PARTITION, "offset")
+    seeds = written.select(*PARTITION).distinct().selectExpr(*PARTITION, "-1L as frontier")
+    both = current_frontier(spark, saved).unionByName(progress.frontier(written, seeds))
+    return both.selectExpr("topic", "partition as part", "frontier")
+
+
 @query
 def stage_store(spark, sf):
     rows = envelope.good(envelope.decode(_Store(spark, sf).store(), STORE_EVENT))

@@ -21,7 +21,8 @@ from weirlog.operators.upsert import created_events, document_updates
 from weirlog.schemas import STORE_EVENT, STORE_MSG_CREATED
 from weirlog.sources.bodies import bad_bodies, parse_bodies, requests_of
 from weirlog.streaming.documents import fold_batch, store_documents
-from weirlog.streaming.sinks import Sink, log_rows
+from weirlog.streaming.frontier import track_frontier
+from weirlog.streaming.sinks import Sink, fan_out, log_rows
 
 
 def start(stream: DataFrame, sink: Sink, checkpoint: str, every: str | None = None) -> StreamingQuery:
@@ -35,6 +36,13 @@ def drain(stream: DataFrame, sink: Sink, checkpoint: str) -> None:
     start(stream, sink, checkpoint).awaitTermination()
 
 
+def with_progress(stage: Sink, root: str, seeds: DataFrame) -> Sink:
+    """A stage over log rows that saves its frontiers: once it is through with a batch, the positions of all its rows
+    are confirmed, those set aside included. ``frontier.current_frontier`` reads them from ``root``; ``seeds`` are the
+    frontiers before the stream began (see there)."""
+    return fan_out(stage, track_frontier(root, seeds))
+
+
 def ingress_stage(topics: Sink, responses: Sink, aside: Sink, request_topic: str) -> Sink:
     """Takes bodies (see ``sources.bodies``) rather than log rows.
 
