@@ -5,11 +5,13 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
 from tests.llm.conftest import ODD
-from weirlog.llm import components, fuzzy_lines, jaccard, phrase_index, quality_rules, repeats, site_quality
+from weirlog.llm import buckets as bk
+from weirlog.llm import components, fuzzy_lines, jaccard, phrase_index, quality_rules, repeats, shared_keys, site_quality
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 NULL = -(2**63)
@@ -117,6 +119,48 @@ def test_jaccard(spark, docs_of, rows, block, monkeypatch):
     assert sum(r.leader for r in out) == len(set(root))
 
 
+def of_sizes(seed):
+    """Texts that share their first words and differ in length, by as much as a link allows, a little more, and much more."""
+    rng = random.Random(seed)
+    words = [f"w{k}" for k in range(400)]
+    rows = [(n, " ".join(words[:n])) for n in (7, 8, 9, 20, 26, 27, 60, 79, 80, 81, 200, 265, 266, 267, 268, 400)]
+    return rows + [(1000 + k, " ".join(words[a : a + rng.choice([24, 30, 39, 40, 52])])) for k in range(60) for a in [rng.randrange(60)]]
+
+
+@pytest.mark.parametrize("least", [75, 50, 100])
+def test_jaccard_of_unlike_sizes(spark, docs_of, least):
+    rows = of_sizes(9)
+    sets = shingle_sets(rows)
+    root = brute_components([s for _, s in sets], lambda a, b: alike(a, b, least))
+    low = {r: min(i for (i, _), x in zip(sets, root) if x == r) for r in root}
+    out = jaccard.similar_documents(docs_of(rows), least=least).collect()
+    assert {r.doc_id: r.component_id for r in out} == {i: low[r] for (i, _), r in zip(sets, root)}
+
+
+def test_groups_far_apart_in_size_do_not_meet(spark):
+    held = spark.createDataFrame([(1, 10, 5), (2, 11, 5), (3, 1000, 5), (4, 1100, 5), (5, 10, 6), (6, 12, 6)], "id bigint, n bigint, key bigint")
+    groups = defaultdict(set)
+    for r in jaccard.met(held, 75).collect():
+        groups[r.root].add(r.id)
+    assert {frozenset(g) for g in groups.values() if len(g) > 1} == {frozenset({1, 2}), frozenset({3, 4}), frozenset({5, 6})}
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_keys_that_differ_in_their_lower_bits(spark, docs_of, whole):
+    """One hash a document, all of them alike in their upper half and in their bucket."""
+
+    def keys_of(part):
+        ids = np.asarray(part.column("doc_id"), np.int64)
+        key = (np.uint64(77) << np.uint64(32)) + (ids // 2 * 8).astype(np.uint64)
+        return ids, np.zeros(len(ids), np.int32), np.arange(len(ids)), key
+
+    docs = docs_of([(i, "x") for i in (2, 3, 4, 6, 8)]).select("doc_id", "text")
+    blobs = [bk.unpack(r.blob) for r in shared_keys.shared_keys(docs, keys_of, 8, whole=whole).collect()]
+    ids, _, key, _ = shared_keys.replies(blobs)
+    assert set(ids.tolist()) == ({2, 3} if whole else {2, 3, 4, 6, 8})
+    assert not whole or set(key.tolist()) == {(77 << 32) + 8}
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(rng.randrange(3000), rng.randrange(3000)) for _ in range(2200)] + [(k, k + 1) for k in range(5000, 5600)] + [(7, x) for x in range(8000, 8300)]

@@ -153,6 +153,8 @@ def compare(units: DataFrame, least: int, elements: Callable | None = None) -> D
         a, b = [], []
         for lo, hi in zip(at.tolist(), np.append(at[1:], len(part)).tolist(), strict=True):
             if hi - lo == 2:
+                if not elements and 100 * min(n[lo], n[lo + 1]) < least * max(n[lo], n[lo + 1]):
+                    continue
                 both = len(np.intersect1d(sets[lo], sets[lo + 1], assume_unique=True))
                 if both and 100 * both >= least * (n[lo] + n[lo + 1] - both):
                     a.append(int(ids[lo]))

@@ -4,8 +4,8 @@ Shingles are ordered by how many documents hold them, rarest first, so that what
 holds leads. A document with more than a quarter of such shingles can link to none and drops out;
 the others carry on their shared shingles alone. Documents that link share a shingle among the first
 quarter of each, their prefixes. Documents with the same shingles are one class, classes with the same
-prefix and size one group; groups that hold a shingle in their prefixes gather under its first, and
-what is gathered is expanded and verified member by member with exact intersections.
+prefix and size one group; groups that hold a shingle in their prefixes meet if their sizes allow a link, and
+what meets is expanded and verified member by member with exact intersections of 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -122,12 +122,12 @@ def shared_sets(docs: DataFrame, least: int) -> DataFrame:
             {"rid": ids, "doc_id": texts.ids_back(real), "tie": tie, "n": n, "own": n - held, "keys": pa.array(data, pa.binary())}
         )
 
-    told = sk.shared_keys(numbered, keys_of, buckets, extra=sizes, columns=("doc_id", "real", "tie", "text"), slice_bytes=SLICE_BYTES)
+    told = sk.shared_keys(numbered, keys_of, buckets, extra=sizes, columns=("doc_id", "real", "tie", "text"), slice_bytes=SLICE_BYTES, whole=True)
     return told.groupBy("bucket").applyInArrow(survive, SETS)
 
 
 def prefixes(groups: DataFrame, least: int) -> DataFrame:
-    """(id, key) of the shared shingles in the sets' prefixes."""
+    """(id, n, key) of the shared shingles in the sets' prefixes."""
 
     def run(batches):
         for batch in batches:
@@ -136,9 +136,26 @@ def prefixes(groups: DataFrame, least: int) -> DataFrame:
             keys = [np.frombuffer(k, np.uint64)[:t] for k, t in zip(batch.column("keys").to_pylist(), take.tolist(), strict=True)]
             size = [len(k) for k in keys]
             flat = np.concatenate([*keys, np.zeros(0, np.uint64)]).astype(np.int64)
-            yield pa.record_batch({"id": np.repeat(np.asarray(batch.column("id"), np.int64), size), "key": flat})
+            yield pa.record_batch({"id": np.repeat(np.asarray(batch.column("id"), np.int64), size), "n": np.repeat(n, size), "key": flat})
 
-    return groups.select("id", "n", "own", "keys").mapInArrow(run, "id bigint, key bigint")
+    return groups.select("id", "n", "own", "keys").mapInArrow(run, "id bigint, n bigint, key bigint")
+
+
+def met(held: DataFrame, least: int) -> DataFrame:
+    """(id, root) of the groups that share a prefix shingle and whose sizes let them link: the smaller is at least
+    ``least`` hundredths of the larger.
+
+    Groups of a shingle meet under its smallest one. Where their sizes differ by more than a link allows, they meet there
+    by classes of size, each as wide as a link: a group is in its own class and in the next, so two that may
+    link are in one together, and two that are more than two classes apart don't meet under that shingle.
+    """
+    keys = held.groupBy("key").agg(
+        F.min("id").alias("root"), F.max("id").alias("last"), F.min("n").alias("low"), F.max("n").alias("high")
+    ).where("root < last").selectExpr("key", "root", f"100 * low >= {least} * high as near")
+    # a little wider than a link, as logarithms are rounded
+    size = f"cast(floor(ln(n) / ln({100 / least} * (1 + 1e-9D))) as bigint)"
+    places = f"if(near, array(root), array(xxhash64(root, {size}), xxhash64(root, {size} + 1)))"
+    return join_lookup(held, keys, ["key"]).selectExpr("id", f"explode({places}) as root").distinct()
 
 
 def similar_documents(
@@ -171,8 +188,8 @@ def similar_documents(
     lead = grouped.groupBy("grp").agg(F.min("id").alias("lead"))
     ledger = settle(grouped.select("id", "grp").join(lead, "grp").select("id", "lead"))
     leads = reps.join(ledger.where("id = lead").select("id"), "id", "left_semi")
-    met = cc.gathered(prefixes(leads, least)).withColumnRenamed("id", "lead")
-    cluster = ledger.join(met, "lead").select("id", "root")
+    groups = met(prefixes(leads, least), least).withColumnRenamed("id", "lead")
+    cluster = ledger.join(groups, "lead").select("id", "root")
     bins = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), reps.count() // (2 * cc.BLOCK))
     found = cc.components(cc.links(reps.select("id", "n", "keys"), cluster, bins, least))
     named = settle(member.join(found.withColumnRenamed("node", "id"), "id", "left").selectExpr("rid", "doc_id", "coalesce(root, id) as root"))

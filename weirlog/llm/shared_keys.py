@@ -23,13 +23,16 @@ LOCAL = 64
 MANY = 2**31 - 1
 
 
-def place_of(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, short key in it) of 64-bit keys."""
-    return (keys % np.uint64(buckets)).astype(np.int32), (keys >> np.uint64(32)).astype(np.uint32)
+def place_of(keys: np.ndarray, buckets: int, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, key in it) of 64-bit keys: their upper half, or if ``whole`` all that the bucket does not tell."""
+    bucket = (keys % np.uint64(buckets)).astype(np.int32)
+    return bucket, keys // np.uint64(buckets) if whole else (keys >> np.uint64(32)).astype(np.uint32)
 
 
-def full(bucket: np.ndarray | int, short: np.ndarray) -> np.ndarray:
-    """The number that replies carry for a key."""
+def full(bucket: np.ndarray | int, short: np.ndarray, buckets: int = 0) -> np.ndarray:
+    """The number that replies carry for a key: the key itself where it was placed ``whole`` in one of ``buckets``."""
+    if short.dtype == np.uint64:
+        return short * np.uint64(buckets) + np.asarray(bucket).astype(np.uint64)
     return (np.asarray(bucket).astype(np.uint64) << np.uint64(32)) | short.astype(np.uint64)
 
 
@@ -41,7 +44,7 @@ def _reply(ids, sub, key, count, buckets):
         )
 
 
-def _send(ids: np.ndarray, sub: np.ndarray, owner: np.ndarray, key: np.ndarray, buckets: int):
+def _send(ids: np.ndarray, sub: np.ndarray, owner: np.ndarray, key: np.ndarray, buckets: int, whole: bool):
     """Rows for the distinct (key, owner) of a slice; ``ids`` and ``sub`` name the owners."""
     if not len(key):
         return
@@ -54,11 +57,11 @@ def _send(ids: np.ndarray, sub: np.ndarray, owner: np.ndarray, key: np.ndarray,
     often = np.repeat(count > LOCAL, count)
     first = np.zeros(len(key), bool)
     first[at] = True
-    bucket, short = place_of(key, buckets)
+    bucket, short = place_of(key, buckets, whole)
     if often.any():
         told = owner[often]
         yield from _reply(
-            ids[told], sub[told], full(bucket[often], short[often]), np.full(len(told), MANY), buckets
+            ids[told], sub[told], full(bucket[often], short[often], buckets), np.full(len(told), MANY), buckets
         )
     keep = ~often | first
     for to, s, o, many in bk.split(bucket[keep], short[keep], owner[keep], often[keep]):
@@ -72,7 +75,7 @@ def _send(ids: np.ndarray, sub: np.ndarray, owner: np.ndarray, key: np.ndarray,
 
 
 def _judge(bucket: int, blobs: list[dict], buckets: int):
-    keys = np.concatenate([np.cumsum(b["key"], dtype=np.uint32) for b in blobs])
+    keys = np.concatenate([np.cumsum(b["key"], dtype=b["key"].dtype) for b in blobs])
     many = np.concatenate([np.unpackbits(b["many"], count=len(b["key"])).astype(bool) for b in blobs])
     ids = np.concatenate([np.cumsum(b["ids"])[b["owner"]] for b in blobs])
     sub = np.concatenate([b["sub"][b["owner"]] for b in blobs])
@@ -83,19 +86,21 @@ def _judge(bucket: int, blobs: list[dict], buckets: int):
     count = np.where(np.logical_or.reduceat(many, at), MANY, count)
     each = np.repeat(count, np.diff(np.append(at, len(keys))))
     tell = (each > 1) & ~many
-    yield from _reply(ids[tell], sub[tell], full(bucket, keys[tell]), each[tell], buckets)
+    yield from _reply(ids[tell], sub[tell], full(bucket, keys[tell], buckets), each[tell], buckets)
 
 
 def shared_keys(
     docs: DataFrame, keys_of: Callable[[pa.RecordBatch], tuple], buckets: int, extra: Callable | None = None,
     columns: tuple[str, ...] = ("doc_id", "text"),
     slice_bytes: int = bk.SLICE_BYTES,
+    whole: bool = False,
 ) -> DataFrame:
     """Replies (bucket of the id, kind ``keys``, blob) to the owners of shared keys.
 
     ``keys_of`` takes a slice of the columns and gives (ids, sub, owner, key): the id and number
     of each owner, and for each key the index of its owner. ``extra`` (of the
-    slice and its keys) may add rows of other kinds, which go to their buckets unchanged.
+    slice and its keys) may add rows of other kinds, which go to their buckets unchanged. Keys are told apart by 32
+    bits and their bucket, and replies carry these, which is enough to find candidates; with ``whole`` by all 64.
     """
 
     def send(batches):
@@ -103,7 +108,7 @@ def shared_keys(
             for batch in batches:
                 for part in texts.slices(batch, "text", slice_bytes):
                     keys = keys_of(part)
-                    yield from _send(*keys, buckets)
+                    yield from _send(*keys, buckets, whole)
                     if extra is not None:
                         yield from extra(part, keys)
 
