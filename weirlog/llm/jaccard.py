@@ -173,13 +173,14 @@ def similar_documents(
     docs = texts.pick(docs, id_column, text_column).toDF("doc_id", "text")
     sets = settle(shared_sets(docs, least).withColumn("class", F.expr("if(own = 0 and keys is not null, md5(concat(keys, cast(n as string))), null)")))
     some = sets.where("keys is not null")
-    whole = some.where("class is not null").groupBy("class").agg(F.min("rid").alias("id"))
+    whole = settle(some.where("class is not null").groupBy("class").agg(F.min("rid").alias("id")))
     member = settle(
         join_lookup(some.select("rid", "doc_id", "class"), whole, ["class"], "left").selectExpr("rid", "doc_id", "coalesce(id, rid) as id")
     )
-    reps = settle(
-        some.join(member.where("id = rid").select("rid"), "rid", "left_semi").selectExpr("rid as id", "n", "own", "keys")
-    )
+    # sets are large, so they are not shuffled to be told apart: those alone in their class stay where they are
+    firsts = join_lookup(some.where("class is not null"), whole, ["class"]).where("id = rid")
+    columns = "rid as id", "n", "own", "keys"
+    reps = settle(some.where("class is null").selectExpr(*columns).unionByName(firsts.selectExpr(*columns)))
     # classes with the same prefix and size are one group
     take = f"greatest(n - cast(ceil({least} * n / 100.0) as bigint) + 1 - own, 0)"
     grouped = reps.withColumn(
@@ -187,7 +188,7 @@ def similar_documents(
     )
     lead = grouped.groupBy("grp").agg(F.min("id").alias("lead"))
     ledger = settle(grouped.select("id", "grp").join(lead, "grp").select("id", "lead"))
-    leads = reps.join(ledger.where("id = lead").select("id"), "id", "left_semi")
+    leads = join_lookup(reps, ledger.where("id <> lead").select("id"), ["id"], "left_anti")
     groups = met(prefixes(leads, least), least).withColumnRenamed("id", "lead")
     cluster = ledger.join(groups, "lead").select("id", "root")
     bins = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), reps.count() // (2 * cc.BLOCK))
