@@ -28,7 +28,23 @@ def test_blocks():
     assert texts_of("<p>a<script>never closed") == ["a"]
 
 
-@pytest.mark.parametrize("tag", ["svg", "math", "object", "video", "audio", "canvas", "noscript", "template"])
+def test_text_of_formulas_drawings_and_media():
+    formula = "<math><mrow><mi>a</mi><mo>=</mo><msup><mi>b</mi><mn>2</mn></msup></mrow></math>"
+    assert texts_of(f"<p>Let {formula} hold.<p>x") == ["Let a=b2 hold.", "x"]
+    assert texts_of("<p>see <svg viewBox='0 0 1 1'><g><path d='M0'/><text>label <tspan>one</tspan></text></g></svg> here") == ["see label one here"]
+    for tag in ("object", "canvas", "audio", "video"):
+        assert texts_of(f"<p>a <{tag} src='x'>in <b>place</b></{tag}> b") == ["a in place b"]
+        assert texts_of(f"<p>a <{tag}>never closed<p>b") == ["a never closed", "b"]
+    assert blocks("<div><noscript><p>read</p></noscript></div>") == [((("div",), ("noscript",), ("p",)), "read", 0)]
+
+
+def test_all_words_of_attributes():
+    words = " ".join(f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60))
+    (path, _, _), = blocks(f'<div class="{words}">x</div>')
+    assert path == (("div", *[f".{w}" for w in words.split()]),)
+
+
+@pytest.mark.parametrize("tag", ["template"])
 def test_skipped_elements_without_end(tag):
     assert texts_of(f"<p>a<{tag} x='1'><g>no</g>no<p>b<p>c") == ["a", "b", "c"]
     assert texts_of(f"<header><{tag}><path d='M0'>no</header>b<p>c") == ["b", "c"]

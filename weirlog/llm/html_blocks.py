@@ -8,10 +8,13 @@ import re
 #: Fixed names of the markup: elements that don't break a line, have no end, or hold no text to read.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike "
-    "strong sub sup time tt u var wbr br nobr".split()
+    "strong sub sup time tt u var wbr br nobr object canvas audio video svg g text tspan textpath path rect circle "
+    "ellipse line polyline polygon use defs symbol math maction menclose merror mfrac mi mmultiscripts mn mo mover "
+    "mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder "
+    "munderover semantics".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style noscript template textarea title svg math iframe object canvas audio video".split())
+SKIPPED = frozenset("script style template textarea title iframe".split())
 #: Of these the content is text only, which runs to the end of the page where the end tag is missing.
 RAW = frozenset("script style textarea title iframe".split())
 #: Elements that can't be inside an open one of the other skipped ones unless that has an end tag.
@@ -58,7 +61,7 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
             for m in _MARKS.finditer(attributes):
                 value = m[2] or m[3] or m[4] or ""
                 value = re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()
-                found += [f".{w}" for w in _WORD.findall(value)[:8]]
+                found += [f".{w}" for w in _WORD.findall(value)]
         known = tuple(dict.fromkeys(found))
         if len(_marks_of) > 50_000:
             _marks_of.clear()
@@ -84,7 +87,8 @@ def blocks(page: str | None) -> list[tuple[tuple[tuple[str, ...], ...], str, int
 
     The path holds the block-level elements around the text, outermost first, each with its marks.
     Character references are decoded, white space is one blank. Ends that were left out are closed as
-    browsers do for paragraphs, list items and table cells. A skipped element without an end tag ends at
+    browsers do for paragraphs, list items and table cells. Formulas, drawings and what stands in for media are read in their
+    line like other text. A skipped element without an end tag ends at
     the next tag of a block, or with the page if it holds text only, such as a script.
     """
     out: list = []
