@@ -106,3 +106,35 @@ def test_bloom_filters_spare_files_without_the_key(spark, place):
     # within the range of the keys, so that minima and maxima don't tell
     assert scanned("2000") > 0
     assert sum(scanned(str(i)) == 0 for i in range(1001, 1021, 2)) >= 8
+
+
+def _folders(spark, table):
+    from weirlog.streaming.sinks import hadoop_path
+
+    files, at = hadoop_path(spark, f"{table.root}/segments/*/*")
+    return [len({s.getPath().getName() for s in files.globStatus(at) if s.getPath().getParent().getName() == f"segment={seg['name']}"} - {"_SUCCESS"})
+            for seg in table.segments(spark)]
+
+
+@pytest.mark.parametrize(("rows", "folders"), [(1 << 18, 1), (10, 8), (1, 48)])
+def test_folders_follow_the_rows_not_the_parts(spark, place, monkeypatch, rows, folders):
+    from weirlog.streaming import keyed_table
+
+    monkeypatch.setattr(keyed_table, "FOLDER_ROWS", rows, raising=False)
+    table = table_of(place("folders"), fan=2)
+    schema = SCHEMA
+
+    def of_month(n, ids):
+        return spark.createDataFrame([(str(i), f"m{i % 24}", n, f"{i} at {n}", "x") for i in ids], schema)
+
+    table.change(of_month(1, range(96)), 0)
+    (found,) = _folders(spark, table)
+    assert found == folders if rows > 1 else 24 < found <= 48
+    # rows of a key lie in unlike folders of unlike segments, and are merged all the same
+    table.change(of_month(2, range(0, 96, 2)), 1)
+    table.change(of_month(3, range(0, 3)), 2)
+    latest = {str(i): 3 if i < 3 else 1 + (i % 2 == 0) for i in range(96)}
+    assert {r.id: r.version for r in table.read(spark).collect()} == latest
+    assert {r.id: r.version for r in table.find(of_month(9, range(90, 99))).collect()} == {k: v for k, v in latest.items() if int(k) >= 90}
+    versions = table.versions(of_month(9, [1, 95])).collect()
+    assert sorted((r.id, r.version) for r in versions) == [("1", 3), ("95", 1)] and all(r.part.startswith("m") for r in versions)

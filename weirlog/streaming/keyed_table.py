@@ -7,9 +7,10 @@ the table consists of after a batch is listed in a small file named by the batch
 rename: readers see all of a batch or nothing, and may name an earlier batch to read. Lists of the last
 ``keep`` batches are kept, with the segments they name; the rest is removed.
 
-Rows are filed by ``part``: a coarse value that follows from the key (a month, say) and a hash bucket. Keys
-carry Parquet Bloom filters. A lookup reads keys and versions of the parts in question first, and
-whole rows only of the parts where something was found.
+Rows have a ``part``: a coarse value that follows from the key (a month, say) and a hash bucket. A segment with rows
+enough has a folder for each part; in a smaller one parts share folders by their hash, so that files follow
+the rows, not the number of parts. Keys carry Parquet Bloom filters. A lookup reads keys and versions of the
+folders of the parts in question first, and whole rows only of those where something was found.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from weirlog.session import settle
 from weirlog.streaming.sinks import claim, hadoop_path
 
 PART, SEGMENT = "part", "segment"
-#: Parts that are named in a scan's filter; with more, the scan is not narrowed by them.
+#: Folders that are named in a scan's filter; with more, the scan is not narrowed by them.
 NAMED_PARTS = 4096
+#: Rows for each folder of a segment, on average. Where parts would have fewer, they share folders.
+FOLDER_ROWS = 1 << 18
 _LIST = "rows-after-"
 
 
@@ -54,6 +57,11 @@ class KeyedTable:
     def _folder(self, name: str) -> str:
         return f"{self.root}/segments/{SEGMENT}={name}"
 
+    @staticmethod
+    def _shared(groups: int) -> str:
+        """SQL for the folder of a part where parts share that many."""
+        return f"concat('~{groups}-', pmod(xxhash64({PART}), {groups}))"
+
     # --- lists of segments ------------------------------------------------------------------
 
     def _lists(self, spark: SparkSession) -> dict[int, str]:
@@ -112,7 +120,7 @@ class KeyedTable:
     # --- reading ----------------------------------------------------------------------------
 
     def _rows(self, spark: SparkSession, segments: list[dict]) -> DataFrame:
-        """All stored rows, with ``part``."""
+        """All stored rows, with the folder they are in as ``part``."""
         schema = T.StructType([*self.schema.fields, T.StructField(PART, T.StringType())])
         if not segments:
             return spark.createDataFrame([], schema)
@@ -121,9 +129,10 @@ class KeyedTable:
         return reader.option("basePath", f"{self.root}/segments").parquet(*paths).select(*schema.names)
 
     def _latest(self, rows: DataFrame) -> DataFrame:
+        # a key's rows may be in unlike folders of different segments
         rest = ", ".join(f"`{c}`" for c in rows.columns if c not in (*self.keys, PART))
-        newest = rows.groupBy(*self.keys, PART).agg(F.expr(f"max_by(struct({rest}), `{self.version}`) as _row"))
-        return newest.select(*self.keys, PART, "_row.*")
+        newest = rows.groupBy(*self.keys).agg(F.expr(f"max_by(struct({rest}), `{self.version}`) as _row"))
+        return newest.select(*self.keys, "_row.*")
 
     def read(self, spark: SparkSession, batch: int | None = None) -> DataFrame:
         """The table as it is now, or as it was after a batch."""
@@ -145,36 +154,46 @@ class KeyedTable:
         """(keys, part, version) of those of the ``wanted`` rows that are stored; reads no other column."""
         spark = wanted.sparkSession
         wanted = wanted.selectExpr(*self.keys, f"{self.part} as {PART}").distinct()
-        rows = self._rows(spark, self.segments(spark, before=before)).select(*self.keys, PART, self.version)
-        found = self._narrowed(rows, wanted).join(wanted, [*self.keys, PART], "left_semi")
+        segments = self.segments(spark, before=before)
+        rows = self._narrowed(self._rows(spark, segments).select(*self.keys, PART, self.version), wanted, segments)
+        found = rows.drop(PART).join(wanted, list(self.keys))
         return found.groupBy(*self.keys, PART).agg(F.max(self.version).alias(self.version))
 
     def find(self, wanted: DataFrame, before: int | None = None) -> DataFrame:
         """The stored rows of the keys of ``wanted``, as before a batch."""
         spark = wanted.sparkSession
         found = settle(self.versions(wanted, before))
-        rows = self._narrowed(self._rows(spark, self.segments(spark, before=before)), found)
+        segments = self.segments(spark, before=before)
+        rows = self._narrowed(self._rows(spark, segments), found, segments)
         # a version of a key is stored once
-        return rows.join(found, [*self.keys, PART, self.version], "left_semi").select(*self.schema.names)
+        return rows.join(found, [*self.keys, self.version], "left_semi").select(*self.schema.names)
 
-    @staticmethod
-    def _narrowed(rows: DataFrame, by: DataFrame) -> DataFrame:
-        """Rows of the parts that occur in ``by``, as a filter that keeps the others' files from being opened."""
-        parts = [r[0] for r in by.select(PART).distinct().limit(NAMED_PARTS + 1).collect()]
-        return rows.where(F.col(PART).isin(parts)) if len(parts) <= NAMED_PARTS else rows
+    def _narrowed(self, rows: DataFrame, by: DataFrame, segments: list[dict]) -> DataFrame:
+        """Rows in the folders of the parts that occur in ``by``, as a filter that keeps the others' files from being opened."""
+        shared = [self._shared(n) for n in sorted({s["groups"] for s in segments if s.get("groups")})]
+        names = by.select(PART).distinct().selectExpr(f"explode(array({', '.join([PART, *shared])})) as name")
+        folders = [r[0] for r in names.distinct().limit(NAMED_PARTS + 1).collect()]
+        return rows.where(F.col(PART).isin(folders)) if len(folders) <= NAMED_PARTS else rows
 
     # --- writing ----------------------------------------------------------------------------
 
-    def _write(self, rows: DataFrame, batch: int, level: int) -> list[dict]:
-        """A new segment, or none where there are no rows."""
+    def _write(self, rows: DataFrame, batch: int, level: int, count: int, parts: int) -> list[dict]:
+        """A new segment, or none where there are no rows. ``count`` rows and ``parts`` are the most there may be."""
         name = f"{batch}-{level}-{uuid.uuid4().hex}"
+        # powers of two, so that the segments of a table have few numbers of folders
+        groups = 1 << max(0, (count // FOLDER_ROWS).bit_length() - 1)
+        groups = 0 if groups >= parts else groups
+        rows = rows.selectExpr("*", f"{self.part} as {PART}")
+        if groups:
+            rows = rows.withColumn(PART, F.expr(self._shared(groups)))
         writer = rows.hint("rebalance", PART).sortWithinPartitions(PART, *self.keys).write.partitionBy(PART)
         for key in self.keys:
             # a dictionary would stand in for the filter, at the size of the keys
             writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true").option(f"parquet.enable.dictionary#{key}", "false")
         writer.option("parquet.bloom.filter.adaptive.enabled", "true").parquet(self._folder(name))
         files, at = hadoop_path(rows.sparkSession, f"{self._folder(name)}/{PART}=*")
-        return [{"name": name, "level": level}] if files.globStatus(at) else []
+        found = {"name": name, "level": level, "rows": count, "parts": parts, "groups": groups}
+        return [found] if files.globStatus(at) else []
 
     def change(self, rows: DataFrame, batch: int) -> None:
         """Store the changed rows of a batch, one per key, unless an earlier attempt did so."""
@@ -183,8 +202,13 @@ class KeyedTable:
         if batch in self._lists(spark):
             return
         segments = self.segments(spark, before=batch)
-        changed = rows.select(*self.schema.names).selectExpr("*", f"{self.part} as {PART}")
-        segments += self._write(changed, batch, 0)
+        changed = rows.select(*self.schema.names).persist()
+        try:
+            parts = changed.selectExpr(f"{self.part} as {PART}").groupBy(PART).agg(F.count("*").alias("n"))
+            size = parts.agg(F.sum("n").alias("n"), F.count("*").alias("parts")).first()
+            segments += self._write(changed, batch, 0, size.n, size.parts) if size.n else []
+        finally:
+            changed.unpersist()
         level = 0
         while len(full := [s for s in segments if s["level"] == level]) >= self.fan:
             segments = [s for s in segments if s["level"] != level]
@@ -192,6 +216,9 @@ class KeyedTable:
             if not any(s["level"] > level for s in segments):
                 merged = merged.where(f"not ({self.done})")
             level += 1
-            segments += self._write(merged, batch, level)
+            # segments of tables begun before these were noted have a folder for each part
+            noted = all("rows" in s for s in full)
+            count, parts = (sum(s[c] for s in full) for c in ("rows", "parts")) if noted else (0, 0)
+            segments += self._write(merged, batch, level, count, parts)
         self._publish(spark, batch, segments)
         self._tidy(spark)
