@@ -95,3 +95,17 @@ def test_slices_keep_all_rows():
     parts = list(texts.slices(batch, "text", 20))
     assert [x for p in parts for x in p.column("text").to_pylist()] == batch.column("text").to_pylist()
     assert len(parts) > 1
+
+
+def test_long_batches_are_encoded_in_slices_of_8_mb():
+    from weirlog.llm.queries import vocabulary
+
+    path = vocabulary("word_bpe_49k.json")
+    column = pa.array([f"row {i} " + "some words in a long text. " * 4000 for i in range(120)] + [None, ""])
+    batch = pa.record_batch({"text": column})
+    parts = list(texts.slices(batch, "text", token_files.SLICE_BYTES))
+    assert len(parts) > 1 and max(p.column("text").nbytes for p in parts) <= (8 << 20) + (1 << 17)
+    whole, counts = tokens.encode_rows(column, path)
+    each = [tokens.encode_rows(p.column("text"), path) for p in parts]
+    assert np.array_equal(np.concatenate([e[0] for e in each]), whole)
+    assert np.array_equal(np.concatenate([e[1] for e in each]), counts)

@@ -14,8 +14,9 @@ from weirlog.llm import texts, tokens
 #: Bytes of text for one file; the number of files follows the input.
 FILE_BYTES = 64 << 20
 STRIPE_BYTES = 16 << 20
-#: Bytes of text encoded at a time, and units that a worker remembers.
-SLICE_BYTES = 16 << 20
+#: Bytes of text encoded at a time (twice that takes some 80 MB more in each worker), and units that a worker
+#: remembers.
+SLICE_BYTES = 8 << 20
 CACHED_UNITS = 240_000
 #: Arrow batches of long id lists are kept to this many ids.
 BATCH_IDS = 2 << 20
@@ -45,6 +46,8 @@ def encode_documents(docs: DataFrame, path: str, end_id: int | None) -> DataFram
                         "tokens": lists,
                     }
                 )
+                del ids, counts, off, lists
+        texts.release()
 
     return docs.mapInArrow(encode, ENCODED)
 
