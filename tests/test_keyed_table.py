@@ -138,3 +138,17 @@ def test_folders_follow_the_rows_not_the_parts(spark, place, monkeypatch, rows,
     assert {r.id: r.version for r in table.find(of_month(9, range(90, 99))).collect()} == {k: v for k, v in latest.items() if int(k) >= 90}
     versions = table.versions(of_month(9, [1, 95])).collect()
     assert sorted((r.id, r.version) for r in versions) == [("1", 3), ("95", 1)] and all(r.part.startswith("m") for r in versions)
+
+
+def test_rows_without_a_part_stay_apart_in_shared_folders(spark, place):
+    table = table_of(place("bare"), fan=2)
+
+    def rows(*some):
+        return spark.createDataFrame([(i, m, v, "p", "x") for i, m, v in some], SCHEMA)
+
+    table.change(rows(("1", None, 1), ("2", "m0", 1)), 0)
+    table.change(rows(("1", "m0", 5), ("3", None, 1)), 1)
+    assert sorted((r.id, r.month, r.version) for r in table.read(spark).where("id <> '1'").collect()) == [("2", "m0", 1), ("3", None, 1)]
+    assert {(r.month, r.version) for r in table.read(spark).where("id = '1'").collect()} == {(None, 1), ("m0", 5)}
+    wanted = rows(("1", "m0", 0), ("1", None, 0), ("3", None, 0))
+    assert [(r.id, r.month, r.version) for r in table.find(wanted).collect()] == [("1", "m0", 5)]

@@ -59,8 +59,8 @@ class KeyedTable:
 
     @staticmethod
     def _shared(groups: int) -> str:
-        """SQL for the folder of a part where parts share that many."""
-        return f"concat('~{groups}-', pmod(xxhash64({PART}), {groups}))"
+        """SQL for the folder of a part where parts share that many. Rows without a part, which no lookup finds, stay apart."""
+        return f"if({PART} is null, null, concat('~{groups}-', pmod(xxhash64({PART}), {groups})))"
 
     # --- lists of segments ------------------------------------------------------------------
 
@@ -131,7 +131,7 @@ class KeyedTable:
     def _latest(self, rows: DataFrame) -> DataFrame:
         # a key's rows may be in unlike folders of different segments
         rest = ", ".join(f"`{c}`" for c in rows.columns if c not in (*self.keys, PART))
-        newest = rows.groupBy(*self.keys).agg(F.expr(f"max_by(struct({rest}), `{self.version}`) as _row"))
+        newest = rows.groupBy(*self.keys, F.isnull(PART)).agg(F.expr(f"max_by(struct({rest}), `{self.version}`) as _row"))
         return newest.select(*self.keys, "_row.*")
 
     def read(self, spark: SparkSession, batch: int | None = None) -> DataFrame:
@@ -153,7 +153,7 @@ class KeyedTable:
     def versions(self, wanted: DataFrame, before: int | None = None) -> DataFrame:
         """(keys, part, version) of those of the ``wanted`` rows that are stored; reads no other column."""
         spark = wanted.sparkSession
-        wanted = wanted.selectExpr(*self.keys, f"{self.part} as {PART}").distinct()
+        wanted = wanted.selectExpr(*self.keys, f"{self.part} as {PART}").where(f"{PART} is not null").distinct()
         segments = self.segments(spark, before=before)
         rows = self._narrowed(self._rows(spark, segments).select(*self.keys, PART, self.version), wanted, segments)
         found = rows.drop(PART).join(wanted, list(self.keys))
@@ -173,7 +173,7 @@ class KeyedTable:
         shared = [self._shared(n) for n in sorted({s["groups"] for s in segments if s.get("groups")})]
         names = by.select(PART).distinct().selectExpr(f"explode(array({', '.join([PART, *shared])})) as name")
         folders = [r[0] for r in names.distinct().limit(NAMED_PARTS + 1).collect()]
-        return rows.where(F.col(PART).isin(folders)) if len(folders) <= NAMED_PARTS else rows
+        return rows.where(F.col(PART).isin(folders) if len(folders) <= NAMED_PARTS else F.isnotnull(PART))
 
     # --- writing ----------------------------------------------------------------------------
 
