@@ -109,3 +109,20 @@ def test_long_batches_are_encoded_in_slices_of_8_mb():
     each = [tokens.encode_rows(p.column("text"), path) for p in parts]
     assert np.array_equal(np.concatenate([e[0] for e in each]), whole)
     assert np.array_equal(np.concatenate([e[1] for e in each]), counts)
+
+
+def test_rules_measure_long_batches_in_slices_of_2_mb():
+    from weirlog.llm import quality_rules
+    from weirlog.llm.queries import vocabulary
+
+    class Here:
+        def mapInArrow(self, run, schema):
+            return run
+
+    run = quality_rules.measure(Here(), vocabulary("piece_bpe_32k.model"), vocabulary("byte_bpe_50k.json"))
+    text = [f"text {i} " + "with words, lines\nand numbers 12 | 3 " * (300 + i) for i in range(400)]
+    batch = pa.record_batch({"doc_id": pa.array(range(400)), "lang": pa.array(["en"] * 400), "text": pa.array(text)})
+    parts = list(run([batch]))
+    assert len(parts) >= batch.column("text").nbytes // (2 << 20) >= 2
+    single = [r for i in (0, 199, 399) for r in run([batch.slice(i, 1)])]
+    assert pa.Table.from_batches(parts).take([0, 199, 399]).to_pylist() == pa.Table.from_batches(single).to_pylist()
