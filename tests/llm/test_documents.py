@@ -389,3 +389,34 @@ def test_digest_of_kept_bytes(spark, docs_of):
     out = repeats.remove_repeats(docs_of([(1, "a" * 60), (2, "b" + "a" * 60 + "c")])).orderBy("doc_id").collect()
     assert hashlib.sha256(bytes(out[1].kept)).hexdigest() == hashlib.sha256(b"bc").hexdigest()
     assert out[1].spans == [1, 61]
+
+
+def test_line_shingles_of_many_lines_at_once():
+    rng = random.Random(4)
+    rows = ["".join(rng.choice("abé🙂 x") for _ in range(rng.choice([0, 1, 3, 4, 5, 6, 30, 300]))) for _ in range(500)] + ["ab" * 40000]
+    for shingle in (1, 5, 7):
+        found = fuzzy_lines.elements([t.encode() for t in rows], shingle)
+        n, counts = fuzzy_lines.sketches([t.encode() for t in rows], shingle)
+        sets = [{t[i : i + shingle] for i in range(len(t) - shingle + 1)} or {t} for t in rows]
+        assert [len(f) for f in found] == [len(s) for s in sets] == n.tolist()
+        for i in range(0, 400, 2):
+            both = len(np.intersect1d(found[i], found[i + 1]))
+            assert both == len(sets[i] & sets[i + 1])
+            assert both <= np.minimum(np.frombuffer(counts[i], np.uint8), np.frombuffer(counts[i + 1], np.uint8)).sum()
+    long = "".join(rng.choice("abcdefghij") for _ in range(60000)).encode()
+    assert fuzzy_lines.sketches([b"short", long], 5)[1][1] == b""  # more than a byte holds
+
+
+def test_lines_without_a_near_one_send_no_text(spark):
+    """Only members that may link with another of their part go on; where nothing is counted all of like size do."""
+    rng = random.Random(6)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(120))
+    other = ["".join(rng.choice("abcdefgh ") for _ in range(120)) for _ in range(4)]
+    rows = {1: base, 2: base[:60] + "z" + base[61:], 3: other[0], 4: other[1], 5: other[2], 6: other[3], 7: base[:60]}
+    n, counts = fuzzy_lines.sketches([t.encode() for t in rows.values()], 5)
+    sets = [(i, int(k), b"" if i in (5, 6) else c) for i, k, c in zip(rows, n, counts)]
+    parts = [(9, i) for i in (1, 2, 3, 4, 7)] + [(8, 5), (8, 6), (8, 7), (7, 1)]
+    got = components.promising(
+        spark.createDataFrame(parts, "part bigint, id bigint"), spark.createDataFrame(sets, "id bigint, n bigint, sketch binary"), 80
+    )
+    assert sorted(map(tuple, got.collect())) == [(8, 5), (8, 6), (9, 1), (9, 2)]

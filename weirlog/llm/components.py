@@ -17,6 +17,8 @@ from weirlog.session import join_lookup, settle
 BLOCK = 128
 #: Members that every block of a large cluster is compared with first.
 HUBS = 8
+#: Counters of a set's sketch, and members whose sketches are compared in one task.
+COUNTERS, SKETCHES = 64, 8192
 
 
 def forest(edges: DataFrame) -> DataFrame:
@@ -85,7 +87,8 @@ def _followed(hooks: DataFrame) -> DataFrame:
 
 
 def links(
-    members: DataFrame, cluster: DataFrame, bins: int, least: int = 75, elements: Callable | None = None
+    members: DataFrame, cluster: DataFrame, bins: int, least: int = 75, elements: Callable | None = None,
+    sketches: DataFrame | None = None,
 ) -> DataFrame:
     """Spanning edges (a, b) of all links between members of the same cluster.
 
@@ -94,13 +97,24 @@ def links(
     is (id, root); a member may be in several. Small clusters are dealt whole to ``bins``. A large one
     is cut into blocks that are compared with the members of fewest elements of their own, its hubs; then
     members outside the largest group found are compared, block by block, with all. Pairs are never
-    rows.
+    rows. With ``sketches``, see ``promising``, only members that these leave a chance are looked up; ``members``
+    may then hold one several times.
     """
+
+    def linked(units: DataFrame) -> DataFrame:
+        if sketches is None:
+            return settle(compare(units.join(members, "id"), least, elements))
+        kept = promising(settle(units.selectExpr("xxhash64(unit, part) as part", "id")), sketches, least)
+        parts = max(2 * int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions")), kept.count() // (2 * BLOCK))
+        some = join_lookup(members, kept.select("id").distinct(), ["id"], "left_semi").dropDuplicates(["id"])
+        kept = kept.selectExpr(f"pmod(xxhash64(part), {parts}) as unit", "part", "id")
+        return settle(compare(kept.join(some, "id"), least, elements))
+
     cluster = settle(cluster.select("id", "root").distinct())
     sizes = cluster.groupBy("root").agg(F.count("*").alias("size")).where("size > 1")
     sized = join_lookup(cluster, sizes, ["root"])
     small = sized.where(f"size <= {BLOCK}").selectExpr(f"pmod(xxhash64(root), {bins}) as unit", "root as part", "id").distinct()
-    found = settle(compare(small.join(members, "id"), least, elements))
+    found = linked(small)
     large = settle(
         sized.where(f"size > {BLOCK}")
         .selectExpr("root", "id", f"cast(ceil(size / {BLOCK}) as bigint) as blocks")
@@ -108,12 +122,15 @@ def links(
     )
     if large.isEmpty():
         return found
-    ranked = large.join(members.selectExpr("id", "length(keys) / greatest(n, 1) as share"), "id").selectExpr(
+    shares = members.selectExpr("id", "length(keys) / greatest(n, 1) as share")
+    if sketches is not None:
+        shares = shares.dropDuplicates(["id"])
+    ranked = large.join(shares, "id").selectExpr(
         "root", "blocks", "id", "row_number() over (partition by root order by share desc, id) as place"
     )
     hubs = ranked.where(f"place <= {HUBS}").selectExpr("root", "id", "explode(sequence(0, blocks - 1)) as block")
     first = large.select("root", "id", "block").unionByName(hubs).selectExpr("xxhash64(root, block) as unit", "0L as part", "id").distinct()
-    near = settle(compare(first.join(members, "id"), least, elements))
+    near = linked(first)
     label = components(near).selectExpr("node as id", "root as label")
     labelled = settle(large.join(label, "id", "left").withColumn("label", F.coalesce("label", "id")))
     counts = labelled.groupBy("root", "label").agg(F.count("*").alias("c"))
@@ -124,7 +141,7 @@ def links(
     one = out.selectExpr("root", "part", "explode(sequence(0, blocks - 1)) as block", "id")
     other = join_lookup(labelled, parts, ["root"]).selectExpr("root", "explode(sequence(0, parts - 1)) as part", "block", "id")
     units = one.unionByName(other).selectExpr("xxhash64(root, part, block) as unit", "0L as part", "id").distinct()
-    far = settle(compare(units.join(members, "id"), least, elements))
+    far = linked(units)
     return functools.reduce(DataFrame.unionByName, [found, near, far])
 
 
@@ -135,6 +152,40 @@ def gathered(keys: DataFrame) -> DataFrame:
     return join_lookup(keys, lead, ["key"]).select("id", "root").distinct()
 
 
+def promising(parts: DataFrame, counts: DataFrame, least: int) -> DataFrame:
+    """The rows of ``parts`` (part, id), distinct ones of some hundred members a part, whose member may link with another of its part.
+
+    ``counts`` are (id, n, sketch): a set's size and, as bytes, how many of its elements fall in each of
+    ``COUNTERS`` classes, or nothing if a byte is too small for that. Two sets share at most the sum of the
+    smaller counts, so no link is lost.
+    """
+
+    def run(key, frame):
+        frame = frame.sort_by([("part", "ascending"), ("n", "ascending")])
+        part, n = (np.asarray(frame.column(c), np.int64) for c in ("part", "n"))
+        held = frame.column("sketch").to_pylist()
+        unknown = np.array([len(x) == 0 for x in held], bool)
+        count = np.frombuffer(b"".join([x or bytes(COUNTERS) for x in held]), np.uint8).reshape(-1, COUNTERS)
+        keep = np.zeros(len(part), bool)
+        a = np.arange(len(part))
+        for far in range(1, len(part)):
+            # sizes ascend: a set that is too small for one is too small for those behind it
+            a = a[a + far < len(part)]
+            a = a[(part[a] == part[a + far]) & (100 * n[a] >= least * n[a + far])]
+            if not len(a):
+                break
+            b = a + far
+            both = np.where(unknown[a] | unknown[b], n[a], np.minimum(count[a], count[b]).sum(axis=1, dtype=np.int32))
+            some = 100 * both >= least * (n[a] + n[b] - both)
+            keep[a[some]] = keep[b[some]] = True
+        texts.release()
+        return frame.select(["part", "id"]).filter(pa.array(keep))
+
+    bins = max(2 * int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts.count() // SKETCHES)
+    units = parts.withColumn("unit", F.expr(f"pmod(xxhash64(part), {bins})")).join(counts, "id")
+    return settle(units.groupBy("unit").applyInArrow(run, "part bigint, id bigint"))
+
+
 def compare(units: DataFrame, least: int, elements: Callable | None = None) -> DataFrame:
     """Spanning edges of the links between the sets (unit, part, id, n, keys) of each part of a unit.
 

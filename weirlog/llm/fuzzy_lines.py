@@ -33,6 +33,8 @@ _LOOK = np.argsort(np.random.Generator(np.random.PCG64(9)).random((BANDS * ROWS,
 LEAST = 80
 #: Characters hashed at a time.
 CHUNK = 1 << 20
+#: Bytes of lines whose shingles are compared whole, at a time: little enough to stay in a processor's cache.
+PART = 1 << 15
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -84,31 +86,79 @@ def _hashes(chars: np.ndarray, shingle: int) -> np.ndarray:
     return h ^ (h >> np.uint32(16))
 
 
+def _distinct_shingles(payloads: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, begins): the sorted distinct shingles of each line as 64-bit numbers, one line after another."""
+    words = [p.decode(errors="replace") for p in payloads]
+    size = np.array([len(w) for w in words], np.int64)
+    # each line has a place for its end, so that an empty one has a place, too
+    text = "\n".join(words) + "\n" + "\0" * shingle
+    chars = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    begin = np.cumsum(size + 1) - size - 1
+    n = len(chars) - shingle
+    key = np.zeros(n, np.uint64)
+    for j in range(shingle):
+        key ^= chars[j : j + n]
+        if j < shingle - 1:
+            key *= np.uint64(0x9E3779B97F4A7C15)
+    key = bk.mix(key)
+    # a shorter line is one number, which stands at its first place
+    for line in np.flatnonzero(size < shingle).tolist():
+        at, one = begin[line], np.array([size[line]], np.uint64)
+        for c in chars[at : at + size[line]]:
+            one = bk.mix(one ^ c)
+        key[at] = one[0]
+    count = np.maximum(size - shingle + 1, 1)
+    edge = np.zeros(n + 1, np.int8)
+    edge[begin] += 1
+    edge[begin + count] -= 1
+    key = key[np.cumsum(edge[:-1], dtype=np.int8).astype(bool)]
+    begin = np.cumsum(count) - count
+    for lo, hi in zip(begin.tolist(), (begin + count).tolist(), strict=True):
+        key[lo:hi].sort()
+    new = np.ones(len(key), bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    new[begin] = True
+    return key[new], np.append(0, np.cumsum(new))[np.append(begin, len(key))]
+
+
+def _chunks(payloads: list[bytes]):
+    """Runs of payloads of about ``PART`` bytes; a longer one is a run of its own."""
+    at = np.append(0, np.cumsum([len(p) for p in payloads]))
+    lo = 0
+    while lo < len(payloads):
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + PART, "right")) - 1)
+        yield payloads[lo:hi]
+        lo = hi
+
+
 def elements(payloads: list[bytes], shingle: int = SHINGLE) -> list[np.ndarray]:
     """Distinct shingles of each line as 64-bit numbers; a shorter line is one of its own."""
     out = []
-    for p in payloads:
-        chars = np.frombuffer(p.decode(errors="replace").encode("utf-32-le"), np.uint32).astype(np.uint64)
-        if len(chars) < shingle:
-            key = np.uint64(len(chars))
-            for c in chars:
-                key = bk.mix(np.array([key ^ c]))[0]
-            out.append(np.array([key], np.uint64))
-            continue
-        n = len(chars) - shingle + 1
-        key = np.zeros(n, np.uint64)
-        for j in range(shingle):
-            key = bk.mix(key ^ chars[j : j + n]) if j == shingle - 1 else (key ^ chars[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
-        out.append(np.unique(key))
+    for some in _chunks(payloads):
+        numbers, at = _distinct_shingles(some, shingle)
+        out += [numbers[lo:hi] for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
     return out
 
 
+def sketches(payloads: list[bytes], shingle: int = SHINGLE) -> tuple[np.ndarray, list[bytes]]:
+    """(number of distinct shingles, how many of them fall in each of ``cc.COUNTERS`` classes as bytes) of each
+    line; the second is empty where a byte does not hold a count."""
+    n, counts = [np.zeros(0, np.int64)], []
+    for some in _chunks(payloads):
+        numbers, at = _distinct_shingles(some, shingle)
+        size = np.diff(at)
+        cell = np.repeat(np.arange(len(some)) * cc.COUNTERS, size) + (numbers % np.uint64(cc.COUNTERS)).astype(np.int64)
+        held = np.bincount(cell, minlength=len(some) * cc.COUNTERS).reshape(len(some), cc.COUNTERS)
+        n.append(size)
+        counts += [c.tobytes() if fits else b"" for c, fits in zip(held.astype(np.uint8), (held < 256).all(axis=1).tolist(), strict=True)]
+    return np.concatenate(n), counts
+
+
 def band_keys(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     """Band keys (lines x BANDS) of trimmed, lower-cased lines."""
     n = len(column)
     raw, off = texts.bytes_of(column)
-    lead = (raw & 0xC0) != 0x80
-    at = np.concatenate([[0], np.cumsum(lead)])[off]
+    at = off - np.searchsorted(np.flatnonzero((raw & 0xC0) == 0x80), off)
     chars = np.frombuffer(raw.tobytes().decode(errors="replace").encode("utf-32-le"), np.uint32)
     empty = np.uint32(0xFFFFFFFF)
     sig = np.full((n + 1) << BIN_BITS, empty, np.uint32)
@@ -159,7 +209,7 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-CLASSES = "cls bigint, doc_id bigint, twin int, line int, text binary, bands binary"
+CLASSES = "cls bigint, doc_id bigint, twin int, line int, text binary, bands binary, n bigint, sketch binary"
 
 
 def _line_keys(part: pa.RecordBatch, shingle: int = SHINGLE):
@@ -173,8 +223,8 @@ def _line_keys(part: pa.RecordBatch, shingle: int = SHINGLE):
     return ids[rows], number.astype(np.int32), np.repeat(np.arange(n), BANDS), keys[codes].ravel()
 
 
-def _classes(got: dict):
-    """The lines of a bucket's documents that share keys, and each distinct one's text once."""
+def _classes(got: dict, shingle: int) -> pa.Table:
+    """The lines of a bucket's documents that share keys, and each distinct one's text and sketch once."""
     ids, raw, off = bk.received_documents(got.get("docs", []))
     who, line, key, _ = sk.replies(got.get("keys", []))
     raw = _LOWER[raw]
@@ -187,28 +237,36 @@ def _classes(got: dict):
     twin = np.arange(len(ids)) - np.searchsorted(ids, ids)
     data = raw.tobytes()
     seen: set[int] = set()
-    for s, e, r, l in zip(starts.tolist(), ends.tolist(), rows.tolist(), number.tolist(), strict=True):
-        k = told.get((int(ids[r]), l))
+    cls, at, text, bands = [], [], [], []
+    for i, (s, e, w, l) in enumerate(zip(starts.tolist(), ends.tolist(), ids[rows].tolist(), number.tolist(), strict=True)):
+        k = told.get((w, l))
         if k is None:
             continue
-        text = data[s:e]
-        cls = xxhash.xxh3_64_intdigest(text) - 2**63
-        first = cls not in seen
-        seen.add(cls)
-        yield (
-            cls, int(ids[r]), int(twin[r]), l, text if first else None, key[head[k] : stop[k]].tobytes() if first else None,
-        )
+        one = data[s:e]
+        c = xxhash.xxh3_64_intdigest(one) - 2**63
+        first = c not in seen
+        seen.add(c)
+        cls.append(c)
+        at.append(i)
+        text.append(one if first else None)
+        bands.append(key[head[k] : stop[k]].tobytes() if first else None)
+    n, sketch = sketches([x for x in text if x is not None], shingle)
+    place = np.cumsum([x is not None for x in text]) - 1
+    pick = pa.array(place, pa.int64(), mask=np.array([x is None for x in text], bool))
+    return pa.table({
+        "cls": pa.array(cls, pa.int64()), "doc_id": ids[rows[at]], "twin": twin[rows[at]].astype(np.int32), "line": number[at].astype(np.int32),
+        "text": pa.array(text, pa.binary()), "bands": pa.array(bands, pa.binary()),
+        "n": pa.array(n, pa.int64()).take(pick), "sketch": pa.array(sketch, pa.binary()).take(pick),
+    })
 
 
 def repeated_lines(docs: DataFrame, buckets: int, least: int = LEAST, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, twin, line) of every line that goes; ``twin`` numbers rows of one id by their texts."""
 
     def gather(key, frame):
-        cols = list(zip(*_classes(bk.received(frame)), strict=True)) or [[]] * 6
+        out = _classes(bk.received(frame), shingle)
         texts.release()
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        names = ("cls", "doc_id", "twin", "line", "text", "bands")
-        return pa.table({c: pa.array(v, k) for c, v, k in zip(names, cols, kinds, strict=True)})
+        return out
 
     told = sk.shared_keys(docs, partial(_line_keys, shingle=shingle), buckets)
     held = stored(bk.sent_documents(docs, buckets).unionByName(told).groupBy("bucket").applyInArrow(gather, CLASSES))
@@ -225,12 +283,12 @@ def repeated_lines(docs: DataFrame, buckets: int, least: int = LEAST, shingle: i
 
     some = held.where("text is not null")
     keys = some.select("cls", "bands").mapInArrow(bands, "id bigint, key bigint")
-    met = settle(cc.gathered(keys))
-    members = stored(
-        some.selectExpr("cls as id", "0L as n", "text as keys").join(met.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    )
-    bins = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), members.count() // (2 * cc.BLOCK))
-    found = cc.components(cc.links(members, met, bins, least, partial(elements, shingle=shingle)))
+    # only lines that the counts leave a chance send their texts
+    counts = stored(some.selectExpr("cls as id", "n", "sketch").dropDuplicates(["id"]))
+    members = some.selectExpr("cls as id", "0L as n", "text as keys")
+    bins = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = cc.gathered(keys)
+    found = cc.components(cc.links(members, met, bins, least, partial(elements, shingle=shingle), counts))
     place = held.select("cls", "doc_id", "twin", "line").join(found.withColumnRenamed("node", "cls"), "cls", "left")
     place = settle(place.selectExpr("coalesce(root, cls) as root", "doc_id", "twin", "line"))
     first = place.groupBy("root").agg(F.min(F.struct("doc_id", "twin", "line")).alias("first"), F.count("*").alias("c"))
