@@ -126,3 +126,25 @@ def test_rules_measure_long_batches_in_slices_of_2_mb():
     assert len(parts) >= batch.column("text").nbytes // (2 << 20) >= 2
     single = [r for i in (0, 199, 399) for r in run([batch.slice(i, 1)])]
     assert pa.Table.from_batches(parts).take([0, 199, 399]).to_pylist() == pa.Table.from_batches(single).to_pylist()
+
+
+def test_rules_look_a_unit_up_once_for_both_vocabularies(vocab):
+    from weirlog.llm import quality_rules
+
+    piece, byte = vocab("piece_bpe_32k.model"), vocab("byte_bpe_50k.json")
+    units = [" the", "\n中文", " a1", "x" * 60, "é🙂", " the"]
+    cache = quality_rules._both_cache(piece, byte)
+    for _ in range(2):
+        at, ids, lengths = quality_rules._parted(cache.values(units))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == tokens.tokenizer(piece).encode(units)
+        tool = Tokenizer.from_file(byte)
+        assert lengths.tolist() == [len(tool.encode(u, add_special_tokens=False).ids) for u in units]
+    at, ids, lengths = quality_rules._parted([])
+    assert at.tolist() == [0] and not len(ids) and not len(lengths)
+
+
+def test_spans_with_empty_ones():
+    raw = np.frombuffer(b"abcdef", np.uint8)
+    for starts, ends in (([0, 3], [2, 5]), ([0, 3, 3], [2, 3, 5])):
+        got = texts.strings(raw, np.array(starts), np.array(ends)).to_pylist()
+        assert got == [b"abcdef"[s:e].decode() for s, e in zip(starts, ends)]

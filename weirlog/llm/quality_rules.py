@@ -58,8 +58,9 @@ def _repeated(codes: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     found[1:] |= same
     found[:-1] |= same
     edge = np.zeros(len(codes) + 1, np.int32)
-    np.add.at(edge, order[found], 1)
-    np.add.at(edge, order[found] + WINDOW, -1)
+    # each place is there once
+    edge[order[found]] += 1
+    edge[order[found] + WINDOW] -= 1
     return texts.sums_by_row(rows[np.cumsum(edge[:-1]) > 0], None, n)
 
 
@@ -97,8 +98,8 @@ def measure(docs: DataFrame, piece_path: str, byte_path: str) -> DataFrame:
         tool = tokens.tokenizer(piece_path)
         is_byte = np.array([tool.is_byte(i) for i in range(len(tool))])
         space, symbol = texts.table_of(texts.SPACE), texts.table_of(SYMBOLS)
-        lengths = _lengths_cache(byte_path)
-        tokens.only(tokens.ids_cache(piece_path), lengths)
+        cache = _both_cache(piece_path, byte_path)
+        tokens.only(cache)
         for batch in batches:
             for part in texts.slices(batch, "text", SLICE_BYTES):
                 n = part.num_rows
@@ -112,14 +113,11 @@ def measure(docs: DataFrame, piece_path: str, byte_path: str) -> DataFrame:
                 chars = (inked[off[1:]] - inked[off[:-1]]).astype(np.int64)
 
                 unit, unit_row, values, _, _ = tokens.unit_codes(part.column("text"))
-                names = values.to_pylist()
-                each = tokens.ids_cache(piece_path).values(names)
-                at = np.zeros(len(each) + 1, np.int64)
-                np.cumsum([len(x) // 4 for x in each], out=at[1:])
-                ids = texts.gather(unit, at, np.frombuffer(b"".join(each), "<u4"))
+                at, ids, lengths = _parted(cache.values(values.to_pylist()))
+                ids = texts.gather(unit, at, ids)
                 id_row = np.repeat(unit_row, (at[1:] - at[:-1])[unit])
                 pieces = texts.sums_by_row(id_row, None, n)
-                byte_tokens = texts.sums_by_row(unit_row, np.asarray(lengths.values(names), np.int64)[unit], n)
+                byte_tokens = texts.sums_by_row(unit_row, lengths[unit], n)
                 entropy = _entropy(id_row, ids, n, len(tool))
                 some = np.maximum(pieces, 1)
                 yield pa.record_batch(
@@ -231,10 +229,26 @@ def quality_rules(
     return verdicts(settle(measure(docs, piece_path, byte_path)))
 
 
-_LENGTHS: dict[str, tokens.Cache] = {}
+_BOTH: dict[tuple[str, str], tokens.Cache] = {}
 
 
-def _lengths_cache(path: str) -> tokens.Cache:
-    if path not in _LENGTHS:
-        _LENGTHS[path] = tokens.Cache(lambda many: [len(x) // 4 for x in tokens.encode_units(path, many)])
-    return _LENGTHS[path]
+def _both_cache(piece_path: str, byte_path: str) -> tokens.Cache:
+    """Piece ids of units and, behind them, the number of byte tokens, as little-endian uint32 bytes: each unit is
+    looked up and kept once for both vocabularies."""
+
+    def encode(many: list[str]) -> list[bytes]:
+        pieces, other = tokens.encode_units(piece_path, many), tokens.encode_units(byte_path, many)
+        return [p + (len(b) // 4).to_bytes(4, "little") for p, b in zip(pieces, other, strict=True)]
+
+    if (piece_path, byte_path) not in _BOTH:
+        _BOTH[piece_path, byte_path] = tokens.Cache(encode)
+    return _BOTH[piece_path, byte_path]
+
+
+def _parted(each: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets of the units' piece ids, these ids, numbers of byte tokens) of values of ``_both_cache``."""
+    flat = np.frombuffer(b"".join(each), "<u4")
+    end = np.cumsum(np.fromiter(map(len, each), np.int64, len(each))) // 4
+    own = np.ones(len(flat), bool)
+    own[end - 1] = False
+    return np.append(0, end - np.arange(1, len(each) + 1)), flat[own], flat[end - 1].astype(np.int64)
