@@ -1,8 +1,10 @@
 """Dedup, decontamination and quality operators against brute force."""
 
 import hashlib
+import os
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -10,6 +12,7 @@ import pyarrow as pa
 import pytest
 
 from tests.llm.conftest import ODD
+from weirlog import session
 from weirlog.llm import buckets as bk
 from weirlog.llm import components, fuzzy_lines, jaccard, phrase_index, quality_rules, repeats, shared_keys, site_quality
 
@@ -420,3 +423,42 @@ def test_lines_without_a_near_one_send_no_text(spark):
         spark.createDataFrame(parts, "part bigint, id bigint"), spark.createDataFrame(sets, "id bigint, n bigint, sketch binary"), 80
     )
     assert sorted(map(tuple, got.collect())) == [(8, 5), (8, 6), (9, 1), (9, 2)]
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {n for i in range(files.size()) if (n := files.apply(i).getName()).startswith("shuffle_")}
+
+
+def test_what_is_stored_leaves_no_shuffle_files(spark, place):
+    """They would stay until the driver collects its garbage."""
+    counted = spark.range(10000).selectExpr("id % 100 as k").groupBy("k").count()
+    before = _shuffle_files(spark)
+    kept = session.settle(counted), session.store(counted, place("counted"))
+    for _ in range(50):  # they are removed in the background
+        if not (left := _shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert [df.selectExpr("count(*)", "sum(count)").first()[:] for df in kept] == [(100, 10000)] * 2
+
+
+def test_line_dedup_leaves_no_tables(spark, docs_of):
+    rows = [(i, f"a line of its own, number {i * i}\nthe same line of words as elsewhere, more or less {i % 3}") for i in range(40)]
+    there = lambda: {n for n in os.listdir(session.shared_dir(spark)) if n.startswith(("weirlog-lines", "weirlog-links"))}
+    before = there()
+    got = {r.doc_id: r.n_removed for r in fuzzy_lines.dedup_lines(docs_of(rows), shingle=5).collect()}
+    assert sum(got.values()) > 0 and got[0] == 0
+    assert there() == before
+
+
+def test_links_in_clusters_of_all_sizes(spark):
+    """Small clusters and blocks of large ones are compared at once; none of their links is lost."""
+    rng = np.random.default_rng(3)
+    base = [rng.integers(0, 2**62, 20, dtype=np.uint64) for _ in range(60)]
+    sets = {i: np.sort(np.append(base[i % 60], np.uint64(i))) for i in range(1, 361)}
+    members = spark.createDataFrame([(i, len(x), x.tobytes()) for i, x in sets.items()], "id bigint, n bigint, keys binary")
+    clusters = [(i, 1000) for i in sets if i <= 300] + [(i, 2000 + i % 60) for i in sets if i > 300 or i <= 60]
+    found = components.links(members, spark.createDataFrame(clusters, "id bigint, root bigint"), 4, 75)
+    roots = {r.node: r.root for r in components.components(found).collect()}
+    assert roots == {i: (i - 1) % 60 + 1 for i in sets}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 import numpy as np
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirlog.llm import texts
-from weirlog.session import join_lookup, settle
+from weirlog.session import join_lookup, passing, settle, store
 
 #: Members of a cluster that are compared in one task; a larger cluster is cut into blocks.
 BLOCK = 128
@@ -101,27 +100,33 @@ def links(
     may then hold one several times.
     """
 
-    def linked(units: DataFrame) -> DataFrame:
+    with passing(members.sparkSession, "links") as folder:
+        return _links(members, cluster, bins, least, elements, sketches, folder)
+
+
+def _links(members, cluster, bins, least, elements, sketches, folder) -> DataFrame:
+    def linked(units: DataFrame, name: str) -> DataFrame:
         if sketches is None:
             return settle(compare(units.join(members, "id"), least, elements))
-        kept = promising(settle(units.selectExpr("xxhash64(unit, part) as part", "id")), sketches, least)
-        parts = max(2 * int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions")), kept.count() // (2 * BLOCK))
+        parts = store(units.selectExpr("xxhash64(unit, part) as part", "id"), f"{folder}/{name}")
+        kept = store(promising(parts, sketches, least), f"{folder}/{name}-kept")
+        count = max(2 * int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions")), kept.count() // (2 * BLOCK))
         some = join_lookup(members, kept.select("id").distinct(), ["id"], "left_semi").dropDuplicates(["id"])
-        kept = kept.selectExpr(f"pmod(xxhash64(part), {parts}) as unit", "part", "id")
+        kept = kept.selectExpr(f"pmod(xxhash64(part), {count}) as unit", "part", "id")
         return settle(compare(kept.join(some, "id"), least, elements))
 
-    cluster = settle(cluster.select("id", "root").distinct())
+    cluster = store(cluster.select("id", "root").distinct(), f"{folder}/cluster")
     sizes = cluster.groupBy("root").agg(F.count("*").alias("size")).where("size > 1")
     sized = join_lookup(cluster, sizes, ["root"])
-    small = sized.where(f"size <= {BLOCK}").selectExpr(f"pmod(xxhash64(root), {bins}) as unit", "root as part", "id").distinct()
-    found = linked(small)
-    large = settle(
+    small = sized.where(f"size <= {BLOCK}").selectExpr(f"pmod(xxhash64(root), {bins}) as unit", "root as part", "id")
+    large = store(
         sized.where(f"size > {BLOCK}")
         .selectExpr("root", "id", f"cast(ceil(size / {BLOCK}) as bigint) as blocks")
-        .selectExpr("*", "pmod(xxhash64(id), blocks) as block")
+        .selectExpr("*", "pmod(xxhash64(id), blocks) as block"),
+        f"{folder}/large",
     )
     if large.isEmpty():
-        return found
+        return linked(small, "near")
     shares = members.selectExpr("id", "length(keys) / greatest(n, 1) as share")
     if sketches is not None:
         shares = shares.dropDuplicates(["id"])
@@ -130,9 +135,9 @@ def links(
     )
     hubs = ranked.where(f"place <= {HUBS}").selectExpr("root", "id", "explode(sequence(0, blocks - 1)) as block")
     first = large.select("root", "id", "block").unionByName(hubs).selectExpr("xxhash64(root, block) as unit", "0L as part", "id").distinct()
-    near = linked(first)
+    near = linked(small.unionByName(first), "near")
     label = components(near).selectExpr("node as id", "root as label")
-    labelled = settle(large.join(label, "id", "left").withColumn("label", F.coalesce("label", "id")))
+    labelled = store(large.join(label, "id", "left").withColumn("label", F.coalesce("label", "id")), f"{folder}/labelled")
     counts = labelled.groupBy("root", "label").agg(F.count("*").alias("c"))
     main = counts.groupBy("root").agg(F.expr("max_by(label, struct(c, label))").alias("main"))
     out = join_lookup(labelled, main, ["root"]).where("label <> main").select("root", "blocks", "id")
@@ -141,8 +146,7 @@ def links(
     one = out.selectExpr("root", "part", "explode(sequence(0, blocks - 1)) as block", "id")
     other = join_lookup(labelled, parts, ["root"]).selectExpr("root", "explode(sequence(0, parts - 1)) as part", "block", "id")
     units = one.unionByName(other).selectExpr("xxhash64(root, part, block) as unit", "0L as part", "id").distinct()
-    far = linked(units)
-    return functools.reduce(DataFrame.unionByName, [found, near, far])
+    return near.unionByName(linked(units, "far"))
 
 
 def gathered(keys: DataFrame) -> DataFrame:
@@ -183,7 +187,7 @@ def promising(parts: DataFrame, counts: DataFrame, least: int) -> DataFrame:
 
     bins = max(2 * int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts.count() // SKETCHES)
     units = parts.withColumn("unit", F.expr(f"pmod(xxhash64(part), {bins})")).join(counts, "id")
-    return settle(units.groupBy("unit").applyInArrow(run, "part bigint, id bigint"))
+    return units.groupBy("unit").applyInArrow(run, "part bigint, id bigint")
 
 
 def compare(units: DataFrame, least: int, elements: Callable | None = None) -> DataFrame:

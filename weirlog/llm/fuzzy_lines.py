@@ -22,7 +22,7 @@ from weirlog.llm import buckets as bk
 from weirlog.llm import components as cc
 from weirlog.llm import shared_keys as sk
 from weirlog.llm import texts
-from weirlog.session import join_lookup, scratch, settle
+from weirlog.session import join_lookup, passing, settle, store
 
 #: Characters of a shingle, unless told otherwise; the queries and the pipeline take five.
 SHINGLE = 7
@@ -202,13 +202,6 @@ def band_keys(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
         return bk.mix(key ^ (np.arange(BANDS, dtype=np.uint64) << np.uint64(40)))
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into a compressed table in the shared folder."""
-    path = scratch(df.sparkSession, "lines")
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 CLASSES = "cls bigint, doc_id bigint, twin int, line int, text binary, bands binary, n bigint, sketch binary"
 
 
@@ -268,9 +261,6 @@ def repeated_lines(docs: DataFrame, buckets: int, least: int = LEAST, shingle: i
         texts.release()
         return out
 
-    told = sk.shared_keys(docs, partial(_line_keys, shingle=shingle), buckets)
-    held = stored(bk.sent_documents(docs, buckets).unionByName(told).groupBy("bucket").applyInArrow(gather, CLASSES))
-
     def bands(batches):
         for batch in batches:
             keys = [np.frombuffer(k, np.int64) for k in batch.column("bands").to_pylist()]
@@ -281,16 +271,21 @@ def repeated_lines(docs: DataFrame, buckets: int, least: int = LEAST, shingle: i
                 }
             )
 
-    some = held.where("text is not null")
-    keys = some.select("cls", "bands").mapInArrow(bands, "id bigint, key bigint")
-    # only lines that the counts leave a chance send their texts
-    counts = stored(some.selectExpr("cls as id", "n", "sketch").dropDuplicates(["id"]))
-    members = some.selectExpr("cls as id", "0L as n", "text as keys")
-    bins = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = cc.gathered(keys)
-    found = cc.components(cc.links(members, met, bins, least, partial(elements, shingle=shingle), counts))
-    place = held.select("cls", "doc_id", "twin", "line").join(found.withColumnRenamed("node", "cls"), "cls", "left")
-    place = settle(place.selectExpr("coalesce(root, cls) as root", "doc_id", "twin", "line"))
+    with passing(docs.sparkSession, "lines") as folder:
+        told = sk.shared_keys(docs, partial(_line_keys, shingle=shingle), buckets)
+        held = bk.sent_documents(docs, buckets).unionByName(told).groupBy("bucket").applyInArrow(gather, CLASSES)
+        held = store(held, f"{folder}/held", compression="zstd")
+        some = held.where("text is not null")
+        keys = some.select("cls", "bands").mapInArrow(bands, "id bigint, key bigint")
+        # only lines that the counts leave a chance send their texts
+        counts = some.selectExpr("cls as id", "n", "sketch").dropDuplicates(["id"])
+        counts = store(counts, f"{folder}/counts", compression="zstd")
+        members = some.selectExpr("cls as id", "0L as n", "text as keys")
+        bins = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        met = cc.gathered(keys)
+        found = cc.components(cc.links(members, met, bins, least, partial(elements, shingle=shingle), counts))
+        place = held.select("cls", "doc_id", "twin", "line").join(found.withColumnRenamed("node", "cls"), "cls", "left")
+        place = settle(place.selectExpr("coalesce(root, cls) as root", "doc_id", "twin", "line"))
     first = place.groupBy("root").agg(F.min(F.struct("doc_id", "twin", "line")).alias("first"), F.count("*").alias("c"))
     return (
         join_lookup(place, first.where("c > 1"), ["root"])
