@@ -5,10 +5,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from tests.llm.conftest import ODD
-from weirlog.llm import collocations
+from weirlog.llm import buckets, collocations
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -94,3 +96,31 @@ def test_intervals_hold_what_is_counted():
         index.grow(head, tail)
         assert (index.hi[1:] - index.lo[1:] == count).all() and (index.back_to[1:] - index.back[1:] == count).all()
         phrases = {i + 1: phrases[h] + phrases[t][-1:] for i, (h, t) in enumerate(zip(head.tolist(), tail.tolist()))}
+
+
+def test_shards_send_packed_counts():
+    """A shard has a row per bucket, not one per phrase, and is told packed what is frequent across shards."""
+    rng = np.random.default_rng(6)
+    sent, want, owners = [], Counter(), {}
+    for shard in (3, 4, 1 << 33):
+        pairs = np.unique(rng.integers(1, 40, (600, 2)) << 33, axis=0)
+        count = rng.integers(1, 9, len(pairs))
+        sent.append(collocations._found(shard, pairs[:, 0], pairs[:, 1], count, 5, index=b"i", words=b"w"))
+        assert sent[-1].num_rows <= 6
+        for (h, t), n in zip(pairs.tolist(), count.tolist(), strict=True):
+            want[h, t] += n
+            owners.setdefault((h, t), set()).add(shard)
+    rows = pa.concat_tables(sent)
+    keys, told = {}, {}
+    for bucket in range(5):
+        out = collocations._summed(10)((pa.scalar(bucket, pa.int32()),), rows.filter(pc.equal(rows.column("bucket"), bucket)))
+        for r in out.to_pylist():
+            if r["gid"] is not None:
+                assert r["gid"] > 0 and r["gid"] not in keys
+                keys[r["gid"]] = r["head"], r["tail"], r["f"]
+            else:
+                b = buckets.unpack(r["blob"])
+                for g, h, t in zip(np.cumsum(b["gid"]).tolist(), b["head"].tolist(), b["tail"].tolist(), strict=True):
+                    told.setdefault((g, h, t), set()).add(r["shard"])
+    assert sorted(keys.values()) == sorted((h, t, n) for (h, t), n in want.items() if n >= 10)
+    assert told == {(g, h, t): owners[h, t] for g, (h, t, _) in keys.items()}

@@ -21,8 +21,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weirlog.llm import buckets as bk
 from weirlog.llm import texts
-from weirlog.session import join_lookup, scratch, settle
+from weirlog.session import join_lookup, passing, settle, store
 
 #: Bytes of text in a shard. A longer text is cut between pieces; a longer piece is a shard of its own.
 SHARD_BYTES = 12 << 20
@@ -240,21 +241,24 @@ def _in_pairs(ids: np.ndarray, first: np.ndarray, second: np.ndarray, words: int
 
 # --- rounds ---------------------------------------------------------------------------------
 
-_FOUND = pa.schema([("shard", pa.int64()), ("head", pa.int64()), ("tail", pa.int64()), ("n", pa.int64()), ("index", pa.binary()), ("words", pa.binary())])
-FOUND = "shard bigint, head bigint, tail bigint, n bigint, index binary, words binary"
+_FOUND = pa.schema([("shard", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary()), ("index", pa.binary()), ("words", pa.binary())])
+FOUND = "shard bigint, bucket int, blob binary, index binary, words binary"
 
 
-def _found(shard: int, head: np.ndarray, tail: np.ndarray, count: np.ndarray, **blobs: bytes) -> pa.Table:
-    """Rows in batches of a megabyte or so, which Spark holds one at a time."""
-    n = len(head)
-    empty = pa.nulls(n, pa.binary())
-    out = pa.table([np.full(n, shard), head, tail, count, empty, empty], schema=_FOUND).to_batches(max_chunksize=32768)
+def _found(shard: int, head: np.ndarray, tail: np.ndarray, count: np.ndarray, buckets: int, **blobs: bytes) -> pa.Table:
+    """The phrases of a shard and their counts, packed for the buckets that add them up."""
+    to = (bk.mix(head.astype(np.uint64) ^ bk.mix(tail)) % np.uint64(buckets)).astype(np.int32)
+    order = np.lexsort((tail, head))
+    rows = [
+        (shard, bucket, bk.pack(head=bk.steps(h), tail=t, n=n.astype(np.int32)), None, None)
+        for bucket, h, t, n in bk.split(to[order], head[order], tail[order], count[order])
+    ]
     if blobs:
-        out += pa.table([[shard], [None], [None], [None], [blobs["index"]], [blobs["words"]]], schema=_FOUND).to_batches()
-    return pa.Table.from_batches(out, _FOUND)
+        rows.append((shard, None, None, blobs["index"], blobs["words"]))
+    return pa.table([list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 5, schema=_FOUND)
 
 
-def _first_round():
+def _first_round(buckets: int):
     """Index a shard by its frequent words, and count pairs of them."""
 
     def run(key, frame):
@@ -272,44 +276,82 @@ def _first_round():
         ids = _compact(ids)
         head, tail, count = Index.of(ids, len(old), 2).longer(True)
         gid = np.concatenate([[0], gid])
-        out = _found(shard, gid[head], gid[tail], count, index=_packed(ids), words=gid[1:].tobytes())
+        out = _found(shard, gid[head], gid[tail], count, buckets, index=_packed(ids), words=gid[1:].tobytes())
         texts.release()
         return out
 
     return run
 
 
-def _next_round(length: int, depth: int):
+def _next_round(length: int, depth: int, buckets: int):
     """Count the phrases of ``length`` + 1 words of a shard, told its frequent ones up to ``length``. The pairs
     come with the ids, of which those in frequent pairs are indexed once more, for all longer phrases."""
 
     def run(key, frame):
         stored = frame.filter(frame.column("index").is_valid())
         told = frame.filter(frame.column("index").is_null())
-        size, gid, head, tail = (np.asarray(told.column(c), np.int64) for c in ("length", "gid", "head", "tail"))
+        size = np.asarray(told.column("length"), np.int64)
+        blobs = [bk.unpack(x) for x in told.column("blob").to_pylist()]
         known = np.frombuffer(stored.column("words")[0].as_py(), np.int64)
         blob, more = stored.column("index")[0].as_py(), {}
         if length == 2:
-            first, second = (np.searchsorted(known, x) + 1 for x in (head, tail))
+            first, second = (np.searchsorted(known, np.concatenate([b[c] for b in blobs])) + 1 for c in ("head", "tail"))
             index = Index.of(_in_pairs(_unpacked(blob, 1)[0], first, second, len(known)), len(known), depth)
             more = {"index": index.packed(), "words": known.tobytes()}
         else:
             index = Index.unpacked(blob, len(known))
         for n in range(2, length + 1):
-            some = size == n
-            order = np.argsort(gid[some])
-            parts = [np.searchsorted(known, x[some][order]) + 1 for x in (head, tail)]
-            index.grow(*parts)
-            known = gid[some][order]
+            some = [blobs[i] for i in np.flatnonzero(size == n)]
+            gid = np.concatenate([np.cumsum(b["gid"]) for b in some])
+            head, tail = (np.concatenate([b[c] for b in some]) for c in ("head", "tail"))
+            order = np.argsort(gid)
+            index.grow(*[np.searchsorted(known, x[order]) + 1 for x in (head, tail)])
+            known = gid[order]
         head, tail, count = index.longer(length % 2 == 1)
         known = np.concatenate([[0], known])
-        out = _found(key[0].as_py(), known[head], known[tail], count, **more)
+        out = _found(key[0].as_py(), known[head], known[tail], count, buckets, **more)
         texts.release()
         return out
 
     return run
 
 
+_SUMMED = pa.schema([(c, pa.int64()) for c in ("gid", "head", "tail", "f", "shard")] + [("blob", pa.binary())])
+SUMMED = "gid bigint, head bigint, tail bigint, f bigint, shard bigint, blob binary"
+
+
+def _summed(least: int):
+    """Add up the counts of a bucket's phrases. The frequent ones are rows (gid, head, tail, f), and each shard
+    is told, packed, which of them it has."""
+
+    def run(key, frame):
+        blobs = [bk.unpack(x) for x in frame.column("blob").to_pylist()]
+        shard = np.repeat(np.asarray(frame.column("shard"), np.int64), [len(b["n"]) for b in blobs])
+        head = np.concatenate([np.cumsum(b["head"]) for b in blobs])
+        tail, n = (np.concatenate([b[c] for b in blobs]) for c in ("tail", "n"))
+        del blobs
+        order = np.lexsort((tail, head))
+        shard, head, tail, n = shard[order], head[order], tail[order], n[order].astype(np.int64)
+        at = np.flatnonzero(np.r_[True, (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])])
+        f = np.add.reduceat(n, at)
+        often = f >= least
+        gid = (key[0].as_py() << 32) + np.cumsum(often)
+        keep = np.repeat(often, np.diff(np.append(at, len(n))))
+        owned = np.repeat(gid, np.diff(np.append(at, len(n))))[keep]
+        at, keys = at[often], int(often.sum())
+        rows = [
+            (to, bk.pack(gid=bk.steps(g), head=h, tail=t))
+            for to, g, h, t in bk.split(shard[keep], owned, head[keep], tail[keep])
+        ]
+        told, blob = [list(c) for c in zip(*rows, strict=True)] if rows else [[], []]
+        out = [pa.table([gid[often], head[at], tail[at], f[often], pa.nulls(keys, pa.int64()), pa.nulls(keys, pa.binary())], schema=_SUMMED)]
+        out.append(pa.table([*[pa.nulls(len(told), pa.int64())] * 4, told, blob], schema=_SUMMED))
+        texts.release()
+        return pa.concat_tables(out)
+
+    return run
+
+
 def _frequent(rows: DataFrame, keys: str, least: int) -> DataFrame:
     """Rows of shards whose keys are frequent across all shards, with the sum ``f`` and a number ``gid`` for the
     keys. The rows are stored, so that their numbers stay; a key has a row per shard at most."""
@@ -322,41 +364,41 @@ def _frequent(rows: DataFrame, keys: str, least: int) -> DataFrame:
 def frequent_phrases(docs: DataFrame, *, least: int, longest: int, shard_bytes: int = SHARD_BYTES) -> list[DataFrame]:
     """Frequent phrases by length: (gid, lang, word, f, n) of words, then (gid, head, tail, f) of two, three, ... of
     them; head and tail are the gids of a phrase without its last and first word."""
-    stored = _stored(shards(docs, shard_bytes), "shards")
+    with passing(docs.sparkSession, "phrases") as folder:
+        return _levels(docs, least, longest, shard_bytes, folder)
+
+
+def _levels(docs: DataFrame, least: int, longest: int, shard_bytes: int, folder: str) -> list[DataFrame]:
+    stored = store(shards(docs, shard_bytes), f"{folder}/shards")
     local = stored.where("word is not null").select("shard", "lang", "word", "id", "n")
     totals = local.groupBy("lang").agg(F.sum("n").alias("n"))
-    told = _stored(_frequent(local, "lang, word", least).select("shard", "id", "gid", "lang", "word", "f"), "told")
+    told = store(_frequent(local, "lang, word", least).select("shard", "id", "gid", "lang", "word", "f"), f"{folder}/told")
     words = told.groupBy("gid").agg(*[F.first(c).alias(c) for c in ("lang", "word", "f")])
     levels = [settle(join_lookup(words, totals, ["lang"]))]
     # shards without a frequent word have nothing to say
     live = told.select("shard").distinct()
     blobs = stored.where("ids is not null").select("shard", "ids").join(live, "shard", "left_semi")
+    buckets = 2 * max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), live.count())
     rows = told.select("shard", "id", "gid").unionByName(blobs, allowMissingColumns=True)
-    found = _stored(rows.groupBy("shard").applyInArrow(_first_round(), FOUND), "phrases")
+    found = store(rows.groupBy("shard").applyInArrow(_first_round(buckets), FOUND), f"{folder}/found-2")
     known = indexes = None
     for length in range(2, longest + 1):
         if length < 4:
             indexes = found.where("index is not null").select("shard", "index", "words")
-        found = found.where("index is null").select("shard", "head", "tail", "n")
-        mine = _stored(_frequent(found, "head, tail", least).selectExpr("shard", f"{length} as length", "gid", "head", "tail", "f"), "known")
-        levels.append(settle(mine.select("gid", "head", "tail", "f").distinct()))
+        counted = found.where("blob is not null").select("bucket", "shard", "blob")
+        summed = store(counted.groupBy("bucket").applyInArrow(_summed(least), SUMMED), f"{folder}/summed-{length}")
+        levels.append(settle(summed.where("gid is not null").select("gid", "head", "tail", "f")))
         if length == longest:
             break
+        mine = summed.where("blob is not null").selectExpr("shard", f"{length} as length", "blob")
         known = mine if known is None else known.unionByName(mine)
         # shards where no phrase of this length is frequent have none that is longer
         live = mine.select("shard").distinct()
-        rows = known.drop("f").unionByName(indexes, allowMissingColumns=True).join(live, "shard", "left_semi")
-        found = _stored(rows.groupBy("shard").applyInArrow(_next_round(length, longest), FOUND), "phrases")
+        rows = known.unionByName(indexes, allowMissingColumns=True).join(live, "shard", "left_semi")
+        found = store(rows.groupBy("shard").applyInArrow(_next_round(length, longest, buckets), FOUND), f"{folder}/found-{length + 1}")
     return levels
 
 
-def _stored(rows: DataFrame, name: str) -> DataFrame:
-    """Rows written to the shared folder, compressed, and read again."""
-    at = scratch(rows.sparkSession, name)
-    rows.write.parquet(at)
-    return rows.sparkSession.read.schema(rows.schema).parquet(at)
-
-
 # --- scores ---------------------------------------------------------------------------------
 
 
