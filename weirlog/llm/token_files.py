@@ -87,7 +87,7 @@ def write_tokens(
         .option("orc.create.index", "true")
         .option("orc.row.index.stride", "1000")
         .option("orc.stripe.size", str(STRIPE_BYTES))
-        .option("orc.compress", "ZLIB")
+        .option("orc.compress", "ZSTD")
         .save(out)
     )
 
