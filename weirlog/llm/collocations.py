@@ -369,10 +369,10 @@ def frequent_phrases(docs: DataFrame, *, least: int, longest: int, shard_bytes:
 
 
 def _levels(docs: DataFrame, least: int, longest: int, shard_bytes: int, folder: str) -> list[DataFrame]:
-    stored = store(shards(docs, shard_bytes), f"{folder}/shards")
+    stored = store(shards(docs, shard_bytes), f"{folder}/shards", compression="zstd")
     local = stored.where("word is not null").select("shard", "lang", "word", "id", "n")
     totals = local.groupBy("lang").agg(F.sum("n").alias("n"))
-    told = store(_frequent(local, "lang, word", least).select("shard", "id", "gid", "lang", "word", "f"), f"{folder}/told")
+    told = store(_frequent(local, "lang, word", least).select("shard", "id", "gid", "lang", "word", "f"), f"{folder}/told", compression="zstd")
     words = told.groupBy("gid").agg(*[F.first(c).alias(c) for c in ("lang", "word", "f")])
     levels = [settle(join_lookup(words, totals, ["lang"]))]
     # shards without a frequent word have nothing to say
