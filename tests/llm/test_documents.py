@@ -299,6 +299,12 @@ def test_proximity(spark, docs_of):
     assert phrase_index.decontaminate(docs_of([]), marks).count() == 0
 
 
+def test_a_search_takes_one_python_worker_a_task(spark, docs_of):
+    marks = spark.createDataFrame([(1, "some words of an item")], "item_id bigint, text string")
+    plan = phrase_index.decontaminate(docs_of([(1, "here are some words of an item"), (2, "none")]), marks)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") + plan.count("MapInArrow ") == 1
+
+
 def test_quality_counts(spark, docs_of, vocab):
     rows = corpus(12, 50) + ODD + [(99, "same line\nsame line\n\n \n## | & <b>\n" + "a b c d e f g h i " * 3)]
     out = quality_rules.quality_rules(docs_of(rows), vocab("piece_bpe_32k.model"), vocab("byte_bpe_50k.json"))

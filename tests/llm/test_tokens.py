@@ -148,3 +148,13 @@ def test_spans_with_empty_ones():
     for starts, ends in (([0, 3], [2, 5]), ([0, 3, 3], [2, 3, 5])):
         got = texts.strings(raw, np.array(starts), np.array(ends)).to_pylist()
         assert got == [b"abcdef"[s:e].decode() for s, e in zip(starts, ends)]
+
+
+def test_operators_without_vocabularies_drop_those_of_earlier_ones(vocab):
+    path = vocab("piece_bpe_32k.model")
+    pieces.encode_column(pa.array(["some words"]), path)
+    tokens.encode_rows(pa.array(["some words"]), vocab("word_bpe_49k.json"))
+    tokens.forget()
+    assert not any(f.cache_info().currsize for f in (tokens.tokenizer, tokens.sizes_of, pieces.vocabulary, pieces._piece_bytes))
+    ids, _ = pieces.encode_column(pa.array(["some words"]), path)
+    assert ids.tolist() == tokens.tokenizer(path).encode("some words")

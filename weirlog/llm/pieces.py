@@ -11,7 +11,6 @@ the result of merging by score and not of adding up scores.
 from __future__ import annotations
 
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -322,7 +321,7 @@ def _bisect(keys, lo, hi, value, right: bool) -> np.ndarray:
     return lo
 
 
-@lru_cache(maxsize=4)
+@tokens.loaded
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
@@ -332,7 +331,7 @@ _CACHES: dict[str, tokens.Cache] = {}
 
 def _cache(path: str) -> tokens.Cache:
     if path not in _CACHES:
-        _CACHES[path] = tokens.Cache(vocabulary(path).encode, at_once=1 << 14)
+        _CACHES[path] = tokens.Cache(lambda many: vocabulary(path).encode(many), at_once=1 << 14)
     return _CACHES[path]
 
 
@@ -397,7 +396,7 @@ def encode(docs: DataFrame, path: str, *, id_column: str = "doc_id", text_column
     )
 
 
-@lru_cache(maxsize=4)
+@tokens.loaded
 def _piece_bytes(path: str) -> tuple[np.ndarray, np.ndarray]:
     raw = vocabulary(path).raw
     offsets = np.zeros(len(raw) + 1, np.int64)
