@@ -158,3 +158,21 @@ def test_operators_without_vocabularies_drop_those_of_earlier_ones(vocab):
     assert not any(f.cache_info().currsize for f in (tokens.tokenizer, tokens.sizes_of, pieces.vocabulary, pieces._piece_bytes))
     ids, _ = pieces.encode_column(pa.array(["some words"]), path)
     assert ids.tolist() == tokens.tokenizer(path).encode("some words")
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_a_table_of_units_forgets_and_learns_again(vocab, name):
+    path = vocab(name)
+    units = sorted({u for t in odd_texts(400, 5) if t for u in (t, " " + t.strip(), "\n ab" + t[:2])} - {""}) + [" plain", "\n\nÀÿ", " ×", " " + "x" * 60]
+    assert [tokens.JOINABLE and bool(tokens.pc.match_substring_regex(pa.array([u]), tokens.JOINABLE)[0].as_py()) for u in units] == [
+        bool(tokens.sizes_of(vocab("word_bpe_49k.json"))[1](u)) for u in units
+    ]
+    want = [np.frombuffer(x, "<u4").tolist() for x in tokens.encode_units(path, units)]
+    table = tokens.Table(path)
+    table.most = 50
+    for part in (slice(0, 40), slice(20, None), slice(0, 1), slice(0, 0), slice(None)):
+        place, offsets, ids = table.values(pa.array(units[part], pa.large_string()))
+        assert [ids[offsets[p] : offsets[p + 1]].tolist() for p in place] == want[part]
+        assert len(table) <= 50 and len(table.counts) == len(table.used) == len(table)
+    table.clear()
+    assert not len(table)

@@ -17,7 +17,7 @@ STRIPE_BYTES = 16 << 20
 #: Bytes of text encoded at a time (twice that takes some 80 MB more in each worker), and units that a worker
 #: remembers.
 SLICE_BYTES = 8 << 20
-CACHED_UNITS = 240_000
+CACHED_UNITS = 1_000_000
 #: Arrow batches of long id lists are kept to this many ids.
 BATCH_IDS = 2 << 20
 
