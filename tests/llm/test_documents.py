@@ -231,6 +231,19 @@ def test_band_recall():
     assert total > 100 and met / total >= 0.98
 
 
+def test_bands_leave_unlike_lines_apart():
+    """Lines with a tenth of their shingles in common rarely meet: such pairs grow with the square of the input."""
+    rng = random.Random(3)
+    pool = ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(12)) for _ in range(100)]
+    lines = ["".join(rng.sample(pool, 25)) for _ in range(600)]
+    sets = [{t[i : i + 5] for i in range(len(t) - 4)} for t in lines]
+    shared = [len(a & b) / len(a | b) for a, b in zip(sets, sets[1:])]
+    assert 0.05 < sum(shared) / len(shared) < 0.15 and max(shared) < 0.5
+    k = fuzzy_lines.band_keys(pa.array(lines), 5)
+    met = {(i, j) for c in range(k.shape[1]) for x in [k[:, c]] for i, j in zip(*np.nonzero(x[:, None] == x[None])) if i < j}
+    assert len(met) < 10
+
+
 @pytest.mark.parametrize("shingle", [5, 7])
 @pytest.mark.parametrize("union", [5, 10, 20, 25, 30, 50, 100, 300])
 def test_band_recall_by_length(union, shingle):

@@ -1,6 +1,6 @@
 """Line dedup by MinHash: near-equal lines of all documents, one of each group is kept.
 
-Lines are compared by their distinct shingles. A line's signature is one permutation
+Lines are compared by their distinct shingles. A line's signature is a few permutations
 in bins, each holding the least hash that fell into it; bands of bins are keys. Lines that share a band
 key with others are told so; the distinct ones among them that meet in a key form clusters, which are
 verified with exact Jaccard and joined by distributed union-find. Of each component the first line, by
@@ -26,8 +26,12 @@ from weirlog.session import join_lookup, passing, settle, store
 
 #: Characters of a shingle, unless told otherwise; the queries and the pipeline take five.
 SHINGLE = 7
-#: 12 bands of 4, taken from 64 bins: of pairs at the threshold of 0.8, 998 in 1,000 share a band.
-BANDS, ROWS, BIN_BITS = 12, 4, 6
+#: 30 bands of 7, taken from the 64 bins of each permutation: of pairs at the threshold of 0.8, 999 in 1,000 share
+#: a band. Of lines that share a twentieth of their shingles 2 in 10^8 do (12 bands of 4 would find 998 and 7 in 10^5):
+#: the number of those grows with the square of the input, and with it what travels.
+BANDS, ROWS, BIN_BITS = 30, 7, 6
+#: Multipliers that make further permutations of a hash.
+_ORDERS = (1, 0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)
 #: The bins, each in an order of its own, that an empty one looks at for a value.
 _LOOK = np.argsort(np.random.Generator(np.random.PCG64(9)).random((BANDS * ROWS, 1 << BIN_BITS)), axis=1).astype(np.int16)
 LEAST = 80
@@ -161,7 +165,7 @@ def band_keys(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     at = off - np.searchsorted(np.flatnonzero((raw & 0xC0) == 0x80), off)
     chars = np.frombuffer(raw.tobytes().decode(errors="replace").encode("utf-32-le"), np.uint32)
     empty = np.uint32(0xFFFFFFFF)
-    sig = np.full((n + 1) << BIN_BITS, empty, np.uint32)
+    full = np.full((len(_ORDERS), (n + 1) << BIN_BITS), empty, np.uint32)
     size = at[1:] - at[:-1]
     with np.errstate(over="ignore"):
         lo = 0
@@ -169,17 +173,21 @@ def band_keys(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
             hi = max(lo + 1, int(np.searchsorted(at, at[lo] + CHUNK, "right")) - 1)
             part = chars[at[lo] : at[hi]]
             if len(part) >= shingle:
-                h = _hashes(part, shingle)
-                flat = np.repeat(np.arange(lo, hi, dtype=np.int64) << BIN_BITS, size[lo:hi])[: len(h)]
-                flat |= h >> np.uint32(32 - BIN_BITS)
+                first = _hashes(part, shingle)
+                line = np.repeat(np.arange(lo, hi, dtype=np.int64) << BIN_BITS, size[lo:hi])[: len(first)]
                 # shingles that reach over the end of their line
                 over = (at[lo + 1 : hi + 1, None] - at[lo] - np.arange(1, shingle)).ravel()
-                over = over[(over >= 0) & (over < len(h))]
-                flat[over] = n << BIN_BITS
-                np.minimum.at(sig, flat, h & np.uint32((1 << (32 - BIN_BITS)) - 1))
+                over = over[(over >= 0) & (over < len(first))]
+                for sig, order in zip(full, _ORDERS, strict=True):
+                    h = first if order == 1 else first * np.uint32(order)
+                    h = h if order == 1 else (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+                    flat = line | (h >> np.uint32(32 - BIN_BITS))
+                    flat[over] = n << BIN_BITS
+                    np.minimum.at(sig, flat, h & np.uint32((1 << (32 - BIN_BITS)) - 1))
             lo = hi
         bins = BANDS * ROWS
-        full = sig.reshape(n + 1, 1 << BIN_BITS)[:n]
+        # the bins of a line side by side, those of its first permutation first
+        full = full.reshape(len(_ORDERS), n + 1, 1 << BIN_BITS)[:, :n].transpose(1, 0, 2).reshape(n, len(_ORDERS) << BIN_BITS)
         bare = full == empty
         none = bare.all(axis=1)
         sig = full[:, :bins].copy()
@@ -189,7 +197,7 @@ def band_keys(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
         for look in range(1 << BIN_BITS):
             if not len(row):
                 break
-            at_bin = _LOOK[col, look]
+            at_bin = (col >> BIN_BITS << BIN_BITS) + _LOOK[col, look]
             hit = ~bare[row, at_bin]
             sig[row[hit], col[hit]] = full[row[hit], at_bin[hit]] + (at_bin[hit] + 1).astype(np.uint32) * np.uint32(0x632BE5AB)
             row, col = row[~hit], col[~hit]
@@ -272,9 +280,11 @@ def repeated_lines(docs: DataFrame, buckets: int, least: int = LEAST, shingle: i
             )
 
     with passing(docs.sparkSession, "lines") as folder:
-        told = sk.shared_keys(docs, partial(_line_keys, shingle=shingle), buckets)
-        held = bk.sent_documents(docs, buckets).unionByName(told).groupBy("bucket").applyInArrow(gather, CLASSES)
-        held = store(held, f"{folder}/held", compression="zstd")
+        with passing(docs.sparkSession, "lines-told") as aside:
+            # the keys of lines without a near one are most of what is sent; once the others are told they go
+            told = store(sk.shared_keys(docs, partial(_line_keys, shingle=shingle), buckets), f"{aside}/told")
+            held = bk.sent_documents(docs, buckets).unionByName(told).groupBy("bucket").applyInArrow(gather, CLASSES)
+            held = store(held, f"{folder}/held", compression="zstd")
         some = held.where("text is not null")
         keys = some.select("cls", "bands").mapInArrow(bands, "id bigint, key bigint")
         # only lines that the counts leave a chance send their texts
