@@ -462,6 +462,38 @@ def test_what_is_stored_leaves_no_shuffle_files(spark, place):
     assert [df.selectExpr("count(*)", "sum(count)").first()[:] for df in kept] == [(100, 10000)] * 2
 
 
+def test_repeats_are_told_in_turns_that_leave_no_files(spark, docs_of, monkeypatch):
+    """What one turn over the digits sends is gone before the next; what they tell is the whole."""
+    monkeypatch.setattr(bk, "bucket_count", lambda docs: 16)  # its sum leaves a shuffle file
+    rows = corpus(5, 60)
+    there = lambda: {n for n in os.listdir(session.shared_dir(spark)) if n.startswith("weirlog-repeats")}
+    before, tables = _shuffle_files(spark), there()
+    told, buckets = repeats.removed_spans(docs_of(rows))
+    blobs = [bk.unpack(r.blob) for r in told.where("kind = 'gone'").collect()]
+    for _ in range(50):  # they are removed in the background
+        if not (left := _shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left and there() == tables
+    got = {(int(i), int(k)) for b in blobs for i, s, c in zip(np.cumsum(b["ids"]), b["start"], b["count"]) for k in range(s, s + c)}
+    first = {}
+    windows = [(i, k, t.encode()[k : k + 50]) for i, t in sorted(rows) for k in range(len(t.encode()) - 49)]
+    for i, _, w in windows:
+        first.setdefault(w, i)
+    assert got == {(i, k) for i, k, w in windows if first[w] < i}
+
+
+def test_replies_of_a_key_are_of_one_turn(spark, docs_of):
+    def keys_of(part):
+        ids = np.asarray(part.column("doc_id"), np.int64)
+        return ids, np.zeros(len(ids), np.int32), np.repeat(np.arange(len(ids)), 40), np.tile(bk.mix(np.arange(40)), len(ids))
+
+    rows = shared_keys.shared_keys(docs_of([(i, "text") for i in range(300)]), keys_of, 8, turns=2).collect()
+    kinds = [{(int(i), int(k)) for r in rows if r.kind == shared_keys.kind_of(t) for b in [bk.unpack(r.blob)] for i, k in zip(np.cumsum(b["ids"]), b["key"])} for t in (0, 1)]
+    assert len(kinds[0] | kinds[1]) == 300 * 40 and not {k for _, k in kinds[0]} & {k for _, k in kinds[1]}
+    assert kinds[0] and kinds[1]
+
+
 def test_line_dedup_leaves_no_tables(spark, docs_of):
     rows = [(i, f"a line of its own, number {i * i}\nthe same line of words as elsewhere, more or less {i % 3}") for i in range(40)]
     there = lambda: {n for n in os.listdir(session.shared_dir(spark)) if n.startswith(("weirlog-lines", "weirlog-links"))}
