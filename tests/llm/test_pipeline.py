@@ -1,14 +1,18 @@
 """The pipeline's stages, and the queries with SQL."""
 
 import os
+import random
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as driver
 import corpus_pipeline
 from tests.llm.conftest import ODD
 from tests.oracle import connect, differences
-from weirlog.llm import queries
+from weirlog import session
+from weirlog.llm import buckets as bk
+from weirlog.llm import fuzzy_lines, queries
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -95,3 +99,23 @@ def test_rows_that_differ_in_language_have_verdicts_of_their_own(spark):
 def test_stages_take_empty_tables_and_odd_rows(spark, docs_of, stage):
     assert stage[1](spark, docs_of([]), SF).count() == 0
     assert stage[1](spark, docs_of(ODD), SF).count() <= len(ODD)
+
+
+def test_unlike_lines_are_told_nothing(spark, docs_of, monkeypatch):
+    """The line stage stores what lines are told; unlike ones, met by chance, would make that grow with their pairs."""
+    rng = random.Random(3)
+    pool = ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(12)) for _ in range(100)]
+    rows = [(i, "".join(rng.sample(pool, 25))) for i in range(600)]
+    rows += [(600, rows[0][1]), (601, rows[1][1][:-1])]
+    told = []
+
+    def stored(df, path, **options):
+        out = session.store(df, path, **options)
+        if path.endswith("/told"):
+            told.extend(int(i) for r in out.collect() for i in np.cumsum(bk.unpack(r.blob)["ids"]))
+        return out
+
+    monkeypatch.setattr(fuzzy_lines, "store", stored)
+    kept = corpus_pipeline.lines(spark, docs_of(rows), "")
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(600))
+    assert {0, 1, 600, 601} <= set(told) and len(set(told)) < 20
